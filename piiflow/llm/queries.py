@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from piiflow.llm import quality_rules
+from piiflow.llm import line_dedup, mixing, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op3_line_dedup": line_dedup.query,
+        "op5_mixing": mixing.query,
         "op6_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL}
