@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from piiflow.llm import line_dedup, mixing, quality_rules
+from piiflow.llm import chat_format, line_dedup, mixing, quality_rules
 
 
 def queries() -> dict:
@@ -10,8 +10,9 @@ def queries() -> dict:
         "op3_line_dedup": line_dedup.query,
         "op5_mixing": mixing.query,
         "op6_quality_rules": quality_rules.query,
+        "op9_chat_format": chat_format.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL}
+    return {"op3_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL, "op9_chat_format": chat_format.SQL}
