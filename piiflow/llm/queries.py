@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from piiflow.llm import chat_format, line_dedup, mixing, quality_rules
+from piiflow.llm import chat_format, line_dedup, mixing, quality_rules, simhash
 
 
 def queries() -> dict:
     return {
         "op3_line_dedup": line_dedup.query,
+        "op4_simhash": simhash.query,
         "op5_mixing": mixing.query,
         "op6_quality_rules": quality_rules.query,
         "op9_chat_format": chat_format.query,
