@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from piiflow.llm import chat_format, line_dedup, mixing, quality_rules, simhash
+from piiflow.llm import chat_format, decontamination, line_dedup, mixing, quality_rules, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontamination.query,
         "op3_line_dedup": line_dedup.query,
         "op4_simhash": simhash.query,
         "op5_mixing": mixing.query,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL, "op9_chat_format": chat_format.SQL}
+    return {"op1_decontamination": decontamination.SQL, "op3_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL, "op9_chat_format": chat_format.SQL}
