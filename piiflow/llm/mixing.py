@@ -35,7 +35,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     Sources in code point order, null last, weigh as weights repeat. A source whose share exceeds most
     times its size stops there, and the excess is shared anew by weight. That ends at one level for all
     others, target = weight * level: taking sources by most * size / weight, the first whose bound lies
-    at or above the level of the rest fixes it. The table has a row for each source, not each document.
+    at or above the level of the rest fixes it; of all that do so, that level is the highest. The table has a row for each source, not each document.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     )
     level = (budget * F.col("_all") - F.col("_bounded")) / F.col("_open")
     df = df.withColumn("_level", F.when(level <= F.col("bound") / F.col("weight"), level))
-    df = df.withColumn("_level", F.min("_level").over(everything))
+    df = df.withColumn("_level", F.max("_level").over(everything))
     level = F.coalesce(F.col("weight") * F.col("_level"), F.col("bound"))
     return df.withColumn("target", F.least(F.col("bound"), level)).select("source", "source_size", "target")
 
@@ -123,7 +123,7 @@ WITH sizes AS (
       (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
   FROM weighted WINDOW before AS (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), goals AS (
-  SELECT source, source_size, least(bound, coalesce(weight * min(CASE WHEN level <= bound / weight THEN level END) OVER (), bound)) AS target FROM levels
+  SELECT source, source_size, least(bound, coalesce(weight * max(CASE WHEN level <= bound / weight THEN level END) OVER (), bound)) AS target FROM levels
 ), parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM goals
 ), weights AS (

@@ -231,3 +231,9 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return near_duplicates(docs).select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id names their component, with the columns of docs."""
+    kept = near_duplicates(docs.select("doc_id", "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
