@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from piiflow.llm import chat_format, decontamination, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_counts
+from piiflow.llm import chat_format, decontamination, html_extract, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_counts
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_mixing": mixing.query,
         "op6_quality_rules": quality_rules.query,
         "op7_suffix_dedup": suffix_dedup.query,
+        "op8_html_extract": html_extract.query,
         "op9_chat_format": chat_format.query,
         "op10_token_counts": token_counts.query,
     }
