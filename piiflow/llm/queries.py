@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from piiflow.llm import chat_format, decontamination, html_extract, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_counts
+from piiflow.llm import chat_format, decontamination, html_extract, line_dedup, mixing, quality_rules, secret_scans, simhash, suffix_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontamination.query,
+        "op2_secret_scans": secret_scans.query,
         "op3_line_dedup": line_dedup.query,
         "op4_simhash": simhash.query,
         "op5_mixing": mixing.query,
