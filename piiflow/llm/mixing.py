@@ -21,7 +21,7 @@ from piiflow.llm.common import WORD, spread, written
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2.0
-ROWS_IN_RANGE = 20_000
+ROWS_IN_RANGE = 4_000
 
 
 def size_of(text: Column) -> Column:
