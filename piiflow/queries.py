@@ -1,11 +1,786 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library, each with the SQL that it is checked against.
+
+The documents hold no Swedish identifiers, so several queries build sentences from the other tables, by
+the same SQL expressions on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from piiflow.functions import checks, placeholders, text as T
+from piiflow.operators import analytics, candidates as C, catalog, detectors as D, kinds, spans as S, tokens
+from piiflow.plans.masking import mask_corpus
+from piiflow.sources import dictionaries, files, layout
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        name = f.__name__.strip("_")
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return register
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    # A small table in one file would be one task.
+    return df.repartition(cores) if name == "documents" and len(df.inputFiles()) < cores else df
+
+
+def _luhn_digit(nine: str) -> str:
+    """SQL for the check digit of a nine-digit string."""
+    terms = []
+    for k in range(9):
+        d = f"CAST(substr({nine}, {k + 1}, 1) AS INT)"
+        terms.append(f"(CASE WHEN {d} > 4 THEN {d} * 2 - 9 ELSE {d} * 2 END)" if k % 2 == 0 else d)
+    return f"CAST((10 - ({' + '.join(terms)}) % 10) % 10 AS STRING)"
+
+
+def _pad(number: str, n: int) -> str:
+    return f"lpad(CAST({number} AS STRING), {n}, '0')"
+
+
+#: A personal number for each customer; every fifth has a wrong check digit, every seventh a day plus 60.
+_PIN9 = f"concat({_pad('c_custkey % 100', 2)}, {_pad('1 + c_custkey % 13', 2)}, {_pad('1 + c_custkey % 28 + CASE WHEN c_custkey % 7 = 0 THEN 60 ELSE 0 END', 2)}, {_pad('c_custkey % 1000', 3)})"
+_PIN_CHECK = f"CASE WHEN c_custkey % 5 = 0 THEN CAST((CAST({_luhn_digit('nine')} AS INT) + 1) % 10 AS STRING) ELSE {_luhn_digit('nine')} END"
+_PIN = "concat(CASE WHEN c_custkey % 3 = 0 THEN '19' ELSE '' END, substr(nine, 1, 6), CASE c_custkey % 4 WHEN 0 THEN '-' WHEN 1 THEN '+' ELSE '' END, substr(nine, 7, 3), digit)"
+_PIN_TABLE = f"""
+  SELECT c_custkey, nine, digit, {_PIN} AS pin, concat('Kund ', {_PIN}, ' bor i Uppsala, se x', {_PIN}, ' och 7', {_PIN}, '.') AS text
+  FROM (SELECT c_custkey, nine, {_PIN_CHECK} AS digit FROM (SELECT c_custkey, {_PIN9} AS nine FROM customer))
+"""
+#: Organisation numbers of orders: third digit 2 and up in two of three.
+_ORG9 = f"concat('55', {_pad('(CASE WHEN o_orderkey % 3 = 0 THEN 10 ELSE 60 END) + o_orderkey % 10', 2)}, {_pad('o_orderkey % 100000', 5)})"
+_ORG_TABLE = f"""
+  SELECT o_orderkey, nine, digit, concat(CASE WHEN o_orderkey % 4 = 0 THEN '16' ELSE '' END, substr(nine, 1, 6), CASE o_orderkey % 3 WHEN 1 THEN '-' WHEN 2 THEN ' ' ELSE '' END, substr(nine, 7, 3), digit) AS org
+  FROM (SELECT o_orderkey, nine, CASE WHEN o_orderkey % 6 = 5 THEN '0' ELSE {_luhn_digit('nine')} END AS digit FROM (SELECT o_orderkey, {_ORG9} AS nine FROM orders))
+"""
+
+
+def _sql(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
+    """The sentences of the other side, over these tables."""
+    frames = {t: _table(spark, sf_dir, t) for t in tables}
+    for t in tables:
+        sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
+    return spark.sql(sql, **frames)
+
+
+# --- spans and detectors over documents -------------------------------------------------------------------
+
+_EMAILS = r"""
+emails AS (
+  SELECT doc_id, i - 1 AS start, regexp_extract(substr(text, i, 120), '^[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}') AS value
+  FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE contains(text, '@'))
+  WHERE regexp_matches(substr(text, i, 120), '^[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}')
+    AND (i = 1 OR NOT regexp_matches(substr(text, i - 1, 1), '[\p{L}\p{N}._%+-]'))
+)"""
+
+
+def _emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.exploded(_table(spark, sf_dir, "documents"), D.pattern_spans(F.col("text"), ("email",)))
+
+
+@_query(f"WITH {_EMAILS} SELECT doc_id, start::BIGINT AS start, (start + length(value))::BIGINT AS \"end\", value FROM emails")
+def email_spans(spark, sf_dir):
+    return _emails(spark, sf_dir).select("doc_id", "start", "end", "value")
+
+
+@_query(f"WITH {_EMAILS} SELECT split_part(value, '@', 2) AS domain, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM emails GROUP BY 1")
+def email_domain_counts(spark, sf_dir):
+    found = _emails(spark, sf_dir).withColumn("domain", F.substring_index("value", "@", -1))
+    return found.groupBy("domain").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+def _projects(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("source").alias("project_id"), "doc_id", "text")
+
+
+_NO_VARIABLES = "project_id string, value string, token string, kind string, variable_order bigint"
+
+
+@_query(
+    f"""WITH {_EMAILS}, firsts AS (
+  SELECT d.source, e.value, min({{'d': e.doc_id, 's': e.start}}) AS at FROM emails e JOIN documents d USING (doc_id) GROUP BY ALL
+), variables AS (
+  SELECT source, value, 'EMAIL' || row_number() OVER (PARTITION BY source ORDER BY at, value) AS token FROM firsts
+), per_doc AS (
+  SELECT e.doc_id, count(*)::BIGINT AS n_replaced FROM emails e GROUP BY 1
+), pairs AS (
+  SELECT doc_id, list(value || chr(31) || token ORDER BY length(value) DESC, value) AS p FROM (SELECT DISTINCT e.doc_id, e.value, v.token FROM emails e JOIN documents d USING (doc_id) JOIN variables v ON v.source = d.source AND v.value = e.value) GROUP BY 1
+)
+SELECT d.doc_id, n_replaced, list_reduce(list_prepend(d.text, p), lambda acc, x: replace(acc, split_part(x, chr(31), 1), split_part(x, chr(31), 2))) AS masked
+FROM documents d JOIN pairs USING (doc_id) JOIN per_doc USING (doc_id)"""
+)
+def mask_emails(spark, sf_dir):
+    """The flagship: e-mail addresses of every source as stable placeholders, in all documents that have any."""
+    docs = _projects(spark, sf_dir)
+    masked, _ = mask_corpus(docs, spark.createDataFrame([], _NO_VARIABLES), D.pattern_spans(F.col("text"), ("email",)))
+    return masked.filter("n_replaced > 0").select("doc_id", "n_replaced", F.col("text").alias("masked"))
+
+
+_CAPITALS = r"SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: regexp_full_match(w, '\p{Lu}\p{Ll}+'))) AS value FROM documents"
+_CAPITAL = T.NOT_AFTER_WORD + r"\p{Lu}\p{Ll}+" + T.NOT_BEFORE_WORD
+
+
+def _capitals(spark, sf_dir) -> DataFrame:
+    return S.exploded(_table(spark, sf_dir, "documents"), S.find_spans(F.col("text"), _CAPITAL, "capital", "capital"))
+
+
+@_query(f"SELECT 'capital' AS kind, value, count(*) AS n FROM ({_CAPITALS}) GROUP BY value ORDER BY n DESC, value LIMIT 25")
+def capital_words_topk(spark, sf_dir):
+    return analytics.top_values(_capitals(spark, sf_dir), 25)
+
+
+@_query(f"SELECT doc_id, count(*) AS n, sum(length(value))::BIGINT AS n_chars FROM ({_CAPITALS}) GROUP BY doc_id")
+def capital_words_per_document(spark, sf_dir):
+    return _capitals(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("n_chars"))
+
+
+@_query(f"SELECT value, count(*) AS n FROM ({_CAPITALS}) WHERE length(value) >= 5 AND regexp_matches(lower(value), '^.{{2,}}({'|'.join(D.SURNAME_ENDINGS)})$') GROUP BY value")
+def surname_ending_tokens(spark, sf_dir):
+    return _capitals(spark, sf_dir).filter(D.has_surname_ending(F.col("value"))).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@_query(
+    r"""
+    WITH found AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: regexp_full_match(w, '[0-9]{16}'))) AS value FROM documents)
+    SELECT doc_id, value, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN substr(value, i, 1)::INT
+      WHEN substr(value, i, 1)::INT > 4 THEN substr(value, i, 1)::INT * 2 - 9 ELSE substr(value, i, 1)::INT * 2 END)) % 10 = 0 AS valid FROM found"""
+)
+def luhn_numbers_in_docs(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    found = S.exploded(docs, S.find_spans(F.col("text"), T.NOT_AFTER_WORD + "[0-9]{16}" + T.NOT_BEFORE_WORD, "card", "card"))
+    return found.select("doc_id", "value", checks.luhn_valid(F.col("value")).alias("valid"))
+
+
+
+
+
+# A span has a source too: the table's own columns go first.
+def _sourced(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("site"), "lang", "text")
+
+
+#: User patterns: the last two, one switched off and one that is none, are skipped.
+_RULES = [
+    {"id": "ip", "pattern": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "kind": "ip"},
+    {"id": "us", "pattern": r"\+1 \(\d{3}\) \d{3}-\d{4}", "kind": "phone_us"},
+    {"id": "off", "pattern": "the", "kind": "x", "enabled": False},
+    {"id": "bad", "pattern": "(unclosed", "kind": "x"},
+]
+
+
+@_query(
+    r"""WITH found AS (
+  SELECT doc_id, kind, unnest(hits) AS value FROM (
+    SELECT doc_id, 'ip' AS kind, regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}') AS hits FROM documents
+    UNION ALL SELECT doc_id, 'phone_us', regexp_extract_all(text, '\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}') FROM documents))
+SELECT d.source, d.lang, f.kind, count(*) AS n FROM found f JOIN documents d USING (doc_id) GROUP BY ALL"""
+)
+def custom_pattern_hits(spark, sf_dir):
+    found = S.exploded(_sourced(spark, sf_dir), C.pattern_rule_spans(spark, F.col("text"), _RULES), ("site", "lang", "doc_id"))
+    return found.groupBy(F.col("site").alias("source"), "lang", "kind").agg(F.count("*").alias("n"))
+
+
+@_query(r"SELECT doc_id, len(regexp_extract_all(text, '[tT]h[a-z]+'))::BIGINT AS n FROM documents")
+def pattern_hit_count(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", C.pattern_hits(F.col("text"), T.java_pattern("[tT]h[a-z]+")).alias("n"))
+
+
+_DETECTED = r"""
+hits AS (
+  SELECT doc_id, kind, unnest(h) AS value FROM (
+    SELECT doc_id, 'email' AS kind, regexp_extract_all(text, '[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}') AS h FROM documents
+    UNION ALL SELECT doc_id, 'ip', regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}') FROM documents
+    UNION ALL SELECT doc_id, 'phone_us', regexp_extract_all(text, '\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}') FROM documents))"""
+
+
+def _detected(spark, sf_dir) -> DataFrame:
+    text = F.col("text")
+    return C.detect(_sourced(spark, sf_dir), S.pool(C.pattern_rule_spans(spark, text, _RULES), D.pattern_spans(text, ("email",))), on=("site", "lang"))
+
+
+@_query(f"WITH {_DETECTED} SELECT lang, kind, grouping(lang, kind)::BIGINT AS level, count(*) AS n, count(DISTINCT doc_id) AS n_docs, count(DISTINCT value) AS n_values FROM hits JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, kind)")
+def detections_rollup(spark, sf_dir):
+    return analytics.rollup(_detected(spark, sf_dir), "lang", "kind")
+
+
+@_query(f"WITH {_DETECTED} SELECT source, lang, kind, count(*) AS n FROM hits JOIN documents USING (doc_id) GROUP BY ALL")
+def pii_per_source_lang(spark, sf_dir):
+    return _detected(spark, sf_dir).groupBy(F.col("site"), "lang", "kind").agg(F.count("*").alias("n")).withColumnRenamed("site", "source")
+
+
+@_query(f"WITH {_DETECTED}, k AS (SELECT DISTINCT doc_id, kind FROM hits) SELECT a.kind AS kind_a, b.kind AS kind_b, count(*) AS n_docs FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.kind < b.kind GROUP BY ALL")
+def kinds_together(spark, sf_dir):
+    return analytics.kinds_together(_detected(spark, sf_dir))
+
+
+@_query(f"WITH {_DETECTED} SELECT doc_id, value, kind, count(*) AS n_spans FROM hits GROUP BY ALL")
+def candidates_grouped(spark, sf_dir):
+    return C.group(_detected(spark, sf_dir)).select("doc_id", "value", "kind", "n_spans")
+
+
+@_query(f"WITH {_DETECTED} SELECT doc_id, value, kind FROM hits WHERE kind <> 'phone_us' AND upper(value) NOT IN (SELECT upper(value) FROM hits WHERE kind = 'email' AND doc_id % 2 = 0) GROUP BY ALL")
+def candidates_never_ignored(spark, sf_dir):
+    """Values on the never list, in any case, and ignored ones are left out."""
+    found = _detected(spark, sf_dir)
+    never = found.filter("kind = 'email' AND doc_id % 2 = 0").select(F.upper("value").alias("value"))
+    ignored = found.filter("kind = 'phone_us'").select("value")
+    text = F.col("text")
+    spans = S.pool(C.pattern_rule_spans(spark, text, _RULES), D.pattern_spans(text, ("email",)))
+    kept = C.detect(_sourced(spark, sf_dir), spans, never=never, ignored=ignored)
+    return C.group(kept).select("doc_id", "value", "kind")
+
+
+@_query("SELECT date_trunc('day', ts) AS window_start, event_type AS kind, count(*) AS n FROM events GROUP BY ALL")
+def events_per_day(spark, sf_dir):
+    return analytics.per_window(_table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("kind")))
+
+
+# --- identifiers in sentences built from the tables ---------------------------------------------------------
+
+
+@_query(
+    f"""SELECT c_custkey, pin AS value, CASE WHEN c_custkey % 5 <> 0 AND 1 + c_custkey % 13 <= 12 THEN concat(nine, digit) END AS normal FROM ({_PIN_TABLE})"""
+)
+def synthetic_pin_normalised(spark, sf_dir):
+    df = _sql(spark, sf_dir, _PIN_TABLE, "customer")
+    return df.select("c_custkey", F.col("pin").alias("value"), checks.normalize_pin(F.col("pin")).alias("normal"))
+
+
+@_query(
+    f"""
+    WITH p AS (SELECT * FROM ({_PIN_TABLE}) WHERE c_custkey % 5 <> 0 AND 1 + c_custkey % 13 <= 12)
+    SELECT c_custkey, 5::BIGINT AS start, pin AS value FROM p
+    UNION ALL SELECT c_custkey, (5 + length(pin) + length(' bor i Uppsala, se x'))::BIGINT, pin FROM p"""
+)
+def synthetic_pin_spans(spark, sf_dir):
+    """A digit in front hides a number, a letter does not: of three places the first two count."""
+    df = _sql(spark, sf_dir, _PIN_TABLE, "customer")
+    found = S.exploded(df, D.pattern_spans(F.col("text"), ("pin",)), ("c_custkey",))
+    return found.select("c_custkey", "start", "value")
+
+
+@_query(
+    f"""SELECT o_orderkey, org AS value, o_orderkey % 3 <> 0 AND (o_orderkey % 6 <> 5 OR digit = {_luhn_digit('nine')}) AS valid FROM ({_ORG_TABLE})"""
+)
+def synthetic_org_valid(spark, sf_dir):
+    df = _sql(spark, sf_dir, _ORG_TABLE, "orders")
+    return df.select("o_orderkey", F.col("org").alias("value"), checks.is_org_number(F.col("org")).alias("valid"))
+
+
+@_query(f"SELECT count(*) AS n, count(*) FILTER (WHERE c_custkey % 5 <> 0 AND 1 + c_custkey % 13 <= 12) AS n_pin, 0::BIGINT AS n_both FROM ({_PIN_TABLE})")
+def pin_vs_org_exclusive(spark, sf_dir):
+    """A month is below 20, and an organisation's third digit isn't: no number is both."""
+    df = _sql(spark, sf_dir, _PIN_TABLE, "customer")
+    pin, org = checks.normalize_pin(F.col("pin")).isNotNull(), checks.is_org_number(F.col("pin"))
+    return df.agg(F.count("*").alias("n"), F.count(F.when(pin, 1)).alias("n_pin"), F.count(F.when(pin & org, 1)).alias("n_both"))
+
+
+_PHONE_TABLE = f"""
+  SELECT s_suppkey, CASE s_suppkey % 5
+    WHEN 0 THEN concat('070-', {_pad('s_suppkey % 10000000', 7)}) WHEN 1 THEN concat('+46 (0)70 ', {_pad('s_suppkey % 1000000', 6)})
+    WHEN 2 THEN concat('0046 8 ', {_pad('s_suppkey % 1000000', 6)}) WHEN 3 THEN concat('0', {_pad('1 + s_suppkey % 9', 1)}, '-', '12', '-', '19', {_pad('s_suppkey % 100', 2)})
+    ELSE concat({_pad('1 + s_suppkey % 9', 2)}, '-11-20', {_pad('s_suppkey % 100', 2)}) END AS raw FROM supplier
+"""
+
+
+@_query(
+    f"""SELECT s_suppkey, raw, CASE s_suppkey % 5 WHEN 0 THEN replace(raw, '-', '') WHEN 1 THEN concat('070', substr(raw, 11)) WHEN 2 THEN concat('08', substr(raw, 8)) END AS normal FROM ({_PHONE_TABLE})"""
+)
+def phone_normalise(spark, sf_dir):
+    df = _sql(spark, sf_dir, _PHONE_TABLE, "supplier")
+    return df.select("s_suppkey", "raw", checks.normalize_phone(F.col("raw")).alias("normal"))
+
+
+_POSTAL_TABLE = f"""
+  SELECT o_orderkey, code, CASE o_orderkey % 5
+    WHEN 0 THEN concat('Adress: SE-', code, ' slut') WHEN 1 THEN concat('Postnummer: ', code, ' slut') WHEN 2 THEN concat('Till ', code, ' Uppsala')
+    WHEN 3 THEN concat('Summa ', code, ' kronor') ELSE concat('Order ', code, '.') END AS text
+  FROM (SELECT o_orderkey, concat({_pad('100 + o_orderkey % 900', 3)}, CASE WHEN o_orderkey % 2 = 0 THEN ' ' ELSE '' END, {_pad('o_orderkey % 100', 2)}) AS code FROM orders)
+"""
+
+
+@_query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN concat('SE-', code) ELSE code END AS value FROM ({_POSTAL_TABLE}) WHERE o_orderkey % 5 < 3")
+def postal_contexts(spark, sf_dir):
+    df = _sql(spark, sf_dir, _POSTAL_TABLE, "orders")
+    return S.exploded(df, D.pattern_spans(F.col("text"), ("postal",)), ("o_orderkey",)).select("o_orderkey", "value")
+
+
+_STREET_TABLE = f"""
+  SELECT p_partkey, CASE p_partkey % 7
+    WHEN 0 THEN concat('på Storgatan ', n, ' inne') WHEN 1 THEN concat('på Stadsparken ', n, ' inne') WHEN 2 THEN 'på Stadsparken inne'
+    WHEN 3 THEN concat('på Järnvägen ', n, ' inne') WHEN 4 THEN concat('på Norra Långgatan ', n, ' B, lgh 1102 inne') WHEN 5 THEN 'på Karl Johans gata inne' ELSE concat('på Omvägen', n, ' inne') END AS text
+  FROM (SELECT p_partkey, CAST(1 + p_partkey % 99 AS STRING) AS n FROM part)
+"""
+
+
+@_query(
+    f"""SELECT p_partkey, substr(text, 4, length(text) - 8) AS value FROM ({_STREET_TABLE}) WHERE p_partkey % 7 IN (0, 1, 4, 5)"""
+)
+def street_safe_vs_numbered(spark, sf_dir):
+    df = _sql(spark, sf_dir, _STREET_TABLE, "part")
+    found = df.select("p_partkey", F.inline(S.resolve(D.pattern_spans(F.col("text"), ("street",)))))
+    return found.select("p_partkey", "value")
+
+
+_CITY_TABLE = """
+  SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Upplands Väsbys kommun' WHEN 1 THEN 'Väsby och Stockholmare' WHEN 2 THEN 'Lund är stort' WHEN 3 THEN 'hon bor i Lund nu'
+    WHEN 4 THEN 'uppsala, Uppsala' ELSE '123 45 Bro' END AS text FROM customer
+"""
+
+
+@_query(
+    """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Upplands Väsby' WHEN 1 THEN 'Väsby' WHEN 3 THEN 'Lund' WHEN 4 THEN 'Uppsala' ELSE 'Bro' END AS value,
+  (CASE c_custkey % 6 WHEN 3 THEN 10 WHEN 4 THEN 9 WHEN 5 THEN 7 ELSE 0 END)::BIGINT AS start FROM customer WHERE c_custkey % 6 <> 2"""
+)
+def city_hits_longest_first(spark, sf_dir):
+    df = _sql(spark, sf_dir, _CITY_TABLE, "customer")
+    spans = D.city_spans(F.col("text"), D.SEED["locality"], D.SEED["locality_wordlike"])
+    return S.exploded(df, spans, ("c_custkey",)).select("c_custkey", "value", "start")
+
+
+_NAME_TABLE = """
+  SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'Vi såg Anna Svensson idag.' WHEN 1 THEN 'Berg är högt.' WHEN 2 THEN 'Där bor Berg nu.' WHEN 3 THEN 'Annas bil' WHEN 4 THEN 'Domaren Nyberg sade'
+    WHEN 5 THEN 'Sten Karin Fredriksson' WHEN 6 THEN 'Maria Lunds hus' WHEN 7 THEN 'Per gick.' ELSE 'Ett Hus på Berget' END AS text FROM customer
+"""
+
+
+@_query(
+    """SELECT c_custkey, v AS value FROM (SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'Anna Svensson' WHEN 2 THEN 'Berg' WHEN 3 THEN 'Anna' WHEN 4 THEN 'Nyberg'
+  WHEN 5 THEN 'Sten Karin Fredriksson' WHEN 6 THEN 'Maria Lund' END AS v FROM customer) WHERE v IS NOT NULL"""
+)
+def names_in_context(spark, sf_dir):
+    """Given and surnames, genitives, words that are names only in the middle of a sentence."""
+    df = _sql(spark, sf_dir, _NAME_TABLE, "customer")
+    found = D.name_spans(df, D.seed_dictionary(spark), ("c_custkey",))
+    return found.select("c_custkey", "value")
+
+
+@_query("SELECT c_custkey, c_custkey % 4 <> 1 AS initial FROM customer")
+def sentence_initial_flags(spark, sf_dir):
+    text = "CASE c_custkey % 4 WHEN 0 THEN 'Anna' WHEN 1 THEN 'ser Anna' WHEN 2 THEN 'Slut.  Anna' ELSE concat('Rad', chr(10), 'Anna') END"
+    df = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(text).alias("text"))
+    return df.select("c_custkey", D.sentence_initial(F.col("text"), F.expr("locate('Anna', text) - 1").cast("long")).alias("initial"))
+
+
+# --- literals, overlaps, rewriting ----------------------------------------------------------------------------
+
+_LITERAL_TABLE = """
+  SELECT c_custkey, concat(c_name, ' i ', n_name, ', ', n_name, 's hamn; ', n_name, 'x ', n_name, '_', c_mktsegment, '.') AS text, n_name, c_name, c_mktsegment
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+"""
+
+
+def _literal_docs(spark, sf_dir) -> DataFrame:
+    c, n = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "nation")
+    joined = c.join(n, c["c_nationkey"] == n["n_nationkey"])
+    parts = ["c_name", F.lit(" i "), "n_name", F.lit(", "), "n_name", F.lit("s hamn; "), "n_name", F.lit("x "), "n_name", F.lit("_"), "c_mktsegment", F.lit(".")]
+    return joined.select("c_custkey", F.concat(*parts).alias("text"), "n_name", "c_name")
+
+
+@_query(f"SELECT c_custkey, (length(c_name) + 3)::BIGINT AS start, n_name AS value FROM ({_LITERAL_TABLE})")
+def literal_hits_wholeword(spark, sf_dir):
+    nations = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"))
+    return S.find_literals(_literal_docs(spark, sf_dir), nations, key=("c_custkey",)).select("c_custkey", "start", "value")
+
+
+@_query(f"SELECT c_custkey, unnest([length(c_name) + 3, length(c_name) + 5 + length(n_name)])::BIGINT AS start, n_name AS value FROM ({_LITERAL_TABLE})")
+def literal_hits_suffix(spark, sf_dir):
+    nations = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"))
+    return S.find_literals(_literal_docs(spark, sf_dir), nations, key=("c_custkey",), suffixes=("s",)).select("c_custkey", "start", "value")
+
+
+@_query("SELECT n_nationkey, unnest(range(n_nationkey % 5))::BIGINT AS start FROM nation")
+def literal_self_overlap(spark, sf_dir):
+    """Inside of words, and in each other: "aa" in "aaa" twice."""
+    docs = _table(spark, sf_dir, "nation").select("n_nationkey", F.expr("repeat('a', n_nationkey % 5 + 1)").alias("text"))
+    literal = spark.range(1).select(F.lit("aa").alias("value"))
+    return S.find_literals(docs, literal, key=("n_nationkey",), whole_word=False).select("n_nationkey", "start")
+
+
+_RANKED = """
+ranked AS (
+  SELECT l_orderkey, l_linenumber, l_partkey % 40 AS s, l_partkey % 40 + 1 + (l_quantity::INT) % 9 AS e, l_suppkey % 3 AS p,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY 1 + (l_quantity::INT) % 9 DESC, l_suppkey % 3 DESC, l_partkey % 40, l_linenumber, l_suppkey, l_partkey) AS k FROM lineitem
+)"""
+
+
+@_query(
+    f"""WITH RECURSIVE {_RANKED}, walk AS (
+  SELECT l_orderkey, 0::BIGINT AS k, []::STRUCT(s BIGINT, e BIGINT)[] AS kept FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+  UNION ALL SELECT w.l_orderkey, r.k, CASE WHEN len(list_filter(w.kept, lambda x: x.s < r.e AND r.s < x.e)) > 0 THEN w.kept ELSE list_append(w.kept, {{'s': r.s, 'e': r.e}}) END
+  FROM walk w JOIN ranked r ON r.l_orderkey = w.l_orderkey AND r.k = w.k + 1
+), done AS (SELECT l_orderkey, unnest(kept) AS x FROM walk QUALIFY k = max(k) OVER (PARTITION BY l_orderkey))
+SELECT l_orderkey, x.s AS start, x.e AS "end" FROM done"""
+)
+def overlap_resolution(spark, sf_dir):
+    """Longest first, then priority, then the earlier: spans made from the lines of orders."""
+    start, size = F.col("l_partkey") % 40, 1 + F.col("l_quantity").cast("int") % 9
+    span = F.struct(start.alias("start"), (start + size).alias("end"), F.lit("x").alias("value"), F.lit("k").alias("kind"), F.lit("s").alias("source"), (F.col("l_suppkey") % 3).cast("int").alias("priority"), F.col("l_linenumber").alias("seq"))
+    grouped = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(span.cast(S.SPAN)).alias("s"))
+    return grouped.select("l_orderkey", F.inline(S.resolve(F.col("s")))).select("l_orderkey", "start", "end")
+
+
+@_query(f"SELECT c_custkey, replace(replace(concat(c_name, ' i ', n_name, ', ', n_name, 's hamn;'), n_name, '[LAND]'), 'Customer', 'Kund') || ' ' || n_name || 'x' AS text, 3::BIGINT AS n_replaced FROM ({_LITERAL_TABLE})")
+def replace_literals(spark, sf_dir):
+    docs = _literal_docs(spark, sf_dir).select("c_custkey", F.concat("c_name", F.lit(" i "), "n_name", F.lit(", "), "n_name", F.lit("s hamn; "), "n_name", F.lit("x")).alias("text"))
+    pairs = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"), F.lit("[LAND]").alias("replacement"))
+    pairs = pairs.unionByName(spark.range(1).select(F.lit("Customer").alias("value"), F.lit("Kund").alias("replacement")))
+    return S.replace_literals(docs, pairs, key=("c_custkey",), suffixes=("s",)).select("c_custkey", "text", "n_replaced")
+
+
+@_query("SELECT c_custkey, 'Customer' AS piece, 'w' AS kind FROM customer UNION ALL SELECT c_custkey, '#', NULL FROM customer UNION ALL SELECT c_custkey, substr(c_name, 10), 'w' FROM customer")
+def highlight_pieces(spark, sf_dir):
+    df = _table(spark, sf_dir, "customer")
+    pieces = S.highlight(F.col("c_name"), S.find_spans(F.col("c_name"), r"[A-Za-z]+|[0-9]+", "w", "w"))
+    return df.select("c_custkey", F.inline(pieces))
+
+
+@_query("SELECT p_partkey, len(string_split(p_name, 'l')) - 1 AS n FROM part")
+def plain_occurrences(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", F.size(S.occurrences(F.col("p_name"), F.lit("l"))).cast("long").alias("n"))
+
+
+# --- placeholders, minting, masking ---------------------------------------------------------------------------
+
+
+@_query(
+    """WITH k AS (SELECT o_orderkey + 1 AS i, o_orderpriority AS kind, upper(regexp_replace(o_orderpriority, '[^\\p{L}\\p{N}]+', '', 'g')) AS slug FROM orders)
+SELECT i, kind, chr((65 + ((i - 1) // 676) % 26)::INT) || chr((65 + ((i - 1) // 26) % 26)::INT) || chr((65 + (i - 1) % 26)::INT) AS upperLetters,
+  '$' || i AS dollarNumber, slug || i AS kindNumber, '[' || slug || ' ' || i || ']' AS bracketKind, '{{' || lower(slug) || i || '}}' AS mustache FROM k WHERE i <= 17576"""
+)
+def placeholder_styles(spark, sf_dir):
+    df = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("i"), F.col("o_orderpriority").alias("kind")).filter("i <= 17576")
+    styles = [s for s in placeholders.STYLES if s != "lowerLetters"]
+    return df.select("i", "kind", *[placeholders.format_placeholder(s, F.col("i"), F.col("kind")).alias(s) for s in styles])
+
+
+@_query("SELECT l_orderkey AS i, CASE WHEN l_orderkey < 1 THEN 'AAA' WHEN l_orderkey <= 17576 THEN chr((65 + ((l_orderkey - 1) // 676))::INT) || chr((65 + ((l_orderkey - 1) // 26) % 26)::INT) || chr((65 + (l_orderkey - 1) % 26)::INT) ELSE chr((65 + (l_orderkey - 1) // 17576)::INT) || chr((65 + ((l_orderkey - 1) // 676) % 26)::INT) || chr((65 + ((l_orderkey - 1) // 26) % 26)::INT) || chr((65 + (l_orderkey - 1) % 26)::INT) END AS token FROM lineitem GROUP BY l_orderkey")
+def letters_base26(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i")).distinct().select("i", placeholders.letters(F.col("i")).alias("token"))
+
+
+def _new_values(spark, sf_dir) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    return c.select(F.col("c_mktsegment").alias("project_id"), F.col("c_name").alias("value"), F.concat(F.lit("kind"), F.expr("chr(65 + c_nationkey % 3)")).alias("kind"), F.col("c_custkey").alias("mint_order"))
+
+
+@_query("SELECT c_mktsegment AS project_id, c_name AS value, 'KIND' || chr((65 + c_nationkey % 3)::INT) || row_number() OVER (PARTITION BY c_mktsegment, c_nationkey % 3 ORDER BY c_custkey) AS token FROM customer")
+def mint_per_kind(spark, sf_dir):
+    none = spark.createDataFrame([], "project_id string, token string")
+    return tokens.mint(_new_values(spark, sf_dir), none, "kindNumber").select("project_id", "value", "token")
+
+
+@_query(
+    """
+    WITH taken AS (SELECT DISTINCT c_mktsegment AS p, '$' || (c_custkey % 50 + 1) AS token FROM customer WHERE c_custkey % 3 = 0),
+    n AS (SELECT c_mktsegment AS p, c_name AS value, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer),
+    numbers AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) AS i FROM lineitem),
+    slots AS (SELECT p, token, row_number() OVER (PARTITION BY p ORDER BY i) AS r FROM (SELECT p, i, '$' || i AS token FROM (SELECT DISTINCT c_mktsegment AS p FROM customer), numbers WHERE i <= (SELECT count(*) + 60 FROM customer)) s
+      WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.p = s.p AND t.token = s.token))
+    SELECT n.p AS project_id, value, token FROM n JOIN slots s ON n.p = s.p AND n.r = s.r"""
+)
+def mint_gap_fill(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer")
+    taken = c.filter("c_custkey % 3 = 0").select(F.col("c_mktsegment").alias("project_id"), F.concat(F.lit("$"), (F.col("c_custkey") % 50 + 1).cast("string")).alias("token")).distinct()
+    return tokens.mint(_new_values(spark, sf_dir), taken, "dollarNumber").select("project_id", "value", "token")
+
+
+
+def _variables(spark, sf_dir) -> DataFrame:
+    """The nations have tokens already."""
+    n = _table(spark, sf_dir, "nation")
+    segments = _table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("project_id")).distinct()
+    return n.join(segments, F.col("n_nationkey") < 5).select("project_id", F.col("n_name").alias("value"), F.concat(F.lit("CUSTOM"), (F.col("n_nationkey") + 1).cast("string")).alias("token"), F.lit("custom").alias("kind"), F.col("n_nationkey").cast("long").alias("variable_order"))
+
+
+def _decisions(spark, sf_dir) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    return c.select(F.col("c_mktsegment").alias("project_id"), F.concat(F.lit("NATION_"), (F.col("c_custkey") % 12).cast("string")).alias("value"), F.lit("custom").alias("kind"), (F.col("c_custkey") % 12 != 7).alias("include"), F.col("c_custkey").alias("decision_order"))
+
+
+_PLAN = """
+old AS (SELECT DISTINCT c_mktsegment AS project_id, n_name AS value, 'CUSTOM' || (n_nationkey + 1) AS token FROM customer, nation WHERE n_nationkey < 5),
+fresh AS (SELECT c_mktsegment AS project_id, 'NATION_' || (c_custkey % 12) AS value, min(c_custkey) AS at FROM customer WHERE c_custkey % 12 NOT IN (0, 1, 2, 3, 4, 7) GROUP BY ALL),
+plan AS (SELECT * FROM old UNION ALL SELECT project_id, value, 'CUSTOM' || (5 + row_number() OVER (PARTITION BY project_id ORDER BY at)) FROM fresh)"""
+
+
+@_query(f"WITH {_PLAN} SELECT project_id, value, token FROM plan")
+def mask_plan(spark, sf_dir):
+    return tokens.plan(_decisions(spark, sf_dir), _variables(spark, sf_dir), "kindNumber").select("project_id", "value", "token")
+
+
+def _plan_docs(spark, sf_dir) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    nation = F.concat(F.lit("NATION_"), (F.col("c_custkey") % 12).cast("string"))
+    return c.select(F.col("c_mktsegment").alias("project_id"), F.col("c_custkey").alias("doc_id"), F.concat(F.lit("Från "), nation, F.lit(" och "), nation, F.lit("s kust.")).alias("text"))
+
+
+@_query(f"""WITH {_PLAN} SELECT c_custkey AS doc_id, CASE WHEN token IS NULL THEN 'Från ' || v || ' och ' || v || 's kust.' ELSE 'Från ' || token || ' och ' || token || 's kust.' END AS text
+FROM (SELECT *, 'NATION_' || (c_custkey % 12) AS v FROM customer) LEFT JOIN plan ON project_id = c_mktsegment AND value = v""")
+def mask_documents(spark, sf_dir):
+    plan = tokens.plan(_decisions(spark, sf_dir), _variables(spark, sf_dir), "kindNumber")
+    return tokens.mask(_plan_docs(spark, sf_dir), plan).select("doc_id", "text")
+
+
+@_query("SELECT c_custkey AS doc_id, true AS same FROM customer")
+def unmask_roundtrip(spark, sf_dir):
+    plan = tokens.plan(_decisions(spark, sf_dir), _variables(spark, sf_dir), "bracketKind")
+    docs = _plan_docs(spark, sf_dir)
+    back = tokens.unmask(tokens.mask(docs, plan).drop("n_replaced"), plan).select("doc_id", F.col("text").alias("restored"))
+    return docs.join(back, "doc_id").select("doc_id", (F.col("text") == F.col("restored")).alias("same"))
+
+
+@_query(f"WITH {_PLAN} SELECT DISTINCT c_custkey AS doc_id, token, value FROM customer JOIN plan ON project_id = c_mktsegment AND value = 'NATION_' || (c_custkey % 12)")
+def tokens_present(spark, sf_dir):
+    plan = tokens.plan(_decisions(spark, sf_dir), _variables(spark, sf_dir), "kindNumber")
+    masked = tokens.mask(_plan_docs(spark, sf_dir), plan).drop("n_replaced")
+    return tokens.tokens_present(masked, plan).select("doc_id", "token", "value")
+
+
+@_query(
+    """SELECT DISTINCT c_mktsegment AS project_id, n_name AS value, CASE WHEN n_nationkey % 2 = 0 THEN 'ORG' || (1 + n_nationkey // 2) ELSE 'CUSTOM' || (n_nationkey + 1) END AS token,
+  CASE WHEN n_nationkey % 2 = 0 THEN 'org' ELSE 'custom' END AS kind FROM customer, nation WHERE n_nationkey < 5"""
+)
+def retoken_kind(spark, sf_dir):
+    variables = _variables(spark, sf_dir)
+    changes = variables.filter("variable_order % 2 = 0").select("project_id", "value", F.lit("org").alias("new_kind"))
+    return tokens.retoken(variables, changes, "kindNumber").select("project_id", "value", "token", "kind")
+
+
+@_query("SELECT c_mktsegment AS project_id, string_agg('CUSTOM' || (n_nationkey + 1) || chr(9) || n_name || chr(9) || 'custom', chr(10) ORDER BY n_nationkey) AS tsv FROM (SELECT DISTINCT c_mktsegment FROM customer), nation WHERE n_nationkey < 5 GROUP BY 1")
+def variables_tsv(spark, sf_dir):
+    return tokens.export_tsv(_variables(spark, sf_dir))
+
+
+# --- rules, reviews, kinds --------------------------------------------------------------------------------------
+
+
+@_query("SELECT n_name AS value, CASE WHEN n_nationkey % 3 = 0 THEN 'blacklist' WHEN n_nationkey % 2 = 0 THEN 'whitelist' END AS listing FROM nation")
+def rule_listing(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation")
+    always = n.filter("n_nationkey % 3 = 0").select(F.col("n_name").alias("value"), F.lit("name").alias("kind"))
+    never = n.filter("n_nationkey % 2 = 0").select(F.lower("n_name").alias("value"))
+    return C.rule_listing(n.select(F.col("n_name").alias("value")), always, never)
+
+
+@_query("SELECT n_name AS value, 'always' AS list FROM nation WHERE n_nationkey < 10 AND n_nationkey NOT IN (2, 4) UNION ALL SELECT n_name, 'never' FROM nation WHERE n_nationkey IN (2, 4) OR n_nationkey >= 10")
+def rule_maintenance(spark, sf_dir):
+    """A value is on one list at most: what goes on one comes off the other."""
+    n = _table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("value"), F.lit("name").alias("kind"))
+    always, never = n.filter("n_nationkey < 5").select("value", "kind"), n.filter("n_nationkey >= 5").select("value")
+    always, never = C.add_always(always, never, n.filter("n_nationkey BETWEEN 5 AND 9").select("value", "kind"))
+    always, never = C.add_never(always, never, n.filter("n_nationkey IN (2, 4)").select("value"))
+    return always.select("value", F.lit("always").alias("list")).unionByName(never.select("value", F.lit("never").alias("list")))
+
+
+@_query(
+    """SELECT n_regionkey AS doc_id, n_name AS value, CASE WHEN n_nationkey % 2 = 0 THEN 'old' ELSE 'new' END AS kind, n_nationkey % 4 <> 0 AS include, n_nationkey % 10 = 2 AS manual
+FROM nation WHERE n_nationkey % 3 <> 0 OR n_nationkey % 2 = 0 AND (n_nationkey % 10 = 2 OR n_nationkey % 5 = 0)"""
+)
+def review_merge(spark, sf_dir):
+    """Old decisions stay, new candidates are included, vanished rows stay if typed in or whitelisted."""
+    n = _table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("doc_id"), F.col("n_name").alias("value"), F.col("n_nationkey").cast("long").alias("k"))
+    previous = n.filter("k % 2 = 0").select("doc_id", "value", F.lit("old").alias("kind"), (F.col("k") % 4 != 0).alias("include"), (F.col("k") % 10 == 2).alias("manual"), F.col("k").alias("row_order"))
+    found = n.filter("k % 3 <> 0").select("doc_id", "value", F.lit("new").alias("kind"), F.col("k").alias("candidate_order"))
+    white = n.filter("k % 5 = 0").select(F.lower("value").alias("value"))
+    return C.merge_reviews(previous, found, white).select("doc_id", "value", "kind", "include", "manual")
+
+
+@_query("SELECT n_regionkey AS project_id, n_name AS value FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0 AND n_nationkey % 5 <> 0")
+def rejected_values(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("project_id"), F.col("n_name").alias("value"), F.col("n_nationkey").alias("k"))
+    rows = n.select("project_id", "value", (F.col("k") % 2 != 0).alias("include"))
+    return C.rejected_values(rows, n.filter("k % 3 = 0").select("project_id", "value"), n.filter("k % 5 = 0").select(F.upper("value").alias("value")))
+
+
+@_query("SELECT min(p_partkey) AS id, lower(p_type) AS fold FROM part GROUP BY lower(p_type) UNION ALL SELECT 1000000 + min(s_suppkey), 'nation ' || (s_nationkey % 7) FROM supplier GROUP BY s_nationkey % 7")
+def kinds_merge(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("label"), F.col("p_partkey").alias("kind_order"))
+    s = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1000000).alias("id"), F.concat(F.lit(" Nation  "), (F.col("s_nationkey") % 7).cast("string")).alias("label"), F.col("s_suppkey").alias("kind_order"))
+    again = p.withColumns({"id": F.col("id") + 2000000, "label": F.lower("label")})
+    return kinds.merge_kinds(p, s.unionByName(again)).select("id", kinds.fold_label(F.col("label")).alias("fold"))
+
+
+@_query("SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'empty' WHEN 1 THEN 'unusable' WHEN 2 THEN 'reserved' WHEN 3 THEN 'duplicate' END AS problem FROM nation")
+def kind_problem(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation")
+    label = F.expr("CASE n_nationkey % 5 WHEN 0 THEN '  ' WHEN 1 THEN ' -- ' WHEN 2 THEN ' Phone' WHEN 3 THEN 'case  NO' ELSE concat('x', n_name) END")
+    existing = spark.range(1).select(F.lit("Case No").alias("label"))
+    return kinds.label_problem(n.select("n_nationkey", label.alias("label")), existing).select("n_nationkey", "problem")
+
+
+# --- catalog, search, files, layout --------------------------------------------------------------------------------
+
+
+@_query(
+    """SELECT c_mktsegment AS project_id, 'document' AS hit, c_custkey AS item, 1::BIGINT AS n_matches FROM customer WHERE contains(c_name, '0012')
+UNION ALL SELECT c_mktsegment, 'variable', c_custkey, 1 FROM customer WHERE c_custkey < 200 AND contains(c_name, '0012')"""
+)
+def search_union(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer")
+    projects = c.select(F.col("c_mktsegment").alias("project_id"), F.lower("c_mktsegment").alias("name")).distinct()
+    docs = c.select(F.col("c_mktsegment").alias("project_id"), F.col("c_custkey").alias("doc_id"), F.lit("kund").alias("name"), F.upper("c_name").alias("text"))
+    variables = c.filter("c_custkey < 200").select(F.col("c_mktsegment").alias("project_id"), F.col("c_custkey").alias("variable_order"), F.lit("T").alias("token"), F.col("c_name").alias("value"))
+    return catalog.search(projects, docs, variables, " 0012 ").select("project_id", "hit", "item", "n_matches")
+
+
+@_query("SELECT o_orderkey AS doc_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def vault_sweep(spark, sf_dir):
+    o, c = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    live = o.join(c.filter("c_custkey % 2 = 0"), o["o_custkey"] == c["c_custkey"], "left_semi").select(F.col("o_orderkey").alias("doc_id"))
+    workspaces = spark.range(3).select(F.lit(True).alias("readable"))
+    return catalog.sweep(o.select(F.col("o_orderkey").alias("doc_id")), live, workspaces)
+
+
+@_query(
+    """SELECT n_name AS workspace, CASE WHEN n_nationkey % 6 = 0 THEN 'push' WHEN n_nationkey % 6 = 1 THEN 'unreadable' WHEN n_nationkey % 6 = 2 THEN 'push' WHEN n_nationkey % 6 = 3 THEN 'adopt'
+  WHEN n_nationkey % 6 = 4 THEN 'ask' ELSE 'adopt' END AS action FROM nation"""
+)
+def folder_plan(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation")
+    k = "n_nationkey % 6"
+    folder = n.select(F.col("n_name").alias("workspace"), F.expr(f"CASE {k} WHEN 0 THEN ' ' WHEN 1 THEN 'x{{' ELSE 'doc' END").alias("folder_text"), F.expr(f"CASE {k} WHEN 2 THEN '[]' WHEN 3 THEN '[1]' ELSE '[2]' END").alias("folder_projects"), F.expr(f"{k} > 1").alias("readable"), F.expr(f"{k} <> 5").alias("fresh"))
+    device = n.select(F.col("n_name").alias("workspace"), F.lit("[1]").alias("device_projects"))
+    return catalog.folder_plan(folder, device)
+
+
+@_query("SELECT l_orderkey AS project_id, l_partkey AS state FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC) AS r FROM lineitem WHERE l_linenumber <= 4) WHERE r = 1 AND l_linenumber <> 3")
+def undo_versions(spark, sf_dir):
+    """The state of each project at version 4; version 3 deletes it."""
+    li = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"))
+    versions = li.select(F.col("l_orderkey").alias("project_id"), F.col("l_linenumber").alias("version"), F.col("l_partkey").alias("state"), (F.col("l_linenumber") == 3).alias("deleted"))
+    return catalog.as_of(versions, F.lit(4)).select("project_id", "state")
+
+
+@_query("SELECT n_name AS workspace, CASE n_nationkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'blank' WHEN 2 THEN 'unreadable' ELSE 'newer' END AS status, (CASE WHEN n_nationkey % 4 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_projects FROM nation")
+def stored_workspaces(spark, sf_dir):
+    body = F.expr("""CASE n_nationkey % 4 WHEN 0 THEN concat('{"version":1,"projects":[{"id":"p","name":"', n_name, '"}]}') WHEN 1 THEN ' ' WHEN 2 THEN '{"version":' ELSE '{"version":2,"projects":[]}' END""")
+    df = catalog.parse_stored(_table(spark, sf_dir, "nation").select(F.col("n_name").alias("workspace"), body.alias("body")))
+    return df.select("workspace", "status", F.size("projects").cast("long").alias("n_projects"))
+
+
+@_query("SELECT doc_id, md5(replace(text, chr(10), '|')) AS digest FROM documents")
+def newline_normalise(spark, sf_dir):
+    df = _table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, F.lit("\r\n")).otherwise(F.lit("\r"))).alias("text"))
+    return df.select("doc_id", F.md5(F.replace(T.normalize_newlines(F.col("text")), F.lit("\n"), F.lit("|"))).alias("digest"))
+
+
+@_query("SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'legacy' WHEN 3 THEN 'text' WHEN 4 THEN 'text' WHEN 5 THEN 'pdf' ELSE 'unsupported' END AS format FROM part")
+def format_router(spark, sf_dir):
+    df = _table(spark, sf_dir, "part")
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), F.expr("CASE p_partkey % 7 WHEN 0 THEN '.PDF' WHEN 1 THEN '.DocX' WHEN 2 THEN '.doc' WHEN 3 THEN '.md' WHEN 4 THEN '' WHEN 5 THEN '.bin' ELSE '.exe' END"))
+    mime = F.expr("CASE p_partkey % 7 WHEN 4 THEN 'text/x-log' WHEN 5 THEN 'application/pdf' END")
+    return df.select("p_partkey", files.file_format(name, mime).alias("format"))
+
+
+@_query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN 'document' ELSE p_name END AS stem FROM part")
+def safe_filename(spark, sf_dir):
+    name = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('..', replace(p_name, ' ', '/:'), '.pdf') WHEN 1 THEN '.' ELSE concat(p_name, '.docx') END")
+    return _table(spark, sf_dir, "part").select("p_partkey", T.safe_stem(name).alias("stem"))
+
+
+@_query("SELECT p_partkey, '<!-- ' || replace(p_name, ' ', ' - - ') || ' -->' AS comment, true AS is_comment, replace(p_name, ' ', ' - - ') AS said FROM part")
+def html_comment(spark, sf_dir):
+    comment = T.html_comment(F.concat(F.lit(" \n"), F.replace("p_name", F.lit(" "), F.lit(" --\t"))))
+    df = _table(spark, sf_dir, "part").select("p_partkey", comment.alias("comment"))
+    return df.select("p_partkey", "comment", T.is_comment_line(F.col("comment")).alias("is_comment"), T.comment_text(F.col("comment")).alias("said"))
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    """Pages from the lines of orders: three words a line, a running header on every page."""
+    li = _table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_quantity").alias("q"))
+    line = li.select((F.col("l_orderkey") / 10).cast("long").alias("doc_id"), (F.col("l_orderkey") % 10).cast("int").alias("page"), F.col("l_linenumber").alias("n"), "p", "q")
+    word = lambda k, x, w: line.select("doc_id", "page", (F.col("n") * 10 + k).cast("int").alias("seq"), F.concat(F.lit(f"w{k}"), (F.col("p") % 7).cast("string")).alias("text"), F.lit(float(x)).alias("x"), (700.0 - F.col("n") * F.when(F.col("q") > 45, 20.0).otherwise(14.0)).alias("y"), F.lit(float(w)).alias("width"), F.lit(12.0).alias("height"))
+    head = line.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(0).alias("seq"), F.concat(F.lit("Sida "), F.col("page").cast("string")).alias("text"), F.lit(70.0).alias("x"), F.lit(780.0).alias("y"), F.lit(40.0).alias("width"), F.lit(9.0).alias("height"))
+    rows = head.unionByName(word(1, 70, 20)).unionByName(word(2, 90.5, 20)).unionByName(word(3, 120, 30))
+    return rows.withColumns({"has_eol": F.lit(False), "bold": F.lit(False), "italic": F.lit(False)})
+
+
+_LINES = """
+li AS (SELECT l_orderkey // 10 AS doc_id, (l_orderkey % 10)::INT AS page, l_linenumber AS n, max(l_partkey) AS p, max(l_quantity) AS q FROM lineitem WHERE l_orderkey < 3000 GROUP BY l_orderkey, l_linenumber),
+ys AS (SELECT doc_id, page, n, 'w1' || (p % 7) || 'w2' || (p % 7) || ' w3' || (p % 7) AS text, 700.0::DOUBLE - n * CASE WHEN q > 45 THEN 20.0 ELSE 14.0 END::DOUBLE AS y FROM li),
+rows_ AS (SELECT DISTINCT doc_id, page, 0 AS n, 'Sida ' || page AS text, 780.0::DOUBLE AS y FROM li UNION ALL SELECT * FROM ys)"""
+
+
+@_query(
+    f"""
+    WITH {_LINES}, marked AS (
+      SELECT *, CASE WHEN y = lag(y) OVER w THEN 0 ELSE 1 END AS new FROM rows_ WINDOW w AS (PARTITION BY doc_id, page ORDER BY n)
+    ), grouped AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY n) AS g FROM marked)
+    SELECT doc_id::BIGINT AS doc_id, page, string_agg(text, '' ORDER BY n) AS text, min(y) AS y FROM grouped GROUP BY doc_id, page, g"""
+)
+def line_grouping(spark, sf_dir):
+    return layout.lines(_runs(spark, sf_dir)).select("doc_id", "page", "text", "y")
+
+
+
+@_query(f"""WITH {_LINES}, seen AS (SELECT doc_id, count(*) AS pages FROM rows_ WHERE n = 0 GROUP BY doc_id)
+SELECT r.doc_id::BIGINT AS doc_id, page, 'head' AS furniture FROM rows_ r JOIN seen s ON r.doc_id = s.doc_id WHERE n = 0 AND pages >= 3""")
+def furniture_lines(spark, sf_dir):
+    rows = layout.furniture(layout.lines(_runs(spark, sf_dir)))
+    return rows.filter("furniture IS NOT NULL AND text LIKE 'Sida%'").select("doc_id", "page", "furniture")
+
+
+@_query("SELECT l_orderkey AS doc_id, min_by(least_left, (-n, b)) AS common_left FROM (SELECT l_orderkey, floor(l_extendedprice / 100 + 0.5) AS b, count(*) AS n, min(l_extendedprice / 100) AS least_left FROM lineitem GROUP BY ALL) GROUP BY 1")
+def common_left(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_extendedprice") / 100).alias("left"))
+    return layout.common_left(rows, ("doc_id",))
+
+
+@_query("SELECT l_orderkey AS doc_id, min_by(h, (-n, h)) AS body_height FROM (SELECT l_orderkey, floor((l_quantity % 5 + 0.3) * 2 + 0.5) / 2 AS h, sum(length(l_returnflag) + l_linenumber) AS n FROM lineitem GROUP BY ALL) GROUP BY 1")
+def body_height(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_quantity") % 5 + 0.3).alias("height"), F.expr("repeat('x', 1 + l_linenumber)").alias("text"))
+    return layout.body_height(rows)
+
+
+@_query(
+    """WITH d AS (SELECT l_orderkey, y, lag(y) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - y AS d FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS y FROM lineitem GROUP BY ALL)),
+b AS (SELECT l_orderkey, floor(d / 2 + 0.5) AS b, count(*) AS n, median(d) AS m FROM d WHERE d > 0 GROUP BY ALL),
+best AS (SELECT l_orderkey, min_by(m, (-n, b)) AS m, sum(n) AS n FROM b GROUP BY 1)
+SELECT o.l_orderkey AS doc_id, CASE WHEN n >= 3 THEN m ELSE 1.6 * 10 END::DOUBLE AS pitch FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN best USING (l_orderkey)"""
+)
+def pitch_mode(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_no")).agg(F.max("l_quantity").alias("y")).withColumn("height", F.lit(10.0))
+    return layout.pitch(rows, ("doc_id",))
+
+
+@_query()
+def layout_markdown(spark, sf_dir):
+    return layout.markdown(_runs(spark, sf_dir))
+
+
+@_query(
+    r"""WITH names AS (SELECT upper(substr(w, 1, 1)) || substr(w, 2) AS name, w, count(*) * 40 AS bearers FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY ALL),
+words AS (SELECT DISTINCT w FROM names WHERE length(w) = 4)
+SELECT name AS term, CASE WHEN w IN (SELECT w FROM words) THEN 'given_wordlike' ELSE 'given' END AS class FROM names WHERE bearers >= 100
+UNION ALL SELECT name || 'berg', 'surname' FROM names WHERE bearers >= 100
+UNION ALL SELECT regexp_replace(n_name, 'NATION_', 'Ort'), 'locality' FROM nation"""
+)
+def dictionary_etl(spark, sf_dir):
+    w = _table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w"))
+    counted = w.groupBy("w").agg((F.count("*") * 40).alias("n"))
+    given = dictionaries.parse_counts(counted.select(F.concat(F.initcap("w"), F.lit(","), F.col("n").cast("string")).alias("value")))
+    surnames = counted.select(F.concat(F.initcap("w"), F.lit("berg")).alias("name"), F.col("n").alias("bearers"))
+    places = _table(spark, sf_dir, "nation").select(F.regexp_replace("n_name", "NATION_", "ort").alias("name"), F.col("n_nationkey").alias("place_rank"))
+    words = counted.filter("length(w) = 4").select(F.col("w").alias("word")).unionByName(counted.select(F.concat("w", F.lit("berg")).alias("word")))
+    return dictionaries.build(given, surnames, places, words)
