@@ -118,9 +118,9 @@ _NO_VARIABLES = "project_id string, value string, token string, kind string, var
 
 @_query(
     f"""WITH {_EMAILS}, firsts AS (
-  SELECT d.source, e.value, min({{'d': e.doc_id, 's': e.start}}) AS at FROM emails e JOIN documents d USING (doc_id) GROUP BY ALL
+  SELECT d.source, e.value, min({{'d': e.doc_id, 's': e.start}}) AS first_at FROM emails e JOIN documents d USING (doc_id) GROUP BY ALL
 ), variables AS (
-  SELECT source, value, 'EMAIL' || row_number() OVER (PARTITION BY source ORDER BY at, value) AS token FROM firsts
+  SELECT source, value, 'EMAIL' || row_number() OVER (PARTITION BY source ORDER BY first_at, value) AS token FROM firsts
 ), per_doc AS (
   SELECT e.doc_id, count(*)::BIGINT AS n_replaced FROM emails e GROUP BY 1
 ), pairs AS (
@@ -520,8 +520,8 @@ def _decisions(spark, sf_dir) -> DataFrame:
 
 _PLAN = """
 old AS (SELECT DISTINCT c_mktsegment AS project_id, n_name AS value, 'CUSTOM' || (n_nationkey + 1) AS token FROM customer, nation WHERE n_nationkey < 5),
-fresh AS (SELECT c_mktsegment AS project_id, 'NATION_' || (c_custkey % 12) AS value, min(c_custkey) AS at FROM customer WHERE c_custkey % 12 NOT IN (0, 1, 2, 3, 4, 7) GROUP BY ALL),
-plan AS (SELECT * FROM old UNION ALL SELECT project_id, value, 'CUSTOM' || (5 + row_number() OVER (PARTITION BY project_id ORDER BY at)) FROM fresh)"""
+fresh AS (SELECT c_mktsegment AS project_id, 'NATION_' || (c_custkey % 12) AS value, min(c_custkey) AS first_at FROM customer WHERE c_custkey % 12 NOT IN (0, 1, 2, 3, 4, 7) GROUP BY ALL),
+plan AS (SELECT * FROM old UNION ALL SELECT project_id, value, 'CUSTOM' || (5 + row_number() OVER (PARTITION BY project_id ORDER BY first_at)) FROM fresh)"""
 
 
 @_query(f"WITH {_PLAN} SELECT project_id, value, token FROM plan")
@@ -710,7 +710,7 @@ def _runs(spark, sf_dir) -> DataFrame:
     """Pages from the lines of orders: three words a line, a running header on every page."""
     li = _table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_quantity").alias("q"))
     line = li.select((F.col("l_orderkey") / 10).cast("long").alias("doc_id"), (F.col("l_orderkey") % 10).cast("int").alias("page"), F.col("l_linenumber").alias("n"), "p", "q")
-    word = lambda k, x, w: line.select("doc_id", "page", (F.col("n") * 10 + k).cast("int").alias("seq"), F.concat(F.lit(f"w{k}"), (F.col("p") % 7).cast("string")).alias("text"), F.lit(float(x)).alias("x"), (700.0 - F.col("n") * F.when(F.col("q") > 45, 20.0).otherwise(14.0)).alias("y"), F.lit(float(w)).alias("width"), F.lit(12.0).alias("height"))
+    word = lambda k, x, w: line.select("doc_id", "page", (F.col("n") * 10 + k).cast("int").alias("seq"), F.concat(F.lit(f"w{k}"), (F.col("p") % 7).cast("string")).alias("text"), F.lit(float(x)).alias("x"), (700.0 - F.col("n") * F.when(F.col("q") > 45, 21.0).otherwise(14.0)).alias("y"), F.lit(float(w)).alias("width"), F.lit(12.0).alias("height"))
     head = line.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(0).alias("seq"), F.concat(F.lit("Sida "), F.col("page").cast("string")).alias("text"), F.lit(70.0).alias("x"), F.lit(780.0).alias("y"), F.lit(40.0).alias("width"), F.lit(9.0).alias("height"))
     rows = head.unionByName(word(1, 70, 20)).unionByName(word(2, 90.5, 20)).unionByName(word(3, 120, 30))
     return rows.withColumns({"has_eol": F.lit(False), "bold": F.lit(False), "italic": F.lit(False)})
@@ -718,7 +718,7 @@ def _runs(spark, sf_dir) -> DataFrame:
 
 _LINES = """
 li AS (SELECT l_orderkey // 10 AS doc_id, (l_orderkey % 10)::INT AS page, l_linenumber AS n, max(l_partkey) AS p, max(l_quantity) AS q FROM lineitem WHERE l_orderkey < 3000 GROUP BY l_orderkey, l_linenumber),
-ys AS (SELECT doc_id, page, n, 'w1' || (p % 7) || 'w2' || (p % 7) || ' w3' || (p % 7) AS text, 700.0::DOUBLE - n * CASE WHEN q > 45 THEN 20.0 ELSE 14.0 END::DOUBLE AS y FROM li),
+ys AS (SELECT doc_id, page, n, 'w1' || (p % 7) || 'w2' || (p % 7) || ' w3' || (p % 7) AS text, 700.0::DOUBLE - n * CASE WHEN q > 45 THEN 21.0 ELSE 14.0 END::DOUBLE AS y FROM li),
 rows_ AS (SELECT DISTINCT doc_id, page, 0 AS n, 'Sida ' || page AS text, 780.0::DOUBLE AS y FROM li UNION ALL SELECT * FROM ys)"""
 
 
@@ -727,7 +727,7 @@ rows_ AS (SELECT DISTINCT doc_id, page, 0 AS n, 'Sida ' || page AS text, 780.0::
     WITH {_LINES}, marked AS (
       SELECT *, CASE WHEN y = lag(y) OVER w THEN 0 ELSE 1 END AS new FROM rows_ WINDOW w AS (PARTITION BY doc_id, page ORDER BY n)
     ), grouped AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY n) AS g FROM marked)
-    SELECT doc_id::BIGINT AS doc_id, page, string_agg(text, '' ORDER BY n) AS text, min(y) AS y FROM grouped GROUP BY doc_id, page, g"""
+    SELECT doc_id::BIGINT AS doc_id, page, string_agg(CASE WHEN new = 1 THEN text ELSE replace(text, ' ', '') END, '' ORDER BY n) AS text, min(y) AS y FROM grouped GROUP BY doc_id, page, g"""
 )
 def line_grouping(spark, sf_dir):
     return layout.lines(_runs(spark, sf_dir)).select("doc_id", "page", "text", "y")

@@ -126,7 +126,7 @@ def extract(files: DataFrame) -> DataFrame:
     rows = files.select("name", "content").mapInPandas(_rows, _ROWS)
     shape = "array<array<string>>"
     styles = rows.filter("kind = 'style'").select(
-        "name", F.col("style").alias("_style"), F.col("part").alias("_type"), F.col("num").alias("_snum"), F.col("depth").alias("_sdepth"), F.from_json("runs", "array<boolean>").alias("_face"),
+        F.col("name").alias("_sname"), F.col("style").alias("_style"), F.col("part").alias("_type"), F.col("num").alias("_snum"), F.col("depth").alias("_sdepth"), F.from_json("runs", "array<boolean>").alias("_face"),
         F.coalesce(
             F.nullif(F.regexp_extract("a", r"(?i)^heading[\s_-]*([1-9])$", 1), F.lit("")), F.nullif(F.regexp_extract("style", r"(?i)^heading[\s_-]*([1-9])$", 1), F.lit("")),
             F.when(F.rlike("a", F.lit("(?i)^title$")), "1"), F.when(F.rlike("a", F.lit("(?i)^subtitle$")), "2"),
@@ -138,7 +138,7 @@ def extract(files: DataFrame) -> DataFrame:
     # Faces: direct formatting before the run's style; adjacent runs of one face are one.
     runs = pars.select("name", "seq", F.posexplode("_runs").alias("_at", "_r"))
     runs = runs.select("name", "seq", "_at", F.get("_r", 0).alias("text"), F.get("_r", 1).alias("_b"), F.get("_r", 2).alias("_i"), F.get("_r", 3).alias("_rs"))
-    faces = styles.filter("_type = 'character'").select("name", F.col("_style").alias("_rs"), "_face")
+    faces = styles.filter("_type = 'character'").select(F.col("_sname").alias("name"), F.col("_style").alias("_rs"), "_face")
     runs = runs.join(faces, ["name", "_rs"], "left")
     face = lambda c, k: F.coalesce(F.col(c).cast("boolean"), F.get("_face", k), F.lit(False))
     ordered = F.sort_array(F.collect_list(F.struct("_at", "text", face("_b", 0).alias("bold"), face("_i", 1).alias("italic"))))
@@ -158,13 +158,14 @@ def extract(files: DataFrame) -> DataFrame:
     inked = lambda c: F.filter(c, lambda r: F.trim(F.regexp_replace(r["text"], r"\s", "")) != "")
     whole = pars.filter("part = 'body'").groupBy("name").agg(F.flatten(F.collect_list(inked("_s"))).alias("_ink"))
     whole = whole.select("name", (~((F.size("_ink") > 0) & F.forall("_ink", lambda r: r["bold"]))).alias("_emphatic"))
-    pars = pars.join(styles.filter("_type <> 'character'"), (pars["name"] == styles["name"]) & (pars["style"] == styles["_style"]), "left").drop(styles["name"])
+    pars = pars.join(styles.filter("_type <> 'character'"), (F.col("name") == F.col("_sname")) & (F.col("style") == F.col("_style")), "left")
     pars = pars.join(whole, "name", "left").withColumn("_emphatic", F.coalesce("_emphatic", F.lit(True)))
     pars = pars.withColumns({"_num": F.coalesce("num", "_snum"), "_depth": F.when(F.col("num").isNotNull(), F.col("depth")).otherwise(F.col("_sdepth"))})
-    pars = pars.join(formats, (pars["name"] == formats["name"]) & (pars["_num"] == formats["_fnum"]) & (pars["_depth"] == formats["_fdepth"]), "left").drop(formats["name"])
+    formats = formats.withColumnRenamed("name", "_fname")
+    pars = pars.join(formats, (F.col("name") == F.col("_fname")) & (F.col("_num") == F.col("_fnum")) & (F.col("_depth") == F.col("_fdepth")), "left")
     listed = F.col("_num").isNotNull() & (F.col("_num") != "0")
     marker = F.when(F.coalesce("_format", F.lit("bullet")) == "bullet", "- ").otherwise("1. ")
-    level = F.when(listed, 0).otherwise(F.coalesce("_level", F.least(F.col("outline") + 1, F.lit(6)), F.lit(0)))
+    level = F.when(listed, 0).otherwise(F.coalesce("_level", F.when(F.col("outline").isNotNull(), F.least(F.col("outline") + 1, F.lit(6))), F.lit(0)))
     body = F.trim(F.array_join(F.transform("_s", lambda r: _emphasised(r, F.col("_emphatic"))), ""))
     one_line = lambda c: F.regexp_replace(c, r"\s*\n\s*", " ")
     block = (
