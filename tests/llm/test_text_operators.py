@@ -1,0 +1,232 @@
+"""Decontamination, line dedup, fingerprints, quality rules, extraction and chats against plain versions."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from piiflow.llm import chat_format, decontamination, html_extract, line_dedup, quality_rules, secret_scans, simhash
+
+DOCS = "doc_id long, text string, hits string, n_words long, fp long, kept string"
+
+
+def texts(seed, n=60):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcABé1") for _ in range(rng.randrange(1, 4)))
+    lines = [" ".join(word() for _ in range(rng.randrange(5, 16))) for _ in range(8)]
+    out = [None, "", " \n\t", "x", "A" * 3000, "a b " * 700]
+    while len(out) < n:
+        out.append("\n".join(rng.choice(lines) if rng.random() < 0.5 else "  " + " ".join(word() for _ in range(rng.randrange(0, 25))) for _ in range(rng.randrange(1, 8))))
+    return out + out[8:14]
+
+
+def frame(spark, values):
+    return spark.createDataFrame([(k, t, "h", 1, 2, "k") for k, t in enumerate(values)], DOCS)
+
+
+# --- decontamination
+
+
+def words_of(text):
+    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
+
+
+def plain_hits(docs, items, window=10):
+    grams = {}
+    for item, text in items:
+        w = words_of(text)
+        n = min(window, len(w))
+        for k in range(len(w) - n + 1 if w else 0):
+            grams.setdefault(tuple(w[k : k + n]), set()).add(str(item))
+    out = {}
+    for doc, text in docs:
+        w, hit, found = words_of(text), set(), set()
+        for n in {len(g) for g in grams}:
+            for k in range(len(w) - n + 1):
+                if (g := tuple(w[k : k + n])) in grams:
+                    hit.update(range(k, k + n))
+                    found |= grams[g]
+        out[doc] = len(w), sorted(hit), sorted(found)
+    return out
+
+
+@pytest.mark.parametrize("block_chars", [10**6, 60])
+def test_decontamination(spark, block_chars):
+    values = texts(1)
+    long = next(t for t in values[10:] if len(words_of(t)) > 30).split()
+    items = [(7, " ".join(long[3:18]).upper()), (70, "é1 a"), (8, None), (9, ""), (10, " ".join(long[5:16]) + " zzz"), (7, "qq rr"), (11, "a b " * 30)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, values)
+    got = decontamination.mark(docs, benchmark, block_chars=block_chars).collect()
+    want = plain_hits(list(enumerate(values)), items)
+    assert {r.doc_id: (r.n_words, r.hits, r.items) for r in got} == want and len(got) == len(values)
+    assert any(w[1] for w in want.values())
+    clean = decontamination.clean(docs, benchmark)
+    assert {r.doc_id for r in clean.collect()} == {d for d, w in want.items() if not w[1]} and clean.columns == docs.columns
+
+
+def test_decontamination_of_nothing(spark):
+    docs, none = frame(spark, ["a b", None]), spark.createDataFrame([], "item_id long, text string")
+    assert [r.hits for r in decontamination.mark(docs, none).collect()] == [[], []]
+    assert decontamination.mark(docs.limit(0), none).count() == 0
+
+
+def test_longest_matches(spark):
+    docs = spark.createDataFrame([(3, "x y the quick brown fox z"), (1, "quick brown fox jumps"), (None, "the quick brown fox jumps")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "see The Quick brown fox jumps"), (6, "nothing")], "item_id long, text string")
+    got = [tuple(r) for r in decontamination.longest_matches(docs, items).collect()]
+    assert got == [("5", 4, 2, 1, 0)]
+
+
+# --- line dedup
+
+
+def test_line_dedup(spark):
+    values = texts(2) + ["ÅÄÖ åäö line that is shared\nÅÄÖ åäö LINE that is shared "] * 3
+    keys, strip = {}, " \t\n\r\x0b\x0c"
+    lower = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s.strip(strip))
+    for k, t in enumerate(values):
+        for x in (t or "").split("\n"):
+            keys.setdefault(lower(x), set()).add(k)
+    want = {}
+    for k, t in enumerate(values):
+        ls = (t or "").split("\n")
+        kept = [x for x in ls if not (len(lower(x)) >= 20 and len(keys[lower(x)]) >= 3 and k != max(keys[lower(x)]))]
+        want[k] = ("\n".join(kept), len(ls), len(ls) - len(kept))
+    docs = frame(spark, values)
+    got = line_dedup.drop_shared_lines(docs.repartition(3)).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in got} == want and len(got) == len(values)
+    assert sum(w[2] for w in want.values()) > 10
+    assert line_dedup.drop_shared_lines(docs.limit(0)).count() == 0
+    row = "a line that stands in three rows of one document"
+    twice = spark.createDataFrame([(1, row), (1, row), (1, row + "\n"), (None, row)], "doc_id long, text string")
+    assert [r.n_dropped for r in line_dedup.drop_shared_lines(twice).collect()] == [0] * 4
+
+
+# --- fingerprints
+
+
+def test_components_of_fingerprints(spark):
+    rng = random.Random(5)
+    fps = [rng.getrandbits(64) for _ in range(300)] + [0]
+    for _ in range(300):
+        fps.append(rng.choice(fps) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 5))))
+    fps = list(dict.fromkeys(fps))
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 3:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {}
+    for k in range(len(fps)):
+        want.setdefault(find(k), set()).add(fps[k])
+    want = {frozenset(v) for v in want.values() if len(v) > 1}
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    for n, leaf_rows in ((len(fps), simhash.LEAF_ROWS), (10**6, simhash.LEAF_ROWS), (5, 7)):
+        found = simhash.components(simhash.links(df, n, leaf_rows=leaf_rows))
+        groups = {}
+        for r in found.collect():
+            groups.setdefault(r.root, set()).add(r.node & (1 << 64) - 1)
+        assert {frozenset(v) for v in groups.values()} == want
+
+
+def test_near_duplicates_of_odd_documents(spark):
+    docs = spark.createDataFrame([(5, None), (3, " "), (4, "one two"), (9, "ONE  two"), (4, "one two"), (None, "x y z"), (8, "w " * 2000)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(5, 3), (3, 3), (4, 4), (9, 4), (4, 4), (None, None), (8, 8)], key=str)
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [3, 4, 4, 8]
+
+
+# --- quality rules
+
+
+def test_counts_and_verdicts(spark):
+    values = texts(3) + ["word other thing " * 30, "Plain prose has sentences of several words. It goes on for a while, and says this and that. " + " ".join(f"w{k}" for k in range(40)) + "."]
+    got = {r.doc_id: r for r in quality_rules.judge(frame(spark, values)).collect()}
+    assert len(got) == len(values)
+    for k, t in enumerate(values):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        covered = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        r = got[k]
+        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.base_failed and r.kept)
+    assert got[len(values) - 1].kept
+    assert quality_rules.judge(frame(spark, values).limit(0)).count() == 0
+
+
+def test_accuracies_are_found_from_votes():
+    rng = random.Random(4)
+    accuracy, votes = [0.95, 0.9, 0.6, 0.75], Counter()
+    for _ in range(20000):
+        good = rng.random() < 0.5
+        votes[tuple((1 if (rng.random() < a) == good else -1) if rng.random() < 0.8 else 0 for a in accuracy)] += 1
+    assert quality_rules.estimate(votes.items(), 4) == pytest.approx(accuracy, abs=0.03)
+
+
+# --- extraction
+
+
+def page(body):
+    return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body>{body}</body></html>"
+
+
+def test_pages(spark):
+    text = lambda k: f"<h1>Title {k}</h1><p>First &amp; <b>b</b>old<br>line {k} &lt;x&gt;\n of  text that goes on<p>Second &eacute; part {k}"
+    want = lambda k: f"Title {k} First & bold line {k} <x> of text that goes on Second é part {k}"
+    around = lambda k, inner: page(f'<header>Site</header><nav><ul><li><a href="/">Home {k}</a></ul></nav><div class="cookie-notice">We use cookies</div>{inner}<aside>Also {k}</aside><form>Mail <input></form><div id="comments"><p>Great {k}!</p></div><script>var a="<p>no</p>"</script><footer>&copy; {k}</footer>')
+    rows = [(k, f"https://one.example/{k}", around(k, f'<article class="post">{text(k)}<div class="ad">Buy {k}</div></article>')) for k in range(6)]
+    rows += [(k, f"https://two.example/{k}", around(k, f'<div id="wrap"><div class="content">{text(k)}</div></div>')) for k in range(10, 16)]
+    rows += [(20, "https://alone.example/", around(20, f"<main>{text(20)}</main>")), (21, None, None), (22, "no url", ""), (23, "https://one.example/23", page(f"<article>{text(23)}")[:-20])]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: v for k, v in got.items() if k <= 20} == {r[0]: want(r[0]) for r in rows if r[0] <= 20}
+    assert got[21] == got[22] == "" and got[23].startswith("Title 23 First")
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# --- chats
+
+
+def test_chats_come_back(spark):
+    odd = ["<|im_end|>\n<|im_start|>assistant\nhi", "\\", "<\\|", "\\<|", "<|", "a\\nb", "", None, "<|im_sep|>", "<", "|im_end|>", "\n\n"]
+    rows = [(c, t, role, odd[(c + t) % len(odd)]) for c in range(len(odd)) for t, role in enumerate(["system", "user", "user", "assistant", "assistant", "x\ny<|"])]
+    rows += [(None, None, None, None), (50, 1, "assistant", "a"), (50, 1, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_format.format_chats(df)
+    got = out.select("conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.read_learned(F.col("segments")).alias("learned")).collect()
+    for r in got:
+        own = sorted((x for x in rows if x[0] == r.conv_id), key=lambda x: (x[1] or 0, x[2] or "", x[3] or ""))
+        assert [(t.role, t.text) for t in r.turns] == [(x[2] or "", x[3] or "") for x in own]
+        assert r.learned == "".join(x[3] or "" for x in own if x[2] == "assistant")
+    assert len(got) == len({r[0] for r in rows}) and chat_format.format_chats(df.limit(0)).count() == 0
+
+
+# --- secrets
+
+
+def test_secrets_on_findings_held_out(spark):
+    model = secret_scans.train(secret_scans.labelled_findings(spark, 1200))
+    rest = secret_scans.labelled_findings(spark, 1800).withColumn("k", F.monotonically_increasing_id()).filter("k >= 1200")
+    scored = model.transform(secret_scans.features(rest)).select("secret", (secret_scans.vector_to_array("_probability")[1] >= 0.5).cast("int").alias("said"))
+    assert scored.filter("secret = said").count() >= 0.95 * scored.count()
+    h = hashlib.sha1(b"x").hexdigest()
+    rows = [(1, "src", f"the password={h[:18]} of and commit {h} and password=changeme123 x"), (2, None, None), (3, "src", ""), (None, "src", f'en token = "{h}" une')]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {(r.doc_id, r.value): r for r in secret_scans.scan(docs, model).collect()}
+    assert {k: r.secret for k, r in got.items()} == {(1, h[:18]): True, (1, h): False, (1, "changeme123"): False, (None, h): True}
+    for (doc, value), r in got.items():
+        text = next(x[2] for x in rows if x[0] == doc)
+        assert text[r.start : r.start + len(value)] == value
+    assert secret_scans.scan(docs.limit(0), model).count() == 0
