@@ -8,13 +8,13 @@ A suffix array of the whole corpus is never in one place. Its suffixes are dealt
    runs are shuffled, and only those whose hash comes up elsewhere, or twice in itself, go on; where a
    task sees a hash twice itself, one run of it stands for the others in the shuffle.
 2. Segments. The bytes under the runs that are left are cut out, once for each text: exact copies of a
-   document beyond the first are removed whole. Equal segments are reduced to their first place.
+   document beyond the first are removed whole. Of equal segments in a batch only the first goes on.
 3. Refinement. A shard puts the suffixes of its segments into buckets by their first 8 bytes; each round
    refines a bucket by the bucket identifiers that its suffixes have 8, 16 and 32 bytes further on,
    as the last round left them. Buckets of one suffix are final. Windows whose suffixes share the bucket
    for 64 bytes, and whose suffixes 36 bytes on do, are equal.
-4. Where one hash has over HOT_SEGMENTS different segments, no task gets them all: their windows go out
-   one by one, keyed by 128-bit hashes of their bytes, and are reduced to their first place.
+4. Where one hash has over HOT_SEGMENTS runs, no task gets them all: their windows go out one by one,
+   keyed by 128-bit hashes, and of equal windows in a batch only the first.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piiflow.llm.common import spread
+from piiflow.llm.common import spread, written
 
 LENGTH = 100
 GRAM = 32
-HOT_SEGMENTS = 20_000
+HOT_SEGMENTS = 5_000
 SHARD_BYTES = 2_000_000
 _BYTE = np.random.default_rng(11).integers(1, 2**63, 256, np.uint64)
 #: Odd multipliers for grams of 2, 4, ... 32 bytes.
@@ -176,32 +176,56 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-_SEGMENTS = "m long, h1 long, h2 long, doc long, t long, start int, n int, data binary"
+_GONE, _SEGMENT, _WINDOW = 0, 1, 2
+_SEGMENTS = "kind int, key long, h1 long, h2 long, doc long, t long, start int, n int, data binary"
 
 
 def _segments(length: int):
+    """What the shards need: ranges that are known to go, segments, and windows of hot runs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             rows: list[tuple] = []
+            first: dict[bytes, tuple] = {}
+
+            def add(kind: int, key: int | None, piece: bytes, doc: int, t: int, start: int, n: int) -> None:
+                digest = xxhash.xxh3_128_digest(piece)
+                h1, h2 = np.frombuffer(digest, np.int64).tolist()
+                own = (doc, t, start, n, kind, h1 if key is None else key, h1, h2, piece if kind == _SEGMENT else None)
+                known = first.setdefault(digest, own)
+                if known[:3] == own[:3]:
+                    return
+                # One of the two starts earlier; the other goes, wherever else the bytes occur.
+                gone = max(known, own, key=lambda x: x[:3])
+                if gone is known:
+                    first[digest] = own
+                rows.append((_GONE, gone[0] ^ gone[1] ^ gone[2], 0, 0, *gone[:4], None))
+
+            def done() -> pa.RecordBatch:
+                kinds = [pa.int32()] + [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
+                names = [c.split()[0] for c in _SEGMENTS.split(", ")]
+                out = rows + [(kind, key, h1, h2, doc, t, start, n, data) for doc, t, start, n, kind, key, h1, h2, data in first.values()]
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
             for doc, t, text, runs in zip(*(batch[c] for c in ("doc", "t", "text", "runs"))):
-                data, doc, t = text.as_buffer(), doc.as_py(), t.as_py()
-                view = memoryview(data)
+                view, doc, t = memoryview(text.as_buffer()), doc.as_py(), t.as_py()
                 for r in runs.as_py():
-                    piece = bytes(view[r["start"] : r["start"] + r["n"] + length - 1])
-                    digest = np.frombuffer(xxhash.xxh3_128_digest(piece), np.int64)
-                    rows.append((r["m"], int(digest[0]), int(digest[1]), doc, t, r["start"], r["n"], piece))
-                if len(rows) > 20_000:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
-        names = [c.split()[0] for c in _SEGMENTS.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    start, n = r["start"], r["n"]
+                    if not r["hot"]:
+                        add(_SEGMENT, r["m"], bytes(view[start : start + n + length - 1]), doc, t, start, n)
+                        continue
+                    for a in range(start, start + n):
+                        add(_WINDOW, None, bytes(view[a : a + length]), doc, t, a, 1)
+                        if len(first) > 200_000:
+                            yield done()
+                            rows, first = [], {}
+                if len(first) > 20_000:
+                    yield done()
+                    rows, first = [], {}
+            if first:
+                yield done()
 
     return run
 
@@ -235,13 +259,36 @@ def refine(data: np.ndarray, upto: int = 64) -> np.ndarray:
     return bucket[: len(data)]
 
 
-def _repeats(length: int):
+def _earlier(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by m: of each segment the windows that occur earlier, as ranges (from, to)."""
-
-        def spans(x: pa.Table) -> pa.RecordBatch:
-            doc, t, start, n = (x[c].to_numpy().astype(np.int64) for c in ("doc", "t", "start", "n"))
-            parts = [bytes(p.as_buffer()) for p in x["data"]]
+        """Sorted by kind and key: the windows from a to b of a document that occur earlier."""
+
+        def equal_ones(x: dict) -> tuple[np.ndarray, np.ndarray]:
+            """The first place of each content, and all other places."""
+            by = np.lexsort((x["start"], x["t"], x["doc"], x["h2"], x["h1"]))
+            new = np.concatenate(([True], (x["h1"][by[1:]] != x["h1"][by[:-1]]) | (x["h2"][by[1:]] != x["h2"][by[:-1]])))
+            lead = by[new][np.cumsum(new) - 1]
+            later = (x["doc"][by] != x["doc"][lead]) | (x["t"][by] != x["t"][lead]) | (x["start"][by] != x["start"][lead])
+            return by[new], by[later]
+
+        def ranges(table: pa.Table) -> pa.RecordBatch:
+            kind = table["kind"].to_numpy()
+            out: list[tuple] = []
+            for k in np.unique(kind):
+                part = table.filter(pa.array(kind == k))
+                x = {c: part[c].to_numpy().astype(np.int64) for c in ("h1", "h2", "doc", "t", "start", "n")}
+                gone = np.arange(len(x["n"]))
+                if k != _GONE:
+                    first, gone = equal_ones(x)
+                out.append((x["doc"][gone], x["t"][gone], x["start"][gone], x["start"][gone] + x["n"][gone]))
+                if k == _SEGMENT:
+                    data = part["data"].combine_chunks()
+                    out.append(repeats([bytes(data[int(f)].as_buffer()) for f in first], *(x[c][first] for c in ("doc", "t", "start", "n"))))
+            columns = [np.concatenate(c) for c in zip(*out)]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3].astype(np.int32))], ["doc", "t", "a", "b"])
+
+        def repeats(parts: list[bytes], doc, t, start, n) -> tuple:
+            """Of different segments, the windows that occur in an earlier one, or before in the same."""
             base = np.concatenate(([0], np.cumsum([len(p) for p in parts])))[:-1]
             bucket = refine(np.frombuffer(b"".join(parts), np.uint8))
             segment = np.repeat(np.arange(len(n)), n)
@@ -249,52 +296,33 @@ def _repeats(length: int):
             place = base[segment] + offset
             head, tail = bucket[place], bucket[place + length - 64]
             order = np.lexsort((start[segment] + offset, t[segment], doc[segment], tail, head))
-            again = np.zeros(len(order), bool)
+            again = np.zeros(len(order) + 1, bool)
             again[order[1:]] = (head[order[1:]] == head[order[:-1]]) & (tail[order[1:]] == tail[order[:-1]])
-            edge = np.diff(np.concatenate(([False], again, [False])).astype(np.int8))
-            cut = np.cumsum(n)[:-1]  # runs of windows end with their segment
-            begin = np.flatnonzero((edge[:-1] == 1) | (again & np.isin(np.arange(len(again)), cut)))
-            lengths = np.diff(np.concatenate((begin, [len(again)])))
-            total = np.concatenate(([0], np.cumsum(again)))
-            lengths = total[begin + lengths] - total[begin]
-            lists = [[] for _ in n]
-            for s, a, k in zip(segment[begin].tolist(), offset[begin].tolist(), lengths.tolist()):
-                lists[s] += (a, a + k)
-            return pa.RecordBatch.from_arrays([x["h1"].combine_chunks(), x["h2"].combine_chunks(), pa.array(doc), pa.array(t), pa.array(start.astype(np.int32)), pa.array(lists, pa.list_(pa.int32()))], ["h1", "h2", "doc", "t", "start", "spans"])
+            # Ranges of such windows end with their segment.
+            opens = again[:-1] & (~np.concatenate(([False], again[:-2])) | (offset == 0))
+            closes = again[:-1] & (~again[1:] | (offset == n[segment] - 1))
+            a, b = np.flatnonzero(opens), np.flatnonzero(closes)
+            s = segment[a]
+            return doc[s], t[s], start[s] + offset[a], start[s] + offset[b] + 1
 
         held, size = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            size += batch["data"].nbytes
+            size += batch.nbytes
             if size < SHARD_BYTES:
                 continue
             whole = pa.Table.from_batches(held)
-            m = whole["m"].to_numpy()
-            other = np.flatnonzero(m != m[-1])
+            key, kind = whole["key"].to_numpy(), whole["kind"].to_numpy()
+            other = np.flatnonzero((key != key[-1]) | (kind != kind[-1]))
             if len(other):
                 cut = int(other[-1]) + 1
-                yield spans(whole.slice(0, cut))
-                held, size = whole.slice(cut).to_batches(), 0
+                yield ranges(whole.slice(0, cut))
+                rest = whole.slice(cut)
+                held, size = rest.to_batches(), rest.nbytes
         if held:
-            yield spans(pa.Table.from_batches(held))
-
-    return run
-
-
-def _windows(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each window of a segment by itself."""
-        import xxhash
-
-        for batch in batches:
-            for h1, h2, doc, t, start, n, data in zip(*(batch[c].to_pylist() for c in ("h1", "h2", "doc", "t", "start", "n", "data"))):
-                for a in range(0, n, 10_000):
-                    b = min(n, a + 10_000)
-                    d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[k : k + length]) for k in range(a, b)), np.int64).reshape(-1, 2)
-                    fill = lambda v: pa.array(np.full(b - a, v, np.int64))  # noqa: E731, B023
-                    yield pa.RecordBatch.from_arrays([pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), fill(h1), fill(h2), fill(doc), fill(t), fill(start), pa.array(np.arange(a, b))], ["w1", "w2", "h1", "h2", "doc", "t", "start", "k"])
+            yield ranges(pa.Table.from_batches(held))
 
     return run
 
@@ -345,36 +373,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_segments: int = HO
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), last).alias("doc"), whole.alias("text"), F.xxhash64(whole).alias("t"))
     runs = docs.select("t", "text").mapInArrow(_runs(length), "key long, t long, sn long, m long")
     runs = runs.repartition("key").sortWithinPartitions("key", "t", "sn").mapInArrow(_met, "t long, start int, n int, m long")
+    runs = written(runs)
+    hot = runs.groupBy("m").count().filter(F.col("count") > hot_segments).select(F.col("m").alias("_hot"))
+    runs = runs.join(hot, runs["m"] == hot["_hot"], "left").withColumn("hot", F.col("_hot").isNotNull())
     ids = docs.select("doc", "t", F.xxhash64(F.lit(1), "text").alias("t2"))
-    firsts = ids.groupBy("t", "t2").agg(F.min("doc").alias("first"))
-    copies = ids.join(firsts, ["t", "t2"]).filter("doc > first").select("doc", "t").distinct().withColumn("copy", F.lit(True))
-    by_text = runs.groupBy("t").agg(F.collect_list(F.struct("start", "n", "m")).alias("runs"))
-    by_doc = by_text.join(firsts, "t").select(F.col("first").alias("of"), F.col("t").alias("of_t"), "runs")
-    dealt = docs.repartition("doc")  # one exchange of the texts serves both joins
-    cut = dealt.join(by_doc, (dealt["doc"] == by_doc["of"]) & (dealt["t"] == by_doc["of_t"])).select("doc", "t", "text", "runs")
-    segments = cut.mapInArrow(_segments(length), _SEGMENTS)
-    order = F.struct("doc", "t", "start")
-    distinct = segments.groupBy("h1", "h2").agg(F.min(order).alias("at"), F.first("m").alias("m"), F.first("n").alias("n"), F.first("data").alias("data"))
-    distinct = distinct.select("m", "h1", "h2", "at.doc", "at.t", "at.start", "n", "data")
-    hot = distinct.groupBy("m").count().filter(F.col("count") > hot_segments).select(F.col("m").alias("hot"))
-    usual = distinct.join(hot, distinct["m"] == hot["hot"], "left_anti")
-    found = usual.repartition("m").sortWithinPartitions("m").mapInArrow(_repeats(length), "h1 long, h2 long, doc long, t long, start int, spans array<int>")
-    found = found.withColumn("ranges", F.transform(F.filter("spans", lambda x, i: i % 2 == 0), lambda a, i: F.struct(a.alias("a"), F.get("spans", 2 * i + 1).alias("b"))))
-    found = found.select("h1", "h2", F.col("doc").alias("at_doc"), F.col("t").alias("at_t"), F.col("start").alias("at_start"), "ranges")
-    alone = distinct.join(hot, distinct["m"] == hot["hot"], "left_semi").mapInArrow(_windows(length), "w1 long, w2 long, h1 long, h2 long, doc long, t long, start long, k long")
-    least = alone.groupBy("w1", "w2").agg(F.min(F.struct("doc", "t", (F.col("start") + F.col("k")).alias("s"))).alias("at"))
-    alone = alone.join(least, ["w1", "w2"])
-    later = alone.filter(~((F.col("doc") == F.col("at.doc")) & (F.col("t") == F.col("at.t")) & (F.col("start") + F.col("k") == F.col("at.s"))))
-    later = later.select("doc", "t", (F.col("start") + F.col("k")).cast("int").alias("a"), (F.col("start") + F.col("k") + 1).cast("int").alias("b"))
-    hot_first = distinct.join(hot, distinct["m"] == hot["hot"], "left_semi").select("h1", "h2", F.col("doc").alias("at_doc"), F.col("t").alias("at_t"), F.col("start").alias("at_start"), F.array().cast("array<struct<a:int,b:int>>").alias("ranges"))
-    # Every place of a segment but the first goes whole; the first loses what refinement found.
-    places = segments.select("h1", "h2", "doc", "t", "start", "n").join(found.unionByName(hot_first), ["h1", "h2"])
-    first = (F.col("doc") == F.col("at_doc")) & (F.col("t") == F.col("at_t")) & (F.col("start") == F.col("at_start"))
-    ranges = F.when(first, F.col("ranges")).otherwise(F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))))
-    gone = places.select("doc", "t", "start", F.explode(ranges).alias("r")).select("doc", "t", (F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b"))
-    gone = gone.unionByName(later).groupBy(F.col("doc").alias("of"), F.col("t").alias("of_t")).agg(F.collect_list(F.struct("a", "b")).alias("removed"))
-    copies = copies.select(F.col("doc").alias("copy_doc"), F.col("t").alias("copy_t"), "copy")
-    out = dealt.join(gone, (dealt["doc"] == gone["of"]) & (dealt["t"] == gone["of_t"]), "left").join(copies, (dealt["doc"] == copies["copy_doc"]) & (dealt["t"] == copies["copy_t"]), "left")
+    firsts = written(ids.groupBy("t", "t2").agg(F.min("doc").alias("first")))
+    copies = ids.join(firsts, ["t", "t2"]).filter("doc > first").select(F.col("doc").alias("copy_doc"), F.col("t").alias("copy_t")).distinct().withColumn("copy", F.lit(True))
+    by_text = runs.groupBy("t").agg(F.collect_list(F.struct("start", "n", "m", "hot")).alias("runs"))
+    by_doc = written(by_text.join(firsts, "t").select(F.col("first").alias("of"), F.col("t").alias("of_t"), "runs"))
+    # One exchange of the texts serves both joins: they ask for the same columns, dealt the same way.
+    dealt = docs.repartition("doc", "t")
+    cut = dealt.join(by_doc, (dealt["doc"] == by_doc["of"]) & (dealt["t"] == by_doc["of_t"])).select("doc_id", "doc", "t", "text", "runs")
+    parts = cut.mapInArrow(_segments(length), _SEGMENTS)
+    gone = parts.repartition("kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_earlier(length), "doc long, t long, a int, b int")
+    gone = gone.groupBy(F.col("doc").alias("of"), F.col("t").alias("of_t")).agg(F.collect_list(F.struct("a", "b")).alias("removed"))
+    out = dealt.join(gone, (dealt["doc"] == gone["of"]) & (dealt["t"] == gone["of_t"]), "left").join(copies, (F.col("doc") == F.col("copy_doc")) & (F.col("t") == F.col("copy_t")), "left")
     return out.select("doc_id", "text", "copy", "removed").mapInArrow(_judged(length), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
