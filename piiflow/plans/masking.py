@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from piiflow.operators.candidates import detect, group
 from piiflow.operators.tokens import mask, plan
+from piiflow.sources.stores import materialize
 
 
 def decide(spans: DataFrame, on: Sequence[str], key: Sequence[str]) -> DataFrame:
@@ -27,5 +28,7 @@ def mask_corpus(docs: DataFrame, variables: DataFrame, spans: Column, style: str
     value minted early lies across one found later.
     """
     found = detect(docs, spans, more, variables, on=on, key=key)
-    after = plan(decide(found, on, key), variables, style, on)
+    # Written once: minting and rewriting read what was found more than once.
+    decisions = materialize(decide(found, on, key))
+    after = materialize(plan(decisions, variables, style, on))
     return mask(docs, after, on, key), after

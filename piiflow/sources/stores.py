@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +32,15 @@ def save_markdown(docs: DataFrame, path: str, suffix: str = "") -> None:
 def save_table(df: DataFrame, path: str, by: str | None = None) -> None:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(by) if by else writer).parquet(path)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df as a table in the folder that all executors share; one of our own only where the session names none."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="piiflow-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder}/piiflow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
