@@ -37,9 +37,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, with the words that it takes of each, repeats counted."""
-    sizes = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
-    taken = mixing.weighed(sizes, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("taken > 0")
-    return docs.join(taken.select("doc_id", "size", "source_size", "target", "taken"), "doc_id")
+    return mixing.take(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 STAGES = [

@@ -62,15 +62,15 @@ def uniform(identifier: Column, seed: str) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def mix(docs: DataFrame, weight: Column | None = None, seed: str = "mix", **shares) -> DataFrame:
-    """docs(doc_id, source, size) with source_size, target and taken.
+def mix(docs: DataFrame, weight: Column | None = None, seed: str = "mix", carried: tuple[str, ...] = (), **shares) -> DataFrame:
+    """docs(doc_id, source, size) with source_size, target and taken, and the columns carried.
 
     weight: a document's quality weight, above 0. Sizes of 0 take nothing; with only such documents all
     targets are 0. Rows that repeat an identifier are documents of their own. An empty table gives an
     empty result. No row exceeds ceil(target / source_size) times its size.
     """
     weight = F.lit(1.0) if weight is None else weight
-    docs = written(docs.select("doc_id", "source", "size", (-F.ln(uniform(F.col("doc_id"), seed)) / F.greatest(weight, F.lit(1e-6))).alias("_key")))
+    docs = written(docs.select("doc_id", "source", "size", *carried, (-F.ln(uniform(F.col("doc_id"), seed)) / F.greatest(weight, F.lit(1e-6))).alias("_key")))
     by_source = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     goals = targets(by_source.select("source", "source_size"), **shares)
     goals = goals.withColumnRenamed("source", "_of").join(by_source.select("source", "_rows"), F.col("_of").eqNullSafe(F.col("source"))).drop("_of")
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: str = "mix", **shar
     inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     selected = F.least(F.col("size"), F.greatest(F.lit(0), F.col("_rest") - before))
-    return docs.select("doc_id", "source", "size", "source_size", "target", (F.col("_epochs") * F.col("size") + selected).cast("long").alias("taken"))
+    return docs.select("doc_id", "source", "size", *carried, "source_size", "target", (F.col("_epochs") * F.col("size") + selected).cast("long").alias("taken"))
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
@@ -96,11 +96,31 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return labels.groupBy(F.col("doc_id").alias("_labelled")).agg(F.max(F.when(F.col("quality") > 0, 2.0).otherwise(0.5)).alias("_quality"))
 
 
-def weighed(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def weighed(docs: DataFrame, labels: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """mix() of docs(doc_id, source, size), with weights from labels and 1 for documents without any."""
     weights = quality_weights(labels)
     docs = docs.join(weights, docs["doc_id"] == weights["_labelled"], "left")
-    return mix(docs, F.coalesce(F.col("_quality"), F.lit(1.0)))
+    return mix(docs, F.coalesce(F.col("_quality"), F.lit(1.0)), carried=carried)
+
+
+def take(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, source, text, ...) of which weighed() takes words, with size, source_size, target and taken.
+
+    Rows that repeat doc_id, source and text share what is taken of all of them evenly, to the word. Columns of
+    docs that clash with one of the new names are replaced.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("size", "source_size", "target", "taken")])
+    row = (F.col("source").isNull(), "source", F.col("text").isNull(), "text")
+    keyed = docs.withColumns({"_a": F.xxhash64("doc_id", *row), "_b": F.xxhash64(F.lit(1), "doc_id", *row)})
+    sizes = keyed.select("doc_id", "source", "_a", "_b", size_of(F.col("text")).alias("size"))
+    taken = weighed(sizes, labels, ("_a", "_b")).groupBy("_a", "_b").agg(
+        F.min("size").alias("size"), F.min("source_size").alias("source_size"), F.min("target").alias("target"), F.sum("taken").alias("_taken"), F.count("*").alias("_rows")
+    )
+    # Only documents of which something is taken reach the join; the number of a row among its repeats says its share.
+    order = Window.partitionBy("_a", "_b").orderBy(F.xxhash64(*docs.columns))
+    upto = lambda k: F.expr(f"_taken * {k} div _rows")
+    joined = keyed.withColumn("_k", F.row_number().over(order).cast("long")).join(taken.filter("_taken > 0"), ["_a", "_b"])
+    return joined.withColumn("taken", upto("_k") - upto("(_k - 1)")).filter("taken > 0").select(*docs.columns, "size", "source_size", "target", "taken")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

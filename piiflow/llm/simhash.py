@@ -64,13 +64,14 @@ def _fingerprints(shingle: int):
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs(doc_id, text) as doc_id and the 64-bit fp.
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carried: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text) as doc_id and the 64-bit fp, with the long columns carried between them.
 
     A bit is 1 if it is set in over half of the XXH64 hashes (seed 42) of the shingles, repeats included.
     Fewer words than a shingle are one shingle; none, or a null text, give 0.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    schema = ", ".join(f"`{c}` long" for c in ("doc_id", *carried, "fp"))
+    return docs.select(F.col("doc_id").cast("long"), *carried, "text").mapInArrow(_fingerprints(shingle), schema)
 
 
 def _leaves(n: int) -> tuple[int, int]:
@@ -206,24 +207,28 @@ def components(edges: DataFrame) -> DataFrame:
     return written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs(doc_id, text) as doc_id, fp and component_id, the smallest doc_id that links reach.
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text) as doc_id, the long columns carried, fp, component_id and component.
+
+    component_id is the smallest doc_id that links reach, component the smallest fingerprint.
 
     Documents without words have fingerprint 0 and link like any other. Rows that repeat a doc_id are
     each fingerprinted, and return a row each. A null doc_id gets a component but never names one,
     unless it is alone. An empty table gives an empty result.
     """
-    marked = written(fingerprints(docs, shingle))
+    marked = written(fingerprints(docs, shingle, carried))
     groups = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = written(links(groups.select("fp"), groups.count(), radius))
     reached = components(found)
     # Of each fingerprint in a component, the smallest document of all of them.
     linked = groups.join(reached, groups["fp"] == reached["node"])
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = linked.join(smallest, "root").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_linked"))
-    named = groups.join(linked, groups["fp"] == linked["_fp"], "left").select(F.col("fp").alias("_fp"), F.coalesce("_linked", "first").alias("component_id"))
+    linked = linked.join(smallest, "root").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_linked"), "root")
+    named = groups.join(linked, groups["fp"] == linked["_fp"], "left").select(
+        F.col("fp").alias("_fp"), F.coalesce("_linked", "first").alias("component_id"), F.coalesce("root", "fp").alias("component")
+    )
     named = written(named)
-    return marked.join(named, marked["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
+    return marked.join(named, marked["fp"] == named["_fp"]).select("doc_id", *carried, "fp", "component_id", "component")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -234,6 +239,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names their component, with the columns of docs."""
-    kept = near_duplicates(docs.select("doc_id", "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+    """One document of each component, the one with the smallest doc_id, with the columns of docs.
+
+    Rows that repeat both doc_id and text are one document and stay together; of those that repeat only the
+    doc_id one of each component stays. Documents without a doc_id can't be told apart and go.
+    """
+    key = F.xxhash64("doc_id", F.col("text").isNull(), "text")
+    found = near_duplicates(docs.select("doc_id", "text", key.alias("_key")), carried=("_key",))
+    kept = found.filter("doc_id IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("_kept"))
+    return docs.join(kept, key == kept["_kept"], "left_semi")
