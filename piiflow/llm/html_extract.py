@@ -9,8 +9,9 @@ main slot is found from the root down: at each element of the template the one c
 article, or holds most of the text, until the text is spread over several. All text in it is extracted
 but that of elements which are marked as something else. A host of one page is a template of its own.
 
-A page is parsed twice, and goes to its host's template in a join that splits large hosts. The template
-of a host has at most twice as many tokens as a page.
+A page is parsed twice, and goes to its host's template in a join on host and chunk: large hosts are cut
+into chunks of CHUNK_PAGES pages, and each chunk gets a copy of the template. The template of a host has
+at most twice as many tokens as a page.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from pyspark.sql import functions as F
 
 from piiflow.llm.common import spread, written
 
+CHUNK_PAGES = 1_000
+#: Hosts with more than one in this many of all pages are large; so there are fewer large hosts than this.
+LARGE_HOSTS = 100_000
+
 #: Comments, raw elements, tags and what lies between; all but text may be cut off by the end.
 _TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|noscript|template|svg|iframe|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -139,19 +144,36 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["host", "page", "token", "n", "chars"])
 
 
-def templates(pages: DataFrame, support: float = 0.5, text_pages: int = 5) -> DataFrame:
+def _sizes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hosts with their pages, and the large ones among them with their number of chunks."""
+    sizes = written(pages.groupBy("host").agg(F.count("*").alias("pages")))
+    total = sizes.agg(F.sum("pages")).first()[0] or 0
+    large = sizes.filter(F.col("pages") > max(CHUNK_PAGES, total / LARGE_HOSTS))
+    return sizes, large.select("host", F.ceil(F.col("pages") / CHUNK_PAGES).cast("int").alias("chunks"))
+
+
+def _joined(many: DataFrame, one: DataFrame, large: DataFrame, by: str, how: str) -> DataFrame:
+    """many joined with the row of one for its host, where rows of large hosts are dealt to chunks by a column."""
+    large = F.broadcast(large)  # fewer than LARGE_HOSTS rows
+    chunks = F.coalesce("chunks", F.lit(1))
+    many = many.join(large, "host", "left").withColumn("_chunk", F.pmod(F.xxhash64(by), chunks).cast("int")).drop("chunks")
+    one = one.join(large, "host", "left").withColumn("_chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("chunks")
+    return many.join(one, ["host", "_chunk"], how).drop("_chunk")
+
+
+def templates(pages: DataFrame, support: float = 0.5, text_pages: int = 5, sizes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """pages(host, page, html) as host and its template: tokens with the characters in them.
 
     Valid classes have tokens that come once a page, on support of the host's pages or more. Text blocks
     are template text if they are on all of at least text_pages pages.
     """
+    of_host, large = _sizes(pages) if sizes is None else sizes
     tokens = pages.mapInArrow(_tokens, "host string, page long, token string, n long, chars long")
     by_token = tokens.groupBy("host", "token").agg(
         F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("on"), F.max("n").alias("most"), F.sum("chars").alias("chars")
     )
-    of_host = pages.groupBy("host").agg(F.count("*").alias("pages"))
     is_text = F.col("token").startswith("#")
-    valid = by_token.join(of_host, "host").filter(
+    valid = _joined(by_token, of_host, large, "token", "inner").filter(
         F.when(is_text, (F.col("on") == F.col("pages")) & (F.col("pages") >= text_pages)).otherwise((F.col("most") == 1) & (F.col("on") >= support * F.col("pages")))
     )
     classes = valid.groupBy("host", "vector", "on").agg(F.collect_list(F.struct("token", "chars")).alias("tokens"))
@@ -216,8 +238,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page"))
-    found = written(templates(pages.select("host", "page", "html")))
-    joined = pages.join(found, "host", "left")
+    sizes = _sizes(pages)
+    found = written(templates(pages.select("host", "page", "html"), sizes=sizes))
+    joined = _joined(pages, found, sizes[1], "page", "left")
     return joined.select("page_id", "url", "host", "classes", "html").mapInArrow(_extracted, "page_id long, url string, text string")
 
 

@@ -183,7 +183,9 @@ def page(body):
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body>{body}</body></html>"
 
 
-def test_pages(spark):
+@pytest.mark.parametrize("chunk", [1000, 2])
+def test_pages(spark, monkeypatch, chunk):
+    monkeypatch.setattr(html_extract, "CHUNK_PAGES", chunk)
     text = lambda k: f"<h1>Title {k}</h1><p>First &amp; <b>b</b>old<br>line {k} &lt;x&gt;\n of  text that goes on<p>Second &eacute; part {k}"
     want = lambda k: f"Title {k} First & bold line {k} <x> of text that goes on Second é part {k}"
     around = lambda k, inner: page(f'<header>Site</header><nav><ul><li><a href="/">Home {k}</a></ul></nav><div class="cookie-notice">We use cookies</div>{inner}<aside>Also {k}</aside><form>Mail <input></form><div id="comments"><p>Great {k}!</p></div><script>var a="<p>no</p>"</script><footer>&copy; {k}</footer>')
