@@ -31,6 +31,7 @@ from piiflow.llm.common import spread, written
 LENGTH = 100
 GRAM = 32
 HOT_SEGMENTS = 5_000
+HOT_BROADCAST = 500_000
 SHARD_BYTES = 2_000_000
 _BYTE = np.random.default_rng(11).integers(1, 2**63, 256, np.uint64)
 #: Odd multipliers for grams of 2, 4, ... 32 bytes.
@@ -374,7 +375,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_segments: int = HO
     runs = docs.select("t", "text").mapInArrow(_runs(length), "key long, t long, sn long, m long")
     runs = runs.repartition("key").sortWithinPartitions("key", "t", "sn").mapInArrow(_met, "t long, start int, n int, m long")
     runs = written(runs)
-    hot = runs.groupBy("m").count().filter(F.col("count") > hot_segments).select(F.col("m").alias("_hot"))
+    hot = written(runs.groupBy("m").count().filter(F.col("count") > hot_segments).select(F.col("m").alias("_hot")))
+    # 8 bytes a row: a short list goes to all tasks, so that no task gets all runs of a hot hash; a longer one is joined.
+    hot = F.broadcast(hot) if hot.count() <= HOT_BROADCAST else hot
     runs = runs.join(hot, runs["m"] == hot["_hot"], "left").withColumn("hot", F.col("_hot").isNotNull())
     ids = docs.select("doc", "t", F.xxhash64(F.lit(1), "text").alias("t2"))
     firsts = written(ids.groupBy("t", "t2").agg(F.min("doc").alias("first")))
