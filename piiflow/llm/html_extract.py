@@ -157,7 +157,8 @@ def _joined(many: DataFrame, one: DataFrame, large: DataFrame, by: str, how: str
     large = F.broadcast(large)  # fewer than LARGE_HOSTS rows
     chunks = F.coalesce("chunks", F.lit(1))
     many = many.join(large, "host", "left").withColumn("_chunk", F.pmod(F.xxhash64(by), chunks).cast("int")).drop("chunks")
-    one = one.join(large, "host", "left").withColumn("_chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("chunks")
+    # Written, so that Spark knows how small it is, and moves many only where it must.
+    one = written(one.join(large, "host", "left").withColumn("_chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("chunks"))
     return many.join(one, ["host", "_chunk"], how).drop("_chunk")
 
 
@@ -239,7 +240,7 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page"))
     sizes = _sizes(pages)
-    found = written(templates(pages.select("host", "page", "html"), sizes=sizes))
+    found = templates(pages.select("host", "page", "html"), sizes=sizes)
     joined = _joined(pages, found, sizes[1], "page", "left")
     return joined.select("page_id", "url", "host", "classes", "html").mapInArrow(_extracted, "page_id long, url string, text string")
 
