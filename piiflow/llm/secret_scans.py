@@ -18,14 +18,21 @@ from pyspark.sql.window import Window
 
 from piiflow.llm.common import held, spread
 
-#: What a candidate looks like. The key of an assignment is part of the match, group 1 of VALUE the value.
+#: What a candidate looks like. The key of an assignment is part of the match; the rest is the value.
+#: Nothing is bounded above, and possessive parts keep long runs from being read again and again.
 ASSIGNED = r"(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
+ASSIGNMENT = r"(?>[\w-]*" + ASSIGNED + r")[\w-]*+[\x22']?+[\x20\x09]*+(?>=>|:=|[=:])[\x20\x09]*+[\x22']?+"
+#: A private key's block, whole or, where its end is missing, as far as its lines go.
+PEM = (
+    r"-----BEGIN [A-Z0-9\x20]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z0-9\x20]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{40,}+)++)"
+)
 CANDIDATE = (
-    r"(?i:\b[\w-]{0,30}" + ASSIGNED + r"\w{0,30}[\x20\x09]{0,3}[=:][\x20\x09]{0,3}[\x22']?)[^\s\x22'<>]{6,200}"
-    r"|(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_|xox[abp]-|sk-|sk_live_)[A-Za-z0-9_-]{16,200}"
-    r"|(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])|(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,400}\.[A-Za-z0-9_-]{8,800}\.[A-Za-z0-9_-]{8,400}"
+    r"(?i:(?<![\w-])" + ASSIGNMENT + r")(?:" + PEM + r"|[^\s\x22'<>]{6,})|" + PEM
+    + r"|(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_|xox[abp]-|sk-|sk_live_)[A-Za-z0-9_-]{16,}"
+    r"|(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])|(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}"
 )
-KEY = r"(?i)^[\w-]{0,30}" + ASSIGNED + r"\w{0,30}[\x20\x09]{0,3}[=:][\x20\x09]{0,3}[\x22']?"
+KEY = r"(?i)^" + ASSIGNMENT
 #: Words and beginnings of words that people write in place of a secret, or hash for other reasons.
 DICTIONARY = (
     "account admin alpha apple banana change changeme default demo dummy example fake foo bar baz guest hello house insert letmein login love manager master "
@@ -63,7 +70,7 @@ def features(findings: DataFrame) -> DataFrame:
             "by_secret": flag(F.rlike(around, F.lit(NEAR_SECRET))),
             "by_other": flag(F.rlike(F.concat_ws(" ", text("before"), text("after")), F.lit(NEAR_OTHER))),
             "path_other": flag(F.rlike(text("path"), F.lit(OTHER_PATH))),
-            "prefixed": flag(F.rlike(value, F.lit(r"^(?:AKIA|ASIA|gh[pousr]_|xox[abp]-|sk-|sk_live_|eyJ)"))),
+            "prefixed": flag(F.rlike(value, F.lit(r"^(?:AKIA|ASIA|gh[pousr]_|xox[abp]-|sk-|sk_live_|eyJ|-----BEGIN )"))),
         }
     )
 

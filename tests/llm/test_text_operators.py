@@ -1,5 +1,6 @@
 """Decontamination, line dedup, fingerprints, quality rules, extraction and chats against plain versions."""
 
+import base64
 import hashlib
 import random
 import re
@@ -232,3 +233,25 @@ def test_secrets_on_findings_held_out(spark):
         text = next(x[2] for x in rows if x[0] == doc)
         assert text[r.start : r.start + len(value)] == value
     assert secret_scans.scan(docs.limit(0), model).count() == 0
+
+
+def test_secrets_of_any_form_and_length(spark):
+    d = hashlib.sha512
+    long = "".join(d(str(k).encode()).hexdigest() for k in range(40))
+    b64 = base64.b64encode(bytes.fromhex(long)).decode().replace("+", "x").replace("/", "y").rstrip("=")
+    value, body = b64[:22], "\n".join(b64[k : k + 64] for k in range(0, 1600, 64))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    jwt = f"eyJ{b64[:600]}.{b64[600:2000]}.{b64[2000:2683]}"
+    forms = [
+        ("password=%s end", value), ('{"password": "%s"}', value), ("{'api_key': '%s'}", value), ("password            =   %s", value),
+        ("'secret' => '%s',", value), ('token := "%s"', value), ("client-secret-key=%s", value), ("--auth-token-file-x: %s", value),
+        ("MY_COMPANYS_PRODUCTION_DATABASE_SERVICE_ADMIN_PASSWORD=%s", value), ("token = %s x", b64[:300]), ("secret: '%s'", b64[:5000]),
+        ("see ghp_%s there", None), ("bearer %s and", jwt), ("see %s here", long[:2000]), ("see %s here", long[:64].upper()), ("x\n%s\ny", pem),
+        ("secret_key: %s\n", pem), ("x\n%s\n...", pem.partition("\nProc")[0] + "\n" + body),
+    ]
+    forms = [(f % (v or b64[:400]), v or "ghp_" + b64[:400]) for f, v in forms]
+    docs = spark.createDataFrame([(k, "src", t) for k, (t, _) in enumerate(forms)], "doc_id long, source string, text string")
+    got = {(r.doc_id, r.start, r.value) for r in secret_scans.candidates(docs).collect()}
+    assert got == {(k, t.index(v), v) for k, (t, v) in enumerate(forms)}
+    said = {r.doc_id: r.secret for r in secret_scans.scan(docs, secret_scans.train(secret_scans.labelled_findings(spark))).collect()}
+    assert {k for k in said if not said[k]} <= {13, 14}  # bare hex may be a digest
