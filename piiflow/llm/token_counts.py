@@ -97,6 +97,11 @@ def byte_pieces(path: str = VOCABULARY) -> list[tuple[int, ...]]:
     return pieces
 
 
+def folded(piece: tuple[int, ...]) -> tuple[int, ...]:
+    """A piece whose END is made part of the symbol before it, so that no piece stops between the two."""
+    return (*piece[:-2], piece[-2] + END) if len(piece) > 1 and piece[-1] == END else piece
+
+
 def _counts(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import unicodedata
@@ -109,7 +114,7 @@ def _counts(shared):
         def pieces(word: str) -> tuple[int, int]:
             n = unknown = 0
             for part in parts(unicodedata.normalize("NFC", word).lower()):
-                k = automaton.count((*part[0].encode(), END))
+                k = automaton.count(folded((*part[0].encode(), END)))
                 n, unknown = n + max(k, 1), unknown + (k < 0)
             return n, unknown
 
@@ -141,11 +146,11 @@ def count_tokens(docs: DataFrame, pieces: Iterable[tuple[int, ...]]) -> DataFram
     """docs(doc_id, text) as doc_id, n_words, n_tokens and n_unknown.
 
     Words lie between Unicode white space; each is composed (NFC), lower-cased and cut into PARTS, and
-    each part with its end mark into the longest pieces from its start on. A part that no pieces fit is
-    one unknown token. A null or empty text has no words. Each row is counted by itself; an empty table
+    each part with its end mark into the longest pieces from its start on; the mark is part of the last
+    symbol, which only pieces with the mark fit. A part that no pieces fit is one unknown token. A null or empty text has no words. Each row is counted by itself; an empty table
     gives an empty result. The vocabulary is broadcast: its size is the tokenizer's, not the corpus's.
     """
-    pieces = list(pieces)
+    pieces = [folded(p) for p in pieces]
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(pieces, pieces))
     return docs.select("doc_id", "text").mapInArrow(_counts(shared), "doc_id long, n_words long, n_tokens long, n_unknown long")
 

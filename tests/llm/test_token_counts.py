@@ -57,3 +57,26 @@ def test_unknown_parts_and_empty_tables(spark):
     got = sorted(map(tuple, T.count_tokens(docs, pieces).collect()), key=str)
     assert got == sorted([(1, 4, 7, 1), (None, 1, 2, 0), (1, 4, 7, 1)], key=str)
     assert T.count_tokens(docs.limit(0), pieces).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(T.VOCABULARY), reason="no vocabulary file")
+def test_words_that_end_within_a_piece(spark):
+    """The longest piece at the end of these has no end mark."""
+    pieces = T.byte_pieces()
+    # Written out: a piece that reaches the last byte must have the mark, which is no symbol of its own.
+    inner, last = {p for p in pieces if p[-1] != T.END}, {p[:-1] for p in pieces if p[-1] == T.END}
+
+    longest = max(map(len, inner | last))
+
+    def plain(part):
+        word, at, n = tuple(part.encode()), 0, 0
+        while at < len(word):
+            at = next(k for k in range(min(len(word), at + longest), at, -1) if word[at:k] in (last if k == len(word) else inner))
+            n += 1
+        return n
+
+    words = ["f\u00fcr", "thre", "ci\u00f3n\u00f1", "x" * 500 + "wor", "wor" * 20_000]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_tokens, r.n_unknown) for r in T.count_tokens(docs, pieces).collect()}
+    assert got == {k: (1, plain(w), 0) for k, w in enumerate(words)}
+    assert all(got[k][1] > 1 for k in got)
