@@ -48,6 +48,10 @@ _OTHER_WORDS = frozenset(
     "nav navbar navigation newsletter notice notices pagination popup promo promoted related respond search share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+#: These mark what has articles of its own, however long it is.
+_APART = frozenset("comment comments disqus related respond".split())
+#: Ids and classes of these only name them: they are parts of a text, as <h2 id="login-flow">.
+_NAMED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _HEADER_WORDS = frozenset("header masthead topbar".split())
 _WORDS = re.compile(r"[a-z]+")
 #: A class such as has-sidebar says what else the page has.
@@ -57,21 +61,49 @@ _ABOUT = re.compile(r"\b(?:has|with|without|no|is)[-_][\w-]+", re.I)
 def parse(page: str) -> Iterator[tuple[str, bool, str]]:
     """(path, other, text) of every text block in page order; text may be empty. other: not main text.
 
-    The path names the open block elements, divided by "/"; inline elements are part of a block.
+    The path names the open block elements, divided by "/"; inline elements are part of a block. Elements
+    that a word or a form marks are other only if the page bears it out: one outside of articles doesn't if
+    it holds most of the page's text and no article lies elsewhere, and a section of an article, named by an
+    id that says more than the word, only if most of it are links.
     """
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, other
+    blocks = list(_marked(page))
+    total, own, held, links = 0, False, {}, {}
+    for _, marks, text, linked, inside in blocks:
+        if all(lift for _, lift in marks):
+            total += len(text)
+            own = own or bool(text and inside and not marks)
+            for m in marks:
+                held[m] = held.get(m, 0) + len(text)
+                links[m] = links.get(m, 0) + linked
+    lifted = {m for m, n in held.items() if (2 * links[m] <= n if m[1] == "section" else 2 * n > total and not own)}
+    for path, marks, text, _, _ in blocks:
+        yield path, any(m not in lifted for m in marks), text
+
+
+def _marked(page: str) -> Iterator[tuple[str, tuple[tuple[int, str], ...], str, int, bool]]:
+    """(path, marks, text, characters in links, inside an article) of every text block in page order.
+
+    A mark is the number of an element and how it may be lifted: not at all (""), as a "wrapper" or a "section".
+    """
+    stack: list[tuple[str, str, tuple]] = [("", "", ())]  # tag, path, marks
     buffer: list[str] = []
+    count, link, linked = 0, False, 0
 
     def flush():
-        _, path, other = stack[-1]
+        nonlocal link, linked
+        _, path, marks = stack[-1]
         text = " ".join("".join(buffer).split())
+        n = min(linked, len(text))
         buffer.clear()
-        return path, other, text
+        linked = 0
+        return path, marks, text, n, any(x[0] in ("article", "main") for x in stack)
 
     at = 0
     for m in _TOKENS.finditer(page):
         if m.start() > at:
             buffer.append(entities.unescape(page[at : m.start()]))
+            if link:
+                linked += len(buffer[-1])
         at = m.end()
         tag = m["tag"]
         if tag is None:
@@ -82,6 +114,8 @@ def parse(page: str) -> Iterator[tuple[str, bool, str]]:
             continue
         if tag in _VOID:
             continue
+        if tag == "a":
+            link = not m["close"]
         if m["close"]:
             if tag in _INLINE and not any(x[0] == tag for x in stack):
                 continue
@@ -94,16 +128,26 @@ def parse(page: str) -> Iterator[tuple[str, bool, str]]:
         named = " ".join((a or b or c).lower() if n.lower() != "role" else f"role={(a or b or c).lower()}" for n, a, b, c in _ATTRIBUTE.findall(m["attrs"])) if m["attrs"] else ""
         words = set(_WORDS.findall(_ABOUT.sub(" ", named)))
         inside = any(x[0] in ("article", "main") for x in stack)
-        other = tag in _OTHER_TAGS or bool(words & _OTHER_WORDS) or any(f"role={r}" in named for r in _OTHER_ROLES) or (not inside and (tag == "header" or bool(words & _HEADER_WORDS)))
-        if tag in ("html", "body", "article", "main"):
+        by_role = any(f"role={r}" in named for r in _OTHER_ROLES)
+        by_header = not inside and (tag == "header" or bool(words & _HEADER_WORDS))
+        other = tag in _OTHER_TAGS or bool(words & _OTHER_WORDS) or by_role or by_header
+        if tag in ("html", "body", "article", "main") or tag in _NAMED:
             other = False
+        lift = ""
+        if other and not by_role and not by_header and (tag == "form" or tag not in _OTHER_TAGS):
+            if not inside:
+                lift = "" if words & _APART else "wrapper"
+            elif tag == "section":
+                parts = {n.lower(): set(_WORDS.findall((a or b or c).lower())) for n, a, b, c in _ATTRIBUTE.findall(m["attrs"])}
+                lift = "section" if not parts.get("class", set()) & _OTHER_WORDS and parts.get("id", set()) - _OTHER_WORDS else ""
         if tag in _INLINE and not other:
             continue
         yield flush()
         if tag in _BLOCKS and stack[-1][0] == "p" or tag == stack[-1][0] in ("p", "li", "tr", "td", "th", "option", "dt", "dd"):
             stack.pop()
         name = tag + "".join(f".{x}" for x in sorted(named.replace("/", "").split()))
-        stack.append((tag, f"{stack[-1][1]}/{name}", stack[-1][2] or other))
+        count += 1
+        stack.append((tag, f"{stack[-1][1]}/{name}", stack[-1][2] + ((count, lift),) * other))
     if at < len(page):
         buffer.append(entities.unescape(page[at:]))
     yield flush()

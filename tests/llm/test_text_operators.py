@@ -199,6 +199,23 @@ def test_pages(spark, monkeypatch, chunk):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_marks_that_the_page_does_not_bear_out(spark):
+    text = "<h1>Title</h1><p>Some text that goes on for a while here"
+    want = "Title Some text that goes on for a while here"
+    bodies = [
+        f'<form action="x"><nav>Menu</nav><div>{text}</div></form>',
+        f'<div class="search-layout"><article>{text}</article></div>',
+        f'<div id="widget-page"><main>{text}</main><aside>Also</aside></div>',
+        f'<article>{text}<h2 id="related-work">Related work</h2><section id="comment-syntax"><h2 id="login-flow">Login</h2><p class="notice">Note</section></article>',
+        f'<article>{text}<section id="related-posts"><a href="/a">Another post</a></section></article><div id="comments"><article>{text * 9}</article></div>',
+        f'<article>{text}</article><div class="newsletter">{"Get mail from us. " * 20}</div>',
+    ]
+    wants = [want, want, want, want + " Related work Login Note", want, want]
+    rows = [(k, f"https://h{k}.example/", page(b)) for k, b in enumerate(bodies)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == dict(enumerate(wants))
+
+
 # --- chats
 
 
