@@ -55,6 +55,9 @@ _NAMED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _HEADER_WORDS = frozenset("header masthead topbar".split())
 _WORDS = re.compile(r"[a-z]+")
 #: A class such as has-sidebar says what else the page has.
+#: Long numbers and hex in ids and classes differ by page, as in post-123; short ones tell columns apart, as col-8 and col-4.
+_NUMBERS = re.compile(r"(?<![a-z0-9])(?=[a-f]*[0-9])[0-9a-f]{6,}(?![a-z0-9])|[0-9]{3,}")
+_DIGITS = re.compile(r"(?<![a-z0-9])(?=[a-f]*[0-9])[0-9a-f]{6,}(?![a-z0-9])|[0-9]+")
 _ABOUT = re.compile(r"\b(?:has|with|without|no|is)[-_][\w-]+", re.I)
 
 
@@ -145,7 +148,8 @@ def _marked(page: str) -> Iterator[tuple[str, tuple[tuple[int, str], ...], str,
         yield flush()
         if tag in _BLOCKS and stack[-1][0] == "p" or tag == stack[-1][0] in ("p", "li", "tr", "td", "th", "option", "dt", "dd"):
             stack.pop()
-        name = tag + "".join(f".{x}" for x in sorted(named.replace("/", "").split()))
+        numbers = _DIGITS if tag in ("html", "body", "article", "main") else _NUMBERS
+        name = tag + "".join(f".{x}" for x in sorted(numbers.sub("#", named.replace("/", "")).split()))
         count += 1
         stack.append((tag, f"{stack[-1][1]}/{name}", stack[-1][2] + ((count, lift),) * other))
     if at < len(page):
@@ -243,6 +247,32 @@ def main_element(elements: dict[str, int]) -> str:
         at = most
 
 
+def own_article(parsed: list[tuple[str, bool, str]], main: str) -> str:
+    """The path of a page's one article or main below the main slot, if it holds most of the slot's text; else the slot."""
+    opened: dict[str, int] = {}
+    chars: dict[str, int] = {}
+    last, total = "", 0
+    for path, other, block in parsed:
+        if other or (main and path != main and not path.startswith(main + "/")):
+            last = path
+            continue
+        total += len(block)
+        found = ""
+        for x in _above(path):
+            if x == main:
+                break
+            if x.rpartition("/")[2].partition(".")[0] in ("article", "main"):
+                found = x
+        if found:
+            if last != found and not last.startswith(found + "/"):
+                opened[found] = opened.get(found, 0) + 1
+            chars[found] = chars.get(found, 0) + len(block)
+        last = path
+    if len(opened) == 1 and sum(opened.values()) == 1 and 2 * sum(chars.values()) > total:
+        return next(iter(opened))
+    return main
+
+
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
@@ -261,7 +291,8 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 few = sum(fixed.values()) * 5 < elements.get(main, 0)
                 known[host] = main, set(fixed) if few else set()
             main, fixed = known[host]
-            blocks = [(p, b) for p, other, b in parse(text.as_py() or "") if b and not other]
+            parsed = list(parse(text.as_py() or ""))
+            blocks = [(p, b) for p, other, b in parsed if b and not other]
             if main and not any(p == main or p.startswith(main + "/") for p, _ in blocks):
                 # A page of another kind has its own main slot.
                 own: dict[str, int] = {}
@@ -269,6 +300,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for x in _above(p):
                         own[x] = own.get(x, 0) + len(b)
                 main = main_element(own)
+            main = own_article(parsed, main)
             kept = [b for p, b in blocks if not main or p == main or p.startswith(main + "/")]
             texts.append(" ".join(b for b in kept if not fixed or xxhash.xxh3_128_hexdigest(b) not in fixed))
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])

@@ -216,6 +216,20 @@ def test_marks_that_the_page_does_not_bear_out(spark):
     assert {r.page_id: r.text for r in got} == dict(enumerate(wants))
 
 
+def test_names_that_differ_by_page(spark):
+    text = lambda k: f"<h1>Title {k}</h1><p>Text {k} that goes on for a while and says this and that"
+    want = lambda k: f"Title {k} Text {k} that goes on for a while and says this and that"
+    rows = []
+    for k in range(8):
+        body = f'<body class="postid-{k}"><div id="page-{1000 + k}"><div class="top">Menu {k}</div><article id="post-{k}">{text(k)}</article><div class="by">Author {k}</div></div></body>'
+        rows.append((k, f"https://blog.example/{k}", f"<html>{body}</html>"))
+        body = f'<div class="x{"abcdefgh"[k]}"><div class="top">Menu {k}</div><div><article id="{"stuvwxyz"[k]}">{text(k)}</article></div></div>'
+        rows.append((20 + k, f"https://columns.example/{k}", page(f'<div class="row"><div class="col-8">{text(k) * 3}</div><div class="col-4">Side {k}</div></div>')))
+        rows.append((10 + k, f"https://named.example/{k}", page(body)))
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {r[0]: want(r[0] % 10) if r[0] < 20 else ' '.join([want(r[0] % 10)] * 3) for r in rows}
+
+
 # --- chats
 
 
