@@ -1,10 +1,9 @@
-"""HTML extraction: the main text of pages, by equivalence classes of their tokens.
+"""HTML extraction: the main text of pages, by how many pages of a host have their tokens.
 
 Tokens are a page's block elements, named by their path of tags, ids and classes, and its text blocks.
-Tokens of one host whose occurrence vectors (how often on each page) agree form an equivalence class;
-the vector is kept as a hash that adds up over pages in any order. Classes whose tokens come once on
-each of their pages, on half of the host's pages or more, are valid, and their paths nest them into the
-host's template. Text blocks in the class of all pages are template text. What is left are slots. The
+Tokens are judged one by one: elements that come once on each of their pages, on half of the host's pages
+or more, are the host's template, and their paths nest them. Text blocks on all pages are template text.
+The rows of a template are grouped by occurrence vector, but no verdict depends on these classes. What is left are slots. The
 main slot is found from the root down: at each element of the template the one child that is the page's
 article, or holds most of the text, until the text is spread over several. All text in it is extracted
 but that of elements which are marked as something else. A host of one page is a template of its own.
