@@ -25,9 +25,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; one of our own only where none is named."""
+    """The folder that all executors share, as the session names it. One of our own is made on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="piiflow-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -38,7 +40,14 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and lost executors cost no work before this point."""
     path = f"{shared_folder(df.sparkSession)}/piiflow-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Empties what written() wrote for a table that nothing reads any more."""
+    table.sparkSession.range(0).write.mode("overwrite").parquet(table._written_at)
 
 
 def held(df: DataFrame, **columns: Column) -> DataFrame:

@@ -3,13 +3,14 @@
 Two fingerprints link if at most RADIUS = 3 of their bits differ. One vantage point for all 64 bits
 prunes little, since the distances of unrelated fingerprints crowd around 32. So there are two
 trees, one for each half of the bits: of 3 differing bits one half has at most 1. In a tree each level
-looks at the next few bits of its half, has a vantage point there, and parts the fingerprints into
-rings of equal Hamming distance to it. The levels' bits are disjoint, so the triangle bounds of the
+looks at the next few bits of its half and has a vantage point: one of the fingerprints themselves, of a
+bounded sample the one whose distances on these bits part the sample most evenly. It parts the
+fingerprints into rings of equal Hamming distance to it. The levels' bits are disjoint, so the triangle bounds of the
 levels add up: two fingerprints whose half differs in one bit lie in rings that differ by one on one
 level and agree on all others. A leaf is a path of rings and is one shard. A fingerprint lies in its own
 leaf, and visits the leaves one ring further out on one level, where the bound can't exclude a partner;
 the visits in the other direction are those partners' own. All pairs within a leaf are then compared
-exactly, and only a forest of the links that were found leaves it. The number of levels grows with the
+exactly on all 64 bits, and only a forest of the links that were found leaves it. The number of levels grows with the
 logarithm of the number of fingerprints, so a leaf stays small; a leaf over LEAF_ROWS is cut into
 chunks, and each pair of chunks is a task of its own.
 
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from piiflow.llm.common import spread, written
+from piiflow.llm.common import release, spread, written
 
 RADIUS = 3
 SHINGLE = 3
 LEAF_ROWS = 50_000
-#: Any constant does; its bits are the vantage points of the levels.
-VANTAGE = 0x9E3779B97F4A7C15
+#: Vantage points are chosen among so many fingerprints, those first by a hash. The links don't depend on them.
+SAMPLE_ROWS = 1_000
 
 
 def _fingerprints(shingle: int):
@@ -83,16 +84,39 @@ def _leaves(n: int) -> tuple[int, int]:
     return 2, 16
 
 
+def vantage_points(fps: DataFrame, half: int, bits: int, levels: int, sample_rows: int = SAMPLE_ROWS) -> list[int]:
+    """For each level of a tree the sampled fingerprint whose rings on the level's bits are most even."""
+    order = F.xxhash64(F.lit(half), "fp")
+    sample = [r.fp & (1 << 64) - 1 for r in fps.select("fp", order.alias("o")).orderBy("o", "fp").limit(sample_rows).collect()]
+    points = []
+    for level in range(levels):
+        shift, mask = 32 * half + bits * level, (1 << bits) - 1
+        seen: dict[int, int] = {}
+        for fp in sample:
+            seen[fp >> shift & mask] = seen.get(fp >> shift & mask, 0) + 1
+
+        def unevenness(fp: int) -> int:
+            rings = [0] * (bits + 1)
+            for x, n in seen.items():
+                rings[(x ^ fp >> shift & mask).bit_count()] += n
+            return sum(n * n for n in rings)
+
+        # Points that look alike on these bits have the same rings.
+        best = {fp >> shift & mask: fp for fp in reversed(sample)}
+        points.append(min(best.values(), key=lambda fp: (unevenness(fp), fp), default=0))
+    return points
+
+
 def leaves(fps: DataFrame, n: int) -> DataFrame:
     """fps(fp) as (leaf, fp): each fingerprint's own leaf and those it visits, in both trees."""
     bits, levels = _leaves(n)
 
     def tree(half: int) -> Column:
         rings = []
-        for level in range(levels):
+        for level, point in enumerate(vantage_points(fps, half, bits, levels)):
             shift = 32 * half + bits * level
             seen = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1))
-            rings.append(F.bit_count(seen.bitwiseXOR(F.lit((VANTAGE >> shift) & ((1 << bits) - 1)))).cast("long"))
+            rings.append(F.bit_count(seen.bitwiseXOR(F.lit((point >> shift) & ((1 << bits) - 1)))).cast("long"))
         own = F.lit(half).cast("long")
         for level, ring in enumerate(rings):
             own = own + ring * F.lit(2 * (bits + 1) ** level)
@@ -199,12 +223,15 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours go to the smallest of these.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        edges = written(small)
+        before, edges = edges, written(small)
+        release(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    return written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    named = written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    release(edges)
+    return named
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -220,6 +247,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     groups = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = written(links(groups.select("fp"), groups.count(), radius))
     reached = components(found)
+    release(found)
     # Of each fingerprint in a component, the smallest document of all of them.
     linked = groups.join(reached, groups["fp"] == reached["node"])
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -242,9 +270,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with the columns of docs.
 
     Rows that repeat both doc_id and text are one document and stay together; of those that repeat only the
-    doc_id one of each component stays. Documents without a doc_id can't be told apart and go.
+    doc_id one of each component stays. Documents without a doc_id are told apart by their texts and come after all
+    others: one stays where its component has no document with a doc_id.
     """
-    key = F.xxhash64("doc_id", F.col("text").isNull(), "text")
-    found = near_duplicates(docs.select("doc_id", "text", key.alias("_key")), carried=("_key",))
-    kept = found.filter("doc_id IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("_kept"))
-    return docs.join(kept, key == kept["_kept"], "left_semi")
+    row = (F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    a, b = F.xxhash64(*row), F.xxhash64(F.lit(1), *row)
+    found = near_duplicates(docs.select("doc_id", "text", a.alias("_a"), b.alias("_b")), carried=("_a", "_b"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_a", "_b"))
+    kept = found.groupBy("component").agg(first.alias("_first")).select(F.col("_first._a").alias("_kept_a"), F.col("_first._b").alias("_kept_b"))
+    return docs.join(kept, (a == kept["_kept_a"]) & (b == kept["_kept_b"]), "left_semi")
