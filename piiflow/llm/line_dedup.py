@@ -72,7 +72,7 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     n_dropped replace columns of such names.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    # The row number is the hash of what the row holds: a recomputed task gives the same.
+    # Within a document its row is named by the hash of what it holds: a recomputed task gives the same.
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     lines = written(keyed.select(F.col("_row").alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(_hashed(min_chars), _LINES))
     held = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
@@ -81,7 +81,8 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     dropped = lines.join(shared, ["h1", "h2"]).filter(F.col("doc_id") != F.col("keeper"))
     dropped = dropped.groupBy(F.col("row").alias("_row"), F.col("doc_id").alias("_doc")).agg(F.collect_set("pos").alias("_dropped"))
     split = keyed.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).drop("text")
-    split = split.join(dropped.select("_row", "_dropped"), "_row", "left")
+    dropped = dropped.withColumnRenamed("_row", "_of")
+    split = split.join(dropped, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_row") == F.col("_of")), "left")
     # The joined array is a plain column, so each position is looked up in constant time.
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_dropped", F.array().cast("array<int>")))
     text = F.when(F.col("_dropped").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
