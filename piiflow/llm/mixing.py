@@ -66,8 +66,8 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: str = "mix", carrie
     """docs(doc_id, source, size) with source_size, target and taken, and the columns carried.
 
     weight: a document's quality weight, above 0. Sizes of 0 take nothing; with only such documents all
-    targets are 0. Rows that repeat an identifier are documents of their own. An empty table gives an
-    empty result. No row exceeds ceil(target / source_size) times its size.
+    targets are 0. Rows that repeat an identifier are documents of their own, in order of size and of the
+    columns carried; rows without one share a key. An empty table gives an empty result. No row exceeds ceil(target / source_size) times its size.
     """
     weight = F.lit(1.0) if weight is None else weight
     docs = written(docs.select("doc_id", "source", "size", *carried, (-F.ln(uniform(F.col("doc_id"), seed)) / F.greatest(weight, F.lit(1e-6))).alias("_key")))
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: str = "mix", carrie
     earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("_of"), F.col("_range").alias("_at"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
     docs = docs.join(sums, docs["source"].eqNullSafe(sums["_of"]) & (docs["_range"] == sums["_at"]))
-    inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     selected = F.least(F.col("size"), F.greatest(F.lit(0), F.col("_rest") - before))
     return docs.select("doc_id", "source", "size", *carried, "source_size", "target", (F.col("_epochs") * F.col("size") + selected).cast("long").alias("taken"))
@@ -150,7 +150,7 @@ WITH sizes AS (
   SELECT doc_id, max(CASE WHEN quality > 0 THEN 2.0 ELSE 0.5 END)::DOUBLE AS weight FROM labels GROUP BY doc_id
 ), keyed AS (
   SELECT s.doc_id, s.size, p.source, p.source_size, p.target, p.epochs, round(p.target)::BIGINT - p.epochs * p.source_size AS rest,
-    -ln((('0x' || substr(md5('mix:' || s.doc_id), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE) / coalesce(w.weight, 1) AS key
+    -ln((('0x' || substr(md5(concat_ws(':', 'mix', s.doc_id::VARCHAR)), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE) / coalesce(w.weight, 1) AS key
   FROM sizes s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN weights w ON s.doc_id = w.doc_id
 )
 SELECT doc_id, size, source_size, target, (epochs * size + least(size, greatest(0, rest - coalesce(sum(size) OVER (
