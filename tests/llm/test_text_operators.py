@@ -36,21 +36,24 @@ def words_of(text):
 
 
 def plain_hits(docs, items, window=10):
-    grams = {}
-    for item, text in items:
-        w = words_of(text)
-        n = min(window, len(w))
-        for k in range(len(w) - n + 1 if w else 0):
-            grams.setdefault(tuple(w[k : k + n]), set()).add(str(item))
+    """Hits, items and the longest match from a hit window, by trying all places."""
     out = {}
+    tests = [(None if i is None else str(i), t, words_of(t)) for i, t in items if words_of(t)]
     for doc, text in docs:
-        w, hit, found = words_of(text), set(), set()
-        for n in {len(g) for g in grams}:
-            for k in range(len(w) - n + 1):
-                if (g := tuple(w[k : k + n])) in grams:
-                    hit.update(range(k, k + n))
-                    found |= grams[g]
-        out[doc] = len(w), sorted(hit), sorted(found)
+        w, hit, found, best = words_of(text), set(), set(), None
+        for item, t, v in tests:
+            n = min(window, len(v))
+            for k in range(len(w)):
+                for j in range(len(v) - n + 1):
+                    if w[k : k + n] == v[j : j + n]:
+                        size = n
+                        while n == window and k + size < len(w) and j + size < len(v) and w[k + size] == v[j + size]:
+                            size += 1
+                        hit.update(range(k, k + n))
+                        found.add(item)
+                        best = min(filter(None, (best, (-size, k, item is None, item or "", t, j))))
+        match = (0, None, None, None) if best is None else (-best[0], None if best[2] else best[3], best[5], best[1])
+        out[doc] = len(w), sorted(hit), sorted(found, key=lambda x: (x is None, x)), match
     return out
 
 
@@ -58,17 +61,33 @@ def plain_hits(docs, items, window=10):
 def test_decontamination(spark, block_chars):
     values = texts(1)
     long = next(t for t in values[10:] if len(words_of(t)) > 30).split()
-    items = [(7, " ".join(long[3:18]).upper()), (70, "é1 a"), (8, None), (9, ""), (10, " ".join(long[5:16]) + " zzz"), (7, "qq rr"), (11, "a b " * 30)]
+    items = [(7, " ".join(long[3:18]).upper()), (70, "é1 a"), (8, None), (9, ""), (10, " ".join(long[5:16]) + " zzz"), (7, "qq rr"), (11, "a b " * 30), (None, " ".join(long[2:25])), (None, "b a")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     docs = frame(spark, values)
     got = decontamination.mark(docs, benchmark, block_chars=block_chars).collect()
     want = plain_hits(list(enumerate(values)), items)
-    assert {r.doc_id: (r.n_words, r.hits, r.items) for r in got} == want and len(got) == len(values)
-    assert any(w[1] for w in want.values())
+    assert {r.doc_id: (r.n_words, r.hits, r.items, (r.longest, r.longest_item, r.item_at, r.doc_at)) for r in got} == want and len(got) == len(values)
+    assert any(w[1] for w in want.values()) and any(None in w[2] for w in want.values())
     clean = decontamination.clean(docs, benchmark)
     assert {r.doc_id for r in clean.collect()} == {d for d, w in want.items() if not w[1]} and clean.columns == docs.columns
 
 
+def test_decontamination_against_its_sql(spark, tmp_path):
+    import duckdb
+
+    values = [t for t in texts(6) if t is not None]
+    long = next(t for t in values[10:] if len(words_of(t)) > 30).split()
+    items = [(1, " ".join(long[1:14])), (None, " ".join(long[4:19])), (12, " ".join(long[4:19])), (3, "b a é1"), (4, None)]
+    frame(spark, values).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = decontamination.query(spark, str(tmp_path))
+    with duckdb.connect() as db:
+        for t in ("documents", "benchmark"):
+            db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        rows = db.sql(f"SELECT {', '.join(got.columns)} FROM ({decontamination.SQL})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+
+
 def test_decontamination_of_nothing(spark):
     docs, none = frame(spark, ["a b", None]), spark.createDataFrame([], "item_id long, text string")
     assert [r.hits for r in decontamination.mark(docs, none).collect()] == [[], []]
@@ -146,7 +165,29 @@ def test_near_duplicates_of_odd_documents(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (4, 4), (9, 4), (4, 4), (None, None), (8, 8)], key=str)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [3, 4, 4, 8]
+    # Without an identifier, a document is told from others by its text.
+    assert sorted((r.doc_id for r in simhash.keep_one(docs).collect()), key=str) == [3, 4, 4, 8, None]
+    nameless = spark.createDataFrame([(None, "a b c d"), (None, "e f g h"), (None, "A  b c d"), (7, "e f g h"), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, (r.text or "").lower().split()) for r in simhash.keep_one(nameless).fillna(-1).collect()) == [(-1, []), (-1, list("abcd")), (7, list("efgh"))]
+
+
+def test_fingerprints(spark):
+    import xxhash
+
+    values = texts(8) + ["Éa ÉB\u00a0c  d", "one", "One TWO", "\x0b\x0c"]
+    got = {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.fingerprints(frame(spark, values)).collect()}
+    for k, t in enumerate(values):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
+        assert got[k] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_vantage_points_part_the_fingerprints(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(rng.getrandbits(63) & ~0xFF,) for _ in range(500)], "fp long")
+    points = simhash.vantage_points(df, 0, 4, 8)
+    assert len(points) == 8 and {p & (1 << 64) - 1 for p in points} <= {r.fp & (1 << 64) - 1 for r in df.collect()}
+    assert simhash.vantage_points(df.limit(0), 0, 4, 3) == [0, 0, 0]
 
 
 # --- quality rules
