@@ -1,22 +1,30 @@
-"""HTML extraction: the main text of pages, by how many pages of a host have their tokens.
-
-Tokens are a page's block elements, named by their path of tags, ids and classes, and its text blocks.
-Tokens are judged one by one: elements that come once on each of their pages, on half of the host's pages
-or more, are the host's template, and their paths nest them. Text blocks on all pages are template text.
-The rows of a template are grouped by occurrence vector, but no verdict depends on these classes. What is left are slots. The
-main slot is found from the root down: at each element of the template the one child that is the page's
-article, or holds most of the text, until the text is spread over several. All text in it is extracted
-but that of elements which are marked as something else. A host of one page is a template of its own.
+"""HTML extraction: equivalence classes of tokens make a host's template, and its main slot is read.
+
+Tokens are a page's block elements, each named by its chain of tags, ids and classes (or, without these,
+by its place among its like), and its text blocks, each named by its element and its text. A token's occurrence vector says how often it comes on each page of
+the host. Tokens with one vector are an equivalence class. A class is valid if its tokens come once a page,
+and it is frequent (on half of the host's pages), or large (three tokens or more) and on three pages and a
+twentieth of them: so the layouts that some of the pages share, and optional parts, have classes of their own.
+Chains of elements nest the valid classes into the host's template.
+
+A page holds those classes whose tokens it has, in the template's order; a token out of order is left aside
+on that page. What an element of the template holds outside of its template children is a slot. The main slot is found from
+the root down: at each element the one child that is the page's article, or holds most of the text, until
+the text is spread over several. It is read with the slots nested in it, but for text that is part of a
+class itself (the words of a template), lists of links among the nested slots, and elements that their tag
+or role sets apart. Words in ids and classes are a fallback: they set an element apart only if it recurs on
+the host, or on hosts of one or two pages, where no class can tell.
 
 A page is parsed twice, and goes to its host's template in a join on host and chunk: large hosts are cut
 into chunks of CHUNK_PAGES pages, and each chunk gets a copy of the template. The template of a host has
-at most twice as many tokens as a page.
+at most as many tokens as some twenty of its pages.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +48,7 @@ _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins k
 _VOID = frozenset("area base br col embed hr img input link meta param source track".split())
 #: Elements that end an open paragraph before them.
 _BLOCKS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+_CLOSED_BY_NEXT = frozenset("p li tr td th option dt dd".split())
 _OTHER_TAGS = frozenset("head nav footer aside form button select dialog".split())
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu".split())
 _OTHER_WORDS = frozenset(
@@ -47,148 +56,203 @@ _OTHER_WORDS = frozenset(
     "nav navbar navigation newsletter notice notices pagination popup promo promoted related respond search share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+#: Words beside these that say no more: ad-slot and comment-list are marked, share-prices is not.
+_BESIDE = frozenset(
+    "area bar block body bottom box btn button buttons container content form group header holder inner item items left links list main message panel posts primary right row secondary section site "
+    "slot text title top unit wrap wrapper".split()
+)
 #: These mark what has articles of its own, however long it is.
 _APART = frozenset("comment comments disqus related respond".split())
 #: Ids and classes of these only name them: they are parts of a text, as <h2 id="login-flow">.
-_NAMED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+_NAMED = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
+_ARTICLES = ("article", "main")
 _HEADER_WORDS = frozenset("header masthead topbar".split())
+#: Through these the main slot is looked for.
+_HOLDERS = frozenset("html body div section main article table tbody tr td center".split())
 _WORDS = re.compile(r"[a-z]+")
-#: A class such as has-sidebar says what else the page has.
 #: Long numbers and hex in ids and classes differ by page, as in post-123; short ones tell columns apart, as col-8 and col-4.
 _NUMBERS = re.compile(r"(?<![a-z0-9])(?=[a-f]*[0-9])[0-9a-f]{6,}(?![a-z0-9])|[0-9]{3,}")
 _DIGITS = re.compile(r"(?<![a-z0-9])(?=[a-f]*[0-9])[0-9a-f]{6,}(?![a-z0-9])|[0-9]+")
-_ABOUT = re.compile(r"\b(?:has|with|without|no|is)[-_][\w-]+", re.I)
 
 
-def parse(page: str) -> Iterator[tuple[str, bool, str]]:
-    """(path, other, text) of every text block in page order; text may be empty. other: not main text.
+def _marks(name: str, words: frozenset) -> set[str]:
+    """The words of an id or class that mark other text, if it says nothing else."""
+    found = set(_WORDS.findall(name))
+    return found & words if found and found <= words | _BESIDE else set()
 
-    The path names the open block elements, divided by "/"; inline elements are part of a block. Elements
-    that a word or a form marks are other only if the page bears it out: one outside of articles doesn't if
-    it holds most of the page's text and no article lies elsewhere, and a section of an article, named by an
-    id that says more than the word, only if most of it are links.
-    """
-    blocks = list(_marked(page))
-    total, own, held, links = 0, False, {}, {}
-    for _, marks, text, linked, inside in blocks:
-        if all(lift for _, lift in marks):
-            total += len(text)
-            own = own or bool(text and inside and not marks)
-            for m in marks:
-                held[m] = held.get(m, 0) + len(text)
-                links[m] = links.get(m, 0) + linked
-    lifted = {m for m, n in held.items() if (2 * links[m] <= n if m[1] == "section" else 2 * n > total and not own)}
-    for path, marks, text, _, _ in blocks:
-        yield path, any(m not in lifted for m in marks), text
-
-
-def _marked(page: str) -> Iterator[tuple[str, tuple[tuple[int, str], ...], str, int, bool]]:
-    """(path, marks, text, characters in links, inside an article) of every text block in page order.
-
-    A mark is the number of an element and how it may be lifted: not at all (""), as a "wrapper" or a "section".
+
+class Page:
+    """A parsed page: its elements as a tree of numbers, in page order, and its text blocks.
+
+    Element 0 is the page itself. token is the hash of an element's chain of names; set_apart says why an
+    element is not main text by itself: "" (it is), "tag" or "name". blocks are (element, text, characters
+    in links); inline elements are part of a block. All work grows with the page's length, however deep it is.
     """
-    stack: list[tuple[str, str, tuple]] = [("", "", ())]  # tag, path, marks
-    buffer: list[str] = []
-    count, link, linked = 0, False, 0
-
-    def flush():
-        nonlocal link, linked
-        _, path, marks = stack[-1]
-        text = " ".join("".join(buffer).split())
-        n = min(linked, len(text))
-        buffer.clear()
-        linked = 0
-        return path, marks, text, n, any(x[0] in ("article", "main") for x in stack)
 
-    at = 0
-    for m in _TOKENS.finditer(page):
-        if m.start() > at:
-            buffer.append(entities.unescape(page[at : m.start()]))
-            if link:
-                linked += len(buffer[-1])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag in ("br", "hr"):
-            buffer.append(" ")
-            continue
-        if tag in _VOID:
-            continue
-        if tag == "a":
-            link = not m["close"]
-        if m["close"]:
-            if tag in _INLINE and not any(x[0] == tag for x in stack):
+    def __init__(self, html: str):
+        import xxhash
+
+        self.parent, self.tag, self.token, self.set_apart = [0], [""], [0], [""]
+        self.blocks: list[tuple[int, str, int]] = []
+        wrapper: list[bool] = [False]  # may hold the page's text in spite of its mark
+        inside_of: list[int] = [0]  # the article around an element
+        stack, open_, buffer = [0], {}, []
+        nameless: dict[tuple[int, str], int] = {}  # how many of an element's children have no name but their tag
+        link, linked, at = False, 0, 0
+
+        def flush() -> None:
+            nonlocal linked
+            if text := " ".join("".join(buffer).split()):
+                self.blocks.append((stack[-1], text, min(linked, len(text))))
+            buffer.clear()
+            linked = 0
+
+        def pop() -> None:
+            open_[self.tag[stack.pop()]] -= 1
+
+        for m in _TOKENS.finditer(html):
+            if m.start() > at:
+                buffer.append(entities.unescape(html[at : m.start()]))
+                if link:
+                    linked += len(buffer[-1])
+            at = m.end()
+            tag = m["tag"]
+            if tag is None:
                 continue
-            yield flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-            continue
-        named = " ".join((a or b or c).lower() if n.lower() != "role" else f"role={(a or b or c).lower()}" for n, a, b, c in _ATTRIBUTE.findall(m["attrs"])) if m["attrs"] else ""
-        words = set(_WORDS.findall(_ABOUT.sub(" ", named)))
-        inside = any(x[0] in ("article", "main") for x in stack)
-        by_role = any(f"role={r}" in named for r in _OTHER_ROLES)
-        by_header = not inside and (tag == "header" or bool(words & _HEADER_WORDS))
-        other = tag in _OTHER_TAGS or bool(words & _OTHER_WORDS) or by_role or by_header
-        if tag in ("html", "body", "article", "main") or tag in _NAMED:
-            other = False
-        lift = ""
-        if other and not by_role and not by_header and (tag == "form" or tag not in _OTHER_TAGS):
-            if not inside:
-                lift = "" if words & _APART else "wrapper"
-            elif tag == "section":
-                parts = {n.lower(): set(_WORDS.findall((a or b or c).lower())) for n, a, b, c in _ATTRIBUTE.findall(m["attrs"])}
-                lift = "section" if not parts.get("class", set()) & _OTHER_WORDS and parts.get("id", set()) - _OTHER_WORDS else ""
-        if tag in _INLINE and not other:
-            continue
-        yield flush()
-        if tag in _BLOCKS and stack[-1][0] == "p" or tag == stack[-1][0] in ("p", "li", "tr", "td", "th", "option", "dt", "dd"):
-            stack.pop()
-        numbers = _DIGITS if tag in ("html", "body", "article", "main") else _NUMBERS
-        name = tag + "".join(f".{x}" for x in sorted(numbers.sub("#", named.replace("/", "")).split()))
-        count += 1
-        stack.append((tag, f"{stack[-1][1]}/{name}", stack[-1][2] + ((count, lift),) * other))
-    if at < len(page):
-        buffer.append(entities.unescape(page[at:]))
-    yield flush()
+            tag = tag.lower()
+            if tag in ("br", "hr"):
+                buffer.append(" ")
+                continue
+            if tag in _VOID:
+                continue
+            if tag == "a":
+                link = not m["close"]
+            if m["close"]:
+                if tag in _INLINE and not open_.get(tag):
+                    continue
+                flush()
+                if open_.get(tag):
+                    while self.tag[stack[-1]] != tag:
+                        pop()
+                    pop()
+                continue
+            found = [(n.lower(), (a or b or c).lower()) for n, a, b, c in _ATTRIBUTE.findall(m["attrs"])] if m["attrs"] else []
+            names = [x for n, v in found if n != "role" for x in v.split()]
+            article = inside_of[stack[-1]]
+            by_tag = tag in _OTHER_TAGS or any(n == "role" and v in _OTHER_ROLES for n, v in found)
+            by_tag = by_tag or not article and (tag == "header" or any(_marks(x, _HEADER_WORDS) for x in names))
+            words = set() if tag in _NAMED else set().union(*(_marks(x, _OTHER_WORDS) for x in names)) if names else set()
+            if tag in _NAMED:
+                by_tag = False
+            if tag in _INLINE and not words and not by_tag:
+                continue
+            flush()
+            top = self.tag[stack[-1]]
+            if tag in _BLOCKS and top == "p" or tag == top and tag in _CLOSED_BY_NEXT:
+                pop()
+            numbers = _DIGITS if tag in ("html", "body", *_ARTICLES) else _NUMBERS
+            name = tag + "".join(f".{x}" for x in sorted(numbers.sub("#", " ".join([*names, *(f"role={v}" for n, v in found if n == "role")])).split()))
+            above = stack[-1]
+            if name == tag and tag in _HOLDERS:
+                # Their place tells them apart, as far as a layout goes.
+                nth = nameless[above, tag] = nameless.get((above, tag), 0) + 1
+                name = f"{tag}:{min(nth, 9)}"
+            self.parent.append(above)
+            self.tag.append(tag)
+            self.token.append((xxhash.xxh64_intdigest(f"{self.token[above]}/{name}") + (1 << 63)) % (1 << 64) - (1 << 63))
+            self.set_apart.append("tag" if by_tag else "name" if words else "")
+            wrapper.append((tag == "form" or not by_tag) and not (words & _APART and not article))
+            inside_of.append(len(self.parent) - 1 if tag in _ARTICLES else article)
+            stack.append(len(self.parent) - 1)
+            open_[tag] = open_.get(tag, 0) + 1
+        if at < len(html):
+            buffer.append(entities.unescape(html[at:]))
+        flush()
+        self._lift(wrapper, inside_of)
+
+    def sums(self, values: list[int]) -> list[int]:
+        """Of each element the sum over itself and all in it."""
+        for k in range(len(values) - 1, 0, -1):
+            values[self.parent[k]] += values[k]
+        return values
+
+    def _lift(self, wrapper: list[bool], inside_of: list[int]) -> None:
+        """Takes back marks of elements that hold most of the text of their page or article: they are around it."""
+        chars = [0] * len(self.parent)
+        own_article = False
+        for node, text, _ in self.blocks:
+            chars[node] += len(text)
+        fixed = [False] * len(chars)  # set apart for good, itself or by what it is in
+        marked = [False] * len(chars)
+        for k in range(1, len(chars)):
+            fixed[k] = fixed[self.parent[k]] or self.set_apart[k] != "" and not wrapper[k]
+            marked[k] = marked[self.parent[k]] or self.set_apart[k] != ""
+            if fixed[k]:
+                chars[k] = 0
+        for node, text, _ in self.blocks:
+            own_article = own_article or inside_of[node] > 0 and not marked[node]
+        chars = self.sums(chars)
+        for k in range(1, len(chars)):
+            if self.set_apart[k] and wrapper[k]:
+                around = inside_of[k] if inside_of[k] != k else 0
+                if 2 * chars[k] > chars[around] and (around or not own_article):
+                    self.set_apart[k] = ""
+
+    def other(self, regular: set[int] | None = None) -> list[bool]:
+        """Of each element whether it is set apart, itself or by what it is in. Names count for tokens in regular, None: for all."""
+        out = [False] * len(self.parent)
+        for k in range(1, len(out)):
+            mark = self.set_apart[k]
+            out[k] = out[self.parent[k]] or mark == "tag" or mark == "name" and (regular is None or self.token[k] in regular)
+        return out
+
+
+def _text_token(element: int, text: str) -> int:
+    import xxhash
 
+    return (xxhash.xxh64_intdigest(f"{element}#{text}") + (1 << 63)) % (1 << 64) - (1 << 63)
 
-def _above(path: str) -> Iterator[str]:
-    while path:
-        yield path
-        path = path.rpartition("/")[0]
+
+_TOKEN = "token long, parent long, tag string, marked boolean, n long, chars long, links long, pos long"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page's tokens: elements with how often they open and the text in them, text blocks with neither."""
-    import xxhash
+    """Each page's tokens: how often they come, the main text in them and how much of it are links, and their place."""
+    names = ["host", "page", *(c.split()[0] for c in _TOKEN.split(", "))]
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), *[pa.int64()] * 4)
+
+    def table(out: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*((*k[:2], k[2], *v) for k, v in out.items())), kinds)], names)
 
     for batch in batches:
-        out: list[tuple] = []
-        for host, page, text in zip(batch["host"].to_pylist(), batch["page"].to_pylist(), batch["html"]):
-            opened: dict[str, int] = {}
-            chars: dict[str, int] = {}
-            blocks: dict[str, int] = {}
-            last = ""
-            for path, other, block in parse(text.as_py() or ""):
-                if path != last:
-                    for x in _above(path):
-                        if last == x or last.startswith(x + "/"):
-                            break
-                        opened[x] = opened.get(x, 0) + 1
-                    last = path
-                if block and not other:
-                    for x in _above(path):
-                        chars[x] = chars.get(x, 0) + len(block)
-                    blocks[block] = blocks.get(block, 0) + 1
-            out += [(host, page, x, n, chars.get(x, 0)) for x, n in opened.items()]
-            out += [(host, page, "#" + xxhash.xxh3_128_hexdigest(b), n, n * len(b)) for b, n in blocks.items()]
+        out: dict[tuple, list] = {}
+        for row, (host, number, text) in enumerate(zip(batch["host"].to_pylist(), batch["page"].to_pylist(), batch["html"])):
+            page = Page(text.as_py() or "")
+            other = page.other()
+            chars, links = [0] * len(other), [0] * len(other)
+            for node, block, linked in page.blocks:
+                if not other[node]:
+                    chars[node] += len(block)
+                    links[node] += linked
+            chars, links = page.sums(chars), page.sums(links)
+            seen: dict[int, list] = {}
+            for k in range(1, len(other)):
+                own = seen.setdefault(page.token[k], [page.token[page.parent[k]], page.tag[k], page.set_apart[k] == "name", 0, 0, 0, k])
+                own[3] += 1
+                own[4] += chars[k]
+                own[5] += links[k]
+            for k, (node, block, linked) in enumerate(page.blocks):
+                if not other[node]:
+                    own = seen.setdefault(_text_token(page.token[node], block), [page.token[node], "#", False, 0, 0, 0, node])
+                    own[3] += 1
+                    own[4] += len(block)
+                    own[5] += linked
+            out |= {(host, number, token, row): v for token, v in seen.items()}
+            if len(out) > 50_000:
+                yield table(out)
+                out = {}
         if out:
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["host", "page", "token", "n", "chars"])
+            yield table(out)
 
 
 def _sizes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -209,99 +273,159 @@ def _joined(many: DataFrame, one: DataFrame, large: DataFrame, by: str, how: str
     return many.join(one, ["host", "_chunk"], how).drop("_chunk")
 
 
-def templates(pages: DataFrame, support: float = 0.5, text_pages: int = 5, sizes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """pages(host, page, html) as host and its template: tokens with the characters in them.
+def templates(pages: DataFrame, support: float = 0.5, part: float = 0.05, part_pages: int = 3, part_tokens: int = 3, text_pages: int = 5, sizes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """pages(host, page, html) as host, pages, its template's classes, and regular: the marked tokens that recur.
 
-    Valid classes have tokens that come once a page, on support of the host's pages or more. Text blocks
-    are template text if they are on all of at least text_pages pages.
+    A class is on support of the host's pages, or on part of them (part_pages at least) and has part_tokens or
+    more. Text is part of a class with elements that is on at least text_pages pages.
     """
     of_host, large = _sizes(pages) if sizes is None else sizes
-    tokens = pages.mapInArrow(_tokens, "host string, page long, token string, n long, chars long")
+    tokens = pages.mapInArrow(_tokens, "host string, page long, " + _TOKEN)
+    seen = F.xxhash64("page", "n")
     by_token = tokens.groupBy("host", "token").agg(
-        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("on"), F.max("n").alias("most"), F.sum("chars").alias("chars")
-    )
-    is_text = F.col("token").startswith("#")
-    valid = _joined(by_token, of_host, large, "token", "inner").filter(
-        F.when(is_text, (F.col("on") == F.col("pages")) & (F.col("pages") >= text_pages)).otherwise((F.col("most") == 1) & (F.col("on") >= support * F.col("pages")))
+        # Sums of both halves of a hash: vectors are told apart, and repeated pages count anew.
+        F.sum(seen.bitwiseAND(F.lit(0xFFFFFFFF))).alias("v1"), F.sum(F.shiftrightunsigned(seen, 32)).alias("v2"), F.count("*").alias("on"), F.max("n").alias("most"),
+        F.min("parent").alias("parent"), F.min("tag").alias("tag"), F.max("marked").alias("marked"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.sum("pos").alias("pos"),
+    )
+    known = _joined(by_token, of_host, large, "token", "inner")
+    frequent = F.col("on") >= support * F.col("pages")
+    partly = (F.col("on") >= part * F.col("pages")) & (F.col("on") >= part_pages)
+    once = (F.col("most") == 1) & ((F.col("tag") != "#") | (F.col("on") >= text_pages))
+    known = known.filter((frequent | partly) & (once | F.col("marked")))
+    token = F.struct("token", "parent", "tag", "chars", "links", (F.col("pos") / F.col("on")).alias("pos"))
+    classes = known.groupBy("host", "v1", "v2", "on", "most").agg(
+        F.collect_list(F.when(once, token)).alias("tokens"), F.max(F.col("tag") != "#").alias("elements"), F.max(frequent).alias("frequent"),
+        F.collect_list(F.when(F.col("marked"), F.col("token"))).alias("marked"), F.max("pages").alias("pages"),
     )
-    classes = valid.groupBy("host", "vector", "on").agg(F.collect_list(F.struct("token", "chars")).alias("tokens"))
-    return classes.groupBy("host").agg(F.collect_list("tokens").alias("classes"))
-
-
-def main_element(elements: dict[str, int]) -> str:
-    """From the root of a template down to the element of the main slot."""
-    at = ""
+    valid = (F.col("most") == 1) & F.col("elements") & (F.col("frequent") | (F.size("tokens") >= part_tokens))
+    found = classes.groupBy("host").agg(F.max("pages").alias("pages"), F.collect_list(F.when(valid, F.col("tokens"))).alias("classes"), F.flatten(F.collect_list("marked")).alias("regular"))
+    return found
+
+
+def in_order(places: list[int]) -> list[int]:
+    """Which of the places make the longest rising sequence."""
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(places)
+    for k, x in enumerate(places):
+        j = bisect_left(ends, x)
+        before[k] = last[j - 1] if j else -1
+        ends[j : j + 1] = [x]
+        last[j : j + 1] = [k]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def main_element(children: dict[int, list[int]], tags: dict[int, str], chars: dict[int, int]) -> int:
+    """From the root of a template (0) down to the element of the main slot."""
+    at = 0
     while True:
-        depth = at.count("/") + 1
-        children = [x for x in elements if x.startswith(at + "/") and x.count("/") == depth]
-        marked = [x for x in children if x.rpartition("/")[2].partition(".")[0] in ("article", "main") and elements[x]]
+        below = children.get(at, [])
+        marked = [x for x in below if tags[x] in _ARTICLES and chars[x]]
         if len(marked) == 1:
             at = marked[0]
             continue
-        total = elements.get(at) or sum(elements[x] for x in children)
-        most = max(children, key=lambda x: (elements[x], x), default=None)
-        name = at.rpartition("/")[2].partition(".")[0]
-        if name == "article" or most is None or elements[most] * 2 <= total or most.rpartition("/")[2].partition(".")[0] not in ("html", "body", "div", "section", "main", "article", "table", "tbody", "tr", "td", "center"):
+        total = chars[at] if at else sum(chars[x] for x in below)
+        most = max(below, key=lambda x: (chars[x], x), default=None)
+        if tags.get(at) == "article" or most is None or 2 * chars[most] <= total or tags[most] not in _HOLDERS:
             return at
         at = most
 
 
-def own_article(parsed: list[tuple[str, bool, str]], main: str) -> str:
-    """The path of a page's one article or main below the main slot, if it holds most of the slot's text; else the slot."""
-    opened: dict[str, int] = {}
-    chars: dict[str, int] = {}
-    last, total = "", 0
-    for path, other, block in parsed:
-        if other or (main and path != main and not path.startswith(main + "/")):
-            last = path
-            continue
-        total += len(block)
-        found = ""
-        for x in _above(path):
-            if x == main:
-                break
-            if x.rpartition("/")[2].partition(".")[0] in ("article", "main"):
-                found = x
-        if found:
-            if last != found and not last.startswith(found + "/"):
-                opened[found] = opened.get(found, 0) + 1
-            chars[found] = chars.get(found, 0) + len(block)
-        last = path
-    if len(opened) == 1 and sum(opened.values()) == 1 and 2 * sum(chars.values()) > total:
-        return next(iter(opened))
-    return main
+def _tree(tokens: list[tuple[int, int, str, int]]) -> tuple[dict, dict, dict]:
+    children, tags, chars = {}, {}, {}
+    for token, parent, tag, n in tokens:
+        children.setdefault(parent, []).append(token)
+        tags[token], chars[token] = tag, n
+    return children, tags, chars
+
+
+class Template:
+    """The valid classes of a host, matched to a page at a time."""
+
+    def __init__(self, pages: int, classes: list, regular: list):
+        self.pages = pages
+        self.classes = [sorted(c, key=lambda t: (t["pos"], t["tag"] == "#", t["token"])) for c in classes]
+        # On one or two pages nothing recurs, so names have to do.
+        self.regular = set(regular) if pages > 2 else None
+
+    def read(self, page: Page) -> str:
+        other = page.other(self.regular)
+        place: dict[int, int] = {}
+        for k in range(1, len(page.parent)):
+            place.setdefault(page.token[k], k)
+        texts = {}
+        for node, block, _ in page.blocks:
+            texts.setdefault(_text_token(page.token[node], block), node)
+        held, fixed = [], set()
+        for c in self.classes:
+            elements = [t for t in c if t["tag"] != "#"]
+            if not all(t["token"] in place for t in elements):
+                continue
+            ordered = in_order([place[t["token"]] for t in elements])
+            held += [elements[k] for k in ordered]
+            fixed |= {t["token"] for t in c if t["tag"] == "#" and t["token"] in texts}
+        children, tags, chars = _tree([(t["token"], t["parent"], t["tag"], t["chars"]) for t in held])
+        main = main_element(children, tags, chars)
+        inside = self._inside(page, main)
+        if main and not any(inside[node] and not other[node] for node, _, _ in page.blocks):
+            # A page of another kind is a template of its own.
+            held, inside = [], self._inside(page, self._own_main(page, other))
+        # Pages that are copies of each other have nothing but common text.
+        own = [(node, b) for node, b, _ in page.blocks if inside[node] and not other[node]]
+        common = sum(len(b) for node, b in own if _text_token(page.token[node], b) in fixed)
+        if 5 * common >= sum(len(b) for _, b in own):
+            fixed = set()
+        article = self._own_article(page, own, inside)
+        # Lists among the nested slots that hold links only are menus of the article.
+        menus = {t["token"] for t in held if t["tag"] in ("ul", "ol") and t["token"] != main and 10 * t["links"] >= 9 * t["chars"] > 0} if self.pages >= 5 else set()
+        apart = [False] * len(inside)
+        for k in range(1, len(inside)):
+            apart[k] = apart[page.parent[k]] or page.token[k] in menus
+        return " ".join(b for node, b in own if article[node] and not apart[node] and _text_token(page.token[node], b) not in fixed)
+
+    def _inside(self, page: Page, main: int) -> list[bool]:
+        out = [main == 0] * len(page.parent)
+        for k in range(1, len(out)):
+            out[k] = out[page.parent[k]] or page.token[k] == main
+        return out
+
+    def _own_main(self, page: Page, other: list[bool]) -> int:
+        chars = [0] * len(other)
+        for node, block, _ in page.blocks:
+            chars[node] += len(block) * (not other[node])
+        chars = page.sums(chars)
+        seen: dict[int, list] = {}
+        for k in range(1, len(other)):
+            own = seen.setdefault(page.token[k], [page.token[page.parent[k]], page.tag[k], 0])
+            own[2] += chars[k]
+        return main_element(*_tree([(t, *v) for t, v in seen.items()]))
+
+    def _own_article(self, page: Page, own: list[tuple[int, str]], inside: list[bool]) -> list[bool]:
+        """What lies in a page's one article or main below the main slot, if that holds most of the slot's text; else all."""
+        of = [0] * len(inside)
+        for k in range(1, len(of)):
+            above = of[page.parent[k]]
+            of[k] = above or (k if inside[k] and inside[page.parent[k]] and page.tag[k] in _ARTICLES else 0)
+        found = {of[node] for node, _ in own} - {0}
+        if len(found) == 1 and 2 * sum(len(b) for node, b in own if of[node]) > sum(len(b) for _, b in own):
+            return [x > 0 for x in of]
+        return [True] * len(of)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
-    known: dict[str, tuple[str, set]] = {}
+    known: dict[str, Template] = {}
     for batch in batches:
         texts = []
-        for host, classes, text in zip(batch["host"].to_pylist(), batch["classes"], batch["html"]):
+        for host, pages, classes, regular, text in zip(batch["host"].to_pylist(), batch["pages"].to_pylist(), batch["classes"], batch["regular"], batch["html"]):
             if host not in known:
                 if len(known) > 1000:
                     known.clear()
-                tokens = {t["token"]: t["chars"] for c in classes.as_py() or [] for t in c}
-                elements = {k: v for k, v in tokens.items() if not k.startswith("#")}
-                main = main_element(elements)
-                fixed = {k[1:]: v for k, v in tokens.items() if k.startswith("#")}
-                # Pages that are copies of each other have nothing but common text.
-                few = sum(fixed.values()) * 5 < elements.get(main, 0)
-                known[host] = main, set(fixed) if few else set()
-            main, fixed = known[host]
-            parsed = list(parse(text.as_py() or ""))
-            blocks = [(p, b) for p, other, b in parsed if b and not other]
-            if main and not any(p == main or p.startswith(main + "/") for p, _ in blocks):
-                # A page of another kind has its own main slot.
-                own: dict[str, int] = {}
-                for p, b in blocks:
-                    for x in _above(p):
-                        own[x] = own.get(x, 0) + len(b)
-                main = main_element(own)
-            main = own_article(parsed, main)
-            kept = [b for p, b in blocks if not main or p == main or p.startswith(main + "/")]
-            texts.append(" ".join(b for b in kept if not fixed or xxhash.xxh3_128_hexdigest(b) not in fixed))
+                known[host] = Template(pages or 1, classes.as_py() or [], regular.as_py() or [])
+            texts.append(known[host].read(Page(text.as_py() or "")))
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -310,14 +434,15 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Character references are decoded, white space in a block becomes one blank, and blocks are joined by
     one blank in page order. A null or empty html gives an empty text. Pages without a readable host in
-    their url share one host. Repeated rows are pages of their own. An empty table gives an empty result.
+    their url share one host. Repeated rows are pages of their own; other columns are left out. An empty
+    table gives an empty result.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page"))
     sizes = _sizes(pages)
     found = templates(pages.select("host", "page", "html"), sizes=sizes)
     joined = _joined(pages, found, sizes[1], "page", "left")
-    return joined.select("page_id", "url", "host", "classes", "html").mapInArrow(_extracted, "page_id long, url string, text string")
+    return joined.select("page_id", "url", "host", "pages", "classes", "regular", "html").mapInArrow(_extracted, "page_id long, url string, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
