@@ -271,6 +271,72 @@ def test_names_that_differ_by_page(spark):
     assert {r.page_id: r.text for r in got} == {r[0]: want(r[0] % 10) if r[0] < 20 else ' '.join([want(r[0] % 10)] * 3) for r in rows}
 
 
+def prose(k, n=1):
+    rng = random.Random(k)
+    return " ".join("".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(2, 9))) for _ in range(30 * n))
+
+
+def extracted(spark, rows, **shape):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, text long, page string")
+    return {r.page_id: r.text for r in html_extract.extract(df).collect()}
+
+
+def test_classes_decide_what_is_read(spark, monkeypatch):
+    """Parts that only some of the pages have, and template text with an odd page among the host's, need whole classes."""
+    rows = []
+    for k in range(20):
+        note = "<div><div><p>All of our pages are free to read and to share</p></div><div><p>Ask us</p></div></div>" if k % 3 else ""
+        rows.append((k, f"https://div.example/{k}", page(f"<div><div>Start {k}</div><div><div>Reader since 1990</div><div>{prose(k)}</div>{note}<div>{prose(k + 100)}</div></div></div>"), "", 0, ""))
+    rows.append((20, "https://div.example/none", None, "", 0, ""))
+    rows.append((21, "https://div.example/error", "<html><body><h1>Gone</h1></body></html>", "", 0, ""))
+    got = extracted(spark, rows)
+    body = lambda k: f"{prose(k)} {prose(k + 100)}"
+    assert {k: v for k, v in got.items() if k < 20} == {k: body(k) for k in range(20)} and got[20] == "" and got[21] == "Gone"
+    # Without its classes a host has no template.
+    whole = html_extract.templates
+    monkeypatch.setattr(html_extract, "templates", lambda pages, **kind: whole(pages, **kind).withColumn("classes", F.filter("classes", lambda c: F.lit(False))))
+    off = extracted(spark, rows)
+    assert sum(off[k] != body(k) for k in range(20)) == 20
+
+
+def test_pages_that_copy_each_other(spark):
+    rows = [(k, "https://copies.example/a", page(f"<div>Menu</div><div>{prose(1, 4)}</div>"), "", 0, "") for k in range(6)]
+    rows += [(7, "https://copies.example/a", rows[0][2], "", 0, "")] * 2
+    got = extracted(spark, rows)
+    assert set(got.values()) == {prose(1, 4)} and len(got) == 7
+
+
+def test_deep_and_long_pages(spark):
+    deep = "".join(f'<div class="c{k % 7}">' for k in range(50_000)) + prose(2)
+    rows = [(1, "https://deep.example/1", deep, "", 0, ""), (2, "https://deep.example/2", page("<article>" + f"<p>{prose(3)}</p>" * 5_000 + "</article>"), "", 0, ""), (3, "https://deep.example/3", "</p>" * 50_000 + "<" * 1000, "", 0, "")]
+    got = extracted(spark, rows)
+    assert got[1] == prose(2) and got[2] == " ".join([prose(3)] * 5_000)
+
+
+def test_words_in_names_are_a_fallback(spark):
+    names = ('class="share-prices"', 'id="notice-of-motion"', 'class="related-work"', 'class="search"')
+    parts = [f"<div {x}>{prose(k)}</div>" for k, x in enumerate(names)]
+    want = " ".join(prose(k) for k in range(3))
+    one = [(k, f"https://n{k}.example/", page(f"<article>{''.join(parts[:3])}</article>"), "", 0, "") for k in range(2)]
+    # A name that comes up on one of many pages is that article's own.
+    many = [(10 + k, f"https://many.example/{k}", page(f'<article>{prose(20 + k, 4)}{parts[3] if k == 4 else ""}<div class="ad-box">Buy {k}</div></article>'), "", 0, "") for k in range(8)]
+    got = extracted(spark, one + many)
+    assert got[0] == got[1] == want
+    assert {k: got[k] for k in range(10, 18)} == {10 + k: prose(20 + k, 4) + (" " + prose(3) if k == 4 else "") for k in range(8)}
+
+
+def test_longest_rising_sequence():
+    rng = random.Random(1)
+    for _ in range(200):
+        x = [rng.randrange(12) for _ in range(rng.randrange(0, 9))]
+        found = html_extract.in_order(x)
+        assert all(x[a] < x[b] and a < b for a, b in zip(found, found[1:]))
+        best = [1] * len(x)
+        for k in range(len(x)):
+            best[k] = 1 + max((best[j] for j in range(k) if x[j] < x[k]), default=0)
+        assert len(found) == max(best, default=0)
+
+
 # --- chats
 
 
