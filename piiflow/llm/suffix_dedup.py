@@ -9,12 +9,16 @@ A suffix array of the whole corpus is never in one place. Its suffixes are dealt
    task sees a hash twice itself, one run of it stands for the others in the shuffle.
 2. Segments. The bytes under the runs that are left are cut out, once for each text: exact copies of a
    document beyond the first are removed whole. Of equal segments in a batch only the first goes on.
-3. Refinement. A shard puts the suffixes of its segments into buckets by their first 8 bytes; each round
-   refines a bucket by the bucket identifiers that its suffixes have 8, 16 and 32 bytes further on,
-   as the last round left them. Buckets of one suffix are final. Windows whose suffixes share the bucket
-   for 64 bytes, and whose suffixes 36 bytes on do, are equal.
-4. Where one hash has over HOT_SEGMENTS runs, no task gets them all: their windows go out one by one,
-   keyed by 128-bit hashes, and of equal windows in a batch only the first.
+3. Refinement. A shard puts the suffixes of its segments into buckets by their first 8 bytes, and each suffix
+   points to its bucket. Buckets are then refined one group after the other, each to its end: its suffixes
+   are sorted by the pointers of the suffixes 8 bytes further on, the parts get pointers of their own at once,
+   and each part goes on where the bytes end that its pointers vouch for. So later steps, and later groups, read the finer
+   pointers that earlier ones have left. Windows that stand side by side in the order and agree in all of
+   their bytes are equal.
+4. Where one hash has over HOT_SEGMENTS runs, no task gets them all: their windows go out one by one as
+   segments of their own, dealt by their content and refined like the others; of equal windows in a batch only
+   the first. What comes of one window fills no memory: of each part that a task takes in, the earliest of
+   equal windows stays for the next.
 """
 
 from __future__ import annotations
@@ -178,7 +182,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _GONE, _SEGMENT, _WINDOW = 0, 1, 2
-_SEGMENTS = "kind int, key long, h1 long, h2 long, doc long, t long, start int, n int, data binary"
+_SEGMENTS = "kind int, key long, doc long, t long, start int, n int, data binary"
 
 
 def _segments(length: int):
@@ -192,22 +196,20 @@ def _segments(length: int):
             first: dict[bytes, tuple] = {}
 
             def add(kind: int, key: int | None, piece: bytes, doc: int, t: int, start: int, n: int) -> None:
-                digest = xxhash.xxh3_128_digest(piece)
-                h1, h2 = np.frombuffer(digest, np.int64).tolist()
-                own = (doc, t, start, n, kind, h1 if key is None else key, h1, h2, piece if kind == _SEGMENT else None)
-                known = first.setdefault(digest, own)
+                own = (doc, t, start, n, kind, xxhash.xxh3_64_intdigest(piece) - (1 << 63) if key is None else key)
+                known = first.setdefault(piece, own)
                 if known[:3] == own[:3]:
                     return
                 # One of the two starts earlier; the other goes, wherever else the bytes occur.
                 gone = max(known, own, key=lambda x: x[:3])
                 if gone is known:
-                    first[digest] = own
-                rows.append((_GONE, gone[0] ^ gone[1] ^ gone[2], 0, 0, *gone[:4], None))
+                    first[piece] = own
+                rows.append((_GONE, gone[0] ^ gone[1] ^ gone[2], *gone[:4], None))
 
             def done() -> pa.RecordBatch:
-                kinds = [pa.int32()] + [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
+                kinds = [pa.int32()] + [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
                 names = [c.split()[0] for c in _SEGMENTS.split(", ")]
-                out = rows + [(kind, key, h1, h2, doc, t, start, n, data) for doc, t, start, n, kind, key, h1, h2, data in first.values()]
+                out = rows + [(kind, key, doc, t, start, n, piece) for piece, (doc, t, start, n, kind, key) in first.items()]
                 return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
             for doc, t, text, runs in zip(*(batch[c] for c in ("doc", "t", "text", "runs"))):
@@ -231,99 +233,133 @@ def _segments(length: int):
     return run
 
 
-def refine(data: np.ndarray, upto: int = 64) -> np.ndarray:
-    """Bucket identifiers of all suffixes by their first upto bytes (8, 16, 32 ...): equal ones share one."""
-    padded = np.concatenate((data, np.zeros(upto, np.uint8)))
-    codes = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)]
-    codes = np.ascontiguousarray(codes).view(">u8").ravel().astype(np.uint64)
+def refine(data: np.ndarray, upto: int = LENGTH, group: int = 1 << 18) -> np.ndarray:
+    """All suffixes in order of their first upto bytes or more: bucket-pointer refinement.
+
+    group: how many suffixes are refined together, to their end, before the next ones read their pointers.
+    """
+    n, q = len(data), 8
+    codes = _eights(np.concatenate((data, np.zeros(upto, np.uint8))))[:n]
     order = np.argsort(codes, kind="stable")
     code = codes[order]
-    new = np.concatenate(([True], code[1:] != code[:-1]))
-    place = np.maximum.accumulate(np.where(new, np.arange(len(code)), 0))
-    # A bucket's identifier is the place of its first suffix, so refined buckets stay in order.
-    bucket = np.empty(len(code) + upto, np.int64)
-    bucket[len(code) :] = -1
-    bucket[order] = place
-    at, step = np.arange(len(code)), 8
-    while step < upto:
-        single = np.bincount(place, minlength=len(order))[place] == 1
-        at, order, place = at[~single], order[~single], place[~single]
-        if not len(order):
-            break
-        ahead = bucket[order + step]
-        by = np.lexsort((ahead, place))
-        order, ahead, place = order[by], ahead[by], place[by]
-        new = np.concatenate(([True], (place[1:] != place[:-1]) | (ahead[1:] != ahead[:-1])))
-        place = np.maximum.accumulate(np.where(new, at, 0))
-        bucket[order] = place
-        step *= 2
-    return bucket[: len(data)]
-
-
-def _earlier(length: int):
+    place = np.maximum.accumulate(np.where(np.concatenate(([True], code[1:] != code[:-1])), np.arange(n), 0))
+    # A bucket's pointer is the place of its first suffix, so the parts of a bucket stay in order.
+    pointer = np.full(n + upto, -1, np.int64)
+    pointer[order] = place
+    #: How many bytes the suffixes with one pointer share at least.
+    shared = np.full(n + upto, q, np.int64)
+    shared[n:] = upto
+    open_ = np.flatnonzero(np.bincount(place, minlength=n)[place] > 1)
+    begin = 0
+    while begin < len(open_):
+        end = min(begin + group, len(open_))
+        end = int(np.searchsorted(place[open_], place[open_[end - 1]], "right"))
+        at = open_[begin:end]
+        suffix, of, depth = order[at], place[at], shared[order[at]]
+        while len(at):
+            ahead, more = pointer[suffix + depth], shared[suffix + depth]
+            by = np.lexsort((ahead, of))
+            suffix, of, ahead, depth = suffix[by], of[by], ahead[by], (depth + more)[by]
+            of = np.maximum.accumulate(np.where(np.concatenate(([True], (of[1:] != of[:-1]) | (ahead[1:] != ahead[:-1]))), at, 0))
+            order[at] = suffix
+            pointer[suffix] = of
+            shared[suffix] = np.minimum(depth, upto)
+            ties = np.concatenate((of[1:] == of[:-1], [False]))
+            ties[1:] |= ties[:-1].copy()
+            live = ties & (depth < upto)
+            at, suffix, of, depth = at[live], suffix[live], of[live], depth[live]
+        begin = end
+    return order
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """Every 8 bytes in a row as a number that sorts like them."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(">u8").ravel().astype(np.uint64)
+
+
+def same_windows(data: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of windows in suffix order, and whether each equals the one before it."""
+    order = refine(data, length)
+    wanted = np.zeros(len(data), bool)
+    wanted[windows] = True
+    order = order[wanted[order]]
+    codes = _eights(data)
+    live = np.arange(1, len(order))
+    for k in [*range(0, length - 8, 8), length - 8]:
+        live = live[codes[order[live] + k] == codes[order[live - 1] + k]]
+    same = np.zeros(len(order), bool)
+    same[live] = True
+    return order, same
+
+
+def _earlier(length: int, shard_bytes: int = SHARD_BYTES):
+    columns = ("doc", "t", "start", "n")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by kind and key: the windows from a to b of a document that occur earlier."""
 
-        def equal_ones(x: dict) -> tuple[np.ndarray, np.ndarray]:
-            """The first place of each content, and all other places."""
-            by = np.lexsort((x["start"], x["t"], x["doc"], x["h2"], x["h1"]))
-            new = np.concatenate(([True], (x["h1"][by[1:]] != x["h1"][by[:-1]]) | (x["h2"][by[1:]] != x["h2"][by[:-1]])))
-            lead = by[new][np.cumsum(new) - 1]
-            later = (x["doc"][by] != x["doc"][lead]) | (x["t"][by] != x["t"][lead]) | (x["start"][by] != x["start"][lead])
-            return by[new], by[later]
+        def made(doc, t, a, b) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(t), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc", "t", "a", "b"])
 
-        def ranges(table: pa.Table) -> pa.RecordBatch:
-            kind = table["kind"].to_numpy()
-            out: list[tuple] = []
-            for k in np.unique(kind):
-                part = table.filter(pa.array(kind == k))
-                x = {c: part[c].to_numpy().astype(np.int64) for c in ("h1", "h2", "doc", "t", "start", "n")}
-                gone = np.arange(len(x["n"]))
-                if k != _GONE:
-                    first, gone = equal_ones(x)
-                out.append((x["doc"][gone], x["t"][gone], x["start"][gone], x["start"][gone] + x["n"][gone]))
-                if k == _SEGMENT:
-                    data = part["data"].combine_chunks()
-                    out.append(repeats([bytes(data[int(f)].as_buffer()) for f in first], *(x[c][first] for c in ("doc", "t", "start", "n"))))
-            columns = [np.concatenate(c) for c in zip(*out)]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3].astype(np.int32))], ["doc", "t", "a", "b"])
-
-        def repeats(parts: list[bytes], doc, t, start, n) -> tuple:
-            """Of different segments, the windows that occur in an earlier one, or before in the same."""
-            base = np.concatenate(([0], np.cumsum([len(p) for p in parts])))[:-1]
-            bucket = refine(np.frombuffer(b"".join(parts), np.uint8))
+        def ranges(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
+            """What occurs earlier, and which rows hold the first of some window."""
+            x = {c: table[c].to_numpy().astype(np.int64) for c in columns}
+            parts = [bytes(v.as_buffer()) for v in table["data"].combine_chunks()]
+            base = np.concatenate(([0], np.cumsum([len(p) for p in parts])))[:-1].astype(np.int64)
+            n = x["n"]
             segment = np.repeat(np.arange(len(n)), n)
             offset = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
-            place = base[segment] + offset
-            head, tail = bucket[place], bucket[place + length - 64]
-            order = np.lexsort((start[segment] + offset, t[segment], doc[segment], tail, head))
+            order, same = same_windows(np.frombuffer(b"".join(parts), np.uint8), base[segment] + offset, length)
+            number = np.zeros(len(segment) and int(base[-1]) + len(parts[-1]), np.int64)
+            number[base[segment] + offset] = np.arange(len(segment))
+            order = number[order]
+            s = segment[order]
+            by = np.lexsort((x["start"][s] + offset[order], x["t"][s], x["doc"][s], np.cumsum(~same)))
+            order = order[by]
             again = np.zeros(len(order) + 1, bool)
-            again[order[1:]] = (head[order[1:]] == head[order[:-1]]) & (tail[order[1:]] == tail[order[:-1]])
+            again[order[same]] = True
+            first = np.unique(segment[order[~same]])
             # Ranges of such windows end with their segment.
             opens = again[:-1] & (~np.concatenate(([False], again[:-2])) | (offset == 0))
             closes = again[:-1] & (~again[1:] | (offset == n[segment] - 1))
             a, b = np.flatnonzero(opens), np.flatnonzero(closes)
             s = segment[a]
-            return doc[s], t[s], start[s] + offset[a], start[s] + offset[b] + 1
+            return made(x["doc"][s], x["t"][s], x["start"][s] + offset[a], x["start"][s] + offset[b] + 1), first
+
+        def known(table: pa.Table) -> pa.RecordBatch:
+            x = {c: table[c].to_numpy().astype(np.int64) for c in columns}
+            return made(x["doc"], x["t"], x["start"], x["start"] + x["n"])
 
         held, size = [], 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch["kind"].to_numpy()
+            gone = int(np.searchsorted(kind, _SEGMENT))  # the lowest kind comes first
+            if gone:
+                yield known(pa.Table.from_batches([batch.slice(0, gone)]))
+                batch = batch.slice(gone)
             if not batch.num_rows:
                 continue
             held.append(batch)
             size += batch.nbytes
-            if size < SHARD_BYTES:
+            if size < shard_bytes:
                 continue
             whole = pa.Table.from_batches(held)
             key, kind = whole["key"].to_numpy(), whole["kind"].to_numpy()
             other = np.flatnonzero((key != key[-1]) | (kind != kind[-1]))
-            if len(other):
-                cut = int(other[-1]) + 1
-                yield ranges(whole.slice(0, cut))
-                rest = whole.slice(cut)
-                held, size = rest.to_batches(), rest.nbytes
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield ranges(whole.slice(0, cut))[0]
+            rest = whole.slice(cut).combine_chunks()
+            if kind[-1] == _WINDOW and rest.nbytes >= shard_bytes // 2:
+                # Many of one window: all but the earliest are known to go.
+                found, first = ranges(rest)
+                yield found
+                rest = rest.take(pa.array(first)).combine_chunks()
+            held, size = rest.to_batches(), rest.nbytes
         if held:
-            yield ranges(pa.Table.from_batches(held))
+            yield ranges(pa.Table.from_batches(held))[0]
 
     return run
 
@@ -368,7 +404,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_segments: int = HO
     texts' hashes; rows that repeat both are one document and each return it. Empty table, empty result.
     """
     if length < 64 or length > 128:
-        raise ValueError("lengths from 64 to 128 bytes are refined in one chain of rounds")
+        raise ValueError("a window's least hash is looked for among its grams of 32 bytes: lengths from 64 to 128 bytes")
     last = F.lit(2**63 - 1)
     whole = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), last).alias("doc"), whole.alias("text"), F.xxhash64(whole).alias("t"))
