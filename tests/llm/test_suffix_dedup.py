@@ -49,9 +49,12 @@ def test_against_all_strings(spark, seed):
     assert made(spark, rows) == brute(rows)
 
 
-def test_hot_hashes_go_by_windows(spark):
+@pytest.mark.parametrize("hot,shard", [(1, S.SHARD_BYTES), (0, 3000), (2, 500), (5, 20_000)])
+def test_hot_hashes_are_refined_like_others(spark, monkeypatch, hot, shard):
     rows = corpus(7)
-    assert made(spark, rows, hot_segments=1) == brute(rows)
+    earlier = S._earlier
+    monkeypatch.setattr(S, "_earlier", lambda length: earlier(length, shard))
+    assert made(spark, rows, hot_segments=hot) == brute(rows)
 
 
 def test_edge_cases(spark):
@@ -62,15 +65,24 @@ def test_edge_cases(spark):
     assert got == {(5, brute([(5, long)])[0][2]), (None, 400)}
 
 
-def test_refined_buckets_are_equal_prefixes():
+@pytest.mark.parametrize("group", [1, 50, 1 << 18])
+def test_refined_order_is_that_of_the_suffixes(group):
     rng = np.random.default_rng(5)
-    data = np.concatenate([rng.integers(97, 99, 400), np.tile(rng.integers(97, 122, 90), 3)]).astype(np.uint8)
-    bucket = S.refine(data)
-    whole = bytes(data) + b"\0" * 64
-    named = {}
-    for k, b in enumerate(bucket.tolist()):
-        assert named.setdefault(whole[k : k + 64], b) == b
-    assert len(set(named.values())) == len(named)
+    data = np.concatenate([rng.integers(97, 99, 400), np.tile(rng.integers(97, 122, 90), 3), np.full(300, 120), np.tile([120, 121], 200), rng.integers(0, 2, 200)]).astype(np.uint8)
+    order = S.refine(data, 100, group)
+    assert sorted(order.tolist()) == list(range(len(data)))
+    whole = bytes(data)
+    for a, b in zip(order, order[1:]):
+        # Up to 100 bytes, as far as both go.
+        k = min(100, len(data) - max(a, b))
+        assert whole[a : a + k] <= whole[b : b + k]
+    windows = np.arange(0, len(data) - 100 + 1)
+    places, same = S.same_windows(data, windows, 100)
+    groups: dict = {}
+    for k in windows.tolist():
+        groups.setdefault(whole[k : k + 100], set()).add(k)
+    found = [set(x.tolist()) for x in np.split(places, np.flatnonzero(~same)[1:])]
+    assert sorted(map(sorted, found)) == sorted(map(sorted, groups.values()))
 
 
 def test_long_groups_of_runs_pass_whole():
