@@ -1,13 +1,19 @@
 """Secret scans: patterns find candidates, a random forest removes the false positives.
 
-The forest reads a candidate's length, its character transitions, how much of it dictionary words cover,
-the path of its document and the words beside it, and is trained from labelled findings. Candidates,
-features and scores are SQL functions and Spark's own forest; nothing runs outside the JVM. Only documents
-with a candidate are cut up, and what is shuffled are candidates.
+The forest reads a candidate's length, its character transitions (how surprising its letters are after
+each other, and how often the kind of character changes), how much of it dictionary words cover, the path
+of its document and the words beside it, and is trained from labelled findings. Dictionary and transitions
+are learned from all words of the documents that are scanned: a word is in the dictionary if a share of the
+documents holds it. Candidates, features and scores are SQL functions, joins and Spark's own forest; nothing
+runs outside the JVM. Only documents with a candidate are cut up; what is shuffled are candidates, and
+words by how many documents hold them.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -16,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from piiflow.llm.common import held, spread
+from piiflow.llm.common import held, spread, written
 
 #: What a candidate looks like. The key of an assignment is part of the match; the rest is the value.
 #: Nothing is bounded above, and possessive parts keep long runs from being read again and again.
@@ -33,49 +39,93 @@ CANDIDATE = (
     r"|(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])|(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}"
 )
 KEY = r"(?i)^" + ASSIGNMENT
-#: Words and beginnings of words that people write in place of a secret, or hash for other reasons.
-DICTIONARY = (
-    "account admin alpha apple banana change changeme default demo dummy example fake foo bar baz guest hello house insert letmein login love manager master "
-    "monkey mypass none null password placeholder please private public qwerty replace root sample secret server summer test this token user welcome winter "
-    "word your value here key name some the and for with that from have not"
-).split()
+#: Words beside a candidate or in its key, and parts of a path, that say something about it.
 NEAR_SECRET = r"(?i)pass|pwd|secret|token|key|auth|credential|login|bearer"
 NEAR_OTHER = r"(?i)commit|sha\d*|md5|hash|digest|checksum|etag|revision|uuid|example|sample|dummy|placeholder|integrity|blob|tree"
 OTHER_PATH = r"(?i)test|example|sample|mock|fixture|doc|readme|demo"
-TREES, DEPTH, SEED = 24, 7, 17
-FEATURES = ("n_chars", "changes", "digits", "upper", "hexes", "distinct", "vowels", "covered", "assigned", "by_secret", "by_other", "path_other", "prefixed")
+MIN_DOCS, MIN_SHARE = 3, 1e-5
+TREES, DEPTH, SEED = 32, 9, 17
+FEATURES = ("n_chars", "changes", "surprise", "digits", "upper", "symbols", "hexes", "distinct", "covered", "longest_word", "assigned", "by_secret", "by_other", "path_other", "prefixed")
+
+
+@dataclass
+class Language:
+    """What words look like: a table of words with n_docs, and -log2 of the chance of each letter (a-z) after each."""
+
+    words: DataFrame
+    surprise: list[float]
+
 
+def learn(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> Language:
+    """The language of docs(text): words of three letters or more that min_docs documents and min_share of all hold.
 
-def features(findings: DataFrame) -> DataFrame:
+    A pair of letters counts once for each document that holds its word. What reaches the driver are the
+    counts of 676 pairs. Without documents there are no words, and all pairs are equally likely.
+    """
+    text = F.lower(F.coalesce("text", F.lit("")))
+    found = docs.select(F.explode(F.array_distinct(F.split(text, r"[^\p{L}]+"))).alias("word")).filter(F.length("word") >= 3)
+    counted = found.groupBy("word").agg(F.count("*").alias("n_docs"))
+    least = max(min_docs, math.ceil(min_share * docs.count()))
+    words = written(counted.filter(F.col("n_docs") >= least))
+    letters = F.split("word", "")
+    pairs = F.transform(F.sequence(F.lit(0), F.size(letters) - 2), lambda i: F.concat(F.get(letters, i), F.get(letters, i + 1)))
+    seen = words.select("n_docs", F.explode(pairs).alias("pair")).filter(F.rlike("pair", F.lit("^[a-z]{2}$"))).groupBy("pair").agg(F.sum("n_docs").alias("n")).collect()
+    counts = {r.pair: r.n for r in seen}
+    rows = [[counts.get(chr(97 + a) + chr(97 + b), 0) for b in range(26)] for a in range(26)]
+    # One occurrence more for all, so that none is impossible.
+    return Language(words, [-math.log2((n + 1) / (sum(row) + 26)) for row in rows for n in row])
+
+
+def _by_value(findings: DataFrame, language: Language) -> DataFrame:
+    """Each distinct value with covered and longest_word: its letters that dictionary words cover."""
+    values = findings.select("value").distinct()
+    # A run of letters, cut where a capital follows a small letter.
+    runs = F.filter(F.split("value", r"[^\p{L}]+|(?<=\p{Ll})(?=\p{Lu})"), lambda w: F.length(w) >= 3)
+    parts = values.select("value", F.explode(F.transform(runs, lambda w: F.lower(w))).alias("word"))
+    known = parts.join(language.words.select("word"), "word").groupBy("value").agg(F.sum(F.length("word")).alias("_letters"), F.max(F.length("word")).alias("_longest"))
+    return known.withColumnRenamed("value", "_of")
+
+
+def features(findings: DataFrame, language: Language) -> DataFrame:
     """findings(key, value, before, after, path) with FEATURES as doubles. Nulls count as empty."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    known = _by_value(findings, language)
+    findings = findings.join(known, findings["value"] == known["_of"], "left").drop("_of")
     value = text("value")
     n = F.greatest(F.length(value), F.lit(1))
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
     changes = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^a-zA-Z0-9])(?=[a-zA-Z0-9])"
-    words = "(?i)" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
+    findings = held(findings, _codes=F.transform(F.split(F.lower(value), ""), lambda c: F.ascii(c) - 97))
+    table = F.array(*map(F.lit, language.surprise))
+    letter = lambda c: c.between(0, 25)
+    after = lambda i: F.get("_codes", i + 1)
+    pairs = F.transform("_codes", lambda c, i: F.when(letter(c) & letter(after(i)), c * 26 + after(i)))
+    findings = held(findings, _pairs=F.filter(pairs, lambda p: p.isNotNull()))
+    surprise = F.aggregate("_pairs", F.lit(0.0), lambda total, p: total + F.get(table, p)) / F.greatest(F.size("_pairs"), F.lit(1))
     around = F.concat_ws(" ", text("before"), text("key"), text("after"))
     flag = lambda c: c.cast("double")
     return findings.withColumns(
         {
             "n_chars": F.length(value).cast("double"),
             "changes": share(changes),
+            "surprise": surprise,
             "digits": share("[0-9]"),
             "upper": share("[A-Z]"),
+            "symbols": share(r"[^\p{L}\p{N}]"),
             "hexes": share("[0-9a-f]"),
-            "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(40)),
-            "vowels": share("(?i)[aeiou]"),
-            "covered": 1 - F.length(F.regexp_replace(value, words, "")) / n,
+            "distinct": F.size(F.array_distinct("_codes")) / F.least(n, F.lit(40)),
+            "covered": F.coalesce("_letters", F.lit(0)) / n,
+            "longest_word": F.coalesce("_longest", F.lit(0)).cast("double"),
             "assigned": flag(text("key") != ""),
             "by_secret": flag(F.rlike(around, F.lit(NEAR_SECRET))),
             "by_other": flag(F.rlike(F.concat_ws(" ", text("before"), text("after")), F.lit(NEAR_OTHER))),
             "path_other": flag(F.rlike(text("path"), F.lit(OTHER_PATH))),
             "prefixed": flag(F.rlike(value, F.lit(r"^(?:AKIA|ASIA|gh[pousr]_|xox[abp]-|sk-|sk_live_|eyJ|-----BEGIN )"))),
         }
-    )
+    ).drop("_codes", "_pairs", "_letters", "_longest")
 
 
-def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, most: int = 20_000) -> PipelineModel:
+def train(findings: DataFrame, language: Language, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, most: int = 20_000) -> PipelineModel:
     """A forest from findings(key, value, before, after, path, secret), secret being 1 or 0.
 
     most: the forest is fitted on at most so many labelled rows, those first by a hash of their content.
@@ -83,44 +133,69 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     rows = findings.withColumn("_order", F.xxhash64("key", "value", "before", "after", "path")).orderBy("_order", "secret").limit(most).drop("_order")
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="_features", handleInvalid="keep")
     forest = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_predicted")
-    # One partition: the split of rows, and so the forest, doesn't depend on the cluster.
-    sample = ready.transform(features(rows).withColumn("_label", F.col("secret").cast("double"))).coalesce(1)
-    model: RandomForestClassificationModel = forest.fit(sample)
+    # One partition in one order: the split of rows, and so the forest, doesn't depend on the cluster.
+    sample = written(features(rows, language).select(*FEATURES, F.col("secret").cast("double").alias("_label")).coalesce(1).sortWithinPartitions(*FEATURES, "_label"))
+    model: RandomForestClassificationModel = forest.fit(ready.transform(sample.coalesce(1)))
     return PipelineModel([ready, model])
 
 
-def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """Findings with known answers, made from digests: row k is the same on each run.
+#: Words that people write where a secret belongs.
+STAND_INS = "changeme password secret example letmein qwerty welcome admin dummy default token required hidden redacted placeholder undefined".split()
+
+
+def labelled_findings(spark: SparkSession, language: Language, n: int = 8000, most_words: int = 2000) -> DataFrame:
+    """Findings with known answers, n rows that are the same on each run over the same documents.
 
-    Secrets are random keys and passwords in prose or code; the others are words and placeholders in
-    their places, hashes that are named as such, and keys of examples and tests.
+    There are no labelled secrets in the tables, so their values are drawn: secrets from digests, as keys are,
+    in the alphabets and lengths of keys and passwords; the others from words of the documents (at most
+    most_words of them, those first by a hash, however rare in the dictionary), joined as people join them, from code
+    that names a secret without holding it, and from digests that are no secrets by what stands beside them.
     """
-    digest = lambda salt, bits=256: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), bits)
-    pick = lambda salt, options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(len(options))) + 1).cast("int"))
-    mixed = F.translate(F.base64(F.unhex(digest("mixed"))), "+/=", "xyz")
-    upper = F.translate(F.upper(F.substr(mixed, F.lit(1), F.lit(16))), "01", "AB")
-    prose = ("the", "of", "and", "thing", "une", "der", "que", "con", "with", "and,", "use", "")
-    keys = ("password=", "token = \"", "secret: ", "api_key=", "auth_token=", "pwd=", "access_key = '")
-    word = lambda salt: pick(salt, DICTIONARY)
-    number = F.pmod(F.xxhash64(F.lit("number"), F.col("id")), F.lit(1000)).cast("string")
-    empty = F.lit("")
-    kinds: list[tuple[Column, Column, Column, Column, Column, int]] = [
-        (pick("k0", keys), F.substr(digest("a"), F.lit(1), F.lit(18)), pick("b0", prose), pick("c0", prose), pick("d0", ("src", "app/config.py", "web")), 1),
-        (pick("k1", keys), F.substr(digest("b"), F.lit(1), F.lit(40)), pick("b1", prose), pick("c1", prose), pick("d1", ("src3", "deploy.sh", "crawl")), 1),
-        (pick("k2", keys), F.substr(mixed, F.lit(1), F.lit(22)), pick("b2", prose), pick("c2", prose), pick("d2", ("src9", "settings.yml")), 1),
-        (empty, F.concat(F.lit("AKIA"), upper), pick("b3", prose), pick("c3", prose), pick("d3", ("src0", "main.tf", "blog")), 1),
-        (empty, F.concat(F.lit("ghp_"), F.substr(mixed, F.lit(2), F.lit(36))), pick("b4", prose), pick("c4", prose), pick("d4", ("src1", "ci.yml")), 1),
-        (empty, F.concat(F.lit("eyJ"), F.substr(mixed, F.lit(1), F.lit(20)), F.lit("."), F.substr(mixed, F.lit(3), F.lit(30)), F.lit("."), F.substr(mixed, F.lit(6), F.lit(30))), pick("b5", prose), pick("c5", prose), empty, 1),
-        (pick("k6", keys), F.concat(word("w6"), word("x6"), number), pick("b6", prose), pick("c6", prose), pick("d6", ("src", "notes")), 0),
-        (pick("k7", keys), F.concat(F.lit("<your-"), word("w7"), F.lit("-here>")), pick("b7", prose), pick("c7", prose), pick("d7", ("README.md", "src2")), 0),
-        (pick("k8", keys), F.repeat(pick("w8", ("x", "0", "*", "a", "1")), 16), pick("b8", prose), pick("c8", prose), pick("d8", ("src", "docs/setup")), 0),
-        (empty, F.substr(digest("c"), F.lit(1), F.lit(40)), pick("b9", ("commit", "sha1", "revision", "blob", "tree")), pick("c9", prose), pick("d9", ("src", "CHANGES")), 0),
-        (empty, digest("d"), pick("b10", ("sha256", "digest", "checksum:", "integrity", "hash")), pick("c10", prose), pick("d10", ("src4", "lock")), 0),
-        (empty, F.concat(F.lit("AKIA"), F.rpad(F.upper(F.concat(word("w11"), F.lit("EXAMPLE"))), 16, "X")), pick("b11", ("example", "sample", "the")), pick("c11", prose), pick("d11", ("docs/aws.md", "tests/a")), 0),
-    ]
-    fields = ("key", "value", "before", "after", "path", "secret")
-    chosen = F.element_at(F.array(*[F.struct(*[(F.lit(x) if isinstance(x, int) else x).alias(f) for x, f in zip(kind, fields)]) for kind in kinds]), (F.col("id") % len(kinds) + 1).cast("int"))
-    return spark.range(n, numPartitions=1).select(F.inline(F.array(chosen)))
+    kept = language.words.filter(F.length("word").between(4, 12)).orderBy(F.xxhash64("word"), "word").limit(most_words)
+    words = [r.word for r in kept.select("word").collect()] + STAND_INS
+    number = lambda salt, upto: F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(upto)).cast("int")
+    pick = lambda salt, options: F.get(F.array(*map(F.lit, options)), number(salt, len(options)))
+    long = lambda salt: F.concat(*[F.sha2(F.concat(F.lit(f"{salt}{k}:"), F.col("id").cast("string")), 256) for k in range(4)])
+    cut = lambda text, salt, least, most: F.substr(text, F.lit(1), F.lit(least) + number(salt, most - least + 1))
+    base64 = lambda salt: F.base64(F.unhex(long(salt)))
+    plain = lambda salt: F.translate(base64(salt), "+/=", "xYz")
+    word = lambda salt: F.when(number(salt + "?", 6) == 0, pick(salt, STAND_INS)).otherwise(F.get(F.col("_words"), number(salt, len(words))))
+    prose = lambda salt: F.when(number(salt + "e", 8) == 0, "").otherwise(word(salt))
+    keys = ("password=", 'token = "', "secret: ", "api_key=", "auth_token=", "pwd=", "access_key = '", '"client_secret": "', "DB_PASSWORD=", "token => '")
+    key = lambda salt: pick(salt, keys)
+    path = lambda salt: pick(salt, ("src0", "src1", "src2", "web", "crawl", "app/config.py", "deploy.sh", "settings.yml", "docs/setup", "tests/a.py", "README.md"))
+    digits = lambda salt, upto: number(salt, upto).cast("string")
+    no = F.lit("")
+    named = ("commit", "sha1", "revision", "blob", "tree", "sha256:", "digest", "checksum", "integrity", "md5", "etag")
+    secrets = [
+        (key("a"), cut(long("a"), "al", 16, 64)), (key("b"), cut(base64("b"), "bl", 16, 88)), (key("c"), cut(plain("c"), "cl", 12, 40)),
+        (key("d"), cut(F.translate(base64("d"), "+/=ABCDabcd01", "!@#$%^&*-_!?."), "dl", 8, 20)),
+        (key("e"), F.upper(cut(long("e"), "el", 20, 64))), (key("f"), cut(F.translate(long("f"), "abcdef", "ghkmpx"), "fl", 12, 40)),
+        (no, F.concat(pick("g", ("AKIA", "ASIA")), F.translate(F.upper(F.substr(plain("g"), F.lit(1), F.lit(16))), "01", "AB"))),
+        (no, F.concat(pick("h", ("ghp_", "gho_", "sk-", "sk_live_", "xoxb-")), cut(plain("h"), "hl", 20, 60))),
+        (no, F.concat(F.lit("eyJ"), cut(plain("i"), "il", 12, 60), F.lit("."), cut(plain("i2"), "il2", 20, 160), F.lit("."), cut(plain("i3"), "il3", 20, 86))),
+        (pick("j0", ("", "secret: ")), F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), base64("j"), F.lit("\n"), base64("j2"), F.lit("\n-----END PRIVATE KEY-----"))),
+    ]
+    others = [
+        (key("m"), F.concat(word("m1"), word("m2"), digits("m3", 1000)), prose("mb")), (key("n"), F.concat(word("n1"), digits("n2", 100)), prose("nb")),
+        (key("o"), F.concat(pick("o1", ("<your-", "${", "{{", "%(", "$(get-", "[")), word("o2"), pick("o3", ("-here>", "}", "}}", ")s", ")", "]"))), prose("ob")),
+        (key("p"), F.repeat(pick("p1", ("x", "0", "*", "a", "1", "-", ".")), F.lit(6) + number("p2", 30)), prose("pb")),
+        (key("q"), F.concat(word("q1"), pick("q2", ("_", ".", "-", "::")), word("q3"), pick("q4", ("", "()", "[0]", ".get(", ";"))), prose("qb")),
+        (key("r"), F.concat(word("r1"), F.initcap(word("r2")), F.initcap(word("r3")), pick("r4", ("", "()", ",", ")"))), prose("rb")),
+        (key("s"), F.concat(pick("s1", ("/", "https://", "./")), word("s2"), pick("s3", ("/", ".com/")), word("s4"), pick("s5", (".py", ".txt", "", ".json"))), prose("sb")),
+        (key("t"), F.substr(F.lit("0123456789abcdefghijklmnopqrstuvwxyz0123456789"), F.lit(1) + number("t1", 12), F.lit(6) + number("t2", 26)), prose("tb")),
+        (key("u"), F.concat(word("u1"), word("u2")), prose("ub")),
+        (no, cut(long("v"), "vl", 32, 64), pick("vb", named)), (no, F.substr(long("w"), F.lit(1), pick("wl", (40, 64))), pick("wb", named)),
+        (no, F.concat(F.lit("AKIA"), F.rpad(F.upper(F.concat(word("x1"), F.lit("EXAMPLE"))), 16, "X")), prose("xb")),
+    ]
+    rows = [(k, v, prose(f"sb{i}"), 1) for i, (k, v) in enumerate(secrets)] + [(k, v, b, 0) for k, v, b in others]
+    kinds = [F.struct(k.alias("key"), v.alias("value"), b.alias("before"), prose(f"a{i}").alias("after"), path(f"p{i}").alias("path"), F.lit(y).alias("secret")) for i, (k, v, b, y) in enumerate(rows)]
+    # One kind for each row: the others are not computed.
+    chosen = F.when(F.col("id") % len(kinds) == 0, kinds[0])
+    for i in range(1, len(kinds)):
+        chosen = chosen.when(F.col("id") % len(kinds) == i, kinds[i])
+    numbered = spark.range(n, numPartitions=1).withColumn("_words", F.array(*map(F.lit, words)))
+    return numbered.select(F.inline(F.array(chosen))).filter("value IS NOT NULL")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -145,13 +220,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "path", (end - F.length("match") + F.length(key)).cast("long").alias("start"), key.alias("key"), F.substr("match", F.length(key) + 1).alias("value"), "before", "after")
 
 
-def scan(docs: DataFrame, model: PipelineModel) -> DataFrame:
+def scan(docs: DataFrame, model: PipelineModel, language: Language) -> DataFrame:
     """All candidates of docs(doc_id, source, text) with probability and secret, the forest's verdict.
 
     A null text has no candidates, a null source is an empty path, and a null doc_id stays null. Rows that
-    repeat doc_id, source and text give their findings once. An empty table gives an empty result.
+    repeat doc_id, source and text give their findings once; other columns of docs are left out. An empty
+    table gives an empty result.
     """
-    scored = model.transform(features(candidates(docs)))
+    scored = model.transform(features(candidates(docs), language))
     probability = F.round(F.get(vector_to_array("_probability"), 1), 9)
     return scored.withColumns({"probability": probability, "secret": probability >= 0.5}).drop("_features", "_raw", "_probability", "_predicted")
 
@@ -159,5 +235,6 @@ def scan(docs: DataFrame, model: PipelineModel) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: every candidate's place, digest and verdict; no secret itself."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
-    found = scan(docs, train(labelled_findings(spark)))
+    language = learn(docs)
+    found = scan(docs, train(labelled_findings(spark, language), language), language)
     return found.select("doc_id", "start", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "probability", "secret")
