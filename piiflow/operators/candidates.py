@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from piiflow.functions.text import compile_pattern, matches_empty
-from piiflow.operators.spans import exploded, find_literals, find_spans, pool, resolve
-from piiflow.schema import SPAN
+from piiflow.operators.spans import exploded, find_literals, find_spans, pool, resolved
 
 VARIABLE_PRIORITY, ALWAYS_PRIORITY, PATTERN_PRIORITY = 20, 15, 6
 _KEPT_SOURCES = ("variable", "always")
@@ -48,8 +47,7 @@ def detect(
     everything = tables[0]
     for t in tables[1:]:
         everything = everything.unionByName(t)
-    span = F.struct("start", "end", "value", "kind", "source", "priority", "seq").cast(SPAN)
-    found = everything.groupBy(*columns).agg(F.collect_list(span).alias("_s")).select(*columns, F.inline(resolve(F.col("_s"))))
+    found = resolved(everything, columns)
     mine = F.col("source").isin(*_KEPT_SOURCES)
     if never is not None:
         low = never.select(F.lower("value").alias("_never")).distinct()
@@ -134,5 +132,3 @@ def rejected_values(rows: DataFrame, variables: DataFrame, whitelisted: DataFram
 def pattern_hits(text: Column, pattern: str) -> Column:
     """How many matches that aren't empty a pattern has."""
     return F.size(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: m != "")).cast("long")
-
-

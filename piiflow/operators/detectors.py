@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from piiflow.functions import checks
 from piiflow.functions.text import NOT_AFTER_WORD, NOT_BEFORE_WORD, NOT_BEFORE_WORD_GENITIVE, SPACE, escape
-from piiflow.operators.spans import find_spans, no_spans, pool
+from piiflow.operators.spans import find_spans, matches, no_spans, pool
 from piiflow.schema import SPAN
 
 # What the detected things look like, by their public forms in Swedish.
@@ -117,14 +117,13 @@ def has_surname_ending(token: Column) -> Column:
 
 def sentence_initial(text: Column, start: Column) -> Column:
     """Whether what starts there is the first of its sentence, line or label."""
-    before = F.substr(text, F.greatest(start.cast("int") - 63, F.lit(1)), F.least(start.cast("int"), F.lit(64)))
-    return _opens(before, start)
+    return _opens(F.substr(text, F.lit(1), start.cast("int")), F.lit(True))
 
 
-def _opens(before: Column, start: Column) -> Column:
-    """before: the up to 64 characters in front."""
-    before = F.regexp_replace(before, r"[ \t]+\z", "")
-    return (before == "") & (start <= 64) | F.rlike(before, F.lit("[.!?:;\\n\\r\"'“”‘’(\\[\\-–—•*]\\z"))
+def _opens(before: Column, first: Column) -> Column:
+    """before: the text in front, from the start of the whole text if first, else since something that ends in a letter."""
+    before = F.rtrim(before, F.lit(" \t"))
+    return F.when(before == "", first).otherwise(F.rlike(F.right(before, F.lit(1)), F.lit("[.!?:;\\n\\r\"'“”‘’(\\[\\-–—•*]")))
 
 
 def seed_dictionary(spark) -> DataFrame:
@@ -143,10 +142,9 @@ def name_spans(docs: DataFrame, dictionary: DataFrame, key: Sequence[str] = ("do
     the capitalised words after it; a surname takes the one before it. Words of everyday language are
     trusted in the middle of a sentence or next to another part of a name. A genitive s stays outside.
     """
-    runs = docs.select(*key, F.col("text"), F.inline(find_spans(F.col("text"), CAPITAL_RUN, "", "")))
-    runs = runs.select(*key, F.col("start").alias("_at"), F.col("value").alias("_run"), F.substr("text", F.greatest(F.col("start") - 63, F.lit(1)).cast("int"), F.least(F.col("start"), F.lit(64)).cast("int")).alias("_before"))
+    runs = docs.filter(F.rlike("text", F.lit(CAPITAL_RUN))).select(*key, F.posexplode(matches(F.col("text"), CAPITAL_RUN)).alias("_n", "_m"))
     # "Initial" can only differ for the first word of a run: the others follow a word.
-    runs = runs.withColumn("_initial", _opens(F.col("_before"), F.col("_at"))).drop("_before")
+    runs = runs.select(*key, F.col("_m.start").alias("_at"), F.col("_m.value").alias("_run"), _opens(F.col("_m.before"), F.col("_n") == 0).alias("_initial"))
     words = runs.select(*key, "_at", "_run", "_initial", F.posexplode(F.split("_run", "[ \t]")).alias("_i", "_word"))
     known = _strengths(dictionary)
     cut = F.when(F.col("_word").endswith("s"), F.expr("substr(_word, 1, length(_word) - 1)"))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from piiflow.functions.text import WORD, escape
 from piiflow.schema import SPAN, SPANS
@@ -28,24 +29,49 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(steps: Column, block: int = 128) -> Column:
+    """For each of an array's numbers the sum of those before it. Arrays grow by blocks only, so long ones stay cheap."""
+    grow = lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x)
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+    cuts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(steps), F.lit(1)) - 1) / block).cast("int"))
+    parts = F.transform(cuts, lambda k: F.slice(steps, k * block + 1, F.lit(block)))
+
+    def summed(p: Column) -> Column:
+        before = F.aggregate(F.transform(p, total), F.array(F.lit(0).cast("long")), grow)
+        inside = lambda part, start: F.slice(F.aggregate(part, F.array(start), grow), F.lit(1), F.size(part))
+        return let(before, lambda at: F.flatten(F.transform(p, lambda part, k: inside(part, F.get(at, k)))))
+
+    return let(parts, summed)
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """All matches from left to right that don't overlap: (start, value, before), before being the text since the last one."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+
+    def placed(p: Column) -> Column:
+        gap = lambda i: F.length(F.get(p["gaps"], i)).cast("long")
+        steps = F.transform(p["found"], lambda m, i: gap(i) + F.length(m))
+        spot = lambda at: F.transform(p["found"], lambda m, i: F.struct((F.get(at, i) + gap(i)).alias("start"), m.alias("value"), F.get(p["gaps"], i).alias("before")))
+        return let(running(steps), spot)
+
+    return let(both, placed)
+
+
 def find_spans(text: Column, pattern: str, kind: str, source: str, priority: int = 0, seq: int = 0, accept: Accept | None = None) -> Column:
     """All matches from left to right that don't overlap, as an array of spans.
 
     accept vetoes a match after it has used up its characters. The pattern must not match the empty
     string. Matches and the gaps between them see the same whole text, so look-around works.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), m.alias("match")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), no_spans().alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["gap"]
-        return F.struct((at + F.length(x["match"])).cast("long").alias("at"), F.array_append(acc["out"], _span(at, x["match"], kind, source, priority, seq)).alias("out"))
-
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    found = matches(text, pattern)
     if accept is not None:
-        spans = F.filter(spans, lambda s: F.coalesce(accept(s["value"]), F.lit(False)))
+        found = F.filter(found, lambda m: F.coalesce(accept(m["value"]), F.lit(False)))
+    spans = F.transform(found, lambda m: _span(m["start"], m["value"], kind, source, priority, seq))
     return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(no_spans())
 
 
@@ -71,18 +97,37 @@ def resolve(spans: Column) -> Column:
     return _sorted(kept, lambda s: [s["start"]])
 
 
+def resolved(spans: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """resolve() for a table of spans, one row each: columns name a document.
+
+    Spans that overlap, directly or through others, make a cluster; only the spans of a cluster are compared, so a
+    document with many spans costs no more than its clusters.
+    """
+    order = Window.partitionBy(*columns).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = spans.withColumn("_opens", (F.col("start") >= F.coalesce(reach, F.col("start"))).cast("long"))
+    numbered = opens.withColumn("_cluster", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    span = F.struct("start", "end", "value", "kind", "source", "priority", "seq").cast(SPAN)
+    found = numbered.groupBy(*columns, "_cluster").agg(F.collect_list(span).alias("_s"))
+    return found.select(*columns, F.inline(F.when(F.size("_s") > 1, resolve(F.col("_s"))).otherwise(F.col("_s"))))
+
+
 def rewrite(text: Column, edits: Column) -> Column:
     """text with edits, an array of (start, end, replacement); one that begins before the last one's end is skipped."""
-    ordered = F.sort_array(F.transform(edits, lambda e: F.struct(e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end"), e["replacement"].alias("replacement"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    edit = lambda e: F.struct(e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end"), e["replacement"].alias("replacement"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,replacement:string>>").alias("out"))
+    step = lambda acc, e: F.when(e["start"] < acc["at"], acc).otherwise(F.struct(e["end"].alias("at"), F.array_append(acc["out"], e).alias("out")))
+
+    def apply(all_: Column) -> Column:
+        crossing = F.exists(F.sequence(F.lit(1), F.size(all_)), lambda i: F.coalesce(F.get(all_, i)["start"] < F.get(all_, i - 1)["end"], F.lit(False)))
+        return let(F.when(crossing, F.aggregate(all_, start, step, lambda acc: acc["out"])).otherwise(all_), joined)
 
-    def step(acc: Column, e: Column) -> Column:
-        before = F.substr(text, (acc["at"] + 1).cast("int"), (e["start"] - acc["at"]).cast("int"))
-        done = F.struct(e["end"].alias("at"), F.concat(acc["out"], F.array(before, e["replacement"])).alias("out"))
-        return F.when(e["start"] < acc["at"], acc).otherwise(done)
+    def joined(kept: Column) -> Column:
+        upto = lambda i: F.coalesce(F.get(kept, i - 1)["end"], F.lit(0).cast("long"))
+        piece = lambda e, i: F.concat(F.substr(text, (upto(i) + 1).cast("int"), (e["start"] - upto(i)).cast("int")), e["replacement"])
+        return F.concat(F.array_join(F.transform(kept, piece), ""), F.substr(text, (upto(F.size(kept)) + 1).cast("int")))
 
-    finish = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int")))
-    return F.when(F.size(edits) > 0, F.aggregate(ordered, start, step, finish)).otherwise(text)
+    return F.when(F.size(edits) > 0, let(F.sort_array(F.transform(edits, edit)), apply)).otherwise(text)
 
 
 def highlight(text: Column, spans: Column) -> Column:
@@ -102,10 +147,12 @@ def highlight(text: Column, spans: Column) -> Column:
 def occurrences(text: Column, value: Column) -> Column:
     """Starts of a value in a text, from left to right, without overlaps and without word bounds."""
     gaps = F.split(text, F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    step = lambda acc, g: F.struct((acc["at"] + F.length(g) + F.length(value)).cast("long").alias("at"), F.array_append(acc["out"], acc["at"] + F.length(g)).alias("out"))
-    found = F.aggregate(F.slice(gaps, F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(0))), start, step, lambda acc: acc["out"])
-    return F.when(F.length(value) > 0, found).otherwise(F.array().cast("array<bigint>"))
+
+    def placed(g: Column) -> Column:
+        steps = F.transform(F.slice(g, F.lit(1), F.greatest(F.size(g) - 1, F.lit(0))), lambda x: (F.length(x) + F.length(value)).cast("long"))
+        return F.zip_with(running(steps), F.slice(g, F.lit(1), F.size(steps)), lambda at, x: at + F.length(x))
+
+    return F.when(F.length(value) > 0, let(gaps, placed)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _literal_pattern(value: Column, suffixes: Sequence[str], whole_word: bool) -> Column:
@@ -121,10 +168,8 @@ def _literal_pattern(value: Column, suffixes: Sequence[str], whole_word: bool) -
 
 def _starts(text: Column, pattern: Column) -> Column:
     """Where a pattern of no width matches. Splitting never parts at the very start, so that is asked apart."""
-    pieces = F.split(text, pattern, -1)
-    at = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).cast("long").alias("at"), F.array_append(acc["out"], (acc["at"] + F.length(p)).cast("long")).alias("out"))
-    later = F.aggregate(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), at, step, lambda acc: acc["out"])
+    ends = lambda p: F.slice(running(F.transform(p, lambda x: F.length(x).cast("long"))), F.lit(2), F.greatest(F.size(p) - 1, F.lit(0)))
+    later = let(F.split(text, pattern, -1), ends)
     first = F.when(F.rlike(text, F.concat(F.lit(r"\A"), pattern)), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     return F.concat(first, later)
 
@@ -135,18 +180,22 @@ def find_literals(docs: DataFrame, literals: DataFrame, on: Sequence[str] = (),
     on: columns that both tables share, such as a project. key: columns that name a document. A whole
     word may run into one of suffixes, which stays outside the span. Empty literals match nothing.
 
-    A literal is anchored at its first word, or its first sign where it has none; without whole_word, where
-    it may lie inside of words, at its first two characters. A document's distinct anchors are joined to
-    the literals, and only documents with candidates are searched, each once with all of its candidates.
+    A literal is anchored at the one of its words that the fewest literals have, or at its first sign where it
+    has none; without whole_word, where it may lie inside of words, at its first two characters. A document's
+    distinct words are joined to the anchors at once, and what is shuffled are documents with candidates. Of these
+    only the literals that the text holds at all are searched.
     """
     literals = literals.filter(F.length("value") > 0)
     columns = [*key, *(c for c in on if c not in key)]
     carried = [c for c in literals.columns if c not in columns]
     if whole_word:
-        word = F.regexp_extract("value", rf"{WORD}+", 0)
-        plain = F.when(word != "", word).otherwise(F.substr("value", F.lit(1), F.lit(1)))
+        words = literals.select(*on, "value", F.posexplode(F.regexp_extract_all("value", F.lit(f"{WORD}+"), F.lit(0))).alias("_at", "_word")).distinct()
+        shared = words.groupBy(*on, "_word").agg(F.count_distinct("value").alias("_n"))
+        rarest = words.join(shared, [*on, "_word"]).groupBy(*on, "value").agg(F.min_by("_word", F.struct("_n", -F.length("_word"), "_at")).alias("_word"))
+        literals = literals.join(rarest, [*on, "value"], "left")
+        plain = F.coalesce("_word", F.substr("value", F.lit(1), F.lit(1)))
         # A word that ends its literal may stand before a suffix.
-        with_suffix = (word != "") & F.col("value").endswith(word)
+        with_suffix = F.col("_word").isNotNull() & F.col("value").endswith(F.col("_word"))
         anchors = F.when(with_suffix, F.array(plain, *[F.concat(plain, F.lit(s)) for s in suffixes])).otherwise(F.array(plain))
         tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"{WORD}+|[^\p{{L}}\p{{N}}_]"), F.lit(0)))
     else:
@@ -155,9 +204,9 @@ def find_literals(docs: DataFrame, literals: DataFrame, on: Sequence[str] = (),
         tokens = F.when(F.length("text") > 0, F.array_distinct(F.concat(pairs, F.transform(pairs, lambda p: F.substr(p, F.lit(1), F.lit(1))))))
     literal = F.struct(*carried, _literal_pattern(F.col("value"), suffixes, whole_word).alias("_pattern"))
     wanted = literals.select(*[c for c in on], literal.alias("_literal"), F.explode(anchors).alias("_token"))
-    found = docs.select(*columns, F.explode(tokens).alias("_token")).distinct().join(wanted, [*on, "_token"])
+    found = docs.select(*columns, F.explode(tokens).alias("_token")).join(wanted, [*on, "_token"])
     found = found.groupBy(*columns).agg(F.collect_set("_literal").alias("_literals"))
-    searched = docs.select(*columns, "text").join(found, columns)
+    searched = docs.select(*columns, "text").join(found, columns).withColumn("_literals", F.filter("_literals", lambda x: F.contains(F.col("text"), x["value"])))
     hits = F.filter(F.transform("_literals", lambda x: F.struct(x.alias("x"), _starts(F.col("text"), x["_pattern"]).alias("at"))), lambda h: F.size(h["at"]) > 0)
     hits = searched.select(*columns, F.inline(hits)).select(*columns, F.explode("at").alias("start"), "x.*").drop("_pattern")
     hits = hits.withColumn("end", F.col("start") + F.length("value"))
@@ -173,11 +222,12 @@ def replace_literals(docs: DataFrame, pairs: DataFrame, on: Sequence[str] = (),
     pairs = pairs.groupBy(*on, "value").agg(F.min_by("replacement", order).alias("replacement"))
     hits = find_literals(docs, pairs, on, key, suffixes)
     columns = [*key, *(c for c in on if c not in key)]
-    spans = F.struct("start", "end", "value", F.lit("").alias("kind"), F.col("replacement").alias("source"), F.lit(0).alias("priority"), F.lit(0).alias("seq")).cast(SPAN)
-    grouped = hits.groupBy(*columns).agg(F.collect_list(spans).alias("_spans"))
-    joined = docs.join(grouped, columns, "left").withColumn("_spans", resolve(F.coalesce("_spans", no_spans())))
-    edits = F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["source"].alias("replacement")))
-    return joined.withColumns({"text": rewrite(F.col("text"), edits), "n_replaced": F.size("_spans").cast("long")}).drop("_spans")
+    spans = hits.select(*columns, "start", "end", "value", F.lit("").alias("kind"), F.col("replacement").alias("source"), F.lit(0).alias("priority"), F.lit(0).alias("seq"))
+    edit = F.struct("start", "end", F.col("source").alias("replacement"))
+    grouped = resolved(spans, columns).groupBy(*columns).agg(F.collect_list(edit).alias("_edits"))
+    joined = docs.join(grouped, columns, "left")
+    text = F.when(F.col("_edits").isNotNull(), rewrite(F.col("text"), F.col("_edits"))).otherwise(F.col("text"))
+    return joined.withColumns({"text": text, "n_replaced": F.greatest(F.size("_edits"), F.lit(0)).cast("long")}).drop("_edits")
 
 
 def exploded(docs: DataFrame, spans: Column, key: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -27,7 +27,7 @@ def mask_corpus(docs: DataFrame, variables: DataFrame, spans: Column, style: str
     and then all documents are rewritten with all of them. Document after document would differ where a
     value minted early lies across one found later.
     """
-    found = detect(docs, spans, more, variables, on=on, key=key)
+    found = detect(docs, spans, more, None if variables.isEmpty() else variables, on=on, key=key)
     # Written once: minting and rewriting read what was found more than once.
     decisions = materialize(decide(found, on, key))
     after = materialize(plan(decisions, variables, style, on))
