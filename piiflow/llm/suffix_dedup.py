@@ -305,6 +305,15 @@ def _earlier(length: int, shard_bytes: int = SHARD_BYTES):
             """What occurs earlier, and which rows hold the first of some window."""
             x = {c: table[c].to_numpy().astype(np.int64) for c in columns}
             parts = [bytes(v.as_buffer()) for v in table["data"].combine_chunks()]
+            # Of segments with the same bytes the first is refined; the others go whole.
+            lead: dict[bytes, int] = {}
+            for k in np.lexsort((x["start"], x["t"], x["doc"])).tolist():
+                lead.setdefault(parts[k], k)
+            kept = np.array(sorted(lead.values()))
+            copies = np.ones(len(parts), bool)
+            copies[kept] = False
+            whole = [x[c][copies] for c in columns]
+            parts, x = [parts[k] for k in kept], {c: v[kept] for c, v in x.items()}
             base = np.concatenate(([0], np.cumsum([len(p) for p in parts])))[:-1].astype(np.int64)
             n = x["n"]
             segment = np.repeat(np.arange(len(n)), n)
@@ -324,7 +333,8 @@ def _earlier(length: int, shard_bytes: int = SHARD_BYTES):
             closes = again[:-1] & (~again[1:] | (offset == n[segment] - 1))
             a, b = np.flatnonzero(opens), np.flatnonzero(closes)
             s = segment[a]
-            return made(x["doc"][s], x["t"][s], x["start"][s] + offset[a], x["start"][s] + offset[b] + 1), first
+            columns_ = (x["doc"][s], x["t"][s], x["start"][s] + offset[a], x["start"][s] + offset[b] + 1)
+            return made(*map(np.concatenate, zip(columns_, (*whole[:3], whole[2] + whole[3])))), kept[first]
 
         def known(table: pa.Table) -> pa.RecordBatch:
             x = {c: table[c].to_numpy().astype(np.int64) for c in columns}
