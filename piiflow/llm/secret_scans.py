@@ -151,15 +151,20 @@ def labelled_findings(spark: SparkSession, language: Language, n: int = 8000, mo
     most_words of them, those first by a hash, however rare in the dictionary), joined as people join them, from code
     that names a secret without holding it, and from digests that are no secrets by what stands beside them.
     """
-    kept = language.words.filter(F.length("word").between(4, 12)).orderBy(F.xxhash64("word"), "word").limit(most_words)
-    words = [r.word for r in kept.select("word").collect()] + STAND_INS
+    kept = language.words.filter(F.length("word").between(4, 12)).orderBy(F.xxhash64("word"), "word").limit(most_words).select("word")
+    kept = written(kept.unionByName(spark.createDataFrame([(w,) for w in STAND_INS], "word string")))
+    # Each row has a word and the four that follow it in an order of hashes; a short list comes round again.
+    rounds = kept.select("word", F.explode(F.sequence(F.lit(0), F.lit(n // kept.count()))).alias("_round"))
+    order = Window.orderBy(F.xxhash64("word", "_round"), "word")
+    numbered = rounds.select((F.row_number().over(order) - 1).cast("long").alias("id"), F.array("word", *[F.coalesce(F.lead("word", k).over(order), "word") for k in range(1, 5)]).alias("_words"))
+    numbered = written(numbered.filter(F.col("id") < n))
     number = lambda salt, upto: F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(upto)).cast("int")
     pick = lambda salt, options: F.get(F.array(*map(F.lit, options)), number(salt, len(options)))
     long = lambda salt: F.concat(*[F.sha2(F.concat(F.lit(f"{salt}{k}:"), F.col("id").cast("string")), 256) for k in range(4)])
     cut = lambda text, salt, least, most: F.substr(text, F.lit(1), F.lit(least) + number(salt, most - least + 1))
     base64 = lambda salt: F.base64(F.unhex(long(salt)))
     plain = lambda salt: F.translate(base64(salt), "+/=", "xYz")
-    word = lambda salt: F.when(number(salt + "?", 6) == 0, pick(salt, STAND_INS)).otherwise(F.get(F.col("_words"), number(salt, len(words))))
+    word = lambda salt: F.when(number(salt + "?", 6) == 0, pick(salt, STAND_INS)).otherwise(F.get("_words", number(salt, 5)))
     prose = lambda salt: F.when(number(salt + "e", 8) == 0, "").otherwise(word(salt))
     keys = ("password=", 'token = "', "secret: ", "api_key=", "auth_token=", "pwd=", "access_key = '", '"client_secret": "', "DB_PASSWORD=", "token => '")
     key = lambda salt: pick(salt, keys)
@@ -194,8 +199,7 @@ def labelled_findings(spark: SparkSession, language: Language, n: int = 8000, mo
     chosen = F.when(F.col("id") % len(kinds) == 0, kinds[0])
     for i in range(1, len(kinds)):
         chosen = chosen.when(F.col("id") % len(kinds) == i, kinds[i])
-    numbered = spark.range(n, numPartitions=1).withColumn("_words", F.array(*map(F.lit, words)))
-    return numbered.select(F.inline(F.array(chosen))).filter("value IS NOT NULL")
+    return written(numbered.select(F.inline(F.array(chosen))).filter("value IS NOT NULL"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -227,7 +231,8 @@ def scan(docs: DataFrame, model: PipelineModel, language: Language) -> DataFrame
     repeat doc_id, source and text give their findings once; other columns of docs are left out. An empty
     table gives an empty result.
     """
-    scored = model.transform(features(candidates(docs), language))
+    # Written once: their values are looked up in the dictionary, and come back to them.
+    scored = model.transform(features(written(candidates(docs)), language))
     probability = F.round(F.get(vector_to_array("_probability"), 1), 9)
     return scored.withColumns({"probability": probability, "secret": probability >= 0.5}).drop("_features", "_raw", "_probability", "_predicted")
 
