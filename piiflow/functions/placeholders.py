@@ -30,17 +30,22 @@ def kind_slug(kind: Column) -> Column:
 
 def format_placeholder(style: Column | str, index: Column, kind: Column) -> Column:
     """The placeholder of a style, number and kind; numbers are whole and 1 at least."""
-    style = F.lit(style) if isinstance(style, str) else style
     n = F.greatest(F.floor(index), F.lit(1)).cast("long")
     slug, digits = kind_slug(kind), n.cast("string")
-    return (
-        F.when(style == "upperLetters", letters(n))
-        .when(style == "lowerLetters", F.lower(letters(n)))
-        .when(style == "dollarNumber", F.concat(F.lit("$"), digits))
-        .when(style == "bracketKind", F.concat(F.lit("["), F.upper(slug), F.lit(" "), digits, F.lit("]")))
-        .when(style == "mustache", F.concat(F.lit("{{"), F.lower(slug), digits, F.lit("}}")))
-        .otherwise(F.concat(F.upper(slug), digits))
-    )
+    forms = {
+        "upperLetters": lambda: letters(n),
+        "lowerLetters": lambda: F.lower(letters(n)),
+        "dollarNumber": lambda: F.concat(F.lit("$"), digits),
+        "kindNumber": lambda: F.concat(F.upper(slug), digits),
+        "bracketKind": lambda: F.concat(F.lit("["), F.upper(slug), F.lit(" "), digits, F.lit("]")),
+        "mustache": lambda: F.concat(F.lit("{{"), F.lower(slug), digits, F.lit("}}")),
+    }
+    if isinstance(style, str):
+        return forms.get(style, forms["kindNumber"])()
+    chosen = forms["kindNumber"]()
+    for name, form in forms.items():
+        chosen = F.when(style == name, form()).otherwise(chosen) if name != "kindNumber" else chosen
+    return chosen
 
 
 def placeholder_examples(style: Column | str, kind: Column, count: int = 3) -> Column:

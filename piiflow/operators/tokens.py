@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from piiflow.functions.placeholders import KIND_STYLES, format_placeholder, kind_slug
-from piiflow.operators.spans import find_literals, replace_literals
+from piiflow.operators.spans import find_literals, let, replace_literals
+from piiflow.sources.stores import materialize
 
 SUFFIXES = ("s",)
 
@@ -22,29 +23,43 @@ def _counter(style: str) -> Column:
     return F.lower(slug) if style == "mustache" else F.upper(slug)
 
 
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """df with the number of each row in its group, in an order without ties, from 1.
+
+    Rows are dealt by ranges of the order, and sums of the ranges say how much lies before each: no task gets
+    all rows of a group. Written once, so that a task that runs again finds the same ranges.
+    """
+    dealt = materialize(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*by, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    return dealt.join(sizes, [*by, "_range"]).withColumn(name, F.col("_before") + inside).drop("_range", "_before")
+
+
 def mint(new: DataFrame, taken: DataFrame, style: str, on: Sequence[str] = ("project_id",)) -> DataFrame:
     """new(value, kind, mint_order) with tokens: the free numbers of each counter in order, gaps first.
 
     taken(token): tokens of the project that are in use. Numbers 1 to (new + taken) of each counter less
-    those in use are ranked, and joined to the ranks of the new values. Where two kinds format alike in
+    those in use are numbered, and joined to the numbers of the new values. Where two kinds format alike in
     spite of different counters (A and number 11, A1 and number 1), the later value in mint_order is
-    minted once more beside all that is taken by then, until no token comes twice.
+    minted once more beside all that is taken by then, until no token comes twice. Each round settles one value
+    of every token at least.
     """
-    new = new.withColumn("_counter", _counter(style))
-    done: DataFrame | None = None
-    for _ in range(8):
+    new, done = new.withColumn("_counter", _counter(style)), None
+    while True:
         sizes = new.groupBy(*on, "_counter").agg(F.count("*").alias("_new"), F.min("kind").alias("_kind"))
         used = taken.groupBy(*on).agg(F.count("*").alias("_used"))
-        slots = sizes.join(used, list(on), "left").withColumn("_i", F.explode(F.sequence(F.lit(1), (F.col("_new") + F.coalesce("_used", F.lit(0))).cast("int"))))
+        last = F.col("_new") + F.coalesce("_used", F.lit(0))
+        slots = sizes.join(used, list(on), "left").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), last)))
         slots = slots.withColumn("token", format_placeholder(style, F.col("_i"), F.col("_kind"))).join(taken.select(*on, "token"), [*on, "token"], "left_anti")
-        slots = slots.withColumn("_rank", F.row_number().over(Window.partitionBy(*on, "_counter").orderBy("_i"))).select(*on, "_counter", "_rank", "token")
-        ranked = new.withColumn("_rank", F.row_number().over(Window.partitionBy(*on, "_counter").orderBy("mint_order", "value")))
+        slots = numbered(slots.select(*on, "_counter", "_i", "token"), [*on, "_counter"], ["_i"], "_rank").drop("_i")
+        ranked = numbered(new, [*on, "_counter"], ["mint_order", "value"], "_rank")
         minted = ranked.join(slots, [*on, "_counter", "_rank"]).drop("_rank")
         if style not in ("kindNumber", "mustache"):
-            minted = minted.drop("_counter")
-            return minted
+            return minted.drop("_counter")
         first = F.row_number().over(Window.partitionBy(*on, "token").orderBy("mint_order", "value"))
-        minted = minted.withColumn("_first", first)
+        minted = materialize(minted.withColumn("_first", first))
         good = minted.filter("_first = 1").drop("_first")
         done = good if done is None else done.unionByName(good)
         again = minted.filter("_first > 1")
@@ -52,7 +67,6 @@ def mint(new: DataFrame, taken: DataFrame, style: str, on: Sequence[str] = ("pro
             return done.drop("_counter")
         taken = taken.select(*on, "token").unionByName(good.select(*on, "token"))
         new = again.drop("_first", "token")
-    raise ValueError("kinds whose names end in digits collide too often; use a style with brackets")
 
 
 def plan(decisions: DataFrame, variables: DataFrame, style: str, on: Sequence[str] = ("project_id",)) -> DataFrame:
@@ -64,9 +78,8 @@ def plan(decisions: DataFrame, variables: DataFrame, style: str, on: Sequence[st
     fresh = fresh.groupBy(*on, "value").agg(F.min("decision_order").alias("mint_order"), F.min_by("kind", "decision_order").alias("kind"))
     minted = mint(fresh, variables.select(*on, "token"), style, on)
     last = variables.groupBy(*on).agg(F.max("variable_order").alias("_last"))
-    minted = minted.join(last, list(on), "left")
-    order = F.coalesce("_last", F.lit(0)) + F.row_number().over(Window.partitionBy(*on).orderBy("mint_order", "value"))
-    minted = minted.select(*on, "value", "token", "kind", order.cast("long").alias("variable_order"))
+    minted = numbered(minted, list(on), ["mint_order", "value"], "_k").join(last, list(on), "left")
+    minted = minted.select(*on, "value", "token", "kind", (F.coalesce("_last", F.lit(0)) + F.col("_k")).cast("long").alias("variable_order"))
     return variables.select(*on, "value", "token", "kind", "variable_order").unionByName(minted)
 
 
@@ -95,8 +108,16 @@ def token_in_text(docs: DataFrame, variables: DataFrame, on: Sequence[str] = ("p
 
 
 def was_minted_for(token: Column, style: str, kind: Column, bound: Column) -> Column:
-    """Whether a token is the placeholder of one of the first bound numbers."""
-    return F.exists(F.sequence(F.lit(1), F.greatest(bound.cast("int"), F.lit(1))), lambda i: format_placeholder(style, i, kind) == token)
+    """Whether a token is the placeholder of one of the first bound numbers: its number is read back and formatted anew."""
+    if style in ("upperLetters", "lowerLetters"):
+        letters = F.when(F.rlike(token, F.lit("^[A-Za-z]{3,12}$")), F.split(F.upper(token), ""))
+        number = F.aggregate(letters, F.lit(0).cast("long"), lambda n, c: n * 26 + F.ascii(c) - 65) + 1
+    else:
+        after = {"bracketKind": 1, "mustache": 2}.get(style, 0)
+        before = F.length(format_placeholder(style, F.lit(1), kind)) - 1 - after
+        number = F.substr(token, before + 1, F.length(token) - before - after).try_cast("long")
+    same = lambda n: (n >= 1) & (n <= F.greatest(bound, F.lit(1))) & (format_placeholder(style, n, kind) == token)
+    return F.coalesce(let(number, same), F.lit(False))
 
 
 def retoken(variables: DataFrame, changes: DataFrame, style: str, on: Sequence[str] = ("project_id",)) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from piiflow.functions.text import html_comment
+from piiflow.sources.stores import materialize
 
 # The geometry of lines and paragraphs, in points or as ratios.
 SAME_LINE, GAP_RATIO = 2.0, 0.2
@@ -121,7 +122,7 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     drop = F.lag("y").over(page) - F.col("y")
     new = (drop > BLOCK_DROP * F.col("_pp")) | (-drop > F.greatest(F.lit(2.0), BLOCK_RISE * F.col("_pp")))
     df = df.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int"))
-    df = df.withColumn("_block", F.sum("_new").over(page))
+    df = materialize(df.withColumn("_block", F.sum("_new").over(page)))
     by = ("doc_id", "page", "_block")
     shape = df.groupBy(*by).agg(F.max("y").alias("_top"), F.min("left").alias("_bleft"), F.max("right").alias("_bright"), F.count("*").alias("_lines"))
     own = pitch(df, by).withColumnRenamed("pitch", "_bp")
@@ -165,9 +166,10 @@ def markdown(runs: DataFrame) -> DataFrame:
 
     A paragraph that a page break cut, unfinished before it and beginning small after it, is put together.
     """
-    rows = furniture(lines(runs))
+    # Lines are read many times over: they are written, not found anew.
+    rows = materialize(furniture(materialize(lines(runs))))
     body = rows.filter("furniture IS NULL").drop("furniture")
-    pars = paragraphs(body)
+    pars = materialize(paragraphs(body))
     sizes = body_height(body)
     faces = body.groupBy("doc_id").agg((F.min(F.col("bold").cast("int")) == 0).alias("_emphatic"))
     pars = pars.join(sizes, "doc_id").join(faces, "doc_id")
