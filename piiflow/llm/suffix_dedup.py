@@ -36,7 +36,7 @@ LENGTH = 100
 GRAM = 32
 HOT_SEGMENTS = 5_000
 HOT_BROADCAST = 500_000
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 1_000_000
 _BYTE = np.random.default_rng(11).integers(1, 2**63, 256, np.uint64)
 #: Odd multipliers for grams of 2, 4, ... 32 bytes.
 _STEP = (np.random.default_rng(12).integers(1, 2**62, 6, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -240,16 +240,22 @@ def refine(data: np.ndarray, upto: int = LENGTH, group: int = 1 << 18) -> np.nda
     """
     n, q = len(data), 8
     codes = _eights(np.concatenate((data, np.zeros(upto, np.uint8))))[:n]
-    order = np.argsort(codes, kind="stable")
-    code = codes[order]
-    place = np.maximum.accumulate(np.where(np.concatenate(([True], code[1:] != code[:-1])), np.arange(n), 0))
+    # Numbers of 32 bits do for a shard, and keep it small in memory.
+    order = np.argsort(codes, kind="stable").astype(np.int32)
+    new = np.ones(n, bool)
+    new[1:] = codes[order[1:]] != codes[order[:-1]]
+    del codes
+    place = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
     # A bucket's pointer is the place of its first suffix, so the parts of a bucket stay in order.
-    pointer = np.full(n + upto, -1, np.int64)
+    pointer = np.full(n + upto, -1, np.int32)
     pointer[order] = place
     #: How many bytes the suffixes with one pointer share at least.
-    shared = np.full(n + upto, q, np.int64)
+    shared = np.full(n + upto, q, np.int16)
     shared[n:] = upto
-    open_ = np.flatnonzero(np.bincount(place, minlength=n)[place] > 1)
+    ties = np.zeros(n, bool)
+    ties[1:] = ~new[1:]
+    ties[:-1] |= ~new[1:]
+    open_ = np.flatnonzero(ties).astype(np.int32)
     begin = 0
     while begin < len(open_):
         end = min(begin + group, len(open_))
@@ -260,7 +266,7 @@ def refine(data: np.ndarray, upto: int = LENGTH, group: int = 1 << 18) -> np.nda
             ahead, more = pointer[suffix + depth], shared[suffix + depth]
             by = np.lexsort((ahead, of))
             suffix, of, ahead, depth = suffix[by], of[by], ahead[by], (depth + more)[by]
-            of = np.maximum.accumulate(np.where(np.concatenate(([True], (of[1:] != of[:-1]) | (ahead[1:] != ahead[:-1]))), at, 0))
+            of = np.maximum.accumulate(np.where(np.concatenate(([True], (of[1:] != of[:-1]) | (ahead[1:] != ahead[:-1]))), at, np.int32(0)))
             order[at] = suffix
             pointer[suffix] = of
             shared[suffix] = np.minimum(depth, upto)
@@ -316,11 +322,11 @@ def _earlier(length: int, shard_bytes: int = SHARD_BYTES):
             parts, x = [parts[k] for k in kept], {c: v[kept] for c, v in x.items()}
             base = np.concatenate(([0], np.cumsum([len(p) for p in parts])))[:-1].astype(np.int64)
             n = x["n"]
-            segment = np.repeat(np.arange(len(n)), n)
-            offset = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
+            segment = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            offset = np.arange(len(segment), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
             order, same = same_windows(np.frombuffer(b"".join(parts), np.uint8), base[segment] + offset, length)
-            number = np.zeros(len(segment) and int(base[-1]) + len(parts[-1]), np.int64)
-            number[base[segment] + offset] = np.arange(len(segment))
+            number = np.zeros(int(base[-1]) + len(parts[-1]), np.int32)
+            number[base[segment] + offset] = np.arange(len(segment), dtype=np.int32)
             order = number[order]
             s = segment[order]
             by = np.lexsort((x["start"][s] + offset[order], x["t"][s], x["doc"][s], np.cumsum(~same)))
@@ -341,9 +347,7 @@ def _earlier(length: int, shard_bytes: int = SHARD_BYTES):
             return made(x["doc"], x["t"], x["start"], x["start"] + x["n"])
 
         held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(k, 2_000) for b in batches for k in range(0, b.num_rows, 2_000)):
             kind = batch["kind"].to_numpy()
             gone = int(np.searchsorted(kind, _SEGMENT))  # the lowest kind comes first
             if gone:
