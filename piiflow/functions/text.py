@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
@@ -22,6 +23,25 @@ def escape(literal: str) -> str:
     return re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", literal)
 
 
+def alternation(literals: Iterable[str]) -> str:
+    """Many literals as one pattern, the longest first, common beginnings shared: a text is compared once, not with each."""
+    root: dict = {}
+    for literal in literals:
+        at = root
+        for c in literal:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(node: dict) -> str:
+        branches = [escape(c) + pattern(below) for c, below in sorted(node.items()) if c]
+        if not branches:
+            return ""
+        inner = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
+        return inner + ("?" if "" in node else "")
+
+    return pattern(root)
+
+
 def java_pattern(source: str, flags: str = "") -> str:
     r"""A user's pattern in the dialect of Java: \s, \b and $ as they are in Unicode mode there.
 

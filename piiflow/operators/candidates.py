@@ -95,6 +95,29 @@ def add_never(always: DataFrame, never: DataFrame, new: DataFrame) -> tuple[Data
     return always.join(new.select("value"), "value", "left_anti"), never.unionByName(fresh)
 
 
+def set_kinds(always: DataFrame, changes: DataFrame) -> DataFrame:
+    """The always list after changes(value, new_kind); values that are not on it change nothing."""
+    return always.join(changes.select("value", "new_kind"), "value", "left").withColumn("kind", F.coalesce("new_kind", "kind")).drop("new_kind")
+
+
+def remove_values(rules: DataFrame, gone: DataFrame) -> DataFrame:
+    """A list without the values of gone, in their exact spelling."""
+    return rules.join(gone.select("value").distinct(), "value", "left_anti")
+
+
+def upsert_patterns(patterns: DataFrame, new: DataFrame) -> DataFrame:
+    """User patterns by id: new ones join, and those there are already are replaced."""
+    return patterns.join(new.select("id"), "id", "left_anti").unionByName(new)
+
+
+def include_rows(rows: DataFrame, include: bool, which: DataFrame | None = None, key: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Review rows with include set: all of them, or those of which(value)."""
+    if which is None:
+        return rows.withColumn("include", F.lit(include))
+    chosen = which.select(*key, "value").distinct().withColumn("_chosen", F.lit(True))
+    return rows.join(chosen, [*key, "value"], "left").withColumn("include", F.when(F.col("_chosen"), include).otherwise(F.col("include"))).drop("_chosen")
+
+
 def merge_reviews(previous: DataFrame, candidates: DataFrame, whitelisted: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
     """previous(value, kind, include, manual, row_order) folded with candidates(value, kind, candidate_order).
 

@@ -34,6 +34,16 @@ def remove(rows: DataFrame, gone: DataFrame, key: Sequence[str] = ("project_id",
     return rows.join(gone.select(*key), list(key), "left_anti")
 
 
+def remove_workspaces(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """All tables of a workspace go with it: each by name, without the workspaces of gone."""
+    return {name: remove(table, gone, ("workspace",)) for name, table in tables.items()}
+
+
+def page_source(form: Column, kept: Column) -> Column:
+    """Where a document's pages come from: the kept file, drawn anew, or null where it has none."""
+    return F.when((form == "pdf") & kept, "kept").when(form == "docx", "drawn")
+
+
 def active_after_removal(projects: DataFrame, active: DataFrame) -> DataFrame:
     """Each workspace's active project: the one named in active, or its first if that is gone."""
     first = projects.groupBy("workspace").agg(F.min_by("project_id", "project_order").alias("_first"))

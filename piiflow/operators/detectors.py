@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from piiflow.functions import checks
-from piiflow.functions.text import NOT_AFTER_WORD, NOT_BEFORE_WORD, NOT_BEFORE_WORD_GENITIVE, SPACE, escape
+from piiflow.functions.text import NOT_AFTER_WORD, NOT_BEFORE_WORD, NOT_BEFORE_WORD_GENITIVE, SPACE, alternation, escape
 from piiflow.operators.spans import find_spans, matches, no_spans, pool
 from piiflow.schema import SPAN
 
@@ -44,15 +44,29 @@ NOT_STREETS = (
     "Utredningen", "Överledningen", "Underliden", "Ledningsgruppen",
 )
 _DIRECTION = "(?:" + "|".join(map(escape, DIRECTIONS)) + ")" + SPACE
-_NUMBER = rf"{SPACE}[0-9]{{1,4}}(?:{SPACE}?[A-Za-z](?!\p{{L}}))?(?:{SPACE}?[-–]{SPACE}?[0-9]{{1,4}})?(?:,?{SPACE}(?:lgh|lägenhet)\.?{SPACE}?[0-9]{{3,4}})?"
+# The parts of a house number, whose forms leave no choice for the same spans. A number of up to four digits;
+# a letter of the entrance that no word begins with; the end of a range; a flat with its number of three or four digits.
+_HOUSE = "[0-9]{1,4}"
+_ENTRANCE = r"[A-Za-z](?!\p{L})"
+_RANGE_TO = f"[-–]{SPACE}?{_HOUSE}"
+_FLAT = rf",?{SPACE}(?:lgh|lägenhet)\.?{SPACE}?[0-9]{{3,4}}"
 
 
-def _street(endings: Sequence[str], words: Sequence[str], number: str) -> str:
-    name = rf"(?:\p{{Lu}}\p{{L}}{{2,}}(?:{'|'.join(endings)})|(?:\p{{Lu}}\p{{L}}+{SPACE}){{1,2}}(?:{'|'.join(words)}))"
-    return f"{NOT_AFTER_WORD}(?:{_DIRECTION})?{name}{number}{NOT_BEFORE_WORD}"
+def _maybe(part: str) -> str:
+    return f"(?:{part})?"
 
 
-STREETS = (_street(SAFE_ENDINGS, SAFE_WORDS, f"(?:{_NUMBER})?"), _street(NUMBERED_ENDINGS, NUMBERED_WORDS, _NUMBER))
+NUMBER = SPACE + _HOUSE + _maybe(f"{SPACE}?{_ENTRANCE}") + _maybe(f"{SPACE}?{_RANGE_TO}") + _maybe(_FLAT)
+
+
+def _street(endings: Sequence[str], words: Sequence[str], numbered: bool) -> str:
+    """A street is one word, a beginning of three letters or more before an ending, or one or two words before a word of its own."""
+    compound = r"\p{Lu}\p{L}{2,}(?:" + "|".join(endings) + ")"
+    apart = r"(?:\p{Lu}\p{L}+" + SPACE + "){1,2}(?:" + "|".join(words) + ")"
+    return NOT_AFTER_WORD + _maybe(_DIRECTION) + f"(?:{compound}|{apart})" + (NUMBER if numbered else _maybe(NUMBER)) + NOT_BEFORE_WORD
+
+
+STREETS = (_street(SAFE_ENDINGS, SAFE_WORDS, False), _street(NUMBERED_ENDINGS, NUMBERED_WORDS, True))
 CAPITAL_RUN = rf"{NOT_AFTER_WORD}\p{{Lu}}\p{{L}}+(?:-\p{{Lu}}\p{{L}}+)?(?:[ \t]\p{{Lu}}\p{{L}}+(?:-\p{{Lu}}\p{{L}}+)?){{0,3}}{NOT_BEFORE_WORD}"
 
 # Endings of surnames.
@@ -100,15 +114,22 @@ def city_spans(text: Column, safe: Sequence[str], wordlike: Sequence[str] = ())
     Those that are words too count only after a small letter, digit, comma or semicolon and a blank. The
     lists become part of a pattern: meant for a few thousand places, which are a country's.
     """
-    either = lambda names: "|".join(map(escape, sorted(names, key=lambda n: -len(n))))
     found = []
     if safe:
-        found.append(find_spans(text, f"{NOT_AFTER_WORD}(?:{either(safe)}){NOT_BEFORE_WORD_GENITIVE}", "city", "city", PRIORITY["city"], 106))
+        found.append(find_spans(text, f"{NOT_AFTER_WORD}(?:{alternation(safe)}){NOT_BEFORE_WORD_GENITIVE}", "city", "city", PRIORITY["city"], 106))
     if wordlike:
-        found.append(find_spans(text, rf"(?<=[\p{{Ll}}\p{{N}},;]{SPACE}{{1,2}})(?:{either(wordlike)}){NOT_BEFORE_WORD_GENITIVE}", "city", "city", PRIORITY["city"], 106))
+        found.append(find_spans(text, rf"(?<=[\p{{Ll}}\p{{N}},;]{SPACE}{{1,2}})(?:{alternation(wordlike)}){NOT_BEFORE_WORD_GENITIVE}", "city", "city", PRIORITY["city"], 106))
     return pool(*found)
 
 
+def places(dictionary: DataFrame, most: int = 50_000) -> tuple[list[str], list[str]]:
+    """The places of dictionary(term, class) for city_spans: safe ones, and those that are words too. Over most is an error."""
+    rows = dictionary.filter(F.col("class").isin("locality", "locality_wordlike")).select("term", "class").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} places: too many for a pattern")
+    return [r.term for r in rows if r["class"] == "locality"], [r.term for r in rows if r["class"] == "locality_wordlike"]
+
+
 def has_surname_ending(token: Column) -> Column:
     """Five letters or more, one capital and then small ones, two of them before the ending."""
     endings = "|".join(SURNAME_ENDINGS)

@@ -69,3 +69,13 @@ def options(used: DataFrame) -> DataFrame:
     both = built_in.unionByName(used.select("kind", F.col("use_order").cast("long")))
     first = both.withColumn("_n", F.row_number().over(Window.partitionBy(F.lower("kind")).orderBy("use_order", "kind"))).filter("_n = 1")
     return first.select("kind", F.row_number().over(Window.orderBy("use_order", "kind")).cast("long").alias("option_order"))
+
+
+def is_built_in(kind: Column) -> Column:
+    return F.coalesce(kind.isin(*KINDS), F.lit(False))
+
+
+def kind_labels(used: DataFrame, labels: DataFrame) -> DataFrame:
+    """used(kind) with label and built_in: a label of labels(kind, label), or else the kind as it is."""
+    named = labels.groupBy("kind").agg(F.min("label").alias("_label"))
+    return used.join(named, "kind", "left").select(*used.columns, F.coalesce("_label", "kind").alias("label"), is_built_in(F.col("kind")).alias("built_in"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from piiflow.functions.placeholders import KIND_STYLES, format_placeholder, kind_slug
+from piiflow.functions.placeholders import KIND_STYLES, STYLES, format_placeholder, kind_slug
 from piiflow.operators.spans import find_literals, let, replace_literals
 from piiflow.sources.stores import materialize
 
@@ -142,6 +142,26 @@ def upsert_variable(variables: DataFrame, new: DataFrame, on: Sequence[str] = ("
     return variables.unionByName(one.select(variables.columns))
 
 
+def update_variables(variables: DataFrame, changes: DataFrame, on: Sequence[str] = ("project_id",)) -> DataFrame:
+    """variables with new_value and new_token of changes(value, new_value, new_token), where these are not null."""
+    both = variables.join(changes.select(*on, "value", "new_value", "new_token"), [*on, "value"], "left")
+    return both.withColumns({"value": F.coalesce("new_value", "value"), "token": F.coalesce("new_token", "token")}).select(variables.columns)
+
+
+def remove_variables(variables: DataFrame, gone: DataFrame, on: Sequence[str] = ("project_id",)) -> DataFrame:
+    return variables.join(gone.select(*on, "value").distinct(), [*on, "value"], "left_anti")
+
+
+def unignore(ignored: DataFrame, added: DataFrame, on: Sequence[str] = ("project_id",)) -> DataFrame:
+    """The ignored values of projects, without those that have a variable now."""
+    return ignored.join(added.select(*on, "value"), [*on, "value"], "left_anti")
+
+
+def project_style(style: Column, fallback: str) -> Column:
+    """A project's own style, or the setting where it has none that is known."""
+    return F.when(style.isin(*STYLES), style).otherwise(F.lit(fallback))
+
+
 def export_tsv(variables: DataFrame, on: Sequence[str] = ("project_id",)) -> DataFrame:
     """Each project's variables as token, value and kind, a line each."""
     line = F.concat_ws("\t", "token", "value", "kind")

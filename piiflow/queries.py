@@ -797,3 +797,220 @@ def dictionary_etl(spark, sf_dir):
     places = _table(spark, sf_dir, "nation").select(F.regexp_replace("n_name", "NATION_", "ort").alias("name"), F.col("n_nationkey").alias("place_rank"))
     words = counted.filter("length(w) = 4").select(F.col("w").alias("word")).unionByName(counted.select(F.concat("w", F.lit("berg")).alias("word")))
     return dictionaries.build(given, surnames, places, words)
+
+
+# --- dictionaries at size, overlaps, reviews, rules, variables, kinds and projects ----------------------------------------
+
+
+def _letters(number: str) -> str:
+    """SQL for a number in small letters."""
+    return f"translate(CAST({number} AS STRING), '0123456789', 'abcdefghij')"
+
+
+_PLACES = f"SELECT p_partkey, concat('Ort', {_letters('p_partkey')}) AS place, p_partkey % 2 = 1 AS wordlike FROM part"
+_PLACE_TEXTS = f"SELECT p_partkey, place, wordlike, concat(place, ' är stort. Hon bor i ', place, 's centrum, ', place, 'x och Ort.') AS text FROM ({_PLACES})"
+
+
+@_query(
+    f"""SELECT p_partkey, place AS value, 0::BIGINT AS start FROM ({_PLACES}) WHERE NOT wordlike
+UNION ALL SELECT p_partkey, place, (length(place) + length(' är stort. Hon bor i '))::BIGINT FROM ({_PLACES})"""
+)
+def city_weak_context(spark, sf_dir):
+    """A place for each part: those that are words count after a small letter only, and none inside of a longer word."""
+    df = _sql(spark, sf_dir, _PLACE_TEXTS, "part")
+    dictionary = df.select(F.col("place").alias("term"), F.when(F.col("wordlike"), "locality_wordlike").otherwise("locality").alias("class"))
+    return S.exploded(df, D.city_spans(F.col("text"), *D.places(dictionary)), ("p_partkey",)).select("p_partkey", "value", "start")
+
+
+_NAMES = f"""
+  SELECT c_custkey, concat('K', {_letters('c_custkey')}, 'a') AS given, concat('M', {_letters('c_custkey')}, 'o') AS surname, c_custkey % 5 = 0 AS stopped FROM customer
+"""
+_NAME_TEXTS = f"SELECT c_custkey, given, surname, stopped, concat('I dag såg ', given, ' ', surname, ' och ', surname, 's hund, i ', given, 's bil.') AS text FROM ({_NAMES})"
+
+
+@_query(
+    f"""SELECT c_custkey, CASE WHEN stopped THEN given ELSE given || ' ' || surname END AS value, 10::BIGINT AS start FROM ({_NAMES})
+UNION ALL SELECT c_custkey, surname, (16 + length(given) + length(surname))::BIGINT FROM ({_NAMES}) WHERE NOT stopped
+UNION ALL SELECT c_custkey, given, (16 + length(given) + 2 * length(surname) + length('s hund, i '))::BIGINT FROM ({_NAMES})"""
+)
+def name_genitive(spark, sf_dir):
+    """Two names for each customer, in a dictionary of that size; the surnames that are on the stop list are none."""
+    df = _sql(spark, sf_dir, _NAME_TEXTS, "customer")
+    terms = [df.select(F.col(c).alias("term"), F.lit(c).alias("class")) for c in ("given", "surname")]
+    stop = df.filter("stopped").select(F.col("surname").alias("term"), F.lit("stop").alias("class"))
+    found = D.name_spans(df, terms[0].unionByName(terms[1]).unionByName(stop), ("c_custkey",))
+    return found.select("c_custkey", "value", "start")
+
+
+_NOT_STREETS = ", ".join(f"'{w}'" for w in D.NOT_STREETS)
+
+
+@_query(f"""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END::BIGINT AS n FROM part""")
+def street_stopwords(spark, sf_dir):
+    """Words that end like a street and are none, alone and after a direction, beside streets."""
+    pick = f"element_at(array({_NOT_STREETS}), CAST(1 + p_partkey div 2 % {len(D.NOT_STREETS)} AS INT))"
+    word = f"CASE WHEN p_partkey % 2 = 0 THEN {pick} ELSE 'Kungsgatan' END"
+    df = _table(spark, sf_dir, "part").select("p_partkey", F.expr(f"concat('nära ', CASE WHEN p_partkey % 3 = 0 THEN 'Södra ' ELSE '' END, {word}, ' 5 ligger')").alias("text"))
+    return df.select("p_partkey", F.size(S.resolve(D.pattern_spans(F.col("text"), ("street",)))).cast("long").alias("n"))
+
+
+_SPAN_SETS = """
+  SELECT o_orderkey, explode(array(
+    named_struct('start', 0L, 'end', 5L, 'kind', 'left', 'priority', 9), named_struct('start', 3L, 'end', 12L, 'kind', 'long', 'priority', 0),
+    named_struct('start', 12L, 'end', 15L, 'kind', 'a', 'priority', CAST(o_orderkey % 3 AS INT)), named_struct('start', 12L, 'end', 15L, 'kind', 'b', 'priority', 1),
+    named_struct('start', 14L, 'end', 17L, 'kind', 'late', 'priority', 1), named_struct('start', 20L, 'end', 22L, 'kind', 'free', 'priority', 0))) AS s FROM orders
+"""
+
+
+@_query(
+    """SELECT o_orderkey, 3::BIGINT AS start, 'long' AS kind FROM orders UNION ALL SELECT o_orderkey, 20::BIGINT, 'free' FROM orders
+UNION ALL SELECT o_orderkey, 12::BIGINT, CASE WHEN o_orderkey % 3 >= 1 THEN 'a' ELSE 'b' END FROM orders"""
+)
+def overlap_longest_not_leftmost(spark, sf_dir):
+    """The longest span of a cluster stays, not its first; of equal ones the higher priority, then the earlier, then the first source."""
+    df = _sql(spark, sf_dir, _SPAN_SETS, "orders").select("o_orderkey", "s.*")
+    spans = df.select("o_orderkey", "start", "end", F.lit("").alias("value"), "kind", F.lit("").alias("source"), "priority", F.ascii("kind").alias("seq"))
+    return S.resolved(spans, ("o_orderkey",)).select("o_orderkey", "start", "kind")
+
+
+@_query("""SELECT c_custkey AS doc_id, 'NATION_' || (c_custkey % 12) AS value, 2::BIGINT AS n_spans, 1::BIGINT AS candidate_order, CASE WHEN c_custkey % 12 < 5 THEN 'CUSTOM' || (c_custkey % 12 + 1) END AS variable_token FROM customer
+UNION ALL SELECT c_custkey, 'kust', 1, 2, NULL FROM customer""")
+def candidates_variable_join(spark, sf_dir):
+    """Candidates in the order of their first place, with the token of the variable that has their value."""
+    docs = _plan_docs(spark, sf_dir)
+    spans = S.pool(S.find_spans(F.col("text"), "kust", "custom", "b"), S.find_spans(F.col("text"), "NATION_[0-9]+", "custom", "a"))
+    found = C.group(C.detect(docs, spans, on=("project_id",)), ("project_id", "doc_id"))
+    return C.attach_variables(found, _variables(spark, sf_dir)).select("doc_id", "value", "n_spans", "candidate_order", "variable_token")
+
+
+def _review(spark, sf_dir) -> DataFrame:
+    n = _table(spark, sf_dir, "nation")
+    return n.select(F.col("n_regionkey").alias("doc_id"), F.col("n_name").alias("value"), F.lit("old").alias("kind"), (F.col("n_nationkey") % 2 == 0).alias("include"), F.lit(False).alias("manual"), "n_nationkey")
+
+
+@_query(
+    """SELECT n_regionkey AS doc_id, n_name AS value, 'old' AS kind, CASE WHEN n_nationkey < 8 THEN n_nationkey % 3 = 0 ELSE n_nationkey % 2 = 0 END AS include, false AS manual FROM nation
+UNION ALL SELECT n_regionkey, lower(n_name), 'new', n_nationkey % 3 = 0, true FROM nation WHERE n_nationkey < 8"""
+)
+def review_upsert(spark, sf_dir):
+    """A row that exists keeps its kind and takes the decision; a new one is manual."""
+    rows = _review(spark, sf_dir)
+    new = rows.filter("n_nationkey < 8").select("doc_id", "value", F.lit("new").alias("kind"), (F.col("n_nationkey") % 3 == 0).alias("include"))
+    new = new.unionByName(new.withColumn("value", F.lower("value")))
+    return C.upsert_review(rows.drop("n_nationkey"), new)
+
+
+@_query("SELECT n_name AS value, true AS every, n_nationkey % 2 = 0 AND n_nationkey >= 10 AS some FROM nation")
+def review_include(spark, sf_dir):
+    rows = _review(spark, sf_dir)
+    every = C.include_rows(rows, True).select("value", F.col("include").alias("every"))
+    return every.join(C.include_rows(rows, False, rows.filter("n_nationkey < 10")).select("value", F.col("include").alias("some")), "value")
+
+
+@_query(
+    """SELECT n_name AS id, CASE WHEN n_nationkey < 5 THEN 'org' ELSE 'name' END AS kind FROM nation WHERE n_nationkey % 4 <> 0
+UNION ALL SELECT 'p' || n_nationkey, CASE WHEN n_nationkey >= 20 THEN 'new' ELSE 'old' END FROM nation WHERE n_nationkey >= 12"""
+)
+def rule_edits(spark, sf_dir):
+    """Kinds set and values removed on a list, patterns replaced by id."""
+    n = _table(spark, sf_dir, "nation")
+    always = n.select("n_nationkey", F.col("n_name").alias("value"), F.lit("name").alias("kind"))
+    listed = C.set_kinds(always, always.filter("n_nationkey < 5").select("value", F.lit("org").alias("new_kind")))
+    listed = C.remove_values(listed, always.filter("n_nationkey % 4 = 0")).select(F.col("value").alias("id"), "kind")
+    pattern = lambda df, kind: df.select(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("id"), F.lit(kind).alias("kind"))
+    return listed.unionByName(C.upsert_patterns(pattern(n.filter("n_nationkey BETWEEN 12 AND 22"), "old"), pattern(n.filter("n_nationkey >= 20"), "new")))
+
+
+@_query("SELECT c_nationkey::VARCHAR AS workspace, max(c_custkey)::BIGINT AS version, 'body' || max(c_custkey) AS body FROM customer GROUP BY c_nationkey")
+def stored_last_writes(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer")
+    writes = c.select(F.col("c_nationkey").cast("string").alias("workspace"), F.col("c_custkey").cast("long").alias("version"), F.concat(F.lit("body"), F.col("c_custkey").cast("string")).alias("body"))
+    return catalog.last_writes(writes)
+
+
+@_query("SELECT n_name AS slug, CASE WHEN n_nationkey = 0 THEN 'mask.json' ELSE 'mask-' || replace(n_name, '_', '-') || '-.json' END AS file FROM nation")
+def folder_file_names(spark, sf_dir):
+    """Signs that file names don't take become hyphens; the default workspace has the bare name."""
+    n = _table(spark, sf_dir, "nation")
+    slug = F.when(F.col("n_nationkey") == 0, "default").otherwise(F.concat(F.replace("n_name", F.lit("_"), F.lit(" ")), F.lit("å")))
+    return n.select(F.col("n_name").alias("slug"), T.folder_file_name(slug).alias("file"))
+
+
+@_query("SELECT n_name AS kind, concat_ws(', ', replace(n_name, '_', '') || 1, replace(n_name, '_', '') || 2, replace(n_name, '_', '') || 3) AS upper, concat_ws(', ', '{{' || lower(replace(n_name, '_', '')) || '1}}', '{{' || lower(replace(n_name, '_', '')) || '2}}') AS mustache FROM nation")
+def placeholder_samples(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation")
+    sample = placeholders.placeholder_examples
+    return n.select(F.col("n_name").alias("kind"), sample("kindNumber", F.col("n_name")).alias("upper"), sample("mustache", F.col("n_name"), 2).alias("mustache"))
+
+
+@_query(
+    """WITH p AS (SELECT DISTINCT c_mktsegment AS project_id FROM customer)
+SELECT project_id, CASE WHEN n_nationkey = 1 THEN 'moved' ELSE n_name END AS value, CASE WHEN n_nationkey = 1 THEN 'T1' ELSE 'CUSTOM' || (n_nationkey + 1) END AS token FROM p, nation WHERE n_nationkey IN (0, 1, 2, 4)
+UNION ALL SELECT project_id, 'fresh', 'NEW1' FROM p"""
+)
+def variable_edits(spark, sf_dir):
+    """Of new variables only one with a free value and a free token joins; others are changed and removed."""
+    old = _variables(spark, sf_dir)
+    project = old.select("project_id").distinct()
+    new = [("NATION_2", "X1", "custom", 90), ("y", "CUSTOM3", "custom", 91), ("fresh", "NEW1", "custom", 92), ("again", "NEW1", "custom", 93)]
+    new = spark.createDataFrame(new, "value string, token string, kind string, variable_order long").hint("broadcast")
+    df = tokens.upsert_variable(old, project.join(new, F.col("project_id").isNotNull()))
+    named = lambda v: old.filter(F.col("value") == v).select("project_id", "value")
+    df = tokens.update_variables(df, named("NATION_1").withColumns({"new_value": F.lit("moved"), "new_token": F.lit("T1")}))
+    return tokens.remove_variables(df, named("NATION_3")).select("project_id", "value", "token")
+
+
+@_query("SELECT DISTINCT c_mktsegment AS project_id, 'NATION_' || (c_custkey % 12) AS value FROM customer WHERE c_custkey % 12 >= 5")
+def unignored_values(spark, sf_dir):
+    ignored = _decisions(spark, sf_dir).select("project_id", "value").distinct()
+    return tokens.unignore(ignored, _variables(spark, sf_dir))
+
+
+@_query("SELECT n_nationkey AS id, CASE WHEN n_nationkey = 3 THEN 'Third' ELSE n_name END AS label, CASE WHEN n_nationkey % 5 = 0 THEN 'global' ELSE 'workspace' END AS scope FROM nation")
+def kind_edits(spark, sf_dir):
+    """Names that are blank or taken, whatever their case, change nothing; scopes move and ids stay."""
+    n = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"), F.lit("workspace").alias("scope"))
+    changes = spark.createDataFrame([(3, " Third "), (4, "  "), (5, "nation_6")], "id long, new_label string").withColumn("id", F.col("id").cast(n.schema["id"].dataType))
+    return kinds.set_scope(kinds.rename(n, changes), n.filter("id % 5 = 0").withColumn("scope", F.lit("global"))).select("id", "label", "scope")
+
+
+@_query(
+    """WITH b AS (SELECT unnest(range(1, 10)) AS option_order, unnest(['name', 'street', 'city', 'postal', 'phone', 'pin', 'email', 'org', 'custom']) AS kind)
+SELECT kind, option_order::BIGINT AS option_order, kind AS label, true AS built_in FROM b UNION ALL SELECT n_name, 10 + n_nationkey, 'Label ' || n_nationkey, false FROM nation"""
+)
+def kind_options(spark, sf_dir):
+    """The built-in kinds, then the others in use by their first spelling, with their labels."""
+    n = _table(spark, sf_dir, "nation")
+    used = n.select(F.col("n_name").alias("kind"), F.col("n_nationkey").alias("use_order")).unionByName(n.select(F.lower("n_name").alias("kind"), (F.col("n_nationkey") + 50).alias("use_order")))
+    used = used.unionByName(n.limit(1).select(F.lit("Email").alias("kind"), F.lit(99).cast(n.schema["n_nationkey"].dataType).alias("use_order")))
+    labels = n.select(F.col("n_name").alias("kind"), F.concat(F.lit("Label "), F.col("n_nationkey").cast("string")).alias("label"))
+    return kinds.kind_labels(kinds.options(used), labels).select("kind", "option_order", "label", "built_in")
+
+
+_PROJECT_STYLES = "CASE n_nationkey % 3 WHEN 0 THEN 'mustache' WHEN 1 THEN 'kindNumber' ELSE 'kindNumber' END"
+
+
+@_query(
+    f"""SELECT n_regionkey AS workspace, n_nationkey AS project_id, CASE WHEN n_nationkey = 7 THEN 'Seven' WHEN n_nationkey % 10 = 6 THEN 'again' ELSE n_name END AS name, {_PROJECT_STYLES} AS style,
+  n_nationkey = (SELECT min(m.n_nationkey) FROM nation m WHERE m.n_regionkey = nation.n_regionkey AND m.n_nationkey >= 5) AS active FROM nation WHERE n_nationkey >= 5 AND n_regionkey <> 4"""
+)
+def project_edits(spark, sf_dir):
+    """Projects added anew, renamed and removed; the active one of a workspace that lost it is its first; a workspace goes whole."""
+    n = _table(spark, sf_dir, "nation")
+    styles = F.when(F.col("n_nationkey") % 3 == 0, "mustache").when(F.col("n_nationkey") % 3 == 1, "none such")
+    rows = n.select(F.col("n_regionkey").alias("workspace"), F.col("n_nationkey").alias("project_id"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("project_order"), styles.alias("style"))
+    first = rows.groupBy("workspace").agg(F.min("project_id").alias("active_id"))
+    rows = catalog.upsert(rows, rows.filter("project_id % 10 = 6").withColumn("name", F.lit("again")), ("project_id",))
+    changes = rows.filter("project_id IN (7, 8)").select("project_id", F.when(F.col("project_id") == 7, " Seven ").otherwise(" ").alias("new_name"))
+    rows = catalog.remove(catalog.rename(rows, changes), rows.filter("project_id < 5"))
+    kept = catalog.remove_workspaces({"projects": rows, "active": first}, n.filter("n_regionkey = 4").select(F.col("n_regionkey").alias("workspace")))
+    active = catalog.active_after_removal(kept["projects"], kept["active"])
+    out = kept["projects"].join(active, "workspace")
+    return out.select("workspace", "project_id", "name", tokens.project_style(F.col("style"), "kindNumber").alias("style"), (F.col("project_id") == F.col("active_id")).alias("active"))
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'kept' WHEN o_orderkey % 3 = 1 THEN 'drawn' END AS pages FROM orders")
+def page_sources(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    form = F.when(F.col("o_orderkey") % 3 == 0, "pdf").when(F.col("o_orderkey") % 3 == 1, "docx").otherwise("text")
+    return o.select("o_orderkey", catalog.page_source(form, F.col("o_orderkey") % 2 == 0).alias("pages"))
