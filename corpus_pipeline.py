@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from piiflow.llm import decontamination, line_dedup, mixing, quality_rules, simhash
-from piiflow.llm.common import written
+from piiflow.llm.common import release, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,7 +26,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id."""
+    """Of each group of near copies the document with the smallest doc_id; one without a doc_id only where none has any."""
     return simhash.keep_one(docs)
 
 
@@ -53,9 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs)
+            # What the stage before wrote has been read.
+            if before is not None:
+                release(before)
+            before = docs
     return docs
