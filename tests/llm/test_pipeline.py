@@ -27,6 +27,8 @@ def test_stages_over_planted_documents(spark, tmp_path):
     everything = {k for k, _ in docs}
     assert set(kept[0]) == everything - {32, 33, 35}
     assert set(kept[1]) == set(kept[0]) and sum(line in r.text for r in kept[1].values()) == 1 and line in kept[1][43].text
+    # The lengths of texts follow what the stage left of them.
+    assert all(r.n_chars == len(r.text) for r in kept[1].values()) and any(r.text != kept[0][k].text for k, r in kept[1].items())
     assert set(kept[1]) - set(kept[2]) == {30, 31}
     assert set(kept[2]) - set(kept[3]) == {34}
     assert set(kept[4]) <= set(kept[3]) and all(0 < r.taken <= 2 * r.size for r in kept[4].values())

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -209,6 +210,43 @@ def test_counts_and_verdicts(spark):
     assert quality_rules.judge(frame(spark, values).limit(0)).count() == 0
 
 
+def plain_verdict(t):
+    """The counts of a text and its votes, in the order of the rules, by plain Python."""
+    import unicodedata
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    repeated = len({j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)})
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    per = lambda a, b: a / max(b, 1)
+    chars, n = sum(map(len, w)), len(w)
+    n_symbols = len(re.findall(r"[#*$%&|<>]", t))
+    symbols, upper = per(n_symbols, chars), per(sum(unicodedata.category(c) == "Lu" for c in t), chars)
+    shouts, stutter = per(len(re.findall("[!?]{2,}", t)), n), per(sum(a == b for a, b in zip(w, w[1:])), n)
+    repeats, variety, copies = per(repeated, n), per(len(set(w)), n), per(len(lines) - len(set(lines)), len(lines))
+    length, sentence = per(chars, n), per(n, len(re.findall(r"[.?!]+(?=[\x20\x09-\x0D]|\Z)", t)))
+    plain = symbols < 0.01 and upper < 0.2 and shouts < 0.02 and stutter < 0.2
+    votes = [
+        -(symbols > 0.05), -(upper > 0.5), -(shouts > 0.2), -(repeats > 0.3), -(variety < 0.2 and n < 2000 or variety < 0.05), -(stutter > 0.3), -(copies > 0.5 and len(lines) >= 4),
+        -(length < 2 or length > 15), int(plain and 2 <= sentence <= 60), int(plain and variety > 0.3 and repeats < 0.1), -1 if n < 10 else int(plain and n >= 40 and repeats < 0.1),
+    ]
+    return n_symbols, n < 20 or 100 * repeated > 30 * n, tuple(votes)
+
+
+def test_verdicts_against_plain_votes(spark):
+    rng = random.Random(21)
+    noise = ["#|# ", "BUY NOW!! ", "la la la la ", "Plain words go on. ", "x ", "supercalifragilisticexpialidocious ", "A line of text.\n", "\n", "Does it end? ", "ÅÄÖ ", "2 * 3 > 4 & 5 "]
+    values = texts(5) + ["".join(rng.choice(noise) for _ in range(rng.randrange(1, 60))) for _ in range(150)]
+    want = [plain_verdict(t or "") for t in values]
+    accuracy = quality_rules.estimate(Counter(v for _, _, v in want).items(), 11)
+    good = [1 / (1 + math.exp(-sum(x * math.log(a / (1 - a)) for x, a in zip(v, accuracy)))) for _, _, v in want]
+    got = {r.doc_id: r for r in quality_rules.judge(frame(spark, values)).collect()}
+    for k, (n_symbols, failed, _) in enumerate(want):
+        assert (got[k].n_symbols, got[k].base_failed, got[k].kept) == (n_symbols, failed, not failed and good[k] >= 0.5 - 1e-9), (k, values[k])
+        assert got[k]["quality"] == pytest.approx(good[k])
+    assert 20 < sum(r.kept for r in got.values()) < len(values) - 20
+
+
 def test_accuracies_are_found_from_votes():
     rng = random.Random(4)
     accuracy, votes = [0.95, 0.9, 0.6, 0.75], Counter()
@@ -354,6 +392,15 @@ def test_chats_come_back(spark):
     assert len(got) == len({r[0] for r in rows}) and chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_chats_and_columns_that_clash(spark):
+    rows = [(1, k, "user" if k % 2 else "assistant", "t" * (k % 5), "c", "f", 9) for k in range(3_000)] + [(2, 1, "assistant", "z" * 200_000, "c", "f", 9)] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segments string, formatted string, n_turns long")
+    out = chat_format.format_chats(df).select("conv_id", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.read_learned(F.col("segments")).alias("learned")).collect()
+    got = {r.conv_id: r for r in out}
+    assert len(got[1].turns) == 3_000 and got[2].learned == "z" * 400_000 and len(got[2].turns) == 2
+    assert got[1].learned == "".join(r[3] for r in rows if r[0] == 1 and r[2] == "assistant")
+
+
 # --- secrets
 
 

@@ -57,6 +57,8 @@ def test_unknown_parts_and_empty_tables(spark):
     got = sorted(map(tuple, T.count_tokens(docs, pieces).collect()), key=str)
     assert got == sorted([(1, 4, 7, 1), (None, 1, 2, 0), (1, 4, 7, 1)], key=str)
     assert T.count_tokens(docs.limit(0), pieces).count() == 0
+    clash = docs.selectExpr("*", "7 AS n_words", "'x' AS n_tokens", "text AS n_unknown")
+    assert sorted(map(tuple, T.count_tokens(clash, pieces).collect()), key=str) == got
 
 
 @pytest.mark.skipif(not os.path.exists(T.VOCABULARY), reason="no vocabulary file")
