@@ -1014,3 +1014,40 @@ def page_sources(spark, sf_dir):
     o = _table(spark, sf_dir, "orders")
     form = F.when(F.col("o_orderkey") % 3 == 0, "pdf").when(F.col("o_orderkey") % 3 == 1, "docx").otherwise("text")
     return o.select("o_orderkey", catalog.page_source(form, F.col("o_orderkey") % 2 == 0).alias("pages"))
+
+
+@_query(
+    """SELECT p_partkey, p_partkey % 4 IN (0, 2) AS bold, p_partkey % 4 = 1 OR p_partkey % 5 = 0 AS italic FROM part"""
+)
+def font_styles(spark, sf_dir):
+    """A face's name says what it looks like, the tag of a face that is kept in part doesn't."""
+    face = F.get(F.array(*map(F.lit, ("ABCDEF+Serif-Bold", "Serif-Oblique", "Sans Black", "BOLDEX+Blackout"))), (F.col("p_partkey") % 4).cast("int"))
+    style = layout.font_style(face, F.lit(None).cast("boolean"), F.col("p_partkey") % 5 == 0)
+    return _table(spark, sf_dir, "part").select("p_partkey", style.alias("s")).select("p_partkey", "s.*")
+
+
+@_query(
+    """WITH w AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part)
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '**' || a || '** ' || b WHEN 1 THEN a || ' *' || b || '*' ELSE '***' || a || ' ' || b || '***' END AS markdown, a || ' ' || b AS plain FROM w"""
+)
+def styled_markdown(spark, sf_dir):
+    """Two words in faces of their own: blanks collapse, a blank is set like what follows it, marks hug the ink."""
+    word = lambda k: F.get(F.split("p_name", " "), k)
+    k = F.col("p_partkey") % 3
+    chars = F.concat(layout._set(F.concat(F.lit(" "), word(0), F.lit(" \t")), k != 1, k == 2), layout._set(F.concat(F.lit(" "), word(1), F.lit(" ")), k == 2, k != 0))
+    df = _table(spark, sf_dir, "part").select("p_partkey", layout.collapsed(chars).alias("c"))
+    return df.select("p_partkey", layout.emphasised(F.col("c"), F.lit(True)).alias("markdown"), layout.emphasised(F.col("c"), F.lit(False)).alias("plain"))
+
+
+@_query(
+    """WITH w AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part)
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN a || b WHEN 1 THEN a || '-' || upper(b) ELSE a || ' ' || b END || ' end' AS text FROM w"""
+)
+def wrapped_lines(spark, sf_dir):
+    """A hyphen between small letters goes, one before a capital stays without a blank, and other lines get a blank."""
+    word = lambda k: F.get(F.split("p_name", " "), k)
+    k = F.col("p_partkey") % 3
+    line = lambda t: F.struct(t.alias("text"), layout._set(t, F.lit(False), F.lit(False)).alias("chars"))
+    parts = F.array(line(F.concat(word(0), F.when(k < 2, F.lit("-")).otherwise(F.lit("")))), line(F.when(k == 1, F.upper(word(1))).otherwise(word(1))), line(F.lit("end")))
+    df = _table(spark, sf_dir, "part").select("p_partkey", layout.wrapped(parts).alias("w"))
+    return df.select("p_partkey", F.when(layout.spelled(F.col("w.chars")) == F.col("w.text"), F.col("w.text")).alias("text"))

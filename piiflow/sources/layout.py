@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from piiflow.functions.text import html_comment
+from piiflow.operators.spans import let
 from piiflow.sources.stores import materialize
 
 # The geometry of lines and paragraphs, in points or as ratios.
@@ -22,20 +23,99 @@ FURNITURE_PAGES, FURNITURE_DEPTH, FURNITURE_Y = 3, 2, 2.0
 DEFAULT_HEIGHT, DEFAULT_LEADING = 12.0, 1.6
 SENTENCE_END = r"[.!?:;…][\"'”’)\]]*\s*\z"
 LIST_MARKER = r"^(?:[•◦▪‣·*–-]\s|\(?[0-9]{1,3}[.)]\s|\(?[a-z][.)]\s)"
-_LINE = "struct<text:string,left:double,right:double,y:double,height:double,bold:boolean,eol:boolean>"
+BULLET = r"^[•◦▪‣·*–—-]\s+"
+# Names of faces that say what they look like, and the tag of a face that is kept in part.
+BOLD_FACE, ITALIC_FACE, FACE_TAG = r"(?i)bold|heavy|(?:^|[-_,.\s])black(?![a-z])", "(?i)italic|oblique", "^[A-Z]{6}\\+"
+_CHARS = "array<struct<c:string,b:boolean,i:boolean>>"
+_LINE = f"struct<text:string,left:double,right:double,y:double,height:double,bold:boolean,eol:boolean,chars:{_CHARS}>"
+_BLANKS = (" ", "\t", "\n", "\x0b", "\f", "\r")
 
 
 def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+def font_style(face: Column, bold: Column, italic: Column) -> Column:
+    """Whether a run is bold and italic: by its flags, or by the name of its face without the tag of a part."""
+    name = F.regexp_replace(F.coalesce(face, F.lit("")), FACE_TAG, "")
+    has = lambda flag, pattern: F.coalesce(flag, F.lit(False)) | F.rlike(name, F.lit(pattern))
+    return F.struct(has(bold, BOLD_FACE).alias("bold"), has(italic, ITALIC_FACE).alias("italic"))
+
+
+def _set(text: Column, bold: Column, italic: Column) -> Column:
+    """A text as characters, each with its face."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.struct(c.alias("c"), bold.alias("b"), italic.alias("i")))
+
+
+def _blank(char: Column) -> Column:
+    return char["c"].isin(*_BLANKS)
+
+
+def collapsed(chars: Column) -> Column:
+    """Characters with each run of white space as one blank, in the face of what follows; none at the ends."""
+    inked = lambda x: ~_blank(x)
+
+    def cut(all_: Column) -> Column:
+        follows = lambda i: F.get(all_, i + 1)
+        # The last blank of a run stays, if ink follows it.
+        kept = F.transform(all_, lambda x, i: F.when(inked(x), x).when(inked(follows(i)), F.struct(F.lit(" ").alias("c"), follows(i)["b"].alias("b"), follows(i)["i"].alias("i"))))
+        return let(F.filter(kept, lambda x: x.isNotNull()), lambda k: F.when(_blank(F.get(k, 0)), F.slice(k, F.lit(2), F.size(k))).otherwise(k))
+
+    return let(chars, cut)
+
+
+def spelled(chars: Column) -> Column:
+    return F.array_join(F.transform(chars, lambda x: x["c"]), "")
+
+
+def emphasised(chars: Column, emphatic: Column) -> Column:
+    """Characters as Markdown: marks hug the ink of each stretch in one face. Not emphatic: no marks."""
+
+    def marked(x: Column) -> Column:
+        core = F.trim(x["t"])
+        lead = F.substr(x["t"], F.lit(1), F.length(x["t"]) - F.length(F.ltrim(x["t"])))
+        trail = F.substr(x["t"], F.length(F.rtrim(x["t"])) + 1)
+        slanted = F.when(x["i"], F.concat(F.lit("*"), core, F.lit("*"))).otherwise(core)
+        return F.when(core == "", x["t"]).otherwise(F.concat(lead, F.when(x["b"], F.concat(F.lit("**"), slanted, F.lit("**"))).otherwise(slanted), trail))
+
+    def faced(all_: Column) -> Column:
+        face = lambda x: F.struct(x["b"], x["i"])
+        begins = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: (i == 0) | (face(F.get(all_, i)) != face(F.get(all_, i - 1))))
+
+        def stretches(at: Column) -> Column:
+            upto = lambda k: F.coalesce(F.get(at, k + 1), F.size(all_))
+            piece = lambda i, k: F.struct(spelled(F.slice(all_, i + 1, upto(k) - i)).alias("t"), F.get(all_, i)["b"].alias("b"), F.get(all_, i)["i"].alias("i"))
+            return F.array_join(F.transform(F.transform(at, piece), marked), "")
+
+        return let(begins, stretches)
+
+    return F.when(F.size(chars) == 0, "").when(emphatic, let(chars, faced)).otherwise(spelled(chars))
+
+
+def wrapped(parts: Column) -> Column:
+    """Lines (text, chars) put together: a soft hyphen goes, after another one nothing comes, else a blank in the next line's face."""
+    soft = lambda a, b: F.rlike(a, F.lit(r"\p{Ll}[-\x{AD}]\z")) & F.rlike(b, F.lit(r"^\p{Ll}"))
+    form = f"struct<text:string,chars:{_CHARS}>"
+
+    def step(acc: Column, x: Column) -> Column:
+        t, c = x["text"], x["chars"]
+        gap = F.array(F.struct(F.lit(" ").alias("c"), F.get(c, 0)["b"].alias("b"), F.get(c, 0)["i"].alias("i")))
+        make = lambda text, chars: F.struct(text.alias("text"), chars.alias("chars")).cast(form)
+        cut = make(F.concat(F.regexp_replace(acc["text"], r"[-\x{AD}]\z", ""), t), F.concat(F.slice(acc["chars"], F.lit(1), F.size(acc["chars"]) - 1), c))
+        joined = make(F.concat(acc["text"], F.lit(" "), t), F.concat(acc["chars"], gap, c))
+        return F.when(acc["text"] == "", make(t, c)).when(soft(acc["text"], t), cut).when(acc["text"].endswith("-"), make(F.concat(acc["text"], t), F.concat(acc["chars"], c))).otherwise(joined)
+
+    return F.aggregate(parts, F.struct(F.lit("").alias("text"), F.array().cast(_CHARS).alias("chars")).cast(form), step)
+
+
 def lines(runs: DataFrame) -> DataFrame:
-    """doc_id, page, line_no, text, left, right, y, height, bold.
+    """doc_id, page, line_no, text, left, right, y, height, bold, and chars: the text's characters with their faces.
 
     A run goes on in the line if it is within 2 points of the line's first run and no line end came
     before; a gap over a fifth of the height, 1 point at least, is a blank. Empty lines are left out.
     """
-    run = F.struct("seq", "text", "x", "y", "width", "height", F.coalesce("has_eol", F.lit(False)).alias("eol"), F.coalesce("bold", F.lit(False)).alias("bold"))
+    no = F.lit(False)
+    run = F.struct("seq", "text", "x", "y", "width", "height", F.coalesce("has_eol", no).alias("eol"), F.coalesce("bold", no).alias("bold"), F.coalesce("italic", no).alias("italic"))
     pages = runs.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(run)).alias("_r"))
 
     def step(acc: Column, r: Column) -> Column:
@@ -46,14 +126,14 @@ def lines(runs: DataFrame) -> DataFrame:
         more = F.struct(
             F.concat(last["text"], F.when(gap, F.lit(" ")).otherwise(F.lit("")), r["text"]).alias("text"), F.least(last["left"], r["x"]).alias("left"),
             F.greatest(last["right"], r["x"] + r["width"]).alias("right"), last["y"].alias("y"), F.greatest(last["height"], r["height"]).alias("height"),
-            (last["bold"] & (r["bold"] | ~inked)).alias("bold"), r["eol"].alias("eol"),
+            (last["bold"] & (r["bold"] | ~inked)).alias("bold"), r["eol"].alias("eol"), F.concat(last["chars"], _set(F.concat(F.when(gap, F.lit(" ")).otherwise(F.lit("")), r["text"]), r["bold"], r["italic"])).alias("chars"),
         )
-        new = F.struct(r["text"].alias("text"), r["x"].alias("left"), (r["x"] + r["width"]).alias("right"), r["y"].alias("y"), r["height"].alias("height"), (r["bold"] | ~inked).alias("bold"), r["eol"].alias("eol"))
+        new = F.struct(r["text"].alias("text"), r["x"].alias("left"), (r["x"] + r["width"]).alias("right"), r["y"].alias("y"), r["height"].alias("height"), (r["bold"] | ~inked).alias("bold"), r["eol"].alias("eol"), _set(r["text"], r["bold"], r["italic"]).alias("chars"))
         return F.when(goes_on, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(more))).otherwise(F.array_append(acc, new))
 
     found = pages.select("doc_id", "page", F.posexplode(F.aggregate("_r", F.array().cast(f"array<{_LINE}>"), step)).alias("_no", "_l"))
     text = F.trim(F.regexp_replace("_l.text", r"\s+", " "))
-    found = found.select("doc_id", "page", "_no", text.alias("text"), "_l.left", "_l.right", "_l.y", "_l.height", "_l.bold").filter("text <> ''")
+    found = found.select("doc_id", "page", "_no", text.alias("text"), "_l.left", "_l.right", "_l.y", "_l.height", "_l.bold", collapsed(F.col("_l.chars")).alias("chars")).filter("text <> ''")
     order = Window.partitionBy("doc_id", "page").orderBy("_no")
     return found.withColumn("line_no", F.row_number().over(order).cast("long")).drop("_no")
 
@@ -111,9 +191,9 @@ def furniture(rows: DataFrame) -> DataFrame:
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
-    """Lines as doc_id, page, block, par, text, height, lines, bold: blocks in reading order, reflowed.
+    """Lines as doc_id, page, block, par, text, height, lines, bold, chars: blocks in reading order, reflowed.
 
-    A block ends where the next line rises, or drops by over three pitches; blocks read from the top down,
+    chars are the text's characters with their faces. A block ends where the next line rises, or drops by over three pitches; blocks read from the top down,
     then from the left. In a block a paragraph ends at wider leading, before an indent, before a list item
     after a sentence, and at a line that stops well short of the right margin.
     """
@@ -138,20 +218,13 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     )
     df = df.withColumn("_p", F.coalesce(breaks, F.lit(True)).cast("int")).withColumn("_par", F.sum("_p").over(within))
     grouped = df.groupBy(*by, "_par").agg(
-        F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("_l"), F.max("height").alias("height"), F.count("*").alias("lines"),
+        F.sort_array(F.collect_list(F.struct("line_no", "text", "chars"))).alias("_l"), F.max("height").alias("height"), F.count("*").alias("lines"),
         F.min(F.col("bold").cast("int")).alias("_bold"), F.first("_top").alias("_top"), F.first("_bleft").alias("_bleft"),
     )
-    soft = lambda a, b: F.rlike(a, F.lit(r"\p{Ll}[-\x{AD}]\z")) & F.rlike(b, F.lit(r"^\p{Ll}"))
-
-    def wrapped(acc: Column, x: Column) -> Column:
-        t = x["text"]
-        cut = F.concat(F.regexp_replace(acc, r"[-\x{AD}]\z", ""), t)
-        return F.when(acc == "", t).when(soft(acc, t), cut).when(acc.endswith("-"), F.concat(acc, t)).otherwise(F.concat(acc, F.lit(" "), t))
-
-    text = F.aggregate("_l", F.lit(""), wrapped)
+    grouped = grouped.withColumn("_w", wrapped(F.col("_l")))
     order = Window.partitionBy("doc_id", "page").orderBy(-half_up(F.col("_top") / SAME_LINE), "_bleft", "_block")
     grouped = grouped.withColumn("block", F.dense_rank().over(order).cast("long"))
-    return grouped.select("doc_id", "page", "block", F.col("_par").cast("long").alias("par"), text.alias("text"), "height", "lines", (F.col("_bold") == 1).alias("bold"))
+    return grouped.select("doc_id", "page", "block", F.col("_par").cast("long").alias("par"), "_w.text", "height", "lines", (F.col("_bold") == 1).alias("bold"), "_w.chars")
 
 
 def heading_level(height: Column, body: Column, lines_: Column, text: Column, bold: Column, emphatic: Column) -> Column:
@@ -179,11 +252,15 @@ def markdown(runs: DataFrame) -> DataFrame:
     pars = pars.withColumns({"_bt": F.lag("text").over(whole), "_bp": F.lag("page").over(whole), "_bl": F.lag("_level").over(whole)})
     goes_on = (F.col("_bp") < F.col("page")) & (F.col("_bl") == 0) & (F.col("_level") == 0) & ~F.rlike("_bt", F.lit(SENTENCE_END)) & F.rlike("text", F.lit(r"^[\p{Ll}(]"))
     pars = pars.withColumn("_n", F.sum(F.coalesce(~goes_on, F.lit(True)).cast("int")).over(whole))
+    at = F.struct("page", "block", "par")
     joined = pars.groupBy("doc_id", "_n").agg(
-        F.min(F.struct("page", "block", "par")).alias("_at"), F.min_by("_level", F.struct("page", "block", "par")).alias("_level"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "block", "par", "text"))), lambda x: x["text"]), " ").alias("text"),
+        F.min(at).alias("_at"), F.min_by("_level", at).alias("_level"), F.min("_emphatic").alias("_emphatic"),
+        F.sort_array(F.collect_list(F.struct("page", "block", "par", "text", "chars"))).alias("_l"),
     )
-    item = F.regexp_replace("text", r"^[•◦▪‣·*–]\s+", "- ")
+    joined = joined.withColumn("_w", wrapped(F.col("_l"))).select("doc_id", "_at", "_level", "_emphatic", "_w.text", "_w.chars")
+    # A bullet is drawn as Markdown has it, a heading without marks.
+    bullet = F.length(F.regexp_extract("text", BULLET, 0))
+    item = F.concat(F.when(bullet > 0, F.lit("- ")).otherwise(F.lit("")), emphasised(F.slice("chars", bullet + 1, F.greatest(F.size("chars") - bullet, F.lit(0))), F.col("_emphatic")))
     drawn = F.when(F.col("_level") > 0, F.concat(F.repeat(F.lit("#"), F.col("_level")), F.lit(" "), F.col("text"))).otherwise(item)
     blocks = joined.select("doc_id", F.col("_at.page").alias("page"), F.lit(1).alias("part"), (F.col("_at.block") * 100000 + F.col("_at.par")).alias("k"), drawn.alias("text"))
     aside = rows.filter("furniture IS NOT NULL").select("doc_id", "page", F.when(F.col("furniture") == "head", 0).otherwise(2).alias("part"), F.col("line_no").alias("k"), html_comment(F.col("text")).alias("text"))

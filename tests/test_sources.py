@@ -51,6 +51,29 @@ def test_pages_become_one_text(spark):
     assert text.count("<!-- Sida") == 3
 
 
+def test_faces_inside_of_lines(spark):
+    rows = [
+        ("Some ", 0, 700, False, False), ("bold", 25, 700, True, False), (" and  ", 45, 700, False, False), ("slanted text that goes on", 70, 700, False, True),
+        ("over the end", 0, 686, False, True), ("and both", 100, 686, True, True), (".", 140, 686, False, False),
+        ("•  ", 0, 640, False, False), ("item", 12, 640, True, False), (" plain", 40, 640, False, False), ("Short heading", 0, 600, True, False),
+    ]
+    width = lambda t: 5.0 * len(t)
+    rows = [(1, 0, k, t, float(x), float(y), width(t) if y != 700 else (width(t) if x < 70 else 400.0), 12.0, False, b, i) for k, (t, x, y, b, i) in enumerate(rows)]
+    schema = "doc_id long, page int, seq int, text string, x double, y double, width double, height double, has_eol boolean, bold boolean, italic boolean"
+    got = layout.markdown(spark.createDataFrame(rows, schema)).first().markdown
+    assert got == "Some **bold** and *slanted text that goes on over the end* ***and both***.\n\n- **item** plain\n\n### Short heading"
+    # All of a document in bold has nothing to set off.
+    bold = layout.markdown(spark.createDataFrame([r[:9] + (True, r[10]) for r in rows], schema)).first().markdown
+    assert "*" not in bold and bold.startswith("Some bold and slanted text")
+
+
+def test_names_of_faces(spark):
+    rows = [("ABCDEF+Sans-BoldItalic", None, None), ("Sans-Oblique", None, None), ("BOLDER+Sans", None, None), (None, True, None), ("Sans", None, True), ("Arial Black", False, False)]
+    df = spark.createDataFrame(rows, "face string, bold boolean, italic boolean")
+    got = [tuple(r.s) for r in df.select(layout.font_style(F.col("face"), F.col("bold"), F.col("italic")).alias("s")).collect()]
+    assert got == [(True, True), (False, True), (False, False), (True, False), (False, True), (True, False)]
+
+
 def test_a_stream_keeps_its_tokens(spark, tmp_path):
     schema = "project_id string, doc_id long, text string"
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
