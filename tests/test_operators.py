@@ -1,5 +1,7 @@
 """Behaviour of the library on small tables of our own."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +135,104 @@ def test_never_and_ignored_lists(spark):
     ignored = spark.createDataFrame([("c@x.se",)], "value string")
     found = C.detect(docs, D.pattern_spans(F.col("text"), ("email",)), never=never, ignored=ignored)
     assert values(found) == ["a@x.se"]
+
+
+def test_sums_of_long_arrays(spark):
+    rng = random.Random(2)
+    rows = [(k, [rng.randrange(9) for _ in range(n)]) for k, n in enumerate((0, 1, 127, 128, 129, 5000))]
+    got = spark.createDataFrame(rows, "k int, a array<long>").select("k", S.running(F.col("a")).alias("r")).collect()
+    assert {r.k: r.r for r in got} == {k: [sum(a[:i]) for i in range(len(a))] for k, a in rows}
+
+
+def test_very_many_matches_in_one_text(spark):
+    df = spark.createDataFrame([("é ab, " * 20_000,)], "text string")
+    found = df.select(S.find_spans(F.col("text"), "ab", "x", "x").alias("s")).first().s
+    assert [x.start for x in found] == [6 * k + 2 for k in range(20_000)]
+
+
+def greedy(spans):
+    kept = []
+    for s in sorted(spans, key=lambda s: (s[0] - s[1], -s[5], s[0], s[6])):
+        if all(s[1] <= k[0] or k[1] <= s[0] for k in kept):
+            kept.append(s)
+    return sorted(kept)
+
+
+def test_clusters_resolve_as_whole_documents_do(spark):
+    rng = random.Random(8)
+    rows = []
+    for doc in range(60):
+        for seq in range(rng.randrange(0, 25)):
+            start = rng.randrange(60)
+            rows.append((doc, start, start + rng.randrange(1, 12), f"v{seq}", "k", "s", rng.randrange(3), seq))
+    df = spark.createDataFrame(rows, "doc_id long, start long, end long, value string, kind string, source string, priority int, seq int")
+    got = sorted((r.doc_id, r.start, r.end, r.value) for r in S.resolved(df, ["doc_id"]).collect())
+    want = sorted((d, s[0], s[1], s[2]) for d in range(60) for s in greedy([r[1:] for r in rows if r[0] == d]))
+    assert got == want
+
+
+def test_edits_that_cross(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(200):
+        text = "".join(rng.choice("abé😀 ") for _ in range(rng.randrange(0, 30)))
+        edits = []
+        for _ in range(rng.randrange(0, 5)):
+            a = rng.randrange(len(text) + 1)
+            edits.append((a, rng.randrange(a, len(text) + 1), rng.choice(["", "X", "YY"])))
+        rows.append((k, text, edits))
+    df = spark.createDataFrame(rows, "k int, text string, e array<struct<start:long,end:long,replacement:string>>")
+    got = {r.k: r.t for r in df.select("k", S.rewrite(F.col("text"), F.col("e")).alias("t")).collect()}
+    for k, text, edits in rows:
+        out, at = "", 0
+        for a, b, r in sorted(edits):
+            if a >= at:
+                out, at = out + text[at:a] + r, b
+        assert got[k] == out + text[at:], (text, edits)
+
+
+def test_literals_against_plain_search(spark):
+    import regex
+
+    rng = random.Random(6)
+    words = ["Anna", "Ek", "ek", "Björk", "och", "AB", "42", "_x", "Annas", "(", "é"]
+    docs = [(k, "".join(rng.choice(words) + rng.choice([" ", "", ", ", "s ", "-"]) for _ in range(rng.randrange(0, 40)))) for k in range(80)]
+    values = ["Anna", "Anna Ek", "Ek", "AB 42", "(", "42", "och Björk", "_x", "Ek, Ek", "é"]
+    literals = spark.createDataFrame([(v, "k") for v in values], "value string, kind string")
+    got = sorted((r.doc_id, r.start, r.value) for r in S.find_literals(spark.createDataFrame(docs, "doc_id long, text string"), literals, suffixes=("s",)).collect())
+    want = []
+    for doc, text in docs:
+        for v in values:
+            left = r"(?<![\p{L}\p{N}_])" if regex.match(r"[\p{L}\p{N}_]", v) else ""
+            right = r"(?:s)?(?![\p{L}\p{N}_])" if regex.search(r"[\p{L}\p{N}_]$", v) else ""
+            want += [(doc, m.start(), v) for m in regex.finditer(f"{left}(?={regex.escape(v)}{right})", text)]
+    assert got == sorted(want) and len(got) > 200
+
+
+def test_sentences_begin_after_any_white_space(spark):
+    rows = [("." + " " * 500 + "Anna", True), ("x" + " " * 500 + "Anna", False), (" " * 500 + "Anna", True), ("x," + "\t" * 90 + "Anna", False), ("(" + " " * 200 + "Anna", True)]
+    df = spark.createDataFrame([(t, t.index("Anna"), w) for t, w in rows], "text string, at long, want boolean")
+    assert all(r.want == r.got for r in df.select("want", D.sentence_initial(F.col("text"), F.col("at")).alias("got")).collect())
+    # A word of everyday language is trusted in the middle of a sentence only.
+    dictionary = spark.createDataFrame([("Björn", "given_wordlike")], "term string, class string")
+    docs = spark.createDataFrame([(1, "Ja." + " " * 300 + "Björn vaknar"), (2, "ja, " + " " * 300 + "Björn vaknar")], "doc_id long, text string")
+    assert [r.doc_id for r in D.name_spans(docs, dictionary).collect()] == [2]
+
+
+def test_kinds_that_collide_many_times(spark):
+    """Tokens of K, K1, K11 and so on are alike for many numbers; each value has one of its own in the end."""
+    kinds = ["K" + "1" * n for n in range(12)]
+    new = spark.createDataFrame([("p", f"{k}v{i}", k, n * 100 + i) for n, k in enumerate(kinds) for i in range(25)], "project_id string, value string, kind string, mint_order long")
+    taken = spark.createDataFrame([("p", "K3"), ("p", "K112")], "project_id string, token string")
+    got = [r.token for r in tokens.mint(new, taken, "kindNumber").collect()]
+    assert len(got) == len(set(got)) == 300 and not {"K3", "K112"} & set(got)
+
+
+def test_tokens_that_were_minted(spark):
+    for style in placeholders.STYLES:
+        df = spark.range(1, 40).select(placeholders.format_placeholder(style, F.col("id"), F.lit("a1 b")).alias("t"), "id")
+        got = [r.ok for r in df.select(tokens.was_minted_for(F.col("t"), style, F.lit("a1 b"), F.lit(30)).alias("ok"), "id").orderBy("id").collect()]
+        assert got == [k <= 30 for k in range(1, 40)], style
+        odd = spark.createDataFrame([("",), ("x",), ("A1B0",), ("$01",), ("[A1B 1",), ("{{a1b}}",)], "t string")
+        assert not any(r.ok for r in odd.select(tokens.was_minted_for(F.col("t"), style, F.lit("a1 b"), F.lit(10**6)).alias("ok")).collect() if r.ok)
+

@@ -3,7 +3,7 @@ from io import BytesIO
 
 from pyspark.sql import functions as F
 
-from piiflow.sources import docx, files, layout
+from piiflow.sources import docx, files, layout, stores
 from piiflow.streaming.masking import StreamingMasker
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -91,3 +91,26 @@ def test_a_stream_keeps_its_tokens(spark, tmp_path):
     assert spark.read.parquet(f"{out}/variables").count() == 3
     assert {r.doc_id: r.text for r in spark.read.parquet(f"{out}/masked").collect()} == got
     assert masker.variables(spark, 1).agg(F.count("*")).first()[0] == 2
+
+
+def test_what_is_stored_comes_back(spark, tmp_path):
+    body = lambda k: '{"version":1,"projects":[{"id":"p%d","name":"x"}]}' % k
+    writes = spark.createDataFrame([("a", body(1), 1), ("a", body(2), 2), ("b", "{broken", 1), ("c", "", 1)], "workspace string, body string, version long")
+    path = str(tmp_path / "stored")
+    stores.save_workspaces(writes, path)
+    got = {r.workspace: r for r in stores.load_workspaces(spark, path).collect()}
+    assert {k: v.status for k, v in got.items()} == {"a": "ok", "b": "unreadable", "c": "blank"} and got["a"].active_id == "p2"
+    # A later write of one workspace leaves the others as they are.
+    stores.save_workspaces(spark.createDataFrame([("a", body(3), 3)], writes.schema), path)
+    got = {r.workspace: r.active_id for r in stores.load_workspaces(spark, path).collect()}
+    assert got == {"a": "p3", "b": None, "c": None}
+    docs = spark.createDataFrame([("Brev: 1?.docx", "# Hej"), ("..", "x")], "name string, text string")
+    stores.save_markdown(docs, str(tmp_path / "out"), ".md")
+    assert {r.document for r in spark.read.text(str(tmp_path / "out")).select("document").distinct().collect()} == {"Brev- 1-.md", "document.md"}
+    stores.save_table(docs, str(tmp_path / "vault"))
+    assert spark.read.parquet(str(tmp_path / "vault")).count() == 2
+
+
+def test_pasted_texts(spark):
+    df = spark.createDataFrame([("  ", "text"), (None, "more"), ("named", " \n\t"), ("named", " x ")], "name string, text string")
+    assert sorted((r.name, r.text) for r in files.pasted(df).collect()) == [("Untitled", "more"), ("Untitled", "text"), ("named", " x ")]
