@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from piiflow.functions import checks, placeholders, text as T
 from piiflow.operators import analytics, candidates as C, catalog, detectors as D, kinds, spans as S, tokens
 from piiflow.plans.masking import mask_corpus
-from piiflow.sources import dictionaries, files, layout
+from piiflow.sources import dictionaries, files, layout, samples
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -1051,3 +1051,12 @@ def wrapped_lines(spark, sf_dir):
     parts = F.array(line(F.concat(word(0), F.when(k < 2, F.lit("-")).otherwise(F.lit("")))), line(F.when(k == 1, F.upper(word(1))).otherwise(word(1))), line(F.lit("end")))
     df = _table(spark, sf_dir, "part").select("p_partkey", layout.wrapped(parts).alias("w"))
     return df.select("p_partkey", F.when(layout.spelled(F.col("w.chars")) == F.col("w.text"), F.col("w.text")).alias("text"))
+
+
+@_query(
+    """SELECT * FROM (VALUES (0::BIGINT, 'NAME1, PIN1, hyr på STREET1 i CITY1. Skriv till EMAIL1.', 5::BIGINT), (1, 'Annas svar kom från EMAIL1.', 1),
+(2, 'Bolaget ORG1 nås på PHONE1, Postnummer POSTAL1.', 3), (3, 'Inget här pekar ut någon.', 0)) AS t(doc_id, text, n_replaced)"""
+)
+def sample_projects(spark, sf_dir):
+    """The sample's documents, masked with its variables."""
+    return tokens.mask(samples.documents(spark), samples.variables(spark)).select("doc_id", "text", "n_replaced")
