@@ -22,6 +22,7 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2.0
 ROWS_IN_RANGE = 4_000
+COPIES_IN_BLOCK = 10_000
 
 
 def size_of(text: Column) -> Column:
@@ -67,26 +68,36 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: str = "mix", carrie
 
     weight: a document's quality weight, above 0. Sizes of 0 take nothing; with only such documents all
     targets are 0. Rows that repeat an identifier are documents of their own, in order of size and of the
-    columns carried; rows without one share a key. An empty table gives an empty result. No row exceeds ceil(target / source_size) times its size.
+    columns carried; rows without one get their key from what is carried, or share one. An empty table gives an empty result. No row exceeds ceil(target / source_size) times its size.
     """
     weight = F.lit(1.0) if weight is None else weight
-    docs = written(docs.select("doc_id", "source", "size", *carried, (-F.ln(uniform(F.col("doc_id"), seed)) / F.greatest(weight, F.lit(1e-6))).alias("_key")))
-    by_source = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
+    docs = docs.select("doc_id", "source", "size", *carried, F.greatest(weight.cast("double"), F.lit(1e-6)).alias("_weight"))
+    # Equal rows go through the order as one, with their number, so that none of their ranges is hot.
+    docs = docs.groupBy(*docs.columns).agg(F.count("*").alias("_copies"))
+    identifier = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(":", *carried)) if carried else F.col("doc_id")
+    docs = written(docs.withColumns({"_key": -F.ln(uniform(identifier, seed)) / F.col("_weight"), "_sizes": F.col("size") * F.col("_copies")}))
+    by_source = docs.groupBy("source").agg(F.sum("_sizes").alias("source_size"), F.min("_weight").alias("_least"), F.sum(F.col("_weight") * F.col("_copies")).alias("_weights"))
     goals = targets(by_source.select("source", "source_size"), **shares)
-    goals = goals.withColumnRenamed("source", "_of").join(by_source.select("source", "_rows"), F.col("_of").eqNullSafe(F.col("source"))).drop("_of")
+    goals = goals.withColumnRenamed("source", "_of").join(by_source.select("source", "_least", "_weights"), F.col("_of").eqNullSafe(F.col("source"))).drop("_of")
     goals = goals.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     goals = goals.withColumn("_rest", F.round(F.col("target")).cast("long") - F.col("_epochs") * F.col("source_size"))
-    goals = written(goals.withColumn("_ranges", F.ceil(F.col("_rows") / ROWS_IN_RANGE)))
-    # A range is monotone in the key and even for weights of 1; the sums of ranges make it exact for all.
+    # Ranges are even for documents of the source's least weight. One of weight w is w / least times as dense in the first
+    # range, where most lie, so that many more ranges keep ROWS_IN_RANGE there; the sums of ranges make any of them exact.
+    goals = written(goals.withColumn("_ranges", F.ceil(F.col("_weights") / F.col("_least") / ROWS_IN_RANGE)))
     goals = goals.withColumnRenamed("source", "_of")
     docs = docs.join(goals, docs["source"].eqNullSafe(goals["_of"])).drop("_of")
-    docs = docs.withColumn("_range", F.floor((1 - F.exp(-F.col("_key"))) * F.col("_ranges")).cast("long"))
-    sums = docs.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
+    docs = docs.withColumn("_range", F.floor(-F.expm1(-F.col("_least") * F.col("_key")) * F.col("_ranges")).cast("long"))
+    sums = docs.groupBy("source", "_range").agg(F.sum("_sizes").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("_of"), F.col("_range").alias("_at"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
     docs = docs.join(sums, docs["source"].eqNullSafe(sums["_of"]) & (docs["_range"] == sums["_at"]))
     inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    docs = docs.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_sizes").over(inside), F.lit(0)))
+    # The copies of a row one by one, in blocks, so that no array is as long as a group of copies.
+    upto = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), k))
+    docs = docs.withColumn("_block", upto(F.floor((F.col("_copies") - 1) / COPIES_IN_BLOCK)))
+    docs = docs.withColumn("_copy", upto(F.least(F.lit(COPIES_IN_BLOCK), F.col("_copies") - F.col("_block") * COPIES_IN_BLOCK) - 1))
+    before = F.col("_before") + (F.col("_block") * COPIES_IN_BLOCK + F.col("_copy")) * F.col("size")
     selected = F.least(F.col("size"), F.greatest(F.lit(0), F.col("_rest") - before))
     return docs.select("doc_id", "source", "size", *carried, "source_size", "target", (F.col("_epochs") * F.col("size") + selected).cast("long").alias("taken"))
 
@@ -116,10 +127,10 @@ def take(docs: DataFrame, labels: DataFrame) -> DataFrame:
     taken = weighed(sizes, labels, ("_a", "_b")).groupBy("_a", "_b").agg(
         F.min("size").alias("size"), F.min("source_size").alias("source_size"), F.min("target").alias("target"), F.sum("taken").alias("_taken"), F.count("*").alias("_rows")
     )
-    # Only documents of which something is taken reach the join; the number of a row among its repeats says its share.
+    # Only documents of which something is taken stay; the number of a row among its repeats says its share.
     order = Window.partitionBy("_a", "_b").orderBy(F.xxhash64(*docs.columns))
     upto = lambda k: F.expr(f"_taken * {k} div _rows")
-    joined = keyed.withColumn("_k", F.row_number().over(order).cast("long")).join(taken.filter("_taken > 0"), ["_a", "_b"])
+    joined = keyed.join(taken.filter("_taken > 0"), ["_a", "_b"]).withColumn("_k", F.row_number().over(order).cast("long"))
     return joined.withColumn("taken", upto("_k") - upto("(_k - 1)")).filter("taken > 0").select(*docs.columns, "size", "source_size", "target", "taken")
 
 

@@ -68,3 +68,20 @@ def test_edge_cases(spark):
     assert sum(r.taken for r in got) in (37, 38) and len(got) == 3
     texts = spark.createDataFrame([(None,), ("",), (" \t\n",), ("a b c\rd",)], "text string")
     assert [r[0] for r in texts.select(mixing.size_of(F.col("text"))).collect()] == [0, 0, 0, 3]
+
+
+def test_equal_rows_and_rows_without_identifier(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_IN_RANGE", 10)
+    monkeypatch.setattr(mixing, "COPIES_IN_BLOCK", 7)
+    rows = [(None, "a", 3, 0)] * 100 + [(5, "a", 2, 0)] * 40 + [(None, "a", 3, k) for k in range(1, 101)] + [(k, "b", 10, 0) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long, c long")
+    for carried in ((), ("c",)):
+        got = mixing.mix(docs, F.when(F.col("doc_id") == 5, 0.01).otherwise(2.0), carried=carried).collect()
+        assert len(got) == len(rows)
+        for source in "ab":
+            mine = [r for r in got if r.source == source]
+            assert {r.source_size for r in mine} == {sum(r.size for r in mine)}
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 1
+            # Whole epochs of all, then whole rows but for the one at the edge.
+            epochs = int(mine[0].target // mine[0].source_size)
+            assert sum(r.taken - epochs * r.size not in (0, r.size) for r in mine) <= 1
