@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from piiflow.functions.text import WORD, escape
 from piiflow.schema import SPAN, SPANS
+from piiflow.sources.stores import materialize
 
 Accept = Callable[[Column], Column]
 
@@ -203,7 +204,8 @@ def find_literals(docs: DataFrame, literals: DataFrame, on: Sequence[str] = (),
         pairs = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substr("text", i, F.lit(2)))
         tokens = F.when(F.length("text") > 0, F.array_distinct(F.concat(pairs, F.transform(pairs, lambda p: F.substr(p, F.lit(1), F.lit(1))))))
     literal = F.struct(*carried, _literal_pattern(F.col("value"), suffixes, whole_word).alias("_pattern"))
-    wanted = literals.select(*[c for c in on], literal.alias("_literal"), F.explode(anchors).alias("_token"))
+    # Written, so that Spark knows how small it is, and shuffles the documents' words only where it must.
+    wanted = materialize(literals.select(*on, literal.alias("_literal"), F.explode(anchors).alias("_token")))
     found = docs.select(*columns, F.explode(tokens).alias("_token")).join(wanted, [*on, "_token"])
     found = found.groupBy(*columns).agg(F.collect_set("_literal").alias("_literals"))
     searched = docs.select(*columns, "text").join(found, columns).withColumn("_literals", F.filter("_literals", lambda x: F.contains(F.col("text"), x["value"])))

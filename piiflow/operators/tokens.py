@@ -37,6 +37,16 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str)
     return dealt.join(sizes, [*by, "_range"]).withColumn(name, F.col("_before") + inside).drop("_range", "_before")
 
 
+def _free(new: DataFrame, taken: DataFrame, style: str, on: Sequence[str]) -> DataFrame:
+    """The free tokens of each counter of new, as many as it needs, with their number as _rank."""
+    sizes = new.groupBy(*on, "_counter").agg(F.count("*").alias("_new"), F.min("kind").alias("_kind"))
+    used = taken.groupBy(*on).agg(F.count("*").alias("_used"))
+    last = F.col("_new") + F.coalesce("_used", F.lit(0))
+    slots = sizes.join(used, list(on), "left").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), last)))
+    slots = slots.withColumn("token", format_placeholder(style, F.col("_i"), F.col("_kind"))).join(taken.select(*on, "token"), [*on, "token"], "left_anti")
+    return numbered(slots.select(*on, "_counter", "_i", "token"), [*on, "_counter"], ["_i"], "_rank").drop("_i")
+
+
 def mint(new: DataFrame, taken: DataFrame, style: str, on: Sequence[str] = ("project_id",)) -> DataFrame:
     """new(value, kind, mint_order) with tokens: the free numbers of each counter in order, gaps first.
 
@@ -48,14 +58,11 @@ def mint(new: DataFrame, taken: DataFrame, style: str, on: Sequence[str] = ("pro
     """
     new, done = new.withColumn("_counter", _counter(style)), None
     while True:
-        sizes = new.groupBy(*on, "_counter").agg(F.count("*").alias("_new"), F.min("kind").alias("_kind"))
-        used = taken.groupBy(*on).agg(F.count("*").alias("_used"))
-        last = F.col("_new") + F.coalesce("_used", F.lit(0))
-        slots = sizes.join(used, list(on), "left").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), last)))
-        slots = slots.withColumn("token", format_placeholder(style, F.col("_i"), F.col("_kind"))).join(taken.select(*on, "token"), [*on, "token"], "left_anti")
-        slots = numbered(slots.select(*on, "_counter", "_i", "token"), [*on, "_counter"], ["_i"], "_rank").drop("_i")
         ranked = numbered(new, [*on, "_counter"], ["mint_order", "value"], "_rank")
-        minted = ranked.join(slots, [*on, "_counter", "_rank"]).drop("_rank")
+        if taken.isEmpty():
+            minted = ranked.withColumn("token", format_placeholder(style, F.col("_rank"), F.col("kind"))).drop("_rank")
+        else:
+            minted = ranked.join(_free(new, taken, style, on), [*on, "_counter", "_rank"]).drop("_rank")
         if style not in ("kindNumber", "mustache"):
             return minted.drop("_counter")
         first = F.row_number().over(Window.partitionBy(*on, "token").orderBy("mint_order", "value"))
