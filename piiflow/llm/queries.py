@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from piiflow.llm import chat_format, decontamination, html_extract, line_dedup, mixing, quality_rules, secret_scans, simhash, suffix_dedup, token_counts
+from piiflow.llm import chat_format, decontamination, divergence, fill_middle, html_extract, line_dedup, mixing, quality_rules, secret_scans, simhash, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_html_extract": html_extract.query,
         "op9_chat_format": chat_format.query,
         "op10_token_counts": token_counts.query,
+        "op11_toxicity": toxicity.query,
+        "op12_divergence": divergence.query,
+        "op13_fill_middle": fill_middle.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.SQL, "op3_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL, "op9_chat_format": chat_format.SQL}
+    return {"op1_decontamination": decontamination.SQL, "op3_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL, "op9_chat_format": chat_format.SQL, "op12_divergence": divergence.SQL, "op13_fill_middle": fill_middle.SQL}
