@@ -200,10 +200,14 @@ def score(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS) -> D
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    known = written(known.filter(fold(F.col("doc_id")) % FOLDS != HELD_OUT).withColumn("for_curve", F.floor(fold(F.col("doc_id")) / FOLDS) % CURVE_PART == 0))
-    model = telling(docs.join(known.filter("NOT for_curve").select("doc_id", "toxic"), "doc_id"))
+    learned = fold(F.col("doc_id")) % FOLDS != HELD_OUT
+    for_curve = F.floor(fold(F.col("doc_id")) / FOLDS) % CURVE_PART == 0
+    known = written(known.filter(learned))
+    # Only texts that may be counted move, and in the same way whatever the number of labels.
+    counted = known.filter(~for_curve).hint("shuffle_hash")
+    model = telling(docs.filter(learned & ~for_curve).join(counted, "doc_id"))
     ratios = written(log_ratios(docs, model))
-    sample = ratios.join(known.filter("for_curve"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "ratio").limit(curve_rows).select("ratio", "toxic").collect()
+    sample = ratios.join(known.filter(for_curve), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "ratio").limit(curve_rows).select("ratio", "toxic").collect()
     slope, offset = curve([tuple(r) for r in sample])
     probability = 1 / (1 + F.exp(-(F.lit(slope) * F.col("ratio") + F.lit(offset))))
     out = F.coalesce(fold(F.col("doc_id")) % FOLDS == HELD_OUT, F.lit(False))
