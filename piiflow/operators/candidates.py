@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from piiflow.functions.text import compile_pattern, matches_empty
-from piiflow.operators.spans import exploded, find_literals, find_spans, pool, resolved
+from piiflow.operators.literals import find_literals
+from piiflow.operators.spans import exploded, find_spans, pool, resolved
 
 VARIABLE_PRIORITY, ALWAYS_PRIORITY, PATTERN_PRIORITY = 20, 15, 6
 _KEPT_SOURCES = ("variable", "always")

@@ -1,6 +1,6 @@
 """Detectors of Swedish personal data.
 
-Six are patterns with a veto and run inside the row. Cities are an alternation of a dictionary's places,
+Six are patterns with a veto and run inside the row. Places are looked up by their words, or are a pattern where they are few,
 and names join the words of capitalised runs to a dictionary. All give spans; overlaps are resolved later.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from piiflow.functions import checks
 from piiflow.functions.text import NOT_AFTER_WORD, NOT_BEFORE_WORD, NOT_BEFORE_WORD_GENITIVE, SPACE, alternation, escape
+from piiflow.operators.literals import find_literals
 from piiflow.operators.spans import find_spans, matches, no_spans, pool
 from piiflow.schema import SPAN
 
@@ -44,26 +45,15 @@ NOT_STREETS = (
     "Utredningen", "Överledningen", "Underliden", "Ledningsgruppen",
 )
 _DIRECTION = "(?:" + "|".join(map(escape, DIRECTIONS)) + ")" + SPACE
-# The parts of a house number, whose forms leave no choice for the same spans. A number of up to four digits;
-# a letter of the entrance that no word begins with; the end of a range; a flat with its number of three or four digits.
-_HOUSE = "[0-9]{1,4}"
-_ENTRANCE = r"[A-Za-z](?!\p{L})"
-_RANGE_TO = f"[-–]{SPACE}?{_HOUSE}"
-_FLAT = rf",?{SPACE}(?:lgh|lägenhet)\.?{SPACE}?[0-9]{{3,4}}"
-
-
-def _maybe(part: str) -> str:
-    return f"(?:{part})?"
-
-
-NUMBER = SPACE + _HOUSE + _maybe(f"{SPACE}?{_ENTRANCE}") + _maybe(f"{SPACE}?{_RANGE_TO}") + _maybe(_FLAT)
+# Fixed value: a house number, its entrance, the end of a range and a flat. Its form leaves no choice for the same spans.
+NUMBER = rf"{SPACE}[0-9]{{1,4}}(?:{SPACE}?[A-Za-z](?!\p{{L}}))?(?:{SPACE}?[-–]{SPACE}?[0-9]{{1,4}})?(?:,?{SPACE}(?:lgh|lägenhet)\.?{SPACE}?[0-9]{{3,4}})?"
 
 
 def _street(endings: Sequence[str], words: Sequence[str], numbered: bool) -> str:
     """A street is one word, a beginning of three letters or more before an ending, or one or two words before a word of its own."""
     compound = r"\p{Lu}\p{L}{2,}(?:" + "|".join(endings) + ")"
     apart = r"(?:\p{Lu}\p{L}+" + SPACE + "){1,2}(?:" + "|".join(words) + ")"
-    return NOT_AFTER_WORD + _maybe(_DIRECTION) + f"(?:{compound}|{apart})" + (NUMBER if numbered else _maybe(NUMBER)) + NOT_BEFORE_WORD
+    return NOT_AFTER_WORD + f"(?:{_DIRECTION})?(?:{compound}|{apart})" + (NUMBER if numbered else f"(?:{NUMBER})?") + NOT_BEFORE_WORD
 
 
 STREETS = (_street(SAFE_ENDINGS, SAFE_WORDS, False), _street(NUMBERED_ENDINGS, NUMBERED_WORDS, True))
@@ -112,7 +102,7 @@ def city_spans(text: Column, safe: Sequence[str], wordlike: Sequence[str] = ())
     """Places, longest name first, with a genitive s outside.
 
     Those that are words too count only after a small letter, digit, comma or semicolon and a blank. The
-    lists become part of a pattern: meant for a few thousand places, which are a country's.
+    lists become part of a pattern: meant for a few hundred places. place_spans takes a table.
     """
     found = []
     if safe:
@@ -122,12 +112,35 @@ def city_spans(text: Column, safe: Sequence[str], wordlike: Sequence[str] = ())
     return pool(*found)
 
 
-def places(dictionary: DataFrame, most: int = 50_000) -> tuple[list[str], list[str]]:
-    """The places of dictionary(term, class) for city_spans: safe ones, and those that are words too. Over most is an error."""
-    rows = dictionary.filter(F.col("class").isin("locality", "locality_wordlike")).select("term", "class").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"over {most} places: too many for a pattern")
-    return [r.term for r in rows if r["class"] == "locality"], [r.term for r in rows if r["class"] == "locality_wordlike"]
+def _weak(text: str, at: int) -> bool:
+    """Whether a small letter, digit, comma or semicolon and one or two blanks stand before a place."""
+    from unicodedata import category
+
+    blank = lambda c: c in " \t\n\x0b\x0c\r\ufeff" or category(c)[0] == "Z"
+    carries = lambda c: c in ",;" or category(c) == "Ll" or category(c)[0] == "N"
+    return at > 1 and blank(text[at - 1]) and (carries(text[at - 2]) or at > 2 and blank(text[at - 2]) and carries(text[at - 3]))
+
+
+def _leftmost(text: str, places: list[tuple[int, int]], values: Sequence[str], classes: Sequence[str]) -> list[tuple[int, int]]:
+    """Of each class the places from left to right that don't overlap, the longest at a start."""
+    out, upto = [], {}
+    for at, k in sorted(places, key=lambda p: (p[0], -len(values[p[1]]))):
+        if at >= upto.get(classes[k], 0) and (classes[k] == "locality" or _weak(text, at)):
+            upto[classes[k]] = at + len(values[k])
+            out.append((at, k))
+    return out
+
+
+def place_spans(docs: DataFrame, dictionary: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """docs(text) as their key and spans of places from dictionary(term, class), as city_spans finds them, however many there are.
+
+    class: locality, or locality_wordlike for those that are words too; others are left aside. A text's words are looked up, not every place
+    of it compared with every term.
+    """
+    terms = dictionary.filter(F.col("class").isin("locality", "locality_wordlike")).select(F.col("term").alias("value"), "class").distinct()
+    found = find_literals(docs, terms, key=key, suffixes=("s",), underscore=False, choose=_leftmost, of="class")
+    city = F.lit("city")
+    return found.select(*key, "start", "end", "value", city.alias("kind"), city.alias("source"), F.lit(PRIORITY["city"]).alias("priority"), F.lit(106).alias("seq"))
 
 
 def has_surname_ending(token: Column) -> Column:

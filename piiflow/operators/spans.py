@@ -1,8 +1,8 @@
 """The algebra of spans: find, resolve overlaps, rewrite.
 
 Everything that happens inside one text is a Column over that row's arrays: no shuffle, and one scan of
-the documents however many patterns there are. Literals from a table are joined by an anchor word.
-Positions count code points.
+the documents however many patterns there are. Literals from a table are in literals.py. Positions count
+code points.
 """
 
 from __future__ import annotations
@@ -13,9 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from piiflow.functions.text import WORD, escape
 from piiflow.schema import SPAN, SPANS
-from piiflow.sources.stores import materialize
 
 Accept = Callable[[Column], Column]
 
@@ -156,82 +154,6 @@ def occurrences(text: Column, value: Column) -> Column:
     return F.when(F.length(value) > 0, let(gaps, placed)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _literal_pattern(value: Column, suffixes: Sequence[str], whole_word: bool) -> Column:
-    """A pattern of no width in front of each occurrence, bounds and suffixes included."""
-    quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    if not whole_word:
-        return F.concat(F.lit("(?="), quoted, F.lit(")"))
-    left = F.when(F.rlike(value, F.lit(f"^{WORD}")), F.lit(f"(?<!{WORD})")).otherwise(F.lit(""))
-    ends = "|".join(["", *map(escape, suffixes)])
-    right = F.when(F.rlike(value, F.lit(rf"{WORD}\z")), F.lit(f"(?:{ends})(?!{WORD})")).otherwise(F.lit(""))
-    return F.concat(left, F.lit("(?="), quoted, right, F.lit(")"))
-
-
-def _starts(text: Column, pattern: Column) -> Column:
-    """Where a pattern of no width matches. Splitting never parts at the very start, so that is asked apart."""
-    ends = lambda p: F.slice(running(F.transform(p, lambda x: F.length(x).cast("long"))), F.lit(2), F.greatest(F.size(p) - 1, F.lit(0)))
-    later = let(F.split(text, pattern, -1), ends)
-    first = F.when(F.rlike(text, F.concat(F.lit(r"\A"), pattern)), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return F.concat(first, later)
-
-
-def find_literals(docs: DataFrame, literals: DataFrame, on: Sequence[str] = (), key: Sequence[str] = ("doc_id",), suffixes: Sequence[str] = (), whole_word: bool = True) -> DataFrame:
-    """Every occurrence of literals(value, kind, source, priority, seq) in docs(text), also in each other.
-
-    on: columns that both tables share, such as a project. key: columns that name a document. A whole
-    word may run into one of suffixes, which stays outside the span. Empty literals match nothing.
-
-    A literal is anchored at the one of its words that the fewest literals have, or at its first sign where it
-    has none; without whole_word, where it may lie inside of words, at its first two characters. A document's
-    distinct words are joined to the anchors at once, and what is shuffled are documents with candidates. Of these
-    only the literals that the text holds at all are searched.
-    """
-    literals = literals.filter(F.length("value") > 0)
-    columns = [*key, *(c for c in on if c not in key)]
-    carried = [c for c in literals.columns if c not in columns]
-    if whole_word:
-        words = literals.select(*on, "value", F.posexplode(F.regexp_extract_all("value", F.lit(f"{WORD}+"), F.lit(0))).alias("_at", "_word")).distinct()
-        shared = words.groupBy(*on, "_word").agg(F.count_distinct("value").alias("_n"))
-        rarest = words.join(shared, [*on, "_word"]).groupBy(*on, "value").agg(F.min_by("_word", F.struct("_n", -F.length("_word"), "_at")).alias("_word"))
-        literals = literals.join(rarest, [*on, "value"], "left")
-        plain = F.coalesce("_word", F.substr("value", F.lit(1), F.lit(1)))
-        # A word that ends its literal may stand before a suffix.
-        with_suffix = F.col("_word").isNotNull() & F.col("value").endswith(F.col("_word"))
-        anchors = F.when(with_suffix, F.array(plain, *[F.concat(plain, F.lit(s)) for s in suffixes])).otherwise(F.array(plain))
-        tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"{WORD}+|[^\p{{L}}\p{{N}}_]"), F.lit(0)))
-    else:
-        anchors = F.array(F.substr("value", F.lit(1), F.lit(2)))
-        pairs = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substr("text", i, F.lit(2)))
-        tokens = F.when(F.length("text") > 0, F.array_distinct(F.concat(pairs, F.transform(pairs, lambda p: F.substr(p, F.lit(1), F.lit(1))))))
-    literal = F.struct(*carried, _literal_pattern(F.col("value"), suffixes, whole_word).alias("_pattern"))
-    # Written, so that Spark knows how small it is, and shuffles the documents' words only where it must.
-    wanted = materialize(literals.select(*on, literal.alias("_literal"), F.explode(anchors).alias("_token")))
-    found = docs.select(*columns, F.explode(tokens).alias("_token")).join(wanted, [*on, "_token"])
-    found = found.groupBy(*columns).agg(F.collect_set("_literal").alias("_literals"))
-    searched = docs.select(*columns, "text").join(found, columns).withColumn("_literals", F.filter("_literals", lambda x: F.contains(F.col("text"), x["value"])))
-    hits = F.filter(F.transform("_literals", lambda x: F.struct(x.alias("x"), _starts(F.col("text"), x["_pattern"]).alias("at"))), lambda h: F.size(h["at"]) > 0)
-    hits = searched.select(*columns, F.inline(hits)).select(*columns, F.explode("at").alias("start"), "x.*").drop("_pattern")
-    hits = hits.withColumn("end", F.col("start") + F.length("value"))
-    return hits.select(*columns, "start", "end", "value", *[c for c in carried if c != "value"]).distinct()
-
-
-def replace_literals(docs: DataFrame, pairs: DataFrame, on: Sequence[str] = (), key: Sequence[str] = ("doc_id",), suffixes: Sequence[str] = ()) -> DataFrame:
-    """docs with text rewritten by pairs(value, replacement), longest first where they cross, and n_replaced.
-
-    Of pairs with one value, the first by seq counts, where there is a seq.
-    """
-    order = F.struct(F.col("seq"), F.col("replacement")) if "seq" in pairs.columns else F.col("replacement")
-    pairs = pairs.groupBy(*on, "value").agg(F.min_by("replacement", order).alias("replacement"))
-    hits = find_literals(docs, pairs, on, key, suffixes)
-    columns = [*key, *(c for c in on if c not in key)]
-    spans = hits.select(*columns, "start", "end", "value", F.lit("").alias("kind"), F.col("replacement").alias("source"), F.lit(0).alias("priority"), F.lit(0).alias("seq"))
-    edit = F.struct("start", "end", F.col("source").alias("replacement"))
-    grouped = resolved(spans, columns).groupBy(*columns).agg(F.collect_list(edit).alias("_edits"))
-    joined = docs.join(grouped, columns, "left")
-    text = F.when(F.col("_edits").isNotNull(), rewrite(F.col("text"), F.col("_edits"))).otherwise(F.col("text"))
-    return joined.withColumns({"text": text, "n_replaced": F.greatest(F.size("_edits"), F.lit(0)).cast("long")}).drop("_edits")
-
-
 def exploded(docs: DataFrame, spans: Column, key: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row for each span, with the document's key."""
     return docs.select(*key, F.inline(spans))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from piiflow.functions import checks, placeholders, text as T
-from piiflow.operators import analytics, candidates as C, catalog, detectors as D, kinds, spans as S, tokens
+from piiflow.operators import analytics, candidates as C, catalog, detectors as D, kinds, literals as L, spans as S, tokens
 from piiflow.plans.masking import mask_corpus
 from piiflow.sources import dictionaries, files, layout, samples
 
@@ -400,13 +400,13 @@ def _literal_docs(spark, sf_dir) -> DataFrame:
 @_query(f"SELECT c_custkey, (length(c_name) + 3)::BIGINT AS start, n_name AS value FROM ({_LITERAL_TABLE})")
 def literal_hits_wholeword(spark, sf_dir):
     nations = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"))
-    return S.find_literals(_literal_docs(spark, sf_dir), nations, key=("c_custkey",)).select("c_custkey", "start", "value")
+    return L.find_literals(_literal_docs(spark, sf_dir), nations, key=("c_custkey",)).select("c_custkey", "start", "value")
 
 
 @_query(f"SELECT c_custkey, unnest([length(c_name) + 3, length(c_name) + 5 + length(n_name)])::BIGINT AS start, n_name AS value FROM ({_LITERAL_TABLE})")
 def literal_hits_suffix(spark, sf_dir):
     nations = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"))
-    return S.find_literals(_literal_docs(spark, sf_dir), nations, key=("c_custkey",), suffixes=("s",)).select("c_custkey", "start", "value")
+    return L.find_literals(_literal_docs(spark, sf_dir), nations, key=("c_custkey",), suffixes=("s",)).select("c_custkey", "start", "value")
 
 
 @_query("SELECT n_nationkey, unnest(range(n_nationkey % 5))::BIGINT AS start FROM nation")
@@ -414,7 +414,7 @@ def literal_self_overlap(spark, sf_dir):
     """Inside of words, and in each other: "aa" in "aaa" twice."""
     docs = _table(spark, sf_dir, "nation").select("n_nationkey", F.expr("repeat('a', n_nationkey % 5 + 1)").alias("text"))
     literal = spark.range(1).select(F.lit("aa").alias("value"))
-    return S.find_literals(docs, literal, key=("n_nationkey",), whole_word=False).select("n_nationkey", "start")
+    return L.find_literals(docs, literal, key=("n_nationkey",), whole_word=False).select("n_nationkey", "start")
 
 
 _RANKED = """
@@ -445,7 +445,7 @@ def replace_literals(spark, sf_dir):
     docs = _literal_docs(spark, sf_dir).select("c_custkey", F.concat("c_name", F.lit(" i "), "n_name", F.lit(", "), "n_name", F.lit("s hamn; "), "n_name", F.lit("x")).alias("text"))
     pairs = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"), F.lit("[LAND]").alias("replacement"))
     pairs = pairs.unionByName(spark.range(1).select(F.lit("Customer").alias("value"), F.lit("Kund").alias("replacement")))
-    return S.replace_literals(docs, pairs, key=("c_custkey",), suffixes=("s",)).select("c_custkey", "text", "n_replaced")
+    return L.replace_literals(docs, pairs, key=("c_custkey",), suffixes=("s",)).select("c_custkey", "text", "n_replaced")
 
 
 @_query("SELECT c_custkey, 'Customer' AS piece, 'w' AS kind FROM customer UNION ALL SELECT c_custkey, '#', NULL FROM customer UNION ALL SELECT c_custkey, substr(c_name, 10), 'w' FROM customer")
@@ -819,7 +819,7 @@ def city_weak_context(spark, sf_dir):
     """A place for each part: those that are words count after a small letter only, and none inside of a longer word."""
     df = _sql(spark, sf_dir, _PLACE_TEXTS, "part")
     dictionary = df.select(F.col("place").alias("term"), F.when(F.col("wordlike"), "locality_wordlike").otherwise("locality").alias("class"))
-    return S.exploded(df, D.city_spans(F.col("text"), *D.places(dictionary)), ("p_partkey",)).select("p_partkey", "value", "start")
+    return D.place_spans(df, dictionary, ("p_partkey",)).select("p_partkey", "value", "start")
 
 
 _NAMES = f"""

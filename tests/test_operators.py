@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from piiflow.functions import checks, placeholders
 from piiflow.functions import text as T
 from piiflow.operators import candidates as C
-from piiflow.operators import catalog, detectors as D, kinds, spans as S, tokens
+from piiflow.operators import catalog, detectors as D, kinds, literals as L, spans as S, tokens
 
 
 def one(spark, text):
@@ -58,13 +58,15 @@ def test_check_digits_and_normal_forms(spark):
 def test_overlaps_are_resolved_longest_first(spark):
     literals = spark.createDataFrame([("A B", "x", 0), ("B C D", "x", 1)], "value string, kind string, seq int")
     docs = one(spark, "A B C D")
-    assert S.replace_literals(docs, literals.withColumn("replacement", F.lower("value"))).first().text == "A b c d"
+    assert L.replace_literals(docs, literals.withColumn("replacement", F.lower("value"))).first().text == "A b c d"
 
 
-def test_literals_know_bounds_suffixes_and_themselves(spark):
+@pytest.mark.parametrize("sent", [True, False])
+def test_literals_know_bounds_suffixes_and_themselves(spark, monkeypatch, sent):
+    monkeypatch.setattr(L, "SENT_ROWS", 100_000 if sent else 0)
     docs = one(spark, "Annas Anna Annan _Anna [N 1]s $1 $12 aaa")
     literals = spark.createDataFrame([("Anna",), ("[N 1]",), ("$1",), ("aa",), ("",)], "value string")
-    starts = lambda **k: sorted((r.value, r.start) for r in S.find_literals(docs, literals, **k).collect())
+    starts = lambda **k: sorted((r.value, r.start) for r in L.find_literals(docs, literals, **k).collect())
     assert starts() == [("$1", 30), ("Anna", 6), ("[N 1]", 23)]
     assert starts(suffixes=["s"]) == [("$1", 30), ("Anna", 0), ("Anna", 6), ("[N 1]", 23)]
     assert [s for s in starts(whole_word=False) if s[0] == "aa"] == [("aa", 37), ("aa", 38)]
@@ -191,7 +193,9 @@ def test_edits_that_cross(spark):
         assert got[k] == out + text[at:], (text, edits)
 
 
-def test_literals_against_plain_search(spark):
+@pytest.mark.parametrize("sent", [True, False])
+def test_literals_against_plain_search(spark, monkeypatch, sent):
+    monkeypatch.setattr(L, "SENT_ROWS", 100_000 if sent else 0)
     import regex
 
     rng = random.Random(6)
@@ -199,7 +203,7 @@ def test_literals_against_plain_search(spark):
     docs = [(k, "".join(rng.choice(words) + rng.choice([" ", "", ", ", "s ", "-"]) for _ in range(rng.randrange(0, 40)))) for k in range(80)]
     values = ["Anna", "Anna Ek", "Ek", "AB 42", "(", "42", "och Björk", "_x", "Ek, Ek", "é"]
     literals = spark.createDataFrame([(v, "k") for v in values], "value string, kind string")
-    got = sorted((r.doc_id, r.start, r.value) for r in S.find_literals(spark.createDataFrame(docs, "doc_id long, text string"), literals, suffixes=("s",)).collect())
+    got = sorted((r.doc_id, r.start, r.value) for r in L.find_literals(spark.createDataFrame(docs, "doc_id long, text string"), literals, suffixes=("s",)).collect())
     want = []
     for doc, text in docs:
         for v in values:
