@@ -19,6 +19,8 @@ from piiflow.llm.common import spread, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+#: So many shared lines, those in most documents, are sent to all tasks, so that no task gets all rows of a common line.
+SENT_LINES = 50_000
 _LINES = "row long, doc_id long, pos int, h1 long, h2 long"
 
 
@@ -69,25 +71,28 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     that holds them. A null text is one empty line and becomes an empty text. Documents without a doc_id
     keep all their lines and hold none. Rows that repeat a doc_id belong to one document when documents
     are counted, and each row is rewritten by itself. An empty table gives an empty result; n_lines and
-    n_dropped replace columns of such names.
+    n_dropped replace columns of such names, and all other columns come back as they were, whatever they are called.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    # Within a document its row is named by the hash of what it holds: a recomputed task gives the same.
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    lines = written(keyed.select(F.col("_row").alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(_hashed(min_chars), _LINES))
+    # The caller's columns travel in a struct, so that none can clash. A row is named by the hash of what it holds: a recomputed task gives the same.
+    others = F.struct(*[F.col(c) for c in docs.columns if c.lower() != "text"]).alias("others")
+    keyed = docs.select(others, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").alias("text"))
+    lines = written(keyed.select("row", "doc_id", "text").mapInArrow(_hashed(min_chars), _LINES))
     held = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
     shared = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
-    shared = written(shared.select("h1", "h2", "keeper"))
-    dropped = lines.join(shared, ["h1", "h2"]).filter(F.col("doc_id") != F.col("keeper"))
-    dropped = dropped.groupBy(F.col("row").alias("_row"), F.col("doc_id").alias("_doc")).agg(F.collect_set("pos").alias("_dropped"))
-    split = keyed.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).drop("text")
-    dropped = dropped.withColumnRenamed("_row", "_of")
-    split = split.join(dropped, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_row") == F.col("_of")), "left")
+    shared = written(shared)
+    line = ["h1", "h2"]
+    common = F.broadcast(shared.orderBy(F.desc("n"), *line).limit(SENT_LINES))  # bounded by its limit
+    rare = shared.join(common.select(*line), line, "left_anti")
+    found = lines.join(common, line).unionByName(lines.join(common.select(*line), line, "left_anti").join(rare, line))
+    dropped = found.filter(F.col("doc_id") != F.col("keeper")).groupBy("row", "doc_id").agg(F.collect_set("pos").alias("dropped"))
+    split = keyed.select("others", "doc_id", "row", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines")).join(dropped, ["doc_id", "row"], "left")
     # The joined array is a plain column, so each position is looked up in constant time.
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_dropped", F.array().cast("array<int>")))
-    text = F.when(F.col("_dropped").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    out = split.select("*", text.alias("text"), F.size("_lines").cast("long").alias("n_lines"), F.greatest(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("dropped", F.array().cast("array<int>")))
+    text = F.when(F.col("dropped").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    out = split.select("others", text.alias("text"), F.size("lines").cast("long").alias("n_lines"), F.greatest(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    own = [F.col("text").alias(c) if c.lower() == "text" else F.col("others")[c].alias(c) for c in docs.columns]
+    return out.select(*own, "n_lines", "n_dropped")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
