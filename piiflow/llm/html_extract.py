@@ -10,10 +10,13 @@ Chains of elements nest the valid classes into the host's template.
 A page holds those classes whose tokens it has, in the template's order; a token out of order is left aside
 on that page. What an element of the template holds outside of its template children is a slot. The main slot is found from
 the root down: at each element the one child that is the page's article, or holds most of the text, until
-the text is spread over several. It is read with the slots nested in it, but for text that is part of a
-class itself (the words of a template), lists of links among the nested slots, and elements that their tag
-or role sets apart. Words in ids and classes are a fallback: they set an element apart only if it recurs on
-the host, or on hosts of one or two pages, where no class can tell.
+the text is spread over several. It is read with the slots nested in it.
+
+Inside an article or main element everything is read, on however many pages it stands, but for elements that their tag or role
+sets apart (as nav, aside, form), such that are named as adverts or reader comments and nothing else, and lists or
+boxes named as menus that hold links only. Elsewhere words in ids and classes set an element apart, unless it
+holds most of the page's text. Where the main slot has no article, an element of the template whose text is a
+class itself (the same words on all pages that have it) is furniture, and so are its lists of links.
 
 A page is parsed twice, and goes to its host's template in a join on host and chunk: large hosts are cut
 into chunks of CHUNK_PAGES pages, and each chunk gets a copy of the template. The template of a host has
@@ -61,6 +64,9 @@ _BESIDE = frozenset(
     "area bar block body bottom box btn button buttons container content form group header holder inner item items left links list main message panel posts primary right row secondary section site "
     "slot text title top unit wrap wrapper".split()
 )
+#: Inside an article these set an element apart; other words do only where it holds nothing but links.
+_ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising promo promoted sponsor sponsored".split())
+_COMMENTS = frozenset("comment comments disqus respond".split())
 #: These mark what has articles of its own, however long it is.
 _APART = frozenset("comment comments disqus related respond".split())
 #: Ids and classes of these only name them: they are parts of a text, as <h2 id="login-flow">.
@@ -85,7 +91,7 @@ class Page:
     """A parsed page: its elements as a tree of numbers, in page order, and its text blocks.
 
     Element 0 is the page itself. token is the hash of an element's chain of names; set_apart says why an
-    element is not main text by itself: "" (it is), "tag" or "name". blocks are (element, text, characters
+    element is not main text by itself: "" (it is), "tag", "name", or "menu" (if it holds links only). blocks are (element, text, characters
     in links); inline elements are part of a block. All work grows with the page's length, however deep it is.
     """
 
@@ -160,7 +166,8 @@ class Page:
             self.parent.append(above)
             self.tag.append(tag)
             self.token.append((xxhash.xxh64_intdigest(f"{self.token[above]}/{name}") + (1 << 63)) % (1 << 64) - (1 << 63))
-            self.set_apart.append("tag" if by_tag else "name" if words else "")
+            named = "menu" if article and not words & (_ADVERTS | _COMMENTS) else "name"
+            self.set_apart.append("tag" if by_tag else named if words else "")
             wrapper.append((tag == "form" or not by_tag) and not (words & _APART and not article))
             inside_of.append(len(self.parent) - 1 if tag in _ARTICLES else article)
             stack.append(len(self.parent) - 1)
@@ -168,6 +175,8 @@ class Page:
         if at < len(html):
             buffer.append(entities.unescape(html[at:]))
         flush()
+        self.in_article = [of > 0 for of in inside_of]
+        self._menus()
         self._lift(wrapper, inside_of)
 
     def sums(self, values: list[int]) -> list[int]:
@@ -176,6 +185,17 @@ class Page:
             values[self.parent[k]] += values[k]
         return values
 
+    def _menus(self) -> None:
+        """Takes back marks of menus from elements that hold more than links."""
+        chars, links = [0] * len(self.parent), [0] * len(self.parent)
+        for node, text, linked in self.blocks:
+            chars[node] += len(text)
+            links[node] += linked
+        chars, links = self.sums(chars), self.sums(links)
+        for k, mark in enumerate(self.set_apart):
+            if mark == "menu":
+                self.set_apart[k] = "name" if 10 * links[k] >= 9 * chars[k] else ""
+
     def _lift(self, wrapper: list[bool], inside_of: list[int]) -> None:
         """Takes back marks of elements that hold most of the text of their page or article: they are around it."""
         chars = [0] * len(self.parent)
@@ -198,12 +218,11 @@ class Page:
                 if 2 * chars[k] > chars[around] and (around or not own_article):
                     self.set_apart[k] = ""
 
-    def other(self, regular: set[int] | None = None) -> list[bool]:
-        """Of each element whether it is set apart, itself or by what it is in. Names count for tokens in regular, None: for all."""
+    def other(self) -> list[bool]:
+        """Of each element whether it is set apart, itself or by what it is in."""
         out = [False] * len(self.parent)
         for k in range(1, len(out)):
-            mark = self.set_apart[k]
-            out[k] = out[self.parent[k]] or mark == "tag" or mark == "name" and (regular is None or self.token[k] in regular)
+            out[k] = out[self.parent[k]] or self.set_apart[k] != ""
         return out
 
 
@@ -213,13 +232,13 @@ def _text_token(element: int, text: str) -> int:
     return (xxhash.xxh64_intdigest(f"{element}#{text}") + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
-_TOKEN = "token long, parent long, tag string, marked boolean, n long, chars long, links long, pos long"
+_TOKEN = "token long, parent long, tag string, n long, chars long, links long, pos long"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each page's tokens: how often they come, the main text in them and how much of it are links, and their place."""
     names = ["host", "page", *(c.split()[0] for c in _TOKEN.split(", "))]
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), *[pa.int64()] * 4)
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4)
 
     def table(out: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*((*k[:2], k[2], *v) for k, v in out.items())), kinds)], names)
@@ -237,16 +256,16 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chars, links = page.sums(chars), page.sums(links)
             seen: dict[int, list] = {}
             for k in range(1, len(other)):
-                own = seen.setdefault(page.token[k], [page.token[page.parent[k]], page.tag[k], page.set_apart[k] == "name", 0, 0, 0, k])
-                own[3] += 1
-                own[4] += chars[k]
-                own[5] += links[k]
+                own = seen.setdefault(page.token[k], [page.token[page.parent[k]], page.tag[k], 0, 0, 0, k])
+                own[2] += 1
+                own[3] += chars[k]
+                own[4] += links[k]
             for k, (node, block, linked) in enumerate(page.blocks):
-                if not other[node]:
-                    own = seen.setdefault(_text_token(page.token[node], block), [page.token[node], "#", False, 0, 0, 0, node])
-                    own[3] += 1
-                    own[4] += len(block)
-                    own[5] += linked
+                if not other[node] and not page.in_article[node]:
+                    own = seen.setdefault(_text_token(page.token[node], block), [page.token[node], "#", 0, 0, 0, node])
+                    own[2] += 1
+                    own[3] += len(block)
+                    own[4] += linked
             out |= {(host, number, token, row): v for token, v in seen.items()}
             if len(out) > 50_000:
                 yield table(out)
@@ -273,11 +292,11 @@ def _joined(many: DataFrame, one: DataFrame, large: DataFrame, by: str, how: str
     return many.join(one, ["host", "_chunk"], how).drop("_chunk")
 
 
-def templates(pages: DataFrame, support: float = 0.5, part: float = 0.05, part_pages: int = 3, part_tokens: int = 3, text_pages: int = 5, sizes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """pages(host, page, html) as host, pages, its template's classes, and regular: the marked tokens that recur.
+def templates(pages: DataFrame, support: float = 0.5, part: float = 0.05, part_pages: int = 3, part_tokens: int = 3, sizes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """pages(host, page, html) as host, pages and its template's classes.
 
     A class is on support of the host's pages, or on part of them (part_pages at least) and has part_tokens or
-    more. Text is part of a class with elements that is on at least text_pages pages.
+    more. Text outside of articles is part of a class that has elements and is on part_pages pages at least.
     """
     of_host, large = _sizes(pages) if sizes is None else sizes
     tokens = pages.mapInArrow(_tokens, "host string, page long, " + _TOKEN)
@@ -285,21 +304,19 @@ def templates(pages: DataFrame, support: float = 0.5, part: float = 0.05, part_p
     by_token = tokens.groupBy("host", "token").agg(
         # Sums of both halves of a hash: vectors are told apart, and repeated pages count anew.
         F.sum(seen.bitwiseAND(F.lit(0xFFFFFFFF))).alias("v1"), F.sum(F.shiftrightunsigned(seen, 32)).alias("v2"), F.count("*").alias("on"), F.max("n").alias("most"),
-        F.min("parent").alias("parent"), F.min("tag").alias("tag"), F.max("marked").alias("marked"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.sum("pos").alias("pos"),
+        F.min("parent").alias("parent"), F.min("tag").alias("tag"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.sum("pos").alias("pos"),
     )
     known = _joined(by_token, of_host, large, "token", "inner")
     frequent = F.col("on") >= support * F.col("pages")
     partly = (F.col("on") >= part * F.col("pages")) & (F.col("on") >= part_pages)
-    once = (F.col("most") == 1) & ((F.col("tag") != "#") | (F.col("on") >= text_pages))
-    known = known.filter((frequent | partly) & (once | F.col("marked")))
-    token = F.struct("token", "parent", "tag", "chars", "links", (F.col("pos") / F.col("on")).alias("pos"))
+    once = (F.col("most") == 1) & ((F.col("tag") != "#") | (F.col("on") >= part_pages))
+    known = known.filter((frequent | partly) & once)
+    token = F.struct("token", "parent", "tag", "chars", "links", (F.col("pos") / F.col("on")).alias("pos"), (F.col("on") >= part_pages).alias("recurs"))
     classes = known.groupBy("host", "v1", "v2", "on", "most").agg(
-        F.collect_list(F.when(once, token)).alias("tokens"), F.max(F.col("tag") != "#").alias("elements"), F.max(frequent).alias("frequent"),
-        F.collect_list(F.when(F.col("marked"), F.col("token"))).alias("marked"), F.max("pages").alias("pages"),
+        F.collect_list(token).alias("tokens"), F.max(F.col("tag") != "#").alias("elements"), F.max(frequent).alias("frequent"), F.max("pages").alias("pages"),
     )
     valid = (F.col("most") == 1) & F.col("elements") & (F.col("frequent") | (F.size("tokens") >= part_tokens))
-    found = classes.groupBy("host").agg(F.max("pages").alias("pages"), F.collect_list(F.when(valid, F.col("tokens"))).alias("classes"), F.flatten(F.collect_list("marked")).alias("regular"))
-    return found
+    return classes.groupBy("host").agg(F.max("pages").alias("pages"), F.collect_list(F.when(valid, F.col("tokens"))).alias("classes"))
 
 
 def in_order(places: list[int]) -> list[int]:
@@ -346,14 +363,11 @@ def _tree(tokens: list[tuple[int, int, str, int]]) -> tuple[dict, dict, dict]:
 class Template:
     """The valid classes of a host, matched to a page at a time."""
 
-    def __init__(self, pages: int, classes: list, regular: list):
-        self.pages = pages
+    def __init__(self, classes: list):
         self.classes = [sorted(c, key=lambda t: (t["pos"], t["tag"] == "#", t["token"])) for c in classes]
-        # On one or two pages nothing recurs, so names have to do.
-        self.regular = set(regular) if pages > 2 else None
 
     def read(self, page: Page) -> str:
-        other = page.other(self.regular)
+        other = page.other()
         place: dict[int, int] = {}
         for k in range(1, len(page.parent)):
             place.setdefault(page.token[k], k)
@@ -367,7 +381,9 @@ class Template:
                 continue
             ordered = in_order([place[t["token"]] for t in elements])
             held += [elements[k] for k in ordered]
-            fixed |= {t["token"] for t in c if t["tag"] == "#" and t["token"] in texts}
+            # Furniture has an element of its own in the template.
+            of_class = {elements[k]["token"] for k in ordered}
+            fixed |= {t["token"] for t in c if t["tag"] == "#" and t["token"] in texts and t["parent"] in of_class}
         children, tags, chars = _tree([(t["token"], t["parent"], t["tag"], t["chars"]) for t in held])
         main = main_element(children, tags, chars)
         inside = self._inside(page, main)
@@ -376,16 +392,17 @@ class Template:
             held, inside = [], self._inside(page, self._own_main(page, other))
         # Pages that are copies of each other have nothing but common text.
         own = [(node, b) for node, b, _ in page.blocks if inside[node] and not other[node]]
-        common = sum(len(b) for node, b in own if _text_token(page.token[node], b) in fixed)
+        furniture = lambda node, b: not page.in_article[node] and _text_token(page.token[node], b) in fixed
+        common = sum(len(b) for node, b in own if furniture(node, b))
         if 5 * common >= sum(len(b) for _, b in own):
             fixed = set()
         article = self._own_article(page, own, inside)
-        # Lists among the nested slots that hold links only are menus of the article.
-        menus = {t["token"] for t in held if t["tag"] in ("ul", "ol") and t["token"] != main and 10 * t["links"] >= 9 * t["chars"] > 0} if self.pages >= 5 else set()
+        # Lists among the nested slots that recur and hold links only are menus, but for an article's own.
+        menus = {t["token"] for t in held if t["tag"] in ("ul", "ol") and t["token"] != main and t["recurs"] and 10 * t["links"] >= 9 * t["chars"] > 0}
         apart = [False] * len(inside)
         for k in range(1, len(inside)):
-            apart[k] = apart[page.parent[k]] or page.token[k] in menus
-        return " ".join(b for node, b in own if article[node] and not apart[node] and _text_token(page.token[node], b) not in fixed)
+            apart[k] = apart[page.parent[k]] or page.token[k] in menus and not page.in_article[k]
+        return " ".join(b for node, b in own if article[node] and not apart[node] and not furniture(node, b))
 
     def _inside(self, page: Page, main: int) -> list[bool]:
         out = [main == 0] * len(page.parent)
@@ -420,11 +437,11 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, Template] = {}
     for batch in batches:
         texts = []
-        for host, pages, classes, regular, text in zip(batch["host"].to_pylist(), batch["pages"].to_pylist(), batch["classes"], batch["regular"], batch["html"]):
+        for host, classes, text in zip(batch["host"].to_pylist(), batch["classes"], batch["html"]):
             if host not in known:
                 if len(known) > 1000:
                     known.clear()
-                known[host] = Template(pages or 1, classes.as_py() or [], regular.as_py() or [])
+                known[host] = Template(classes.as_py() or [])
             texts.append(known[host].read(Page(text.as_py() or "")))
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
@@ -442,7 +459,7 @@ def extract(pages: DataFrame) -> DataFrame:
     sizes = _sizes(pages)
     found = templates(pages.select("host", "page", "html"), sizes=sizes)
     joined = _joined(pages, found, sizes[1], "page", "left")
-    return joined.select("page_id", "url", "host", "pages", "classes", "regular", "html").mapInArrow(_extracted, "page_id long, url string, text string")
+    return joined.select("page_id", "url", "host", "classes", "html").mapInArrow(_extracted, "page_id long, url string, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
