@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from piiflow.functions.text import compile_pattern, matches_empty
+from piiflow.functions.text import compile_pattern
 from piiflow.operators.literals import find_literals
 from piiflow.operators.spans import exploded, find_spans, pool, resolved
 
@@ -16,16 +16,20 @@ VARIABLE_PRIORITY, ALWAYS_PRIORITY, PATTERN_PRIORITY = 20, 15, 6
 _KEPT_SOURCES = ("variable", "always")
 
 
+#: Not within a character of two units, where a pattern could match nothing.
+_WHOLE = r"(?![\x{DC00}-\x{DFFF}])"
+
+
 def pattern_rule_spans(spark, text: Column, rules: Sequence[dict]) -> Column:
-    """The spans of user patterns; disabled and invalid ones are skipped, as are such that match nothing long."""
+    """The spans of user patterns; disabled and invalid ones are skipped, and matches of nothing are no hits."""
     found = []
     for k, rule in enumerate(rules):
         if not rule.get("enabled", True):
             continue
         pattern = compile_pattern(spark, rule["pattern"], rule.get("flags") or "")
-        if pattern is None or matches_empty(spark, pattern):
+        if pattern is None:
             continue
-        found.append(find_spans(text, pattern, rule["kind"], f"pattern:{rule['id']}", PATTERN_PRIORITY, 10 + k))
+        found.append(find_spans(text, _WHOLE + f"(?:{pattern})", rule["kind"], f"pattern:{rule['id']}", PATTERN_PRIORITY, 10 + k))
     return pool(*found)
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -106,6 +107,50 @@ def sweep(vault: DataFrame, live: DataFrame, workspaces: DataFrame) -> DataFrame
     return vault.join(live.select("doc_id"), "doc_id", "left_anti").join(unread, F.lit(True), "left_anti")
 
 
+def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Operations in order; those of a session lie together. What is held are the numbers of its commits."""
+    session, past, current, future, what = None, [], None, [], None
+    states: dict[int | None, int | None] = {}
+    for batch in batches:
+        at, undo, redo = [], [], []
+        for key, seq, op, state in zip(*(batch[c].to_pylist() for c in ("_session", "_seq", "_op", "_state"))):
+            if key != session:
+                session, past, current, future, states = key, [], None, [], {None: None}
+            if op == "commit" and (current is None or states[current] != state):
+                past.append(current)
+                current, future = seq, []
+                states[seq] = state
+            elif op == "undo" and past:
+                future.append(current)
+                current = past.pop()
+            elif op == "redo" and future:
+                past.append(current)
+                current = future.pop()
+            at.append(current)
+            undo.append(bool(past))
+            redo.append(bool(future))
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("_session", "_seq")), pa.array(at, pa.int64()), pa.array(undo), pa.array(redo)], ["_session", "_seq", "_at", "_undo", "_redo"])
+
+
+def replay(log: DataFrame, state: Column, key: Sequence[str] = ("workspace",)) -> DataFrame:
+    """log(seq, op) with what holds after each operation: current, the seq of the commit whose state is shown, can_undo and can_redo.
+
+    op: commit takes a new state, undo and redo move between those there were, and switch leaves the history behind. Without a commit,
+    current is null: the state that was loaded. A commit after undo cuts off what could be redone; one that changes nothing, an undo
+    at the beginning and a redo at the end do nothing. Other operations, such as navigation, change no history.
+
+    seq is unique for a key. Operations are ordered within their session (from one switch to the next) and read once; a session is one task's work,
+    as each of its states depends on the one before.
+    """
+    order = Window.partitionBy(*key).orderBy("seq")
+    switches = F.sum(F.when(F.col("op") == "switch", 1).otherwise(0)).over(order)
+    rows = log.withColumn("_session", F.to_json(F.struct(*key, switches.alias("switch"))))
+    asked = rows.select("_session", F.col("seq").cast("long").alias("_seq"), F.col("op").alias("_op"), F.xxhash64(state).alias("_state"))
+    played = asked.repartition("_session").sortWithinPartitions("_session", "_seq").mapInArrow(_replayed, "_session string, _seq long, _at long, _undo boolean, _redo boolean")
+    joined = rows.join(played, (rows["_session"] == played["_session"]) & (rows["seq"] == played["_seq"]))
+    return joined.select(*[rows[c] for c in log.columns], F.col("_at").alias("current"), F.col("_undo").alias("can_undo"), F.col("_redo").alias("can_redo"))
+
+
 def clip(text: Column, at: Column, width: int = 80) -> Column:
     """About width characters of a text around a place (from 1), on one line."""
     begin = F.greatest(at.cast("int") - width // 4, F.lit(1))

@@ -36,21 +36,29 @@ class Finder:
         self.run, self.sign = re.compile(r"\w+" if underscore else r"[^\W_]+"), re.compile(r"\W" if underscore else r"[\W_]")
         self.by_word: dict[str, list[tuple[str, int, int]]] = {}
         self.by_start: dict[str, list[tuple[str, int]]] = {}
-        words = [[(m.start(), m.group()) for m in self.run.finditer(v)] if whole_word else [] for v in values]
+        words = [self._words(v) for v in values]
         shared = Counter(w for found in words for w in {w for _, w in found})
         for k, (value, found) in enumerate(zip(values, words)):
-            if not value:
-                continue
-            if not found:
-                self.by_start.setdefault(value[:2] if not whole_word else value[0], []).append((value, k))
-                continue
-            at, word = min(found, key=lambda x: (shared[x[1]], -len(x[1]), x[0]))
+            self._put(value, k, found, shared)
+
+    def _words(self, value: str) -> list[tuple[int, str]]:
+        return [(m.start(), m.group()) for m in self.run.finditer(value)] if self.whole_word else []
+
+    def _put(self, value: str, k: int, words: list[tuple[int, str]], shared: Counter) -> None:
+        if value and not words:
+            self.by_start.setdefault(value[0] if self.whole_word else value[:2], []).append((value, k))
+        elif value:
+            at, word = min(words, key=lambda x: (shared[x[1]], -len(x[1]), x[0]))
             self.by_word.setdefault(word, []).append((value, at, k))
             if at + len(word) == len(value):
                 # A word that ends its literal may run into a suffix.
-                for s in suffixes:
+                for s in self.suffixes[1:]:
                     self.by_word.setdefault(word + s, []).append((value, at, k))
 
+    def add(self, value: str, k: int) -> None:
+        """One more literal, known by its longest word."""
+        self._put(value, k, self._words(value), Counter())
+
     def _bounded(self, text: str, value: str, at: int) -> bool:
         if not self.whole_word:
             return True

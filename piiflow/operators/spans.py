@@ -7,10 +7,13 @@ code points.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from piiflow.schema import SPAN, SPANS
@@ -49,7 +52,11 @@ def running(steps: Column, block: int = 128) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """All matches from left to right that don't overlap: (start, value, before), before being the text since the last one."""
+    """All matches from left to right that don't overlap and aren't empty: (start, value, before), before being the text since the last one.
+
+    Where a pattern matches nothing, the search goes on one sign later. Splitting parts the text there too, but for a match of
+    nothing at the very start, which is the one that has no gap of its own.
+    """
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
 
     def placed(p: Column) -> Column:
@@ -58,14 +65,17 @@ def matches(text: Column, pattern: str) -> Column:
         spot = lambda at: F.transform(p["found"], lambda m, i: F.struct((F.get(at, i) + gap(i)).alias("start"), m.alias("value"), F.get(p["gaps"], i).alias("before")))
         return let(running(steps), spot)
 
-    return let(both, placed)
+    def aligned(p: Column) -> Column:
+        found = F.when(F.size(p["gaps"]) == F.size(p["found"]), F.slice(p["found"], F.lit(2), F.greatest(F.size(p["found"]) - 1, F.lit(0)))).otherwise(p["found"])
+        return F.struct(found.alias("found"), p["gaps"].alias("gaps"))
+
+    return F.filter(let(let(both, aligned), placed), lambda m: m["value"] != "")
 
 
 def find_spans(text: Column, pattern: str, kind: str, source: str, priority: int = 0, seq: int = 0, accept: Accept | None = None) -> Column:
     """All matches from left to right that don't overlap, as an array of spans.
 
-    accept vetoes a match after it has used up its characters. The pattern must not match the empty
-    string. Matches and the gaps between them see the same whole text, so look-around works.
+    accept vetoes a match after it has used up its characters. Matches of nothing are no spans. Matches and the gaps between them see the same whole text, so look-around works.
     """
     found = matches(text, pattern)
     if accept is not None:
@@ -96,11 +106,32 @@ def resolve(spans: Column) -> Column:
     return _sorted(kept, lambda s: [s["start"]])
 
 
+def longest_first(spans: Sequence[tuple]) -> list[int]:
+    """Which of spans (start, end, priority, seq) resolve() keeps, by bisection: sorting is what costs most."""
+    starts: list[int] = []
+    kept: list[tuple[int, int]] = []
+    for k in sorted(range(len(spans)), key=lambda k: (spans[k][0] - spans[k][1], -(spans[k][2] or 0), spans[k][0], spans[k][3])):
+        start, end = spans[k][:2]
+        i = bisect_left(starts, start)
+        if (i == len(starts) or end <= starts[i]) and (i == 0 or spans[kept[i - 1][1]][1] <= start):
+            starts.insert(i, start)
+            kept.insert(i, (start, k))
+    return [k for _, k in kept]
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = [longest_first([(x["start"], x["end"], x["priority"], x["seq"]) for x in spans.as_py()]) for spans in batch["_s"]]
+        names = [n for n in batch.schema.names if n != "_s"]
+        numbers = pa.array(kept, pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), batch["_s"], numbers], [*names, "_s", "_k"])
+
+
 def resolved(spans: DataFrame, columns: Sequence[str]) -> DataFrame:
     """resolve() for a table of spans, one row each: columns name a document.
 
-    Spans that overlap, directly or through others, make a cluster; only the spans of a cluster are compared, so a
-    document with many spans costs no more than its clusters.
+    Spans that overlap, directly or through others, make a cluster; only the spans of a cluster are compared, and each with its
+    neighbours among the kept ones. So a document costs no more than sorting its spans, also where all are one chain.
     """
     order = Window.partitionBy(*columns).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -108,7 +139,9 @@ def resolved(spans: DataFrame, columns: Sequence[str]) -> DataFrame:
     numbered = opens.withColumn("_cluster", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     span = F.struct("start", "end", "value", "kind", "source", "priority", "seq").cast(SPAN)
     found = numbered.groupBy(*columns, "_cluster").agg(F.collect_list(span).alias("_s"))
-    return found.select(*columns, F.inline(F.when(F.size("_s") > 1, resolve(F.col("_s"))).otherwise(F.col("_s"))))
+    schema = StructType([*found.schema.fields, *StructType.fromDDL("_k array<int>").fields])
+    found = found.mapInArrow(_kept, schema)
+    return found.select(*columns, F.inline(F.transform("_k", lambda k: F.get("_s", k))))
 
 
 def rewrite(text: Column, edits: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from piiflow.functions import checks, placeholders, text as T
 from piiflow.operators import analytics, candidates as C, catalog, detectors as D, kinds, literals as L, spans as S, tokens
 from piiflow.plans.masking import mask_corpus
+from piiflow.plans.sequential import mask_in_order
 from piiflow.sources import dictionaries, files, layout, samples
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1060,3 +1061,52 @@ def wrapped_lines(spark, sf_dir):
 def sample_projects(spark, sf_dir):
     """The sample's documents, masked with its variables."""
     return tokens.mask(samples.documents(spark), samples.variables(spark)).select("doc_id", "text", "n_replaced")
+
+
+@_query(r"SELECT doc_id, v AS value, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(text, 't*h?e*'), lambda x: x <> '')) AS v FROM documents) GROUP BY ALL")
+def empty_pattern_hits(spark, sf_dir):
+    """A pattern that may match nothing has its other hits."""
+    rule = {"id": "e", "pattern": "t*h?e*", "kind": "custom"}
+    found = S.exploded(_table(spark, sf_dir, "documents"), C.pattern_rule_spans(spark, F.col("text"), [rule]))
+    return found.groupBy("doc_id", "value").agg(F.count("*").alias("n"))
+
+
+_OPS = "CASE WHEN event_id % 10 < 5 THEN 'commit' WHEN event_id % 10 < 8 THEN 'undo' WHEN event_id % 10 = 8 THEN 'redo' WHEN event_id % 70 = 9 THEN 'switch' ELSE 'navigate' END"
+
+
+@_query(
+    f"""WITH RECURSIVE ops AS (
+  SELECT user_id, event_id, {_OPS} AS op, event_type AS state, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events
+), walk AS (
+  SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::STRUCT(id BIGINT, state VARCHAR) AS cur, []::STRUCT(id BIGINT, state VARCHAR)[] AS past, []::STRUCT(id BIGINT, state VARCHAR)[] AS future FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT w.user_id, o.n, o.event_id,
+    CASE WHEN o.op = 'switch' THEN NULL WHEN o.op = 'commit' AND o.state IS DISTINCT FROM w.cur.state THEN {{'id': o.event_id, 'state': o.state}} WHEN o.op = 'undo' AND len(w.past) > 0 THEN w.past[-1] WHEN o.op = 'redo' AND len(w.future) > 0 THEN w.future[-1] ELSE w.cur END,
+    CASE WHEN o.op = 'switch' THEN [] WHEN o.op = 'commit' AND o.state IS DISTINCT FROM w.cur.state THEN list_append(w.past, w.cur) WHEN o.op = 'undo' AND len(w.past) > 0 THEN w.past[:-2] WHEN o.op = 'redo' AND len(w.future) > 0 THEN list_append(w.past, w.cur) ELSE w.past END,
+    CASE WHEN o.op = 'switch' THEN [] WHEN o.op = 'commit' AND o.state IS DISTINCT FROM w.cur.state THEN [] WHEN o.op = 'undo' AND len(w.past) > 0 THEN list_append(w.future, w.cur) WHEN o.op = 'redo' AND len(w.future) > 0 THEN w.future[:-2] ELSE w.future END
+  FROM walk w JOIN ops o ON o.user_id = w.user_id AND o.n = w.n + 1
+)
+SELECT user_id, event_id, cur.id AS current, len(past) > 0 AS can_undo, len(future) > 0 AS can_redo FROM walk WHERE n > 0"""
+)
+def history_replay(spark, sf_dir):
+    """What each user sees after each of their operations: commits, undo and redo, and switches that leave the history behind."""
+    log = _table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.expr(_OPS).alias("op"), "event_type")
+    played = catalog.replay(log, F.col("event_type"), ("user_id",))
+    return played.select("user_id", F.col("seq").alias("event_id"), "current", "can_undo", "can_redo")
+
+
+_NAMED = "SELECT c_mktsegment AS project_id, c_custkey AS doc_id, c_custkey % 60 AS v, c_custkey % 5 = 0 AS marked FROM customer"
+
+
+@_query(
+    f"""WITH named AS ({_NAMED}), firsts AS (SELECT project_id, v, min(doc_id) AS first_at FROM named WHERE marked GROUP BY ALL
+), tokens AS (SELECT *, 'CUSTOM' || row_number() OVER (PARTITION BY project_id ORDER BY first_at) AS token FROM firsts)
+SELECT doc_id, CASE WHEN marked THEN '#' ELSE '' END || CASE WHEN t.first_at <= doc_id THEN token ELSE 'PORT_' || v END || 's kaj.' AS text, (CASE WHEN t.first_at <= doc_id THEN 1 ELSE 0 END)::BIGINT AS n_replaced
+FROM named LEFT JOIN tokens t USING (project_id, v)"""
+)
+def mask_in_sequence(spark, sf_dir):
+    """Names that a pattern finds where they are marked: unmarked, they are masked from the document on that brought them up."""
+    docs = _sql(spark, sf_dir, f"SELECT project_id, doc_id, concat(CASE WHEN marked THEN '#' ELSE '' END, 'PORT_', v, 's kaj.') AS text FROM ({_NAMED})", "customer")
+    spans = S.find_spans(F.col("text"), r"(?<=#)PORT_[0-9]+", "custom", "marked", 5)
+    masked, _ = mask_in_order(docs, spark.createDataFrame([], _NO_VARIABLES), spans, "doc_id")
+    return masked.select("doc_id", "text", "n_replaced")
