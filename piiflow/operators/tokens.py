@@ -16,9 +16,9 @@ from piiflow.sources.stores import materialize
 SUFFIXES = ("s",)
 
 
-def _counter(style: str) -> Column:
+def counter(style: str, kind: Column) -> Column:
     """Kinds that share a counter: those that read alike in a placeholder."""
-    slug = kind_slug(F.col("kind"))
+    slug = kind_slug(kind)
     if style not in KIND_STYLES:
         return F.lit("")
     return F.lower(slug) if style == "mustache" else F.upper(slug)
@@ -96,7 +96,7 @@ def mint(new: DataFrame, taken: DataFrame, style: str, on: Sequence[str] = ("pro
     minted once more beside all that is taken by then, until no token comes twice. Each round settles one value
     of every token at least.
     """
-    new, done = new.withColumn("_counter", _counter(style)), None
+    new, done = new.withColumn("_counter", counter(style, F.col("kind"))), None
     sizes = new.select(F.lit(0).alias("t")).unionAll(taken.select(F.lit(1).alias("t"))).agg(F.count("*").alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("taken")).first()
     few, some_taken = sizes.n <= ONE_WINDOW, sizes.taken > 0
     while True:
