@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -143,13 +144,23 @@ def train(findings: DataFrame, language: Language, trees: int = TREES, depth: in
 STAND_INS = "changeme password secret example letmein qwerty welcome admin dummy default token required hidden redacted placeholder undefined".split()
 
 
+#: Where files with settings lie, and where examples do. Of secrets EXAMPLE_SHARES[1] percent are found in the latter, of others EXAMPLE_SHARES[0]
+#: percent; as many of each are followed by a word that says so.
+SETTING_PATHS = ("src0", "src1", "src2", "web", "crawl", "app/config.py", "deploy.sh", "settings.yml", ".env", "ci/release.yml")
+EXAMPLE_PATHS = ("docs/setup", "tests/a.py", "README.md", "tests/fixtures/example.py", "demo/app.py", "mock/server.js", "samples/conf.yml")
+EXAMPLE_WORDS = ("example", "sample", "dummy", "placeholder")
+EXAMPLE_SHARES = (45, 8)
+
+
 def labelled_findings(spark: SparkSession, language: Language, n: int = 8000, most_words: int = 2000) -> DataFrame:
     """Findings with known answers, n rows that are the same on each run over the same documents.
 
     There are no labelled secrets in the tables, so their values are drawn: secrets from digests, as keys are,
     in the alphabets and lengths of keys and passwords; the others from words of the documents (at most
     most_words of them, those first by a hash, however rare in the dictionary), joined as people join them, from code
-    that names a secret without holding it, and from digests that are no secrets by what stands beside them.
+    that names a secret without holding it, and from digests that are no secrets by what stands beside them. Others lie
+    more often than secrets in paths of examples and beside words that say so, by EXAMPLE_SHARES: an assumption, as there is no
+    repository to count in.
     """
     kept = language.words.filter(F.length("word").between(4, 12)).orderBy(F.xxhash64("word"), "word").limit(most_words).select("word")
     kept = written(kept.unionByName(spark.createDataFrame([(w,) for w in STAND_INS], "word string")))
@@ -158,8 +169,10 @@ def labelled_findings(spark: SparkSession, language: Language, n: int = 8000, mo
     order = Window.orderBy(F.xxhash64("word", "_round"), "word")
     numbered = rounds.select((F.row_number().over(order) - 1).cast("long").alias("id"), F.array("word", *[F.coalesce(F.lead("word", k).over(order), "word") for k in range(1, 5)]).alias("_words"))
     numbered = written(numbered.filter(F.col("id") < n))
-    number = lambda salt, upto: F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(upto)).cast("int")
-    pick = lambda salt, options: F.get(F.array(*map(F.lit, options)), number(salt, len(options)))
+    quoted = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    drawn = lambda salt, upto: f"CAST(pmod(xxhash64({quoted(salt)}, id), {upto}) AS INT)"
+    number = lambda salt, upto: F.expr(drawn(salt, upto))
+    pick = lambda salt, options: F.expr(f"get(array({', '.join(map(quoted, options))}), {drawn(salt, len(options))})")
     long = lambda salt: F.concat(*[F.sha2(F.concat(F.lit(f"{salt}{k}:"), F.col("id").cast("string")), 256) for k in range(4)])
     cut = lambda text, salt, least, most: F.substr(text, F.lit(1), F.lit(least) + number(salt, most - least + 1))
     base64 = lambda salt: F.base64(F.unhex(long(salt)))
@@ -168,7 +181,9 @@ def labelled_findings(spark: SparkSession, language: Language, n: int = 8000, mo
     prose = lambda salt: F.when(number(salt + "e", 8) == 0, "").otherwise(word(salt))
     keys = ("password=", 'token = "', "secret: ", "api_key=", "auth_token=", "pwd=", "access_key = '", '"client_secret": "', "DB_PASSWORD=", "token => '")
     key = lambda salt: pick(salt, keys)
-    path = lambda salt: pick(salt, ("src0", "src1", "src2", "web", "crawl", "app/config.py", "deploy.sh", "settings.yml", "docs/setup", "tests/a.py", "README.md"))
+    of_example = lambda salt, secret: number(salt, 100) < EXAMPLE_SHARES[secret]
+    path = lambda salt, secret: F.when(of_example(salt + "%", secret), pick(salt, EXAMPLE_PATHS)).otherwise(pick(salt, SETTING_PATHS))
+    behind = lambda salt, secret: F.when(of_example(salt + "%", secret), pick(salt, EXAMPLE_WORDS)).otherwise(prose(salt))
     digits = lambda salt, upto: number(salt, upto).cast("string")
     no = F.lit("")
     named = ("commit", "sha1", "revision", "blob", "tree", "sha256:", "digest", "checksum", "integrity", "md5", "etag")
@@ -193,18 +208,32 @@ def labelled_findings(spark: SparkSession, language: Language, n: int = 8000, mo
         (no, cut(long("v"), "vl", 32, 64), pick("vb", named)), (no, F.substr(long("w"), F.lit(1), pick("wl", (40, 64))), pick("wb", named)),
         (no, F.concat(F.lit("AKIA"), F.rpad(F.upper(F.concat(word("x1"), F.lit("EXAMPLE"))), 16, "X")), prose("xb")),
     ]
-    rows = [(k, v, prose(f"sb{i}"), 1) for i, (k, v) in enumerate(secrets)] + [(k, v, b, 0) for k, v, b in others]
-    kinds = [F.struct(k.alias("key"), v.alias("value"), b.alias("before"), prose(f"a{i}").alias("after"), path(f"p{i}").alias("path"), F.lit(y).alias("secret")) for i, (k, v, b, y) in enumerate(rows)]
-    # One kind for each row: the others are not computed.
-    chosen = F.when(F.col("id") % len(kinds) == 0, kinds[0])
-    for i in range(1, len(kinds)):
-        chosen = chosen.when(F.col("id") % len(kinds) == i, kinds[i])
-    return written(numbered.select(F.inline(F.array(chosen))).filter("value IS NOT NULL"))
+    # Made-up keys of fixtures and manuals look like secrets, and are told by their place or by the word after them.
+    fakes = [(key("y"), cut(long("y"), "yl", 16, 64), True, False), (key("z"), cut(plain("z"), "zl", 8, 40), True, False), (key("ä"), cut(long("ä"), "äl", 8, 64), False, True), (key("ö"), cut(plain("ö"), "öl", 8, 40), False, True)]
+    rows = [(k, v, prose(f"sb{i}"), 1, False, False) for i, (k, v) in enumerate(secrets)] + [(k, v, b, 0, False, False) for k, v, b in others]
+    rows += [(k, v, prose(f"fb{i}"), 0, *where) for i, (k, v, *where) in enumerate(fakes)]
+    # Each kind is a small select of its own: one expression for all would be too long to compile.
+    parts = [
+        numbered.filter(F.col("id") % len(rows) == i).select(
+            k.alias("key"), v.alias("value"), b.alias("before"), (pick(f"w{i}", EXAMPLE_WORDS) if told else behind(f"a{i}", y)).alias("after"),
+            (pick(f"f{i}", EXAMPLE_PATHS) if fixture else path(f"p{i}", y)).alias("path"), F.lit(y).alias("secret"),
+        )
+        for i, (k, v, b, y, fixture, told) in enumerate(rows)
+    ]
+    return written(reduce(DataFrame.unionAll, parts).filter("value IS NOT NULL"))
+
+
+def _may_hold(text: Column) -> Column:
+    """A cheap look first: what every candidate has, as plain parts of a text or a run of hex."""
+    low = F.lower(text)
+    parts = [F.contains(low, F.lit(x)) for x in ("pass", "pwd", "secret", "token", "key", "auth")]
+    parts += [F.contains(text, F.lit(x)) for x in ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxa-", "xoxb-", "xoxp-", "sk-", "sk_live_", "eyJ")]
+    return reduce(Column.__or__, parts) | F.rlike(text, F.lit("[0-9A-Fa-f]{32}"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, source, text) as doc_id, path, start (from 0, in code points), key, value, before and after."""
-    docs = docs.filter(F.rlike("text", F.lit(CANDIDATE)))
+    docs = docs.filter(_may_hold(F.col("text"))).filter(F.rlike("text", F.lit(CANDIDATE)))
     df = held(docs.select("doc_id", F.col("source").alias("path"), "text"), found=F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), gaps=F.split("text", CANDIDATE, -1))
     spot = F.transform(
         "found",
@@ -212,8 +241,9 @@ def candidates(docs: DataFrame) -> DataFrame:
             i.alias("i"),
             m.alias("match"),
             F.length(F.get("gaps", i)).alias("gap"),
-            F.regexp_extract(F.substr(F.get("gaps", i), F.greatest(F.length(F.get("gaps", i)) - 99, F.lit(1))), r"(\S+)\s*$", 1).alias("before"),
-            F.regexp_extract(F.substr(F.get("gaps", i + 1), F.lit(1), F.lit(100)), r"^[\x22']?\s*(\S+)", 1).alias("after"),
+            # The whole word on each side, however long and however far: a word is tried at its beginning only.
+            F.regexp_extract(F.get("gaps", i), r"(?<!\S)(\S++)\s*+\z", 1).alias("before"),
+            F.regexp_extract(F.get("gaps", i + 1), r"\A[\x22']?+\s*+(\S++)", 1).alias("after"),
         ),
     )
     # Starts add up within a row, whatever its identifier; its content and candidates name it.
