@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from piiflow.functions.text import compile_pattern
+from piiflow.functions.text import compile_pattern, matches_empty
 from piiflow.operators.literals import find_literals
 from piiflow.operators.spans import exploded, find_spans, pool, resolved
 
@@ -29,7 +29,7 @@ def pattern_rule_spans(spark, text: Column, rules: Sequence[dict]) -> Column:
         pattern = compile_pattern(spark, rule["pattern"], rule.get("flags") or "")
         if pattern is None:
             continue
-        found.append(find_spans(text, _WHOLE + f"(?:{pattern})", rule["kind"], f"pattern:{rule['id']}", PATTERN_PRIORITY, 10 + k))
+        found.append(find_spans(text, _WHOLE + f"(?:{pattern})", rule["kind"], f"pattern:{rule['id']}", PATTERN_PRIORITY, 10 + k, often_empty=matches_empty(spark, pattern)))
     return pool(*found)
 
 

@@ -51,13 +51,30 @@ def running(steps: Column, block: int = 128) -> Column:
     return let(parts, summed)
 
 
-def matches(text: Column, pattern: str) -> Column:
+#: Signs that are no characters, and stand in no text that is exchanged.
+_OPEN, _SHUT = "\ufdd0", "\ufdd1"
+
+
+def _marked(text: Column, pattern: str) -> Column:
+    """found and gaps of a pattern that matches nothing nearly everywhere: what it finds is marked, and empty marks are taken out again at once."""
+    marked = F.replace(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_OPEN}$0{_SHUT}")), F.lit(_OPEN + _SHUT), F.lit(""))
+
+    def parted(parts: Column) -> Column:
+        numbers = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i % 2 == 1)
+        return F.struct(F.transform(numbers, lambda i: F.get(parts, i)).alias("found"), F.concat(F.transform(numbers, lambda i: F.get(parts, i - 1)), F.slice(parts, -1, 1)).alias("gaps"))
+
+    return let(F.split(marked, f"[{_OPEN}{_SHUT}]", -1), parted)
+
+
+def matches(text: Column, pattern: str, often_empty: bool = False) -> Column:
     """All matches from left to right that don't overlap and aren't empty: (start, value, before), before being the text since the last one.
 
     Where a pattern matches nothing, the search goes on one sign later. Splitting parts the text there too, but for a match of
     nothing at the very start, which is the one that has no gap of its own.
     """
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    if often_empty:
+        both = F.when(F.rlike(text, F.lit(f"[{_OPEN}{_SHUT}]")), both).otherwise(_marked(text, pattern))
 
     def placed(p: Column) -> Column:
         gap = lambda i: F.length(F.get(p["gaps"], i)).cast("long")
@@ -72,12 +89,12 @@ def matches(text: Column, pattern: str) -> Column:
     return F.filter(let(let(both, aligned), placed), lambda m: m["value"] != "")
 
 
-def find_spans(text: Column, pattern: str, kind: str, source: str, priority: int = 0, seq: int = 0, accept: Accept | None = None) -> Column:
-    """All matches from left to right that don't overlap, as an array of spans.
+def find_spans(text: Column, pattern: str, kind: str, source: str, priority: int = 0, seq: int = 0, accept: Accept | None = None, often_empty: bool = False) -> Column:
+    """All matches from left to right that don't overlap, as an array of spans. often_empty: the pattern matches the empty string.
 
     accept vetoes a match after it has used up its characters. Matches of nothing are no spans. Matches and the gaps between them see the same whole text, so look-around works.
     """
-    found = matches(text, pattern)
+    found = matches(text, pattern, often_empty)
     if accept is not None:
         found = F.filter(found, lambda m: F.coalesce(accept(m["value"]), F.lit(False)))
     spans = F.transform(found, lambda m: _span(m["start"], m["value"], kind, source, priority, seq))

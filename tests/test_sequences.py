@@ -17,7 +17,7 @@ NO_VARIABLES = "project_id string, value string, token string, kind string, vari
 @pytest.mark.parametrize("pattern", ["x*y?", "(?:ab)*", "x*?", "a|", "(?<=a)b*", "(?=b)", "b*$", "x+", "[^a]*", "^x*"])
 def test_patterns_that_can_match_nothing(spark, pattern):
     rng = random.Random(len(pattern))
-    texts = ["", "x", "xx", "abab", "xyxxy", "axbxyb", None] + ["".join(rng.choice("abxy\U0001f600") for _ in range(rng.randrange(25))) for _ in range(120)]
+    texts = ["", "x", "xx", "abab", "xyxxy", "axbxyb", None, "x\ufdd0y\ufdd1\ufdd0\ufdd1xb", "\ufdd0"] + ["".join(rng.choice("abxy\U0001f600") for _ in range(rng.randrange(25))) for _ in range(120)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted((r.doc_id, r.start, r.value) for r in S.exploded(df, C.pattern_rule_spans(spark, F.col("text"), [{"id": "p", "pattern": pattern, "kind": "k"}])).collect())
     want = []
