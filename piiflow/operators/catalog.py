@@ -1,4 +1,4 @@
-"""Projects, documents and workspaces as tables: keyed changes, versions, stored forms, sweeps and search."""
+"""Projects, documents and workspaces as tables: keyed changes, versions, stored forms and sweeps."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from piiflow.functions.text import compile_pattern, escape
-
 #: Stored documents of this version and older can be read.
 VERSION = 1
 STORED = (
@@ -149,30 +147,3 @@ def replay(log: DataFrame, state: Column, key: Sequence[str] = ("workspace",)) -
     played = asked.repartition("_session").sortWithinPartitions("_session", "_seq").mapInArrow(_replayed, "_session string, _seq long, _at long, _undo boolean, _redo boolean")
     joined = rows.join(played, (rows["_session"] == played["_session"]) & (rows["seq"] == played["_seq"]))
     return joined.select(*[rows[c] for c in log.columns], F.col("_at").alias("current"), F.col("_undo").alias("can_undo"), F.col("_redo").alias("can_redo"))
-
-
-def clip(text: Column, at: Column, width: int = 80) -> Column:
-    """About width characters of a text around a place (from 1), on one line."""
-    begin = F.greatest(at.cast("int") - width // 4, F.lit(1))
-    return F.trim(F.regexp_replace(F.substr(text, begin, F.lit(width)), r"\s+", " "))
-
-
-def search(projects: DataFrame, documents: DataFrame, variables: DataFrame, query: str) -> DataFrame:
-    """Hits of a query in project names, documents (name and text) and variables (token = value).
-
-    A query is part of a text in any case; /.../ is a pattern in any case. A blank query, and a pattern that
-    is none, find nothing. Hits come by project, then its documents, then its variables.
-    """
-    spark, asked = projects.sparkSession, query.strip()
-    if len(asked) > 1 and asked[0] == asked[-1] == "/":
-        pattern = compile_pattern(spark, asked[1:-1], "i")
-    else:
-        pattern = "(?iu)" + escape(asked)
-    rows = projects.select("project_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("item"), F.lit("project").alias("hit"), F.col("name").alias("text"))
-    rows = rows.unionByName(documents.select("project_id", F.lit(1).alias("part"), F.col("doc_id").alias("item"), F.lit("document").alias("hit"), F.concat_ws("\n", "name", "text").alias("text")))
-    rows = rows.unionByName(variables.select("project_id", F.lit(2).alias("part"), F.col("variable_order").alias("item"), F.lit("variable").alias("hit"), F.concat("token", F.lit(" = "), "value").alias("text")))
-    if not asked or not pattern:
-        return rows.limit(0).select("project_id", "hit", "item", F.lit("").alias("clip"), F.lit(0).cast("long").alias("n_matches"))
-    rows = rows.filter(F.rlike("text", F.lit(pattern)))
-    at = F.length(F.get(F.split("text", pattern, 2), 0)) + 1
-    return rows.select("project_id", "hit", "item", clip(F.col("text"), at).alias("clip"), F.regexp_count("text", F.lit(pattern)).cast("long").alias("n_matches"))

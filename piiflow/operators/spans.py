@@ -161,36 +161,56 @@ def resolved(spans: DataFrame, columns: Sequence[str]) -> DataFrame:
     return found.select(*columns, F.inline(F.transform("_k", lambda k: F.get("_s", k))))
 
 
-def rewrite(text: Column, edits: Column) -> Column:
-    """text with edits, an array of (start, end, replacement); one that begins before the last one's end is skipped."""
-    edit = lambda e: F.struct(e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end"), e["replacement"].alias("replacement"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,replacement:string>>").alias("out"))
+_EDITS = "array<struct<start:bigint,end:bigint,what:string>>"
+
+
+def _in_order(spans: Column, body: Callable[[Column], Column]) -> Column:
+    """body of spans (start, end, what) in text order; one that begins before the last one's end is skipped.
+
+    Spans that don't cross, which is what there nearly always is, are only sorted.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_EDITS).alias("out"))
     step = lambda acc, e: F.when(e["start"] < acc["at"], acc).otherwise(F.struct(e["end"].alias("at"), F.array_append(acc["out"], e).alias("out")))
 
-    def apply(all_: Column) -> Column:
+    def uncrossed(all_: Column) -> Column:
         crossing = F.exists(F.sequence(F.lit(1), F.size(all_)), lambda i: F.coalesce(F.get(all_, i)["start"] < F.get(all_, i - 1)["end"], F.lit(False)))
-        return let(F.when(crossing, F.aggregate(all_, start, step, lambda acc: acc["out"])).otherwise(all_), joined)
+        return let(F.when(crossing, F.aggregate(all_, start, step, lambda acc: acc["out"])).otherwise(all_), body)
+
+    return let(F.sort_array(spans.cast(_EDITS)), uncrossed)
+
+
+def _upto(kept: Column, i: Column) -> Column:
+    """Where the span before the i-th ends."""
+    return F.coalesce(F.get(kept, i - 1)["end"], F.lit(0).cast("long"))
+
+
+def _cut(text: Column, start: Column, end: Column) -> Column:
+    return F.substr(text, (start + 1).cast("int"), (end - start).cast("int"))
+
+
+def rewrite(text: Column, edits: Column) -> Column:
+    """text with edits, an array of (start, end, replacement); one that begins before the last one's end is skipped."""
+    edit = lambda e: F.struct(e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end"), e["replacement"].alias("what"))
 
     def joined(kept: Column) -> Column:
-        upto = lambda i: F.coalesce(F.get(kept, i - 1)["end"], F.lit(0).cast("long"))
-        piece = lambda e, i: F.concat(F.substr(text, (upto(i) + 1).cast("int"), (e["start"] - upto(i)).cast("int")), e["replacement"])
-        return F.concat(F.array_join(F.transform(kept, piece), ""), F.substr(text, (upto(F.size(kept)) + 1).cast("int")))
+        pieces = F.transform(kept, lambda e, i: F.concat(_cut(text, _upto(kept, i), e["start"]), e["what"]))
+        return F.concat(F.array_join(pieces, ""), F.substr(text, (_upto(kept, F.size(kept)) + 1).cast("int")))
 
-    return F.when(F.size(edits) > 0, let(F.sort_array(F.transform(edits, edit)), apply)).otherwise(text)
+    return F.when(F.size(edits) > 0, _in_order(F.transform(edits, edit), joined)).otherwise(text)
 
 
 def highlight(text: Column, spans: Column) -> Column:
     """text cut into pieces: (piece, kind), kind being null outside of spans."""
-    piece = lambda a, b, kind: F.struct(F.substr(text, (a + 1).cast("int"), (b - a).cast("int")).alias("piece"), kind.alias("kind"))
-    empty = F.array().cast("array<struct<piece:string,kind:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
+    mark = lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"), s["kind"].alias("what"))
+    piece = lambda start, end, kind: F.struct(_cut(text, start, end).alias("piece"), kind.alias("kind"))
+    plain = F.lit(None).cast("string")
 
-    def step(acc: Column, s: Column) -> Column:
-        pieces = F.array(piece(acc["at"], s["start"], F.lit(None).cast("string")), piece(s["start"], s["end"], s["kind"]))
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], pieces).alias("out")))
+    def cut(kept: Column) -> Column:
+        both = F.transform(kept, lambda s, i: F.array(piece(_upto(kept, i), s["start"], plain), piece(s["start"], s["end"], s["what"])))
+        rest = piece(_upto(kept, F.size(kept)), F.length(text).cast("long"), plain)
+        return F.filter(F.concat(F.flatten(both), F.array(rest)), lambda p: p["piece"] != "")
 
-    last = lambda acc: F.concat(acc["out"], F.array(piece(acc["at"], F.length(text).cast("long"), F.lit(None).cast("string"))))
-    return F.filter(F.aggregate(_sorted(spans, lambda s: [s["start"]]), start, step, last), lambda p: p["piece"] != "")
+    return _in_order(F.transform(spans, mark), cut)
 
 
 def occurrences(text: Column, value: Column) -> Column:

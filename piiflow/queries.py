@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from piiflow.functions import checks, placeholders, text as T
-from piiflow.operators import analytics, candidates as C, catalog, detectors as D, kinds, literals as L, spans as S, tokens
+from piiflow.operators import analytics, candidates as C, catalog, detectors as D, kinds, literals as L, search, spans as S, tokens
 from piiflow.plans.masking import mask_corpus
 from piiflow.plans.sequential import mask_in_order
-from piiflow.sources import dictionaries, files, layout, samples
+from piiflow.sources import dictionaries, files, layout, samples, stores
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -642,7 +642,22 @@ def search_union(spark, sf_dir):
     projects = c.select(F.col("c_mktsegment").alias("project_id"), F.lower("c_mktsegment").alias("name")).distinct()
     docs = c.select(F.col("c_mktsegment").alias("project_id"), F.col("c_custkey").alias("doc_id"), F.lit("kund").alias("name"), F.upper("c_name").alias("text"))
     variables = c.select(F.col("c_mktsegment").alias("project_id"), F.col("c_custkey").alias("variable_order"), F.lit("T").alias("token"), F.col("c_name").alias("value"))
-    return catalog.search(projects, docs, variables, " 0012 ").select("project_id", "hit", "item", "n_matches")
+    return search.search(projects, docs, variables, " 0012 ").select("project_id", "hit", "item", "n_matches")
+
+
+@_query(
+    """SELECT source AS project_id, 'document' AS hit, doc_id AS item, (len(string_split(lower(text), 'quevire')) - 1)::BIGINT AS n_matches FROM documents WHERE contains(lower(text), 'quevire')
+UNION ALL SELECT c_mktsegment, 'variable', c_custkey, (len(string_split(lower(c_name), 'quevire')) - 1)::BIGINT FROM customer WHERE contains(lower(c_name), 'quevire')"""
+)
+def search_indexed(spark, sf_dir):
+    """An index of all documents and variables is written, and a word looked up in it."""
+    d, c = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "customer")
+    projects = d.select(F.col("source").alias("project_id"), F.col("source").alias("name")).distinct()
+    docs = d.select(F.col("source").alias("project_id"), "doc_id", F.lit("text").alias("name"), "text")
+    variables = c.select(F.col("c_mktsegment").alias("project_id"), F.col("c_custkey").alias("variable_order"), F.lit("T").alias("token"), F.col("c_name").alias("value"))
+    path = stores.shared_path(spark)
+    search.write_index(search.searchable(projects, docs, variables), path)
+    return search.search_index(spark, path, "QueVire").select("project_id", "hit", "item", "n_matches")
 
 
 @_query("SELECT o_orderkey AS doc_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")

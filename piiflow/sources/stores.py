@@ -34,15 +34,20 @@ def save_table(df: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that all executors share. One of our own is made on a local master only."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share. One of our own is made on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="piiflow-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/piiflow-{uuid.uuid4().hex}"
+    return f"{folder}/piiflow-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df as a table in the folder that all executors share."""
+    spark = df.sparkSession
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

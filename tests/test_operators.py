@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from piiflow.functions import checks, placeholders
 from piiflow.functions import text as T
 from piiflow.operators import candidates as C
-from piiflow.operators import catalog, detectors as D, kinds, literals as L, spans as S, tokens
+from piiflow.operators import catalog, detectors as D, kinds, literals as L, search, spans as S, tokens
 
 
 def one(spark, text):
@@ -79,6 +79,17 @@ def test_pieces_put_together_are_the_text(spark):
     assert [p.piece for p in pieces if p.kind] == ["12", "34"]
 
 
+def test_pieces_of_crossing_nested_and_no_spans(spark):
+    """A span that begins before the last kept one's end is no piece of its own."""
+    span = lambda a, b, kind: (a, b, "", kind, "s", 0, 0)
+    rows = [("abcdef", [span(0, 3, "x"), span(2, 4, "y"), span(4, 5, "z")]), ("abc", []), ("", []), ("ab", [span(0, 2, "x"), span(1, 2, "y")]), ("a" * 9000, [span(3 * k, 3 * k + 1, "k") for k in range(3000)])]
+    got = spark.createDataFrame(rows, f"text string, s {S.SPANS}").select(S.highlight(F.col("text"), F.col("s")).alias("p")).collect()
+    said = [[(p.piece, p.kind) for p in r.p] for r in got]
+    assert said[0] == [("abc", "x"), ("d", None), ("e", "z"), ("f", None)]
+    assert said[1:4] == [[("abc", None)], [], [("ab", "x")]]
+    assert said[4] == [("a", "k"), ("aa", None)] * 3000
+
+
 def test_patterns_of_users(spark):
     assert T.compile_pattern(spark, "(open") is None
     assert T.matches_empty(spark, "x*") and not T.matches_empty(spark, "x+")
@@ -127,8 +138,8 @@ def test_an_invalid_search_finds_nothing(spark):
     p = spark.createDataFrame([("p", "Alpha")], "project_id string, name string")
     d = spark.createDataFrame([("p", 1, "n", "beta ALPHA alpha")], "project_id string, doc_id long, name string, text string")
     v = spark.createDataFrame([("p", 1, "NAME1", "Alpha Ek")], "project_id string, variable_order long, token string, value string")
-    assert catalog.search(p, d, v, "/(/").count() == 0 and catalog.search(p, d, v, "  ").count() == 0
-    assert sorted((r.hit, r.n_matches) for r in catalog.search(p, d, v, "alpha").collect()) == [("document", 2), ("project", 1), ("variable", 1)]
+    assert search.search(p, d, v, "/(/").count() == 0 and search.search(p, d, v, "  ").count() == 0
+    assert sorted((r.hit, r.n_matches) for r in search.search(p, d, v, "alpha").collect()) == [("document", 2), ("project", 1), ("variable", 1)]
 
 
 def test_never_and_ignored_lists(spark):
