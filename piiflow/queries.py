@@ -755,19 +755,24 @@ def line_grouping(spark, sf_dir):
     WITH {_LINES}, marked AS (
       SELECT *, CASE WHEN y = lag(y) OVER w THEN 0 ELSE 1 END AS new FROM rows_ WINDOW w AS (PARTITION BY doc_id, page ORDER BY n)
     ), grouped AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY n) AS g FROM marked),
-    lines AS (SELECT doc_id, page, g, min(y) AS y, max(CASE WHEN n = 0 THEN 9.0 ELSE 12.0 END::DOUBLE) AS h FROM grouped GROUP BY doc_id, page, g),
-    steps AS (SELECT *, lag(y) OVER w - y AS d, lead(y) OVER w AS below FROM lines WINDOW w AS (PARTITION BY doc_id, page ORDER BY g)),
+    lines AS (SELECT doc_id, page, g, min(y) AS y, max(CASE WHEN n = 0 THEN 9.0 ELSE 12.0 END::DOUBLE) AS h, string_agg(CASE WHEN new = 1 THEN text ELSE replace(text, ' ', '') END, '' ORDER BY n) AS text FROM grouped GROUP BY doc_id, page, g),
+    steps AS (SELECT *, lag(y) OVER w - y AS d, lead(y) OVER w AS below, lag(y) OVER w AS above, row_number() OVER w AS top, count(*) OVER (PARTITION BY doc_id, page) - row_number() OVER w + 1 AS bottom,
+      floor(y / 2 + 0.5)::BIGINT || '|' || regexp_replace(text, '[0-9]+', '#', 'g') AS key FROM lines WINDOW w AS (PARTITION BY doc_id, page ORDER BY g)),
     buckets AS (SELECT doc_id, page, floor(d / 2 + 0.5) AS b, count(*) AS n, median(d) AS m FROM steps WHERE d > 0 GROUP BY doc_id, page, b),
     best AS (SELECT doc_id, page, min_by(m, (-n, b)) AS m, sum(n) AS n FROM buckets GROUP BY doc_id, page),
     usual AS (SELECT doc_id, page, 1.6::DOUBLE * median(h) AS other FROM lines GROUP BY doc_id, page),
-    seen AS (SELECT doc_id, count(*) AS pages FROM rows_ WHERE n = 0 GROUP BY doc_id)
-    SELECT s.doc_id::BIGINT AS doc_id, s.page, 'head' AS furniture
-    FROM steps s JOIN seen USING (doc_id) JOIN usual u ON u.doc_id = s.doc_id AND u.page = s.page LEFT JOIN best t ON t.doc_id = s.doc_id AND t.page = s.page
-    WHERE s.g = 1 AND pages >= 3 AND (below IS NULL OR abs(s.y - below) > 1.35::DOUBLE * CASE WHEN t.n >= 3 THEN t.m ELSE u.other END)"""
+    seen AS (SELECT doc_id, key, count(*) AS n FROM steps WHERE top <= 2 OR bottom <= 2 GROUP BY ALL),
+    flags AS (
+      SELECT s.*, k.n >= 3 AND (below IS NULL OR abs(s.y - below) > gap) AS as_head, k.n >= 3 AND (above IS NULL OR abs(s.y - above) > gap) AS as_foot
+      FROM (SELECT s.*, 1.35::DOUBLE * CASE WHEN t.n >= 3 THEN t.m ELSE u.other END AS gap FROM steps s JOIN usual u USING (doc_id, page) LEFT JOIN best t USING (doc_id, page)) s LEFT JOIN seen k USING (doc_id, key)
+    ), edges AS (
+      SELECT *, top <= 2 AND min(as_head::INT) OVER (PARTITION BY doc_id, page ORDER BY top) = 1 AS head, bottom <= 2 AND min(as_foot::INT) OVER (PARTITION BY doc_id, page ORDER BY bottom) = 1 AS foot FROM flags
+    )
+    SELECT doc_id::BIGINT AS doc_id, page, CASE WHEN head THEN 'head' ELSE 'foot' END AS furniture FROM edges WHERE head OR foot"""
 )
 def furniture_lines(spark, sf_dir):
     rows = layout.furniture(layout.lines(_runs(spark, sf_dir)))
-    return rows.filter("furniture IS NOT NULL AND text LIKE 'Sida%'").select("doc_id", "page", "furniture")
+    return rows.filter("furniture IS NOT NULL").select("doc_id", "page", "furniture")
 
 
 @_query("SELECT l_orderkey AS doc_id, min_by(least_left, (-n, b)) AS common_left FROM (SELECT l_orderkey, floor(l_extendedprice / 100 + 0.5) AS b, count(*) AS n, min(l_extendedprice / 100) AS least_left FROM lineitem GROUP BY ALL) GROUP BY 1")
