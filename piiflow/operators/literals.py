@@ -149,8 +149,8 @@ def _candidates(docs: DataFrame, literals: DataFrame, on: Sequence[str], columns
     if whole_word:
         words = literals.select(*on, "value", F.posexplode(F.regexp_extract_all("value", F.lit(f"{word}+"), F.lit(0))).alias("_at", "_word")).distinct()
         shared = words.groupBy(*on, "_word").agg(F.count_distinct("value").alias("_n"))
-        rarest = words.join(shared, [*on, "_word"]).groupBy(*on, "value").agg(F.min_by("_word", F.struct("_n", -F.length("_word"), "_at")).alias("_word"))
-        literals = literals.join(rarest, [*on, "value"], "left")
+        rarest = words.join(shared.hint("merge"), [*on, "_word"]).groupBy(*on, "value").agg(F.min_by("_word", F.struct("_n", -F.length("_word"), "_at")).alias("_word"))
+        literals = literals.join(rarest.hint("merge"), [*on, "value"], "left")
         plain = F.coalesce("_word", F.substr("value", F.lit(1), F.lit(1)))
         with_suffix = F.col("_word").isNotNull() & F.col("value").endswith(F.col("_word"))
         anchors = F.when(with_suffix, F.array(plain, *[F.concat(plain, F.lit(s)) for s in suffixes])).otherwise(F.array(plain))
@@ -159,10 +159,10 @@ def _candidates(docs: DataFrame, literals: DataFrame, on: Sequence[str], columns
         anchors = F.array(F.substr("value", F.lit(1), F.lit(2)))
         pairs = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substr("text", i, F.lit(2)))
         tokens = F.when(F.length("text") > 0, F.array_distinct(F.concat(pairs, F.transform(pairs, lambda p: F.substr(p, F.lit(1), F.lit(1))))))
-    # Written, so that Spark knows how small it is, and shuffles the documents' words only where it must.
+    # Files of a few MB hold millions of literals: sent to all by the size of their files, they would fill the driver.
     wanted = materialize(literals.select(*on, F.struct(*carried).alias("_literal"), F.explode(anchors).alias("_token")))
-    found = docs.select(*columns, F.explode(tokens).alias("_token")).join(wanted, [*on, "_token"])
-    return found.groupBy(*columns).agg(F.collect_set("_literal").alias("_literals"))
+    found = docs.select(*columns, F.explode(tokens).alias("_token")).join(wanted.hint("merge"), [*on, "_token"])
+    return found.groupBy(*columns).agg(F.collect_set("_literal").alias("_literals")).hint("merge")
 
 
 def _values(literals) -> list[str]:

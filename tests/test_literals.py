@@ -133,3 +133,13 @@ def test_running_by_ranges_and_in_one_window(spark):
     for how in (F.sum, F.max):
         one, two = (sorted(map(tuple, tokens.running(df.fillna(0) if how is F.sum else df, ["g"], ["k"], "r", F.col("v"), how, few).select("g", "k", "r").collect())) for few in (True, False))
         assert one == two
+
+
+def test_many_literals_are_never_sent_whole(spark, monkeypatch):
+    """Files of a few MB hold more literals than a driver can send to all: above the limit of rows they are joined by shuffles."""
+    monkeypatch.setattr(L, "SENT_ROWS", 0)
+    docs = spark.createDataFrame([(1, "Ek och Anna"), (2, "ingen")], "doc_id int, text string")
+    pairs = spark.createDataFrame([("Ek", "A"), ("Anna", "B")], "value string, replacement string")
+    for made in (L.find_literals(docs, pairs), L.replace_literals(docs, pairs)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
