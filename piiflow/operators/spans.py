@@ -10,10 +10,10 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from piiflow.schema import SPAN, SPANS
@@ -137,11 +137,31 @@ def longest_first(spans: Sequence[tuple]) -> list[int]:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows those that stay; a cluster begins where _opens is 1. What is held is one batch, or one cluster."""
+
+    def settled(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.concat_batches(parts)
+        bounds = np.append(np.flatnonzero(rows["_opens"].to_numpy()), rows.num_rows)
+        alone = np.diff(bounds) == 1
+        kept = bounds[:-1][alone].tolist()
+        spans = list(zip(*(rows[c].to_pylist() for c in ("start", "end", "priority", "seq")))) if not alone.all() else []
+        for begin, end in zip(bounds[:-1][~alone].tolist(), bounds[1:][~alone].tolist()):
+            kept += [begin + k for k in longest_first(spans[begin:end])]
+        return rows.drop_columns(["_opens"]).take(pa.array(kept, pa.int64()))
+
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        kept = [longest_first([(x["start"], x["end"], x["priority"], x["seq"]) for x in spans.as_py()]) for spans in batch["_s"]]
-        names = [n for n in batch.schema.names if n != "_s"]
-        numbers = pa.array(kept, pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), batch["_s"], numbers], [*names, "_s", "_k"])
+        opens = np.flatnonzero(batch["_opens"].to_numpy())
+        if held and len(opens):
+            yield settled([*held, batch.slice(0, opens[-1])])
+            held = [batch.slice(opens[-1])]
+        elif len(opens) and opens[-1]:
+            yield settled([batch.slice(0, opens[-1])])
+            held = [batch.slice(opens[-1])]
+        else:
+            held.append(batch)
+    if any(b.num_rows for b in held):
+        yield settled(held)
 
 
 def resolved(spans: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -153,12 +173,10 @@ def resolved(spans: DataFrame, columns: Sequence[str]) -> DataFrame:
     order = Window.partitionBy(*columns).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = spans.withColumn("_opens", (F.col("start") >= F.coalesce(reach, F.col("start"))).cast("long"))
-    numbered = opens.withColumn("_cluster", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     span = F.struct("start", "end", "value", "kind", "source", "priority", "seq").cast(SPAN)
-    found = numbered.groupBy(*columns, "_cluster").agg(F.collect_list(span).alias("_s"))
-    schema = StructType([*found.schema.fields, *StructType.fromDDL("_k array<int>").fields])
-    found = found.mapInArrow(_kept, schema)
-    return found.select(*columns, F.inline(F.transform("_k", lambda k: F.get("_s", k))))
+    # The rows lie sorted by the window already, so that they need no lists.
+    rows = opens.select(*columns, "_opens", span.alias("_s")).select(*columns, "_opens", "_s.*").sortWithinPartitions(*columns, "start", "end")
+    return rows.mapInArrow(_kept, rows.drop("_opens").schema)
 
 
 _EDITS = "array<struct<start:bigint,end:bigint,what:string>>"

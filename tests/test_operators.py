@@ -9,6 +9,7 @@ from piiflow.functions import checks, placeholders
 from piiflow.functions import text as T
 from piiflow.operators import candidates as C
 from piiflow.operators import catalog, detectors as D, kinds, literals as L, search, spans as S, tokens
+from piiflow.schema import SPANS
 
 
 def one(spark, text):
@@ -251,3 +252,17 @@ def test_tokens_that_were_minted(spark):
         odd = spark.createDataFrame([("",), ("x",), ("A1B0",), ("$01",), ("[A1B 1",), ("{{a1b}}",)], "t string")
         assert not any(r.ok for r in odd.select(tokens.was_minted_for(F.col("t"), style, F.lit("a1 b"), F.lit(10**6)).alias("ok")).collect() if r.ok)
 
+
+
+def test_clusters_that_batches_cut_are_resolved_without_lists(spark):
+    rows = [(d, at, at + 3 + at % 2, "", "k", "", at % 3, at) for d in range(3) for at in [*range(0, 9, 2), 20, *range(30, 33)]]
+    df = spark.createDataFrame(rows, "doc_id long, start long, end long, value string, kind string, source string, priority int, seq int")
+    own = F.collect_list(F.struct("start", "end", "value", "kind", "source", "priority", "seq"))
+    want = sorted((r.doc_id, s.start) for r in df.groupBy("doc_id").agg(S.resolve(own.cast(SPANS)).alias("s")).collect() for s in r.s)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = S.resolved(df, ("doc_id",))
+        assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.doc_id, r.start) for r in found.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
