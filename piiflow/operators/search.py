@@ -18,8 +18,8 @@ from pyspark.sql.window import Window
 from piiflow.functions.text import compile_pattern, escape
 from piiflow.sources.stores import materialize
 
-#: Characters of a part (a folder of the index, read and sorted by one task) and of a block (what a trigram points to).
-PART_CHARS, BLOCK_CHARS = 1 << 28, 1 << 16
+#: Characters of a part (a folder of the index, sorted in memory by one task, which may get a few of them) and of a block (what a trigram points to).
+PART_CHARS, BLOCK_CHARS = 1 << 24, 1 << 16
 #: Folders that the trigrams are dealt to: as many as there are parts, but no more than this.
 MOST_BUCKETS = 4096
 #: Folders whose blocks one task sorts for a bucket.

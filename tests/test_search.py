@@ -58,3 +58,8 @@ def test_an_index_of_nothing(spark, tmp_path):
     p, d, v = (t.limit(0) for t in tables(spark, ["x"]))
     search.write_index(search.searchable(p, d, v), str(tmp_path / "i"))
     assert search.search_index(spark, str(tmp_path / "i"), "word").count() == 0
+
+
+def test_a_task_sorts_some_16_million_characters():
+    """Folders become more as the texts do; a few of them, as hashing deals them, stay far below a task's memory."""
+    assert search.PART_CHARS <= 1 << 24
