@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from piiflow.functions.text import compile_pattern, matches_empty
 from piiflow.operators.literals import find_literals
-from piiflow.operators.spans import exploded, find_spans, pool, resolved
+from piiflow.operators.spans import exploded, find_spans, pool, resolved, values
 
 VARIABLE_PRIORITY, ALWAYS_PRIORITY, PATTERN_PRIORITY = 20, 15, 6
 _KEPT_SOURCES = ("variable", "always")
@@ -20,17 +20,25 @@ _KEPT_SOURCES = ("variable", "always")
 _WHOLE = r"(?![\x{DC00}-\x{DFFF}])"
 
 
-def pattern_rule_spans(spark, text: Column, rules: Sequence[dict]) -> Column:
-    """The spans of user patterns; disabled and invalid ones are skipped, and matches of nothing are no hits."""
-    found = []
+def _usable(spark, rules: Sequence[dict]) -> Iterator[tuple[int, dict, str, bool]]:
+    """Place, rule, pattern and whether it can match nothing; disabled and invalid rules are skipped."""
     for k, rule in enumerate(rules):
         if not rule.get("enabled", True):
             continue
         pattern = compile_pattern(spark, rule["pattern"], rule.get("flags") or "")
-        if pattern is None:
-            continue
-        found.append(find_spans(text, _WHOLE + f"(?:{pattern})", rule["kind"], f"pattern:{rule['id']}", PATTERN_PRIORITY, 10 + k, often_empty=matches_empty(spark, pattern)))
-    return pool(*found)
+        if pattern is not None:
+            yield k, rule, _WHOLE + f"(?:{pattern})", matches_empty(spark, pattern)
+
+
+def pattern_rule_spans(spark, text: Column, rules: Sequence[dict]) -> Column:
+    """The spans of user patterns; disabled and invalid ones are skipped, and matches of nothing are no hits."""
+    return pool(*[find_spans(text, p, rule["kind"], f"pattern:{rule['id']}", PATTERN_PRIORITY, 10 + k, often_empty=empty) for k, rule, p, empty in _usable(spark, rules)])
+
+
+def pattern_rule_values(spark, text: Column, rules: Sequence[dict]) -> Column:
+    """The values of pattern_rule_spans alone, each as often as it is hit: an array of strings."""
+    found = [values(text, p, empty) for _, _, p, empty in _usable(spark, rules)]
+    return F.concat(*found) if found else F.array().cast("array<string>")
 
 
 def detect(

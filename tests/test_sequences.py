@@ -32,6 +32,32 @@ def test_patterns_that_can_match_nothing(spark, pattern):
     assert got == want
 
 
+def test_values_are_those_of_spans(spark):
+    """Also where texts hold the signs that mark matches."""
+    rng = random.Random(7)
+    texts = ["", None, "\x05", "x\x05y\x06\x05\x06xb", "\x06x\x05\x05x"] + ["".join(rng.choice("abxy\x05\x06\U0001f600 ") for _ in range(rng.randrange(25))) for _ in range(60)]
+    texts += ["".join(rng.choice("abxy\U0001f600") for _ in range(rng.randrange(25))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rules = [{"id": p, "pattern": p, "kind": "k"} for p in ("x*y?", "a|", "(?<=a)b*", "[^a]*", "x+", "(")] + [{"id": "off", "pattern": "b", "kind": "k", "enabled": False}]
+    rows = df.select("text", C.pattern_rule_spans(spark, F.col("text"), rules).alias("s"), C.pattern_rule_values(spark, F.col("text"), rules).alias("v")).collect()
+    for text, found, values in rows:
+        assert [s.value for s in found] == values and all(text[s.start : s.end] == s.value for s in found)
+    plain = [m for t in texts if t for p in ("x*y?", "x+") for m in re.findall(p, t) if m]
+    assert sorted(s.value for r in rows for s in r.s if s.source in ("pattern:x*y?", "pattern:x+")) == sorted(plain) and rows[1].v == []
+
+
+def test_places_cost_no_more_in_a_long_text(spark):
+    """The same hits in one text and in many: steps between them are computed once, not for each block of the text."""
+    n, took = 200_000, {}
+    for texts in (200, 200, 1):
+        df = spark.range(texts, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("xt"), n // texts).alias("text"))
+        spans = S.exploded(df, C.pattern_rule_spans(spark, F.col("text"), [{"id": "p", "pattern": "t*h?e*", "kind": "k"}]))
+        began = time.perf_counter()
+        assert spans.agg(F.count("*"), F.sum("start")).first() == (n, texts * (n // texts) ** 2)
+        took[texts] = time.perf_counter() - began
+    assert took[1] < 5 * took[200] + 2
+
+
 def test_chains_of_overlaps(spark):
     rng = random.Random(3)
     rows = [(d, a, a + rng.randrange(1, 12), "v", "k", "s", rng.choice([0, 1, None]), q) for d in range(30) for q, a in enumerate(rng.randrange(80) for _ in range(40))]
